@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparquill.llm import exact_dedup
+from sparquill.llm import exact_dedup, near_dedup
 from sparquill.llm.common import documents
 
 
@@ -12,11 +12,42 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_groups(documents(spark, sf_dir), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE = {
+    "op6_minhash_near_dedup": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g
+            FROM t
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), p AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+        ), e AS (
+            SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 85 * (i.n + j.n - c)
+        ), u AS (
+            SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+        ), r AS (
+            SELECT doc_id AS k, doc_id AS m FROM documents UNION SELECT r.k, u.y FROM r JOIN u ON u.x = r.m
+        ), c AS (
+            SELECT k, min(m) AS component_id FROM r GROUP BY k
+        )
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.k = d.doc_id
+    """,
     "op10_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_points,
