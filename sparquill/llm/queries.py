@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparquill.llm import exact_dedup, near_dedup
+from sparquill.llm import exact_dedup, near_dedup, quality
 from sparquill.llm.common import documents
 
 
@@ -12,12 +13,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def held_out(every: int, rest: int) -> F.Column:
+    return F.crc32(F.col("doc_id").cast("string")) % every == rest
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(5, 0))
+    return quality.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_groups(documents(spark, sf_dir), width=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
