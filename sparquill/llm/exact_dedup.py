@@ -96,6 +96,7 @@ def exact_groups(
     # bitwise-not turns "largest" into "smallest" for ids without overflow
     order = F.struct("n_points", F.bitwise_not("id").alias("not_id"), F.bitwise_not(KEY).alias("not_key"))
     groups = members.groupBy("depth", "name").agg(F.count("*").alias("group_size"), F.max(order).alias("best"))
+    groups = materialize(groups, "groups")  # the join below then reads plain shuffles, which AQE can split
     return members.join(groups, ["depth", "name"]).select(
         KEY,
         F.col("id").alias(id_col),
