@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import exact_dedup, near_dedup, quality
+from sparquill.llm import exact_dedup, mixing, near_dedup, quality
 from sparquill.llm.common import documents
 
 
@@ -17,6 +17,12 @@ def held_out(every: int, rest: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % every == rest
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"), "draws"
+    )
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(5, 0))
@@ -29,6 +35,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_source_mixing": op2_source_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
