@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import exact_dedup, mixing, near_dedup, quality
+from sparquill.llm import exact_dedup, mixing, near_dedup, packing, quality
 from sparquill.llm.common import documents
 
 
@@ -29,12 +30,17 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+def op5_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_groups(documents(spark, sf_dir), width=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {
+    "op5_nnls_packing": op5_nnls_packing,
     "op2_source_mixing": op2_source_mixing,
     "op4_quality_classifier": op4_quality_classifier,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
