@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import exact_dedup, mixing, near_dedup, packing, quality
+from sparquill.llm import exact_dedup, lm, mixing, near_dedup, packing, quality
 from sparquill.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def held_out(every: int, rest: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % every == rest
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(documents(spark, sf_dir), held_out(7, 2))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"), "draws"
@@ -40,6 +44,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op5_nnls_packing": op5_nnls_packing,
     "op2_source_mixing": op2_source_mixing,
     "op4_quality_classifier": op4_quality_classifier,
