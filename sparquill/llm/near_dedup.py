@@ -235,7 +235,7 @@ def near_groups(
         KEY, "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side")
     )
     members = materialize(
-        texts.join(clusters.select(KEY), KEY, "left_semi").select(KEY, "text").mapInPandas(_setter(width), f"{KEY} long, shingles binary").join(reps, KEY),
+        texts.join(clusters.select(KEY).hint("merge"), KEY, "left_semi").select(KEY, "text").mapInPandas(_setter(width), f"{KEY} long, shingles binary").join(reps, KEY),
         "members",
     )
     floor = percent / 100 - 5.5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
