@@ -246,6 +246,7 @@ def near_groups(
     rooted = rep_of.join(linked, rep_of["rep"] == linked["node"], "left").select(KEY, "id", "n_shingles", F.coalesce("root", "rep").alias("root"))
     placed = materialize(rooted.unionByName(signed.where("n_shingles = 0").select(KEY, "id", "n_shingles", F.col(KEY).alias("root"))), "placed")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(KEY).alias("k"))).alias("first"))
+    first = materialize(first, "first")  # the join below then reads plain shuffles, which AQE can split
     return placed.join(first, "root").select(
         KEY, F.col("id").alias(id_col), "n_shingles", F.col("first.id").alias("component_id"), (F.col(KEY) == F.col("first.k")).alias("kept")
     )
