@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import exact_dedup, lm, mixing, near_dedup, packing, quality
+from sparquill.llm import exact_dedup, lm, mixing, near_dedup, packing, quality, substring_dedup
 from sparquill.llm.common import documents
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -44,6 +48,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op7_substring_dedup": op7_substring_dedup,
     "op1_lm_scoring": op1_lm_scoring,
     "op5_nnls_packing": op5_nnls_packing,
     "op2_source_mixing": op2_source_mixing,
