@@ -328,15 +328,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = ["h", "context", "before"]
     spot = F.struct(KEY, "place", "first", (F.col("last") + length).alias("end"))
     classes = materialize(again.groupBy(*same).agg(F.count("*").alias("n"), F.min(spot).alias("one")), "classes")
-    whole = again.join(classes.where("n > 1").select(*same), same, "left_semi").select(KEY, F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
+    whole = again.join(classes.where("n > 1").select(*same).hint("merge"), same, "left_semi").select(KEY, F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
 
     several = classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    want = classes.join(several, "h").select(
+    want = classes.join(several.hint("merge"), "h").select(
         F.col(f"one.{KEY}").alias(KEY), F.struct("h", "one.place", "one.first", "one.end", "n", (F.col("m") > hot).alias("hot")).alias("w")
     )
     want = materialize(want.groupBy(KEY).agg(F.collect_list("w").alias("wanted")), "wanted")  # at most an anchor every byte of one text
     by_key = texts.repartition(KEY)  # one shuffle of the texts, read by both joins below
-    fetched = by_key.join(want.hint("merge"), KEY).select(KEY, "text", "wanted")
+    fetched = by_key.join(want.hint("merge"), KEY).select(KEY, "id", "text", "wanted")  # the same columns as below: one shuffle
     fetched = fetched.mapInPandas(_fetch, f"{KEY} long, h long, place long, before long, n long, hot boolean, bytes binary")
     sorted_ = fetched.where("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInPandas(_sorter(length), f"{KEY} long, lo long, hi long")
     if want.where(F.exists("wanted", lambda w: w["hot"])).take(1):
