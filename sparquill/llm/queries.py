@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import exact_dedup, lm, mixing, near_dedup, packing, quality, substring_dedup
+from sparquill.llm import chat, exact_dedup, lm, mixing, near_dedup, packing, quality, substring_dedup
 from sparquill.llm.common import documents
 
 
@@ -32,6 +32,13 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    told = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_turns(told.unionByName(planted)))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held_out(5, 0))
@@ -48,6 +55,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_chat_formatting": op3_chat_formatting,
     "op7_substring_dedup": op7_substring_dedup,
     "op1_lm_scoring": op1_lm_scoring,
     "op5_nnls_packing": op5_nnls_packing,
@@ -58,6 +66,21 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_chat_formatting": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        )
+        SELECT conv_id,
+               count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn)) AS loss_sha256,
+               CAST(sum(3 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<s>|</s>|\[INST\]|\[/INST\]')) + 6) AS BIGINT)
+                   AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
     "op6_minhash_near_dedup": r"""
         WITH RECURSIVE t AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
