@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import chat, exact_dedup, lm, mixing, near_dedup, packing, quality, substring_dedup
+from sparquill.llm import chat, exact_dedup, lm, mixing, near_dedup, packing, quality, search, substring_dedup
 from sparquill.llm.common import documents
 
 
@@ -14,6 +14,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("id"), "text")
+    return search.search(search.build_index(docs), asked, k=10)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -55,6 +61,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op9_topk_search": op9_topk_search,
     "op3_chat_formatting": op3_chat_formatting,
     "op7_substring_dedup": op7_substring_dedup,
     "op1_lm_scoring": op1_lm_scoring,
@@ -66,6 +73,29 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op9_topk_search": r"""
+        WITH w AS (
+            SELECT doc_id, unnest(list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS term
+            FROM documents
+        ), p AS (
+            SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL
+        ), l AS (
+            SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id
+        ), g AS (
+            SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM l) / (SELECT count(*) FROM documents) AS mean
+        ), d AS (
+            SELECT term, count(*) AS df FROM p GROUP BY term
+        ), s AS (
+            SELECT q.doc_id AS query_id, p.doc_id,
+                   round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * dl / mean))), 6) AS score
+            FROM p q JOIN p ON p.term = q.term JOIN d ON d.term = p.term JOIN l ON l.doc_id = p.doc_id CROSS JOIN g
+            WHERE q.doc_id % 100 = 0 GROUP BY ALL
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
     "op3_chat_formatting": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
