@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import chat, exact_dedup, lm, mixing, near_dedup, packing, quality, search, substring_dedup
+from sparquill.llm import chat, exact_dedup, licenses, lm, mixing, near_dedup, packing, quality, search, substring_dedup
 from sparquill.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("id"), "text")
@@ -61,6 +65,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_license_scan": op8_license_scan,
     "op9_topk_search": op9_topk_search,
     "op3_chat_formatting": op3_chat_formatting,
     "op7_substring_dedup": op7_substring_dedup,
