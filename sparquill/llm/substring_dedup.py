@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from sparquill.llm.common import KEY, keyed, materialize
 
-LENGTH, GRAM, HOT, SEGMENT = 400, 64, 4000, 1 << 22
+LENGTH, GRAM, HOT, SEGMENT = 400, 64, 4000, 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -117,7 +117,7 @@ def _finder(length: int, gram: int):
                 rows.append((np.full(len(found[0]), key), *found))
                 digests += [xxhash.xxh3_128_digest(raw[a : b + length]) for a, b in zip(found[2].tolist(), found[3].tolist(), strict=True)]
                 held += len(found[0])
-                if held > 100_000:
+                if held > 20_000:
                     yield flush()
                     rows, digests, held = [], [], 0
             if rows:
@@ -133,7 +133,7 @@ def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             raw = _raw(text)
             for w in wanted:
                 out.append((key, w["h"], w["place"], w["place"] - w["first"], w["n"], w["hot"], raw[w["first"] : w["end"]]))
-            if len(out) > 20_000:
+            if len(out) > 5000:
                 yield pd.DataFrame(out, columns=[KEY, "h", "place", "before", "n", "hot", "bytes"])
                 out = []
         yield pd.DataFrame(out, columns=[KEY, "h", "place", "before", "n", "hot", "bytes"])
@@ -272,10 +272,10 @@ def _sorter(length: int):
             return pd.DataFrame({KEY: frame[KEY].to_numpy()[who], "lo": place - [x[1] for x in found], "hi": place + [x[2] for x in found]}, dtype="int64")
 
         for batch in batches:  # sorted by h: a group is over when the next begins
-            for at in range(0, len(batch), 2000):
-                held.append(batch.iloc[at : at + 2000])
+            for at in range(0, len(batch), 1000):
+                held.append(batch.iloc[at : at + 1000])
                 size += len(held[-1])
-                if size >= 4000 and held[-1]["h"].iat[-1] != held[0]["h"].iat[0]:
+                if size >= 2000 and held[-1]["h"].iat[-1] != held[0]["h"].iat[0]:
                     frame = pd.concat(held, ignore_index=True)
                     cut = int(np.searchsorted(frame["h"].to_numpy(), frame["h"].iat[-1]))
                     yield done(frame.iloc[:cut].reset_index(drop=True))
