@@ -51,12 +51,13 @@ def joined_streams(left: DataFrame, right: DataFrame, key: str, left_at: str, ri
     return a.join(b, (F.col(key) == F.col(f"_{key}")) & near).drop(f"_{key}")
 
 
-def loop_alerts(df: DataFrame, thread: str, order: str, what: str, window: int = 20, warn: int = 3, stop: int = 5, ttl: str = "1 hour") -> DataFrame:
+def loop_alerts(df: DataFrame, thread: str, order: str, what: str, window: int = 20, warn: int = 3, stop: int = 5, ttl: str | None = None) -> DataFrame:
     """(thread, order, what, recent, flag) of each event, as ``operators.events.loop_flags`` gives it in batch.
 
-    State per thread is its last ``window`` values; a thread that is silent for ``ttl`` is forgotten.
+    State per thread is its last ``window`` values. With ``ttl`` a thread that is silent for so long is forgotten; such
+    a query checks the clock and so never ends by itself.
     """
-    millis = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    millis = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
     kinds = dict(df.dtypes)
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -71,11 +72,12 @@ def loop_alerts(df: DataFrame, thread: str, order: str, what: str, window: int =
             n = seen.count(value)
             out.append((key[0], at, value, n, "stop" if n >= stop else "warn" if n >= warn else None))
         state.update((list(seen),))
-        state.setTimeoutDuration(millis)
+        if millis:
+            state.setTimeoutDuration(millis)
         yield pd.DataFrame(out, columns=[thread, order, what, "recent", "flag"])
 
     return df.select(thread, order, what).groupBy(thread).applyInPandasWithState(
-        run, f"{thread} {kinds[thread]}, {order} {kinds[order]}, {what} {kinds[what]}, recent int, flag string", f"last array<{kinds[what]}>", "append", "ProcessingTimeTimeout"
+        run, f"{thread} {kinds[thread]}, {order} {kinds[order]}, {what} {kinds[what]}, recent int, flag string", f"last array<{kinds[what]}>", "append", "ProcessingTimeTimeout" if ttl else "NoTimeout"
     )
 
 
