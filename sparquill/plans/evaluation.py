@@ -127,10 +127,10 @@ def repeated_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "spread_by_config",
-    "SELECT o_custkey, count(o_totalprice) AS n, round(avg(o_totalprice), 4) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS stddev, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY 1",
+    "SELECT o_orderpriority, count(o_totalprice) AS n, round(avg(o_totalprice), 4) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS stddev, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY 1",
 )
 def spread_by_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.spread_by(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice")
+    return E.spread_by(table(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
 
 
 @query("ablation_deltas", "SELECT * FROM (VALUES ('a', 'f1', 5.0, 'better'), ('a', 'latency', 10.0, 'worse'), ('b', 'f1', 0.04, 'same'), ('b', 'latency', -10.0, 'better')) t(config, metric, delta_pp, direction)")
