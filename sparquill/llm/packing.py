@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,47 +30,45 @@ from pyspark.sql.window import Window
 from sparquill.llm.common import KEY, keyed, materialize
 
 WINDOW, BUCKETS, BUCKET_ROWS = 1024, 64, 200_000
-KEEP_FIRST, KEEP_LATER = 300_000, 200_000
+KEEP_FIRST, KEEP_LATER, ENCODE_AT_ONCE = 250_000, 150_000, 4096
 
 #: Texts of these characters only are split into words here as the tokenizer's own rule does; others go to it whole.
 _PLAIN = "\t\n\r\x20-\x7e¡«»¿-ɏ"
 _OTHER = re.compile(f"[^{_PLAIN}]")
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_SPLIT = re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 class TokenBytes:
-    """Token ids of a text as little-endian 32-bit words; ids of words seen are remembered up to a bound."""
+    """Token ids of a text as little-endian 32-bit words; ids of words seen are remembered up to a bound.
+
+    The first words stay; later ones leave in the order in which they came.
+    """
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.core: dict[str, bytes] = {}
-        self.extra: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.later: deque[list[str]] = deque()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        core, extra = self.core, self.extra
+        known = self.known
         words = [None if _OTHER.search(t) else _SPLIT.findall(t) for t in texts]
-        new = [w for w in set().union(*[p for p in words if p is not None]) if w not in core and w not in extra]
-        if new:
-            if len(core) >= KEEP_FIRST and len(extra) >= KEEP_LATER:
-                extra.clear()
-                new = [w for w in set().union(*[p for p in words if p is not None]) if w not in core]
-            (core if len(core) < KEEP_FIRST else extra).update(zip(new, self._encode(new), strict=True))
-        out = []
-        for text, parts in zip(texts, words, strict=True):
-            if parts is None:
-                out += self._encode([text])
-                continue
-            try:
-                out.append(b"".join(map(core.__getitem__, parts)))
-            except KeyError:
-                out.append(b"".join([core[w] if w in core else extra[w] for w in parts]))
+        new = list(set().union(*[p for p in words if p is not None]).difference(known))
+        for at in range(0, len(new), ENCODE_AT_ONCE):
+            part = new[at : at + ENCODE_AT_ONCE]
+            known.update(zip(part, self._encode(part), strict=True))
+        if len(known) > KEEP_FIRST:
+            self.later.append(new)
+        out = [self._encode([t])[0] if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, words, strict=True)]
+        while len(known) > KEEP_FIRST + KEEP_LATER:
+            for w in self.later.popleft():
+                del known[w]
         return out
 
 
@@ -82,7 +81,7 @@ def _cutter(path: str, window: int):
             at = 0
             while at < len(texts):
                 end, held = at, 0
-                while end < len(texts) and (end == at or held < 1_000_000):
+                while end < len(texts) and (end == at or held < 500_000):
                     held += len(texts[end])
                     end += 1
                 for k, i, raw in zip(keys[at:end], ids[at:end], tokens.of(texts[at:end]), strict=True):
