@@ -72,9 +72,19 @@ class TokenBytes:
         return out
 
 
+_TOKENS: dict[str, TokenBytes] = {}
+
+
+def _tokens(path: str) -> TokenBytes:
+    """One for each Python worker and file, so that later tasks of a worker find its words known."""
+    if path not in _TOKENS:
+        _TOKENS[path] = TokenBytes(path)
+    return _TOKENS[path]
+
+
 def _cutter(path: str, window: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = TokenBytes(path)
+        tokens = _tokens(path)
         for batch in batches:
             keys, ids, texts = batch[KEY].tolist(), batch["id"].astype(object).where(batch["id"].notna(), None).tolist(), [t or "" for t in batch["text"]]
             out: list[tuple] = []
