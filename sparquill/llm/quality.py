@@ -65,6 +65,18 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return x, first
 
 
+def _parts(texts: list[str | None], part_bytes: int = 1 << 20) -> Iterator[list[str | None]]:
+    """Runs of texts of about ``part_bytes``, since encoding takes some 40 times that for a while."""
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held < part_bytes):
+            held += len(texts[end] or "") + 64
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
 def _forward(m: dict, x: np.ndarray, first: np.ndarray) -> dict:
     own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
     e = np.tanh(x @ m["We"] + m["be"])
@@ -94,7 +106,11 @@ def train(texts: list[str | None], labels: list[int], seed: int = 17) -> dict:
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 1.0}
-    x, first = encode(texts)
+    made = [encode(part) for part in _parts(texts)]
+    before = np.cumsum([0, *(len(x) for x, _ in made)])
+    first = np.concatenate([f + b for (_, f), b in zip(made, before, strict=False)])
+    x = np.concatenate([x for x, _ in made])
+    del made
     stop = np.append(first[1:], len(x))
     rng = np.random.default_rng(seed)
     init = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -116,17 +132,10 @@ def train(texts: list[str | None], labels: list[int], seed: int = 17) -> dict:
     return m
 
 
-def score_texts(m: dict, texts: list[str | None], part_bytes: int = 1 << 20) -> np.ndarray:
+def score_texts(m: dict, texts: list[str | None]) -> np.ndarray:
     if "constant" in m:
         return np.full(len(texts), m["constant"])
-    out, at = [], 0
-    while at < len(texts):
-        end, held = at, 0
-        while end < len(texts) and (end == at or held < part_bytes):
-            held += len(texts[end] or "") + 64
-            end += 1
-        out.append(_forward(m, *encode(texts[at:end]))["p"])
-        at = end
+    out = [_forward(m, *encode(part))["p"] for part in _parts(texts)]
     return np.concatenate(out).astype(np.float64) if out else np.empty(0)
 
 
