@@ -2,9 +2,13 @@
 
 1. Sizes are summed per source; targets share the whole size by weight, none above ``most`` times its source
    (the excess is shared again by weight among the others until none is above).
-2. A source is dealt by hash into blocks of about ``block_size``. Its target is whole passes over all blocks, a
-   prefix of whole blocks (their order is random, since documents are dealt by hash), and from a pool of the next
-   few blocks the documents that fit, in hashed order: a source misses its target by about a short document.
+2. A source is dealt by hash into blocks of about ``block_size``. Its target is whole passes over all blocks and a
+   part of a pass. That part is shared by size class (sizes of as many binary digits), each by its share of the
+   source: of a class, the blocks in order (which is random, since documents are dealt by hash) up to its aim. What
+   lies within a few of the source's longest texts of the aims is settled document by document, the longest
+   class first, and what a class misses passes to the shorter ones (``settle``). So long texts cost no more than a
+   rounding that shorter documents make good; a source misses its target by less than a document that
+   outweighs all documents of the shorter classes together.
 3. Every taken (pass, block) is one unit of its source's quota. The tree starts with all quotas at the root and
    all output shards; each node draws the left child's share of every source from a multivariate hypergeometric
    distribution, exactly as many units as the left shards hold, and passes the rest to the right, down to single
@@ -33,7 +37,7 @@ from pyspark.sql.window import Window
 
 from sparquill.llm.common import KEY, WORD, keyed, materialize
 
-BLOCK_SIZE, CHUNK, POOL, UNITS_A_SHARD = 20_000, 512, 8, 64
+BLOCK_SIZE, CHUNK, UNITS_A_SHARD = 20_000, 512, 64
 MAX_SOURCES, MAX_CELLS = 200_000, 2_000_000
 
 
@@ -85,6 +89,47 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -
     return int(min(good, draws, max(0, draws - bad, round(rng.normal(draws * share, spread)))))
 
 
+def settle(group: pd.DataFrame) -> pd.DataFrame:
+    """Of a source's documents near the aims (class, total of the class, rest, start of the cell, block, order, size), those taken.
+
+    From the longest class down: a random order's prefix up to the class's share of what is left, rounded up or down
+    by chance where the shorter classes can make up for both; else the one addition, exchange or removal after which
+    what is left comes nearest to what they can hold. Rounding errors halve with each class, so all of the cells that
+    can matter lie within three of the longest texts of the aims.
+    """
+    group = group.sort_values(["class", "block", "order", KEY], ascending=[False, True, True, True], ignore_index=True)
+    left, below = float(group["rest"].iat[0]), float(group.groupby("class")["total"].first().sum())
+    taken = np.zeros(len(group), bool)
+    for _, part in group.groupby("class", sort=False):
+        at, size, total = part.index.to_numpy(), part["size"].to_numpy(), int(part["total"].iat[0])
+        base = int(part["start"].iat[0])
+        aim = max(0.0, left * total / below)
+        below -= total
+        ends = base + np.cumsum(size)
+        k = int(np.searchsorted(ends, aim, side="right"))
+        have = int(ends[k - 1]) if k else base
+        low, high = left - have - below, left - have  # what may still be added
+        mine = np.arange(len(at)) < k
+        up = k < len(at) and size[k] <= high
+        if up and (low > 0 or (aim - have) * 2**20 > (int(part["order"].iat[k]) & (2**20 - 1)) * int(size[k])):
+            mine[k] = True
+        elif low > 0 or high < 0:
+            add, drop = (np.concatenate([[0], np.unique(size[m])]) for m in (~mine, mine))
+            spot = np.searchsorted(drop, add - high)  # the least removal that does not go beyond ``high``, and the one before
+            pairs = [np.minimum(spot, len(drop) - 1), np.maximum(spot - 1, 0)]
+            change = np.concatenate([add - drop[p] for p in pairs])
+            best = int(np.argmin(np.maximum(np.maximum(low - change, change - high), 0)))
+            more, less = add[best % len(add)], drop[pairs[best // len(add)][best % len(add)]]
+            if more != less:
+                if more:
+                    mine[np.flatnonzero(~mine & (size == more))[0]] = True
+                if less:
+                    mine[np.flatnonzero((np.arange(len(at)) < k) & (size == less))[-1]] = False
+        taken[at] = mine
+        left -= base + int(size[mine].sum())
+    return group.loc[taken, ["nth", "block", KEY]]
+
+
 def count_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
@@ -113,7 +158,7 @@ def mix(
     sized = materialize(
         rows.select(KEY, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size")), "sized"
     )
-    per = sized.groupBy("source").agg(F.sum("size").alias("size"))
+    per = sized.groupBy("source").agg(F.sum("size").alias("size"), F.max("size").alias("longest"))
     found = per.limit(MAX_SOURCES + 1).collect()  # one row per source
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; mix by a coarser column")
@@ -123,32 +168,45 @@ def mix(
     table = []
     for i, (r, n, t) in enumerate(zip(found, sizes, targets, strict=True)):
         passes = int(t // n) if n else 0
-        table.append((i, r["source"], n, float(t), passes, float(t - passes * n), max(1, -(-n // block_size))))
+        table.append((i, r["source"], n, float(t), passes, float(t - passes * n), max(1, -(-n // block_size)), int(r["longest"])))
     spark = docs.sparkSession
-    kinds = "nth int, source string, source_size long, target double, passes int, rest double, blocks long"
+    kinds = "nth int, source string, source_size long, target double, passes int, rest double, blocks long, longest long"
     # at most MAX_SOURCES rows
     plan = F.broadcast(spark.createDataFrame(table, kinds))
     dealt = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    dealt = dealt.withColumn("block", F.pmod(_hash(seed, KEY), F.col("blocks")))
-
-    # running size of a source's blocks in block order, which is a random order: documents are dealt by hash
-    block = materialize(
-        dealt.groupBy("nth", "block", F.floor(F.col("block") / CHUNK).alias("chunk")).agg(
-            F.sum("size").alias("held"), F.first("passes").alias("passes"), F.first("rest").alias("rest")
-        ),
-        "blocks",
+    dealt = dealt.withColumn("block", F.pmod(_hash(seed, KEY), F.col("blocks"))).withColumn("class", F.length(F.bin("size")))
+
+    # running size of a class's blocks in block order, which is a random order: documents are dealt by hash
+    cell = materialize(
+        dealt.where("size > 0")
+        .groupBy("nth", "class", "block", F.floor(F.col("block") / CHUNK).alias("chunk"))
+        .agg(F.sum("size").alias("held"), *[F.first(c).alias(c) for c in ("passes", "rest", "source_size", "longest")]),
+        "cells",
     )
     zero = F.lit(0).cast("long")
     earlier = (Window.unboundedPreceding, -1)
-    by_chunk = Window.partitionBy("nth").orderBy("chunk").rowsBetween(*earlier)
-    in_chunk = Window.partitionBy("nth", "chunk").orderBy("block").rowsBetween(*earlier)
-    chunks = block.groupBy("nth", "chunk").agg(F.sum("held").alias("n")).select("nth", "chunk", F.coalesce(F.sum("n").over(by_chunk), zero).alias("base"))
-    block = block.join(chunks, ["nth", "chunk"]).withColumn("start", F.col("base") + F.coalesce(F.sum("held").over(in_chunk), zero))
-    whole = F.col("start") + F.col("held") <= F.col("rest")
-    pool = (F.col("rest") > 0) & (F.col("start") < F.col("rest") + POOL * block_size)
-    block = block.withColumn("extra", F.when(whole & (F.col("rest") > 0), 1).when(pool, 2).otherwise(0))
-    block = block.withColumn("units", F.when(F.col("held") > 0, F.col("passes") + (F.col("extra") > 0).cast("int")).otherwise(0))
-    block = materialize(block.select("nth", "block", "start", "extra", "units"), "units")
+
+    def before(*keys: str) -> Column:
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("chunk").rowsBetween(*earlier)), zero).alias("base")
+
+    in_chunk = Window.partitionBy("nth", "class", "chunk").orderBy("block").rowsBetween(*earlier)
+    chunks = cell.groupBy("nth", "class", "chunk").agg(F.sum("held").alias("n"))
+    chunks = chunks.select("nth", "class", "chunk", before("nth", "class"), F.sum("n").over(Window.partitionBy("nth", "class")).alias("total"))
+    cell = cell.join(chunks, ["nth", "class", "chunk"]).withColumn("start", F.col("base") + F.coalesce(F.sum("held").over(in_chunk), zero))
+    aim, near = F.col("rest") * F.col("total") / F.col("source_size"), 3 * F.col("longest")
+    state = F.when(F.col("start") + F.col("held") <= aim - near, 1).when(F.col("start") < aim + near, 2)
+    cell = cell.withColumn("state", F.when(F.col("rest") > 0, state))
+    cell = materialize(cell.select("nth", "class", "block", "passes", "total", "start", "state"), "states")
+
+    edge = dealt.join(cell.where("state = 2").select("nth", "class", "block", "total", "start"), ["nth", "class", "block"])
+    edge = edge.select("nth", "class", "block", KEY, "size", "total", "start", "rest", _hash(seed + 2, KEY).alias("order"))
+    filled = materialize(edge.groupBy("nth").applyInPandas(settle, f"nth int, block long, {KEY} long"), "filled")
+
+    # the classes of a block that the extra pass takes whole; it is one unit more if it takes any document
+    block = cell.groupBy("nth", "block").agg(F.first("passes").alias("passes"), F.collect_list(F.when(F.col("state") == 1, F.col("class"))).alias("whole"))
+    block = block.join(filled.select("nth", "block").distinct().withColumn("some", F.lit(True)), ["nth", "block"], "left")
+    extra = (F.size("whole") > 0) | F.coalesce("some", F.lit(False))
+    block = materialize(block.select("nth", "block", "whole", (F.col("passes") + extra.cast("int")).alias("units")), "units")
 
     quota = {r["nth"]: int(r["units"]) for r in block.groupBy("nth").agg(F.sum("units").alias("units")).collect()}
     quotas = np.array([quota.get(i, 0) for i in range(len(table))], np.int64)
@@ -159,7 +217,7 @@ def mix(
     units = block.where("units > 0").select("nth", "block", F.explode(F.sequence(F.lit(0), F.col("units").cast("int") - 1)).alias("pass"))
     units = units.withColumn("mark", _hash(seed + 1, "nth", "block", "pass"))
     units = units.withColumn("chunk", F.shiftright("mark", 50))  # its leading bits: chunks are in the order of marks
-    bases = units.groupBy("nth", "chunk").agg(F.count("*").alias("n")).select("nth", "chunk", F.coalesce(F.sum("n").over(by_chunk), zero).alias("base"))
+    bases = units.groupBy("nth", "chunk").agg(F.count("*").alias("n")).select("nth", "chunk", before("nth"))
     in_order = Window.partitionBy("nth", "chunk").orderBy("mark", "block", "pass")
     units = units.join(bases, ["nth", "chunk"]).select("nth", "block", "pass", (F.col("base") + F.row_number().over(in_order) - 1).alias("rank"))
 
@@ -172,26 +230,10 @@ def mix(
 
     drawn = units.mapInPandas(to_shards, "nth int, block long, pass int, shard long")
     drawn = drawn.groupBy("nth", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("drawn"))  # at most ``most`` entries
-    drawn = materialize(block.join(drawn, ["nth", "block"], "left").select("nth", "block", "start", "extra", "drawn"), "drawn")
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        """Of a source's pool (a few blocks), in hashed order, each document that still fits; last one more if that is nearer."""
-        group = group.sort_values(["order", KEY], ignore_index=True)
-        left, taken = float(group["rest"].iat[0] - group["start"].min()), np.zeros(len(group), bool)
-        for i, n in enumerate(group["size"].tolist()):
-            if n <= left:
-                taken[i] = True
-                left -= n
-        rest = group["size"].where(~taken)
-        if rest.notna().any() and rest.min() - left < left:
-            taken[int(rest.idxmin())] = True
-        return group.loc[taken, [KEY]]
-
-    placed = materialize(dealt.join(drawn, ["nth", "block"], "left"), "placed")
-    edge = placed.where("extra = 2 AND size > 0").select("nth", KEY, "size", "start", "rest", _hash(seed + 2, KEY).alias("order"))
-    edge = edge.groupBy("nth").applyInPandas(fill, f"{KEY} long").withColumn("filled", F.lit(True))
-    placed = placed.join(edge, KEY, "left")
-    more = (F.col("extra") == 1) | F.coalesce("filled", F.lit(False))
+    drawn = materialize(block.join(drawn, ["nth", "block"], "left").select("nth", "block", "whole", "drawn"), "drawn")
+
+    placed = dealt.join(drawn, ["nth", "block"], "left").join(filled.select(KEY, F.lit(True).alias("filled")), KEY, "left")
+    more = F.coalesce(F.array_contains("whole", F.col("class")), F.lit(False)) | F.coalesce("filled", F.lit(False))
     draws = F.filter(
         F.coalesce("drawn", F.array().cast("array<struct<pass:int,shard:long>>")),
         lambda d: (F.col("size") > 0) & ((d["pass"] < F.col("passes")) | more),

@@ -57,6 +57,18 @@ def test_mix(spark):
     assert key(made) == key(again)
 
 
+def test_mix_fills_a_target_beside_a_long_text(spark):
+    sizes = {f"s{i:02}": [300_000] + [1_000] * 300 for i in range(8)} | {"t0": [20_000] * 60 + [10] * 1_500, "t1": [20_000] * 60 + [1] * 15_000}
+    flat = [(s, n) for s, part in sizes.items() for n in part]
+    df = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(flat)], "doc_id long, source string, n int").repartition(8)
+    made = mixing.mix(df.withColumn("text", F.expr("repeat('w ', n)")), weights=(1, 3)).toPandas()
+    made["source"], made["words"] = made["doc_id"].map(lambda i: flat[i][0]), made["draws"].map(len) * made["size"]
+    assert (made["size"] == made["doc_id"].map(lambda i: flat[i][1])).all()
+    for s, part in made.groupby("source"):
+        short = {"t0": 10, "t1": 1}.get(s, 1_000)
+        assert abs(part["words"].sum() - part["target"].iloc[0]) <= short / 2
+
+
 def test_mixed_rows_and_none(spark):
     df = docs(spark, 60)
     assert mixing.mixed(df, block_size=100).columns == df.columns
