@@ -263,7 +263,7 @@ def children_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ancestor_chains", "SELECT * FROM (VALUES ('1.1', '1'), ('1.1.1.1', '1>1.1'), ('E.1.1', '附录E'), ('1.2', '1')) t(node, chain)")
 def ancestor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.ancestor_chain(_tree(spark).select(F.col("path").alias("node"), "parent"), 16).select("node", F.concat_ws(">", "chain").alias("chain"))
+    return C.ancestor_chain(_tree(spark).select(F.col("path").alias("node"), "parent")).select("node", F.concat_ws(">", "chain").alias("chain"))
 
 
 @query(
@@ -275,12 +275,12 @@ def ancestor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def order_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transitive closure on real rows: each order's parent is its customer's order before."""
+    """Depth and root on real rows: each order's parent is its customer's order before."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     edges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.lag("o_orderkey").over(w).alias("parent"))
-    return C.ancestors(edges).groupBy("node").agg(F.max("up").alias("depth"), F.min("ancestor").alias("root"))
+    return C.roots(edges).select("node", "depth", "root")
 
 
 @query("tree_pruning", "SELECT * FROM (VALUES ('1'), ('1.1'), ('1.1.1.1'), ('前言')) t(node)")

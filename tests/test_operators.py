@@ -18,6 +18,7 @@ from sparquill.operators import events as V
 from sparquill.operators import profile
 from sparquill.operators import relational as R
 from sparquill.operators import retrieval as S
+from sparquill.plans.corpus import order_ancestry
 
 
 def rows(df, *cols):
@@ -138,6 +139,21 @@ def test_ancestors_end_in_cycles(spark):
     assert made == {(x, y) for x in "abc" for y in "abc" if x != y} | {("d", y) for y in "abc"}
 
 
+def test_chains_of_any_length(spark, tmp_path):
+    df = spark.createDataFrame([(i, i - 1 if i else None) for i in range(150)], "node int, parent int")
+    made = {(r["node"], r["ancestor"]): r["up"] for r in C.ancestors(df).collect()}
+    assert made == {(i, j): i - j for i in range(150) for j in range(i)}
+    assert C.pruned(df, F.col("node") == 149, F.lit(False)).count() == 150
+    assert {r["node"]: (r["root"], r["depth"]) for r in C.roots(df).collect()} == {i: (0, i) for i in range(1, 150)}
+    looped = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("e", "f"), ("g", "g")], "node string, parent string")
+    assert {tuple(r) for r in C.roots(looped).collect()} == {(x, None, None) for x in "abcd"} | {("e", "f", 1)}
+    assert C.roots(looped.limit(0)).count() == 0
+    orders = [(i, 7) for i in range(1, 301)] + [(i, i % 5) for i in range(1000, 1020)] + [(5000, 9)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {r["node"]: (r["depth"], r["root"]) for r in order_ancestry(spark, str(tmp_path)).collect()}
+    assert found == {i: (i - 1, 1) for i in range(2, 301)} | {i: ((i - 1000) // 5, 1000 + i % 5) for i in range(1005, 1020)}
+
+
 def test_table_grids_with_ragged_spans():
     html = "<table><tr><td rowspan='3'>a</td><td>b</td></tr><tr><td rowspan=2 colspan=2>c</td></tr><tr></tr></table>"
     assert C.table_grids(html) == [[["a", "b", ""], ["a", "c", ""], ["a", "c", ""]]]
