@@ -1,8 +1,12 @@
 """Operator 8, license scans: winnowed fingerprints pick candidates, banded alignment reports coverage and spans.
 
-Templates are normalised to words (lower case, outer punctuation off). Of every ``GRAM`` consecutive words a
+Templates and texts are normalised to words (lower case, outer punctuation off, words of punctuation only left out,
+as the marks of wrapped comments are). Of every ``GRAM`` consecutive words a
 fingerprint is made; winnowing keeps the least of each ``WINDOW`` neighbours, so a shared run of GRAM + WINDOW - 1
-words always shares a kept one. The kept ones form an inverted index: fingerprint -> (template, place). A document's
+words always shares a kept one. A text that reaches ``coverage`` by changed or missing words alone has such a run if
+the template is long enough (from 16 words on at 0.8). Shorter templates have no fingerprints: a text is a candidate
+where a stretch of the template's length and the band on both sides holds enough of its words, counted with their
+repetitions, so that changed, missing and added words cannot hide a match. The kept ones form an inverted index: fingerprint -> (template, place). A document's
 fingerprints are looked up in it; hits of a template on near diagonals make a candidate, whose surroundings are
 aligned with the template within a band of ``BAND`` words. A match is reported where the share of the template's
 words that are aligned to equal words reaches ``coverage``, with its span in characters of the original text.
@@ -16,7 +20,9 @@ result.
 
 from __future__ import annotations
 
+import math
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +61,7 @@ TEMPLATES = {
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
-_EDGE = ".,;:!?()[]{}<>\"'`*#|"
+_EDGE = string.punctuation
 
 
 def normalised(text: str) -> list[str]:
@@ -65,13 +71,19 @@ def normalised(text: str) -> list[str]:
 class Index:
     """Vocabulary, inverted index of the winnowed fingerprints, and the templates as word numbers."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW):
+    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW, coverage: float = COVERAGE):
         self.names, self.gram = list(templates), gram
         self.word: dict[str, int] = {}
         self.templates = [np.array([self.word.setdefault(w, len(self.word)) for w in normalised(t)], np.int64) for t in templates.values()]
         self.base = len(self.word) + 1
+        self.need = [math.ceil(coverage * len(t) - 1e-9) for t in self.templates]
+        # those that can reach the coverage without a run that surely shares a fingerprint
+        self.short = [t for t, w in enumerate(self.templates) if len(w) and -(-self.need[t] // (len(w) - self.need[t] + 1)) < gram + window - 1]
+        self.most = np.array([np.bincount(self.templates[t], minlength=self.base) for t in self.short], np.int64).reshape(-1, self.base)
         places: dict[int, set[tuple[int, int]]] = {}
         for t, words in enumerate(self.templates):
+            if t in self.short:
+                continue
             prints = self.prints(words)
             mixed = (prints.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
             for at in range(max(1, len(prints) - window + 1)):
@@ -119,28 +131,57 @@ def align(words: list[int], template: np.ndarray, diagonal: int, band: int) -> t
     return row[d][1], max(0, row[d][2]), min(len(words), max(0, end))
 
 
-def scan_text(text: str, index: Index, band: int = BAND, coverage: float = COVERAGE) -> list[dict]:
-    known = index.word
-    number = [known.get(w.strip(_EDGE), -1) for w in text.lower().split()]
-    words = np.array(number, np.int64)
+def shared_grams(words: np.ndarray, index: Index) -> dict[int, list[int]]:
+    """The diagonals of each long template on which the text shares a kept fingerprint."""
     n = len(words) - index.gram + 1
-    if n <= 0:
-        return []
+    diagonals: dict[int, list[int]] = {}
+    if n <= 0 or not len(index.keys):
+        return diagonals
     ok = words[:n] >= 0
     for i in range(1, index.gram):
         ok &= words[i : i + n] >= 0
     spots = np.flatnonzero(ok)
-    if not len(spots):
-        return []
     prints = np.zeros(len(spots), np.int64)
     for i in range(index.gram):
         prints = prints * index.base + words[spots + i]
     at = np.minimum(np.searchsorted(index.keys, prints), len(index.keys) - 1)
-    hits = np.flatnonzero(index.keys[at] == prints)
-    diagonals: dict[int, list[int]] = {}
-    for h in hits.tolist():
+    for h in np.flatnonzero(index.keys[at] == prints).tolist():
         for t, place in index.places[at[h]]:
             diagonals.setdefault(t, []).append(int(spots[h]) - place)
+    return diagonals
+
+
+def shared_words(words: np.ndarray, index: Index, band: int) -> dict[int, set[int]]:
+    """The diagonals of each short template in stretches of the text that hold enough of its words."""
+    known = words[words >= 0]
+    held = np.minimum(np.bincount(known, minlength=index.base), index.most).sum(axis=1)
+    diagonals: dict[int, set[int]] = {}
+    for s, t in enumerate(index.short):
+        if held[s] < index.need[t]:
+            continue
+        most, template = index.most[s], index.templates[t].tolist()
+        spots = np.flatnonzero((words >= 0) & (most[words] > 0)).tolist()  # -1 reads the last number, which no word has
+        here, have, first, marked = dict.fromkeys(template, 0), 0, 0, 0
+        for last, spot in enumerate(spots):
+            here[words[spot]] += 1
+            have += here[words[spot]] <= most[words[spot]]
+            while spot - spots[first] >= len(template) + 2 * band:
+                have -= here[words[spots[first]]] <= most[words[spots[first]]]
+                here[words[spots[first]]] -= 1
+                first += 1
+            if have >= index.need[t]:
+                for p in spots[max(first, marked) : last + 1]:
+                    diagonals.setdefault(t, set()).update(p - i for i, w in enumerate(template) if w == words[p])
+                marked = last + 1
+    return diagonals
+
+
+def scan_text(text: str, index: Index, band: int = BAND, coverage: float = COVERAGE) -> list[dict]:
+    stripped = [w.strip(_EDGE) for w in text.lower().split()]
+    places = [i for i, w in enumerate(stripped) if w]
+    number = [index.word.get(stripped[i], -1) for i in places]
+    words = np.array(number, np.int64)
+    diagonals = shared_grams(words, index) | shared_words(words, index, band)
     out: list[dict] = []
     spans: list[tuple[int, int]] = []
     for t, found in diagonals.items():
@@ -152,14 +193,14 @@ def scan_text(text: str, index: Index, band: int = BAND, coverage: float = COVER
             matched, first, last = align(number, template, diagonal, band)
             if matched >= coverage * len(template):
                 mine.append((matched / len(template), first, last, matched))
-        mine.sort(key=lambda m: (-m[0], m[1]))
+        mine.sort(key=lambda m: (-m[0], m[2] - m[1], m[1]))
         chosen: list[tuple] = []
         for m in mine:
             if all(m[2] <= c[1] or m[1] >= c[2] for c in chosen):
                 chosen.append(m)
         if chosen and not spans:
             spans = [m.span() for m in re.finditer(r"\S+", text)]
-        out += [{"license": index.names[t], "coverage": c, "matched_words": m, "start": spans[a][0], "end": spans[b - 1][1]} for c, a, b, m in chosen]
+        out += [{"license": index.names[t], "coverage": c, "matched_words": m, "start": spans[places[a]][0], "end": spans[places[b - 1]][1]} for c, a, b, m in chosen]
     return sorted(out, key=lambda m: (m["start"], m["license"]))
 
 
@@ -168,9 +209,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     given = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(given)
+        index = Index(given, coverage=coverage)
         for batch in batches:
-            found = [scan_text(t, index, coverage=coverage) if t and len(index.keys) else [] for t in batch["text"]]
+            found = [scan_text(t, index, coverage=coverage) if t else [] for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "n_matches": [len(f) for f in found], "matches": found})
 
     kinds = "id long, n_matches int, matches array<struct<license:string,coverage:double,matched_words:int,start:int,end:int>>"

@@ -63,6 +63,23 @@ def test_licenses_planted(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_short_notices_in_comments_and_with_changed_words():
+    index = licenses.Index(licenses.TEMPLATES)
+    found = lambda text: [(m["license"], m["coverage"], text[m["start"] : m["end"]]) for m in licenses.scan_text(text, index)]
+    for mark in ("#", "//", "*", "--", ";;", "|"):
+        text = f"x\n{mark} Released under the\n{mark} MIT License.\n{mark} y"
+        assert found(text) == [("mit-line", 1.0, text[text.index("Released") : text.index(".") + 1])]
+    assert found("Released under an MIT License, it says") == [("mit-line", 0.8, "Released under an MIT License,")]
+    assert found("Released under the new MIT style License") == [("mit-line", 1.0, "Released under the new MIT style License")]
+    assert found("Released under the License") == [("mit-line", 0.8, "Released under the License")]
+    assert found("released by an MIT body, no license") == [] == found("the the the under the License of the")
+    for name, whole in licenses.TEMPLATES.items():
+        words = whole.split()
+        for i in range(len(words)) if len(words) <= 15 else ():
+            for changed in ([*words[:i], "other", *words[i + 1 :]], [*words[:i], *words[i + 1 :]], [*words[:i], "one", "more", *words[i:]]):
+                assert name in [m["license"] for m in licenses.scan_text(" ".join(["before", *changed, "after"]), index)]
+
+
 def brute_bm25(texts, queries, k):
     words = {i: Counter((t or "").encode().lower().split()) for i, t in texts}
     n, mean = len(texts), sum(sum(w.values()) for w in words.values()) / len(texts)
