@@ -203,3 +203,54 @@ def components_of(frames: Iterator[DataFrame]) -> DataFrame:
     for f in frames:
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def match_bills(asked: DataFrame, truth: DataFrame, candidates: DataFrame, least: float = 0.86, margin: float = 0.08, top: int = 10, id_col: str = "id") -> DataFrame:
+    """One row per request (id, code, feature): ``mode``, ``status``, ``verdict``, ``findings`` and ``selected``.
+
+    A request with a code is verified: its form, that it exists, that required features are named, and that it is among
+    the ``top`` candidates found for its description. One without a code is selected: the best candidate if it is good
+    enough and clear of the next one, else it needs a review. ``truth``: code9, required (array); ``candidates``: id,
+    candidate (9 digits), score. A request without description has no cross-check of candidates.
+    """
+    code = code9(F.col("code"))
+    rows = asked.select(id_col, "code", F.coalesce("feature", F.lit("")).alias("feature"), code.alias("_code9"))
+    w = Window.partitionBy(id_col).orderBy(F.desc("score"), "candidate")
+    ranked = candidates.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top)
+    best = ranked.groupBy(id_col).agg(
+        F.max(F.when(F.col("_n") == 1, F.col("candidate"))).alias("_first"), F.max(F.when(F.col("_n") == 1, F.col("score"))).alias("_score"), F.max(F.when(F.col("_n") == 2, F.col("score"))).alias("_next")
+    )
+    hits = ranked.select(id_col, F.col("candidate").alias("_code9")).distinct().withColumn("_recalled", F.lit(True))
+    rows = rows.join(best, id_col, "left").join(hits, [id_col, "_code9"], "left")
+    clear = F.col("_next").isNull() | (F.round(F.col("_score") - F.col("_next"), 9) >= margin)
+    verify = F.col("code").isNotNull()
+    decided = ~verify & F.coalesce((F.col("_score") >= least) & clear, F.lit(False))
+    rows = rows.withColumns({"_decided": decided, "_wanted": F.when(verify, F.col("_code9")).when(decided, F.col("_first"))})
+    known = truth.select(F.col("code9").alias("_wanted"), "required", F.lit(True).alias("_exists"))
+    rows = rows.join(known, "_wanted", "left")
+    exists = F.coalesce("_exists", F.lit(False))
+    found = lambda name, severity, c: F.when(c, F.array(F.struct(F.lit(name).alias("type"), F.lit(severity).alias("severity"), F.lit(None).cast("string").alias("about"))))
+    lacking = F.filter(F.coalesce("required", F.array().cast("array<string>")), lambda r: ~F.contains(F.col("feature"), r))
+    lacks = F.transform(lacking, lambda r: F.struct(F.lit("missing_feature").alias("type"), F.lit("warn").alias("severity"), r.alias("about")))
+    described = F.trim("feature") != ""
+    parts = [
+        found("code_format", "critical", verify & F.col("_code9").isNull()),
+        found("code_not_found", "critical", verify & F.col("_code9").isNotNull() & ~exists),
+        lacks,
+        found("recall_miss", "warn", verify & F.col("_code9").isNotNull() & described & F.col("_recalled").isNull()),
+        found("no_candidates", "warn", ~verify & F.col("_first").isNull()),
+        found("low_confidence", "warn", ~verify & F.col("_first").isNotNull() & ~F.col("_decided")),
+    ]
+    none = F.array().cast("array<struct<type:string,severity:string,about:string>>")
+    rows = rows.withColumn("findings", F.concat(*[F.coalesce(p, none) for p in parts]))
+    has = lambda s: F.exists("findings", lambda f: f["severity"] == s)
+    done = verify | F.col("_decided")
+    return rows.select(
+        id_col,
+        "code",
+        F.when(verify, "verify").otherwise("select").alias("mode"),
+        F.when(done, "done").otherwise("need_review").alias("status"),
+        F.when(done, F.when(has("critical"), "fail").when(has("warn"), "doubt").otherwise("pass")).alias("verdict"),
+        "findings",
+        F.when(F.col("_decided"), F.col("_first")).alias("selected"),
+    )

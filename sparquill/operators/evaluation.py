@@ -211,3 +211,31 @@ def routing_rates(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
         rate(F.col("clarified") == F.col("expect_clarify"), live).alias("clarify_rate"),
         rate(~live).alias("halt_rate"),
     )
+
+
+def run_checks(runs: DataFrame, refusals: list[str], elsewhere: list[str]) -> DataFrame:
+    """``runs`` with ``terminal`` and ``policy`` (structs of true, false or null) and ``passed``.
+
+    A check that a run doesn't ask for, or that can't be seen from outside, is null and does not count. ``runs``: answer,
+    expected_code, final_code, codes (strings that it showed), must_cite (array of std, version), must_ask, must_refuse,
+    clarified. ``refusals`` are words of which a refusal has one; ``elsewhere`` are words that leak another region.
+    """
+    nine = lambda c: F.nullif(F.regexp_extract(c, r"(?<!\d)(\d{9})(?:\d{3})?(?!\d)", 1), F.lit(""))
+    told = F.coalesce("answer", F.lit(""))
+    plain = lambda c: F.upper(F.regexp_replace(c, r"[\s-]", ""))
+    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(told, w))
+    shown = F.transform(F.coalesce("codes", F.array().cast("array<string>")), nine)
+    code = F.when(nine(F.col("expected_code")).isNotNull(), F.coalesce(nine(F.col("final_code")) == nine(F.col("expected_code")), F.array_contains(F.array_compact(shown), nine(F.col("expected_code")))))
+    std = lambda c: c["std"].isNull() | F.contains(plain(told), plain(c["std"]))
+    version = lambda c: c["version"].isNull() | F.contains(told, c["version"])
+    terminal = {
+        "code": code,
+        "cited": F.when(F.size("must_cite") > 0, F.forall("must_cite", lambda c: std(c) & version(c))),
+        "asked": F.when(F.col("must_ask"), F.coalesce("clarified", F.lit(False))),
+        "refused": F.when(F.col("must_refuse"), any_of(refusals) & F.col("final_code").isNull()),
+    }
+    policy = {"no_region_leak": ~any_of(elsewhere), "no_unseen_arithmetic": F.lit(None).cast("boolean")}
+    passed = F.lit(True)
+    for c in terminal.values():
+        passed = passed & F.coalesce(c, F.lit(True))
+    return runs.withColumns({"terminal": F.struct(*[c.alias(k) for k, c in terminal.items()]), "policy": F.struct(*[c.alias(k) for k, c in policy.items()]), "passed": passed})

@@ -116,3 +116,28 @@ def first_of_kind(rows: DataFrame, kind: str, order: str, n: int) -> DataFrame:
     if short:
         raise ValueError(f"{short[0][0]} has fewer than {n} rows")
     return out
+
+
+def pending_before(runs: DataFrame, before, status: str = "status", at: str = "created_at") -> DataFrame:
+    """Pending rows up to a time (the present where it is null), oldest first."""
+    limit = F.current_timestamp() if before is None else F.lit(before)
+    return runs.where((F.col(status) == "pending") & (F.col(at) <= limit.cast(dict(runs.dtypes)[at]))).orderBy(at)
+
+
+def packed_content(content: Column, metadata: Column) -> Column:
+    """(content, metadata): structured content (a variant) as JSON text, marked in the metadata; a string stays as it is.
+
+    ``metadata`` is a map of strings. ``restored_content`` gives the same variant back.
+    """
+    kind = F.schema_of_variant(content)
+    text, whole = kind == "STRING", kind.startswith("OBJECT")
+    marks = F.when(text, F.create_map().cast("map<string,string>")).when(whole, F.create_map(F.lit("content_is_json"), F.lit("true"), F.lit("content_is_dict"), F.lit("true"))).otherwise(F.create_map(F.lit("content_is_json"), F.lit("true")))
+    own = F.map_filter(F.coalesce(metadata, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("content_is_json", "content_is_dict"))
+    return F.struct(F.when(text, F.try_variant_get(content, "$", "string")).otherwise(F.to_json(content)).alias("content"), F.map_concat(own, marks).alias("metadata"))
+
+
+def restored_content(content: Column, metadata: Column) -> Column:
+    """The variant that ``packed_content`` packed; text that is marked as JSON but doesn't parse stays text."""
+    text = F.parse_json(F.to_json(F.struct(content.alias("t"))))
+    plain = F.try_variant_get(text, "$.t", "variant")
+    return F.when(F.coalesce(F.element_at(metadata, "content_is_json") == "true", F.lit(False)), F.coalesce(F.try_parse_json(content), plain)).otherwise(plain)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparquill.operators.relational import first_per, small, top_per
+from sparquill.sources.scratch import written
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -19,10 +20,17 @@ K1, B, RRF_K = 1.5, 0.75, 60
 # ---- BM25
 
 
-def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(term, id, tf, dl): one row per distinct term of a document."""
+def query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
+    """(term): the distinct words of all queries."""
+    return queries.select(F.explode(F.filter(tokens, lambda t: t != "")).alias("term")).distinct()
+
+
+def postings(docs: DataFrame, id_col: str, tokens: Column, terms: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, dl): one row per distinct term of a document; with ``terms`` only theirs, so that other words are never shuffled."""
     words = docs.select(F.col(id_col).alias("id"), F.filter(tokens, lambda t: t != "").alias("_t"))
-    return words.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    each = words.select("id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    each = each if terms is None else each.join(small(terms), "term", "left_semi")
+    return each.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25(index: DataFrame, queries: DataFrame, query_id: str, tokens: Column, n_docs: int, mean_length: float, k: int | None = 10) -> DataFrame:
@@ -33,6 +41,7 @@ def bm25(index: DataFrame, queries: DataFrame, query_id: str, tokens: Column, n_
     """
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.filter(tokens, lambda t: t != "")).alias("term"))
     wanted = wanted.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    index = written(index, "postings")  # read for the frequencies and for the hits
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     weighted = wanted.join(df, "term").withColumn("w", F.col("qtf") * F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
@@ -44,11 +53,12 @@ def bm25(index: DataFrame, queries: DataFrame, query_id: str, tokens: Column, n_
 # ---- vectors
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, vector: str, block_rows: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, vector: str, block_rows: int = 4096, group: str | None = None, cells: int = 1 << 22) -> DataFrame:
     """(query_id, id, score, rank): exact cosine neighbours, score 6 places, ties to the lesser id; a query is not its own.
 
-    Query vectors are broadcast in blocks of bounded size; each Arrow batch of points is one matrix product, and each
-    partition hands on its top k per query only.
+    Query vectors are broadcast in blocks of bounded size; points are multiplied in slices so that a product has at most
+    ``cells`` numbers, and each partition hands on its top k per query only. With ``group``, a column of the points, the
+    k best of every group are found in the same pass, and the result has that column.
     """
     spark = points.sparkSession
     rows = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v"))
@@ -62,25 +72,30 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
-            best = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            best = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "grp": pd.Series(dtype=object), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            step = max(1, cells // len(ids))
             for batch in batches:
-                if not len(batch):
-                    continue
-                p = batch["id"].to_numpy()
-                s = np.round(q @ _unit(np.stack(batch["v"].tolist())).T, 6)
-                s[ids[:, None] == p[None, :]] = -np.inf
-                take = min(k, s.shape[1])
-                least = -np.partition(-s, take - 1, axis=1)[:, take - 1]
-                i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-                best = pd.concat([best, pd.DataFrame({"query_id": ids[i], "id": p[j], "score": s[i, j]})])
-                best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+                for g, of in batch.groupby("grp", sort=False):
+                    for at in range(0, len(of), step):
+                        some = of.iloc[at : at + step]
+                        p = some["id"].to_numpy()
+                        s = np.round(q @ _unit(np.stack(some["v"].tolist())).T, 6)
+                        s[ids[:, None] == p[None, :]] = -np.inf
+                        take = min(k, s.shape[1])
+                        least = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take]
+                        i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                        best = pd.concat([best, pd.DataFrame({"query_id": ids[i], "grp": g, "id": p[j], "score": s[i, j]})])
+                        best = best.sort_values(["query_id", "grp", "score", "id"], ascending=[True, True, False, True]).groupby(["query_id", "grp"], sort=False).head(k)
             yield best
 
-        near = points.select(F.col(point_id).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("v").isNotNull())
-        out.append(near.mapInPandas(run, "query_id long, id long, score double"))
+        grp = F.lit("") if group is None else F.col(group).cast("string")
+        near = points.select(F.col(point_id).cast("long").alias("id"), F.col(vector).alias("v"), grp.alias("grp")).where(F.col("v").isNotNull() & F.col("grp").isNotNull())
+        out.append(near.mapInPandas(run, "query_id long, grp string, id long, score double"))
+    kind = "string" if group is None else dict(points.dtypes)[group]
     if not out:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
-    return top_per(reduce(DataFrame.unionByName, out), ["query_id"], k, F.desc("score"), "id")
+        return spark.createDataFrame([], "query_id long, id long, score double, rank int" if group is None else f"query_id long, {group} {kind}, id long, score double, rank int")
+    found = top_per(reduce(DataFrame.unionByName, out), ["query_id", "grp"], k, F.desc("score"), "id")
+    return found.drop("grp") if group is None else found.select("query_id", F.col("grp").cast(kind).alias(group), "id", "score", "rank")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

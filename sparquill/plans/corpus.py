@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.functions import text as T
-from sparquill.functions.values import cosine, json_equals, missing_features, month_period, norm, subset, title_month, unit, utc_iso
+from sparquill.functions.values import cosine, disjoint, json_equals, missing_features, month_period, norm, subset, title_month, unit, utc_iso
 from sparquill.operators import corpus as C
 from sparquill.operators import relational as R
-from sparquill.plans.registry import query, rows
+from sparquill.plans.registry import LINES, numbered_lines, query
 from sparquill.sources.tables import layout_blocks, table
 
 
@@ -33,357 +33,533 @@ def character_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.explode(T.characters(F.col("text"))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
 
 
+@query("utc_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def utc_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", utc_iso(F.col("ts")).alias("at"))
+
+
+@query(
+    "vector_functions",
+    """
+    SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine,
+           round(sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))), 6) AS norm, 1.0 AS unit_norm
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+    """,
+)
+def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("x"), F.col("embedding").alias("a"))
+    b = table(spark, sf_dir, "embeddings").select((F.col("vec_id") - 1).alias("x"), F.col("vec_id").alias("y"), F.col("embedding").alias("b"))
+    return a.join(b, "x").select("x", "y", F.round(cosine(F.col("a"), F.col("b")), 6).alias("cosine"), F.round(norm(F.col("a")), 6).alias("norm"), F.round(norm(unit(F.col("a"))), 6).alias("unit_norm"))
+
+
+@query("json_filter", """SELECT event_id, user_id FROM events WHERE CAST(props->>'$.k' AS BIGINT) = 42""")
+def json_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where(json_equals(F.col("props"), "k", 42)).select("event_id", "user_id")
+
+
+@query(
+    "order_ancestry",
+    """
+    WITH RECURSIVE e AS (SELECT o_orderkey AS node, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders),
+    r AS (SELECT node, parent AS ancestor, 1 AS up FROM e WHERE parent IS NOT NULL UNION ALL SELECT r.node, e.parent, up + 1 FROM r JOIN e ON e.node = r.ancestor WHERE e.parent IS NOT NULL)
+    SELECT node, max(up) AS depth, min(ancestor) AS root FROM r GROUP BY node
+    """,
+)
+def order_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth and root on real rows: each order's parent is its customer's order before."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    edges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.lag("o_orderkey").over(w).alias("parent"))
+    return C.roots(edges).select("node", "depth", "root")
+
+
+@query("feature_texts", "SELECT c_custkey, c_name || '。' || c_mktsegment AS t FROM customer")
+def feature_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", T.joined(F.col("c_name"), F.lit(" "), F.col("c_mktsegment"), by="。").alias("t"))
+
+
+@query("greedy_near_duplicates", None)
+def greedy_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.greedy_dedup(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.5)
+
+
+@query(
+    "document_quality",
+    """
+    SELECT source AS standard_code, count(*) AS clauses, count(DISTINCT doc_id) AS numbers, count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS blank,
+           count(*) FILTER (WHERE char_len < 10) AS short, count(*) FILTER (WHERE lang = 'xx') AS rootless, round(avg(char_len), 2) AS mean_chars, max(char_len) AS longest,
+           count(*) >= 5 AND count(*) FILTER (WHERE trim(coalesce(text, '')) = '') = 0 AND count(DISTINCT doc_id) = count(*) AS passed
+    FROM (SELECT *, length(coalesce(text, '')) AS char_len FROM documents) GROUP BY source
+    """,
+)
+def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("standard_code"), F.col("doc_id").alias("clause_no"), "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("char_len"), F.array("lang").alias("chapter_path")
+    )
+    return C.quality_report(d)
+
+
+@query(
+    "survival_rates",
+    """
+    WITH b AS (SELECT source, count(*) AS before, count(*) FILTER (WHERE length(coalesce(text, '')) >= 500) AS after FROM documents GROUP BY source),
+         r AS (SELECT *, round(after / before, 4) AS rate FROM b)
+    SELECT *, (SELECT round(max(rate) - min(rate), 4) FROM r) AS spread FROM r
+    """,
+)
+def survival_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("source", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    return C.survival(d, d.where("n >= 500"), "source")
+
+
+@query("dataset_stats", "SELECT count(*) AS n, count(DISTINCT text) AS texts, (SELECT count(DISTINCT w) FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark)) AS words FROM documents")
+def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).agg(F.countDistinct("w").alias("words"))
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts")).join(F.broadcast(words))  # one row is broadcast
+
+
+@query(
+    "table_fingerprint",
+    """
+    WITH r AS (SELECT md5(concat_ws(chr(0), CAST(doc_id AS VARCHAR), coalesce(text, chr(1)), coalesce(lang, chr(1)))) AS h FROM documents),
+    s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS w0, sum(CAST('0x' || substr(h, 9, 8) AS BIGINT)) AS w1,
+                 sum(CAST('0x' || substr(h, 17, 8) AS BIGINT)) AS w2, sum(CAST('0x' || substr(h, 25, 8) AS BIGINT)) AS w3 FROM r)
+    SELECT substr(md5(concat_ws(':', n, w0, w1, w2, w3)), 1, 12) AS fingerprint, n AS rows FROM s
+    """,
+)
+def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+# ---- inputs are made from whole tables; each SQL computes the answers from the numbers that the texts were made of
+
+
 @query(
     "name_normalising",
-    "SELECT * FROM (VALUES (1, '干混砂浆m7.5', 'ｘ干混砂浆m7.5', 'm³'), (2, 'phi48', 'phi4848', '块'), (3, '', '', '')) t(id, plain, canonical, unit)",
+    """
+    SELECT p_partkey AS id, lower(regexp_replace(p_name, '[ x]', '', 'g')) || 'm' || p_size AS plain, 'ｘ' || lower(replace(p_name, ' ', '')) || 'm' || p_size || lower(replace(p_type, ' ', '')) AS canonical,
+           CASE p_partkey % 3 WHEN 0 THEN 'm³' WHEN 1 THEN '块' ELSE '' END AS unit FROM part
+    """,
 )
 def name_normalising(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, name string, spec string, unit string", (1, "ｘ干混 砂浆（M7.5）", None, "$m^3$"), (2, "PHI48", "(48)", " 块"), (3, None, None, None))
+    given = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id", "concat('ｘ', p_name, '（M', p_size, '）') AS name", "concat('(', p_type, ')') AS spec", "CASE p_partkey % 3 WHEN 0 THEN '$m^3$' WHEN 1 THEN ' 块' END AS unit"
+    )
     return given.select("id", T.plain_name(F.col("name")).alias("plain"), T.canonical_key(F.col("name"), F.col("spec")).alias("canonical"), T.canonical_unit(F.col("unit")).alias("unit"))
 
 
-@query("unit_factors", "SELECT * FROM (VALUES (1, CAST(1000 AS DOUBLE)), (2, 1.0), (3, NULL)) t(id, factor)")
+@query(
+    "unit_factors",
+    """
+    SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 AND p_partkey % 3 = 0 THEN 1000.0 WHEN p_size % 4 = 3 AND p_partkey % 3 = 0 THEN 100.0 WHEN p_size % 4 = 1 AND p_partkey % 3 = 1 THEN 1.0 END::DOUBLE AS factor FROM part
+    """,
+)
 def unit_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, a string, b string", (1, "千块", "块"), (2, "$m^3$", "m3"), (3, "t", "kg"))
-    return given.select("id", T.unit_factor(F.col("a"), F.col("b")).alias("factor"))
+    a, b = "element_at(array('千块', '$m^3$', 't', '百块'), p_size % 4 + 1) AS a", "element_at(array('块', 'm3', 'kg'), CAST(p_partkey % 3 AS INT) + 1) AS b"
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", a, b).select("id", T.unit_factor(F.col("a"), F.col("b")).alias("factor"))
 
 
 @query(
     "number_extraction",
-    """SELECT * FROM (VALUES (1, '-1.5|20%|3e2|.5', '-1.5|20|300|0.5'), (2, '', ''), (3, '7', '7')) t(id, written, "values")""",
+    """
+    SELECT l_orderkey, l_linenumber, '-' || l_linenumber || '.5|' || CAST(l_quantity AS BIGINT) || '%|' || (l_partkey + 1) || '|.25' AS written,
+           '-' || l_linenumber || '.5|' || CAST(l_quantity AS BIGINT) || '|' || (l_partkey + 1) || '|0.25' AS "values" FROM lineitem
+    """,
 )
 def number_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, t string", (1, "at -1.5, 20% or 3e2; .5 x2 a3"), (2, "none"), (3, "7"))
+    text = "concat('at -', l_linenumber, '.5, ', CAST(l_quantity AS BIGINT), '% or x', l_suppkey, ' and ', l_partkey + 1, '; .25') AS t"
+    given = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", text)
     found = F.transform(T.number_values(F.col("t")), lambda x: F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
-    return given.select("id", F.concat_ws("|", T.numbers(F.col("t"))).alias("written"), F.concat_ws("|", found).alias("values"))
+    return given.select("l_orderkey", "l_linenumber", F.concat_ws("|", T.numbers(F.col("t"))).alias("written"), F.concat_ws("|", found).alias("values"))
 
 
-@query("number_conflicts", "SELECT * FROM (VALUES (1, false), (2, true), (3, false)) t(id, conflict)")
+@query("number_conflicts", "SELECT o_orderkey AS id, o_custkey % 4 = 2 AS conflict FROM orders")
 def number_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, a string, b string", (1, "10 和 20 和 30", "10 20 mm"), (2, "10 和 20 和 30 和 2", "40 mm"), (3, "10 20 30", "无"))
-    return given.select("id", T.numbers_conflict(F.col("a"), F.col("b")).alias("conflict"))
+    """Of an answer's three numbers the source lacks none, one or all, or it has no numbers at all."""
+    n = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CAST(o_custkey % 4 AS INT) AS kind", "o_orderkey % 50 + 5 AS a")
+    source = "element_at(array('无', concat(a, ' ', a + 1, ' mm'), '999 mm', concat(a, '，', a + 1, '，', a + 2)), kind + 1) AS source"
+    given = n.selectExpr("id", "concat(a, ' 和 ', a + 1, ' 和 ', a + 2) AS answer", source)
+    return given.select("id", T.numbers_conflict(F.col("answer"), F.col("source")).alias("conflict"))
 
 
 @query(
     "clause_citations",
-    """SELECT * FROM (VALUES (1, 'GB50010-2010_8.2.1|GB50011-2010_5.1'), (2, 'JGJ3-2010_4.2|GB50009-2012_3.1.2'), (3, 'GB50007-2011_5.2.1'), (4, 'GB50300-2013_3.0.6')) t(id, cited)""",
+    """
+    SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'GB5001' || (o_custkey % 2) || '-2010_8.' || n || '.1|GB50009-2012_3.' || m WHEN 1 THEN 'GB50011-2010_5.' || n || '|GB50009-2012_3.' || m
+           WHEN 2 THEN 'JGJ3-2010_4.' || n || '|GB50009-2012_3.' || m ELSE 'GB50009-2012_3.' || m || '|GB50007-2011_5.' || n || '.1' END AS cited
+    FROM (SELECT *, o_custkey % 9 + 1 AS n, o_orderkey % 7 + 1 AS m FROM orders)
+    """,
 )
 def clause_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(
-        spark, "id int, t string, std string",
-        (1, "按 GB 50010—2010 第8.2.1条，《抗规》第5.1条，GB50010 8.2.1", ""), (2, "荷规3.1.2款与 JGJ3 4.2", ""), (3, "见第 5.2.1 条", "GB50007"), (4, "GB/T 50300-2013 3.0.6 条", ""),
-    )
+    n = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CAST(o_orderkey % 4 AS INT) AS kind", "o_custkey % 2 AS std", "o_custkey % 9 + 1 AS n", "o_orderkey % 7 + 1 AS m")
+    said = "element_at(array(concat('按 GB 5001', std, '—2010 第8.', n, '.1条'), concat('《抗规》第5.', n, '条'), concat('JGJ3 4.', n), concat('见第 5.', n, '.1 条')), kind + 1)"
+    given = n.selectExpr("id", f"concat({said}, '，又见荷规3.', m, '款，荷规 3.', m) AS t", "CASE WHEN kind = 3 THEN 'GB50007' ELSE '' END AS std")
     return given.select("id", F.concat_ws("|", T.citations(F.col("t"), F.col("std"))).alias("cited"))
 
 
 @query(
     "typed_references",
-    """SELECT * FROM (VALUES (1, '5.3.4', 'strong'), (1, '6.1', 'exclude'), (1, '7.2', 'weak'), (2, '8.2.1', 'cross_standard')) t(id, "to", "type")""",
+    """
+    SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '5.' || n || '.4' WHEN 1 THEN '6.' || n WHEN 2 THEN '7.' || n ELSE '8.' || n || '.1' END AS "to",
+           CASE o_orderkey % 4 WHEN 0 THEN 'strong' WHEN 1 THEN 'exclude' WHEN 2 THEN 'weak' ELSE 'cross_standard' END AS "type" FROM (SELECT *, o_custkey % 9 + 1 AS n FROM orders)
+    """,
 )
 def typed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, t string", (1, "应符合5.3.4的规定，厚度为2.5mm，见图3.1；本工程各部位均除6.1外；一般情形下的做法参照7.2"), (2, "GB50010第8.2.1条"))
-    return given.select("id", F.inline(T.typed_references(F.col("t"))))
+    n = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CAST(o_orderkey % 4 AS INT) AS kind", "o_custkey % 9 + 1 AS n")
+    said = "array(concat('应符合5.', n, '.4的规定，厚度为2.5mm，见图3.1'), concat('本工程各部位均除6.', n, '外'), concat('一般情形下的做法参照7.', n), concat('GB50010第8.', n, '.1条'))"
+    return n.selectExpr("id", f"element_at({said}, kind + 1) AS t").select("id", F.inline(T.typed_references(F.col("t"))))
 
 
-@query("refusals", "SELECT * FROM (VALUES (1, true), (2, false), (3, true)) t(id, refused)")
+@query("refusals", "SELECT o_orderkey AS id, o_orderkey % 5 NOT IN (1, 3) AS refused FROM orders")
 def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, t string", (1, "信息不足，无法回答"), (2, "厚度为20mm"), (3, "建议由现场专业人员处理"))
+    said = "array('信息不足，无法回答', concat('厚度为', o_custkey, 'mm'), concat('第', o_custkey, '项建议由现场专业人员处理'), concat('按第', o_orderkey, '条'), '未明确说明')"
+    given = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"element_at({said}, CAST(o_orderkey % 5 AS INT) + 1) AS t")
     return given.select("id", T.is_refusal(F.col("t")).alias("refused"))
 
 
-@query("repetitions", None)
+@query(
+    "repetitions",
+    r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '[\s\x0b\x1c-\x1f\x85\xa0]+', '', 'g') AS t FROM documents),
+    s AS (SELECT doc_id, p, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '[。！？!?；;\n]+')) AS p FROM d) WHERE length(p) >= 12 GROUP BY ALL),
+    w AS (SELECT doc_id, substr(t, CAST(i AS INT), 24) AS p, count(*) AS n FROM (SELECT doc_id, t, unnest(generate_series(1, length(t) - 23)) AS i FROM d WHERE length(t) >= 80) GROUP BY ALL),
+    r AS (SELECT doc_id FROM s WHERE n >= 3 UNION SELECT doc_id FROM w WHERE n >= 3)
+    SELECT doc_id, length(t) >= 80 AND doc_id IN (SELECT doc_id FROM r) AS repetitive FROM d
+    """,
+)
 def repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.is_repetitive(F.col("text")).alias("repetitive"))
 
 
-@query("numbered_lists", "SELECT * FROM (VALUES (1, 'a|b|c'), (2, 'plain'), (3, '厚 1.5|宽')) t(id, entries)")
+@query("numbered_lists", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'plain' || o_custkey ELSE '甲' || o_orderkey || '|乙 1.' || (o_custkey % 9) || '毫米|丙' END AS entries FROM orders")
 def numbered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, t string", (1, "1.a2.b3、c"), (2, "plain"), (3, "1.厚 1.5 2.宽"))
-    return given.select("id", F.concat_ws("|", T.numbered_list(F.col("t"))).alias("entries"))
+    text = "CASE WHEN o_orderkey % 5 = 0 THEN concat('plain', o_custkey) ELSE concat('1.甲', o_orderkey, ' 2.乙 1.', o_custkey % 9, '毫米3、丙') END AS t"
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", text).select("id", F.concat_ws("|", T.numbered_list(F.col("t"))).alias("entries"))
 
 
 @query(
     "heading_paths",
-    """SELECT * FROM (VALUES (1, '附录E', 1.0, NULL, 1), (2, 'E.1.2', 1.0, 'E.1', 3), (3, '5.3.4', 1.0, '5.3', 3), (4, NULL, NULL, NULL, 1), (5, '前言', 0.6, NULL, 1), (6, 'E.1', 1.0, '附录E', 2))
-    t(id, path, confidence, parent, depth)""",
+    """
+    SELECT id, CASE kind WHEN 0 THEN '附录' || x WHEN 1 THEN x || '.' || n || '.' || m WHEN 2 THEN n || '.' || m WHEN 4 THEN '前言' || id END AS path, CASE WHEN kind < 3 THEN 1.0 WHEN kind = 4 THEN 0.6 END::DOUBLE AS confidence,
+           CASE kind WHEN 1 THEN x || '.' || n WHEN 2 THEN CAST(n AS VARCHAR) END AS parent, CAST(CASE kind WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS INT) AS depth
+    FROM (SELECT o_orderkey AS id, o_orderkey % 5 AS kind, chr(CAST(65 + o_custkey % 26 AS INT)) AS x, o_custkey % 9 + 1 AS n, o_orderkey % 7 + 1 AS m FROM orders)
+    """,
 )
 def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, t string", (1, "附录E 钢筋计算"), (2, "E.1.2 细则"), (3, "5.3.4 构造"), (4, "5.3节的规定"), (5, "前言"), (6, "E.1 总则"))
-    p = T.heading_path(F.col("t"))
+    n = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CAST(o_orderkey % 5 AS INT) AS kind", "chr(65 + o_custkey % 26) AS x", "o_custkey % 9 + 1 AS n", "o_orderkey % 7 + 1 AS m")
+    said = "array(concat('附录', x, ' 钢筋计算'), concat(x, '.', n, '.', m, ' 细则'), concat(n, '.', m, ' 构造'), concat(n, '.', m, '节的规定'), concat('前言', id))"
+    given, p = n.selectExpr("id", f"element_at({said}, kind + 1) AS t"), T.heading_path(F.col("t"))
     return given.select("id", p.alias("path"), T.heading_confidence(F.col("t")).alias("confidence"), T.path_parent(p).alias("parent"), F.coalesce(T.path_depth(p), F.lit(1)).alias("depth"))
 
 
-@query("verdicts", "SELECT * FROM (VALUES (1, true), (2, false), (3, NULL), (4, NULL)) t(id, verdict)")
+@query("verdicts", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS verdict FROM orders")
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, t string", (1, "<think>no</think> YES"), (2, "No."), (3, "yes or no"), (4, None))
+    said = "array(concat('<think>no ', o_custkey, '</think> YES'), concat('No. ', o_custkey), concat('yes or no ', o_custkey), NULL)"
+    given = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"element_at({said}, CAST(o_orderkey % 4 AS INT) + 1) AS t")
     return given.select("id", T.verdict(F.col("t")).alias("verdict"))
 
 
-@query("byte_truncation", "SELECT item_id, least(octet_length(encode(text)), 200) >= octet_length(encode(text)) AS whole FROM benchmark")
-def byte_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = T.truncate_bytes(F.col("text"), 200, "")
-    return table(spark, sf_dir, "benchmark").select("item_id", ((cut == F.col("text")) & (F.octet_length(cut) <= 200)).alias("whole"))
-
-
-@query("json_repair", None)
-def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, t string", (1, 'so: ```json\n{"a": "\\frac"}\n``` ok'), (2, "no json"), (3, '{"b": [1, 2]}'))
-    return given.select("id", T.extract_json()(F.col("t")).alias("found"))
+_CLEAN = "regexp_replace(text, '[^\\x01-\\x7e]', 'é', 'g')"
 
 
-@query("month_periods", "SELECT * FROM (VALUES (1, '2024-03', DATE '2024-03-01', DATE '2024-04-01'), (2, '2023-12', DATE '2023-12-01', DATE '2024-01-01'), (3, NULL, NULL, NULL)) t(id, month, start, \"end\")")
-def month_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, t string", (1, "深圳 2024年3月信息价"), (2, "2023-12 期"), (3, "无"))
-    m = title_month(F.col("t"))
-    return given.select("id", m.alias("month"), month_period(m)["start"].alias("start"), month_period(m)["end"].alias("end"))
+@query(
+    "byte_truncation",
+    f"""
+    WITH b AS (SELECT doc_id, coalesce({_CLEAN}, '') AS t FROM documents), c AS (SELECT doc_id, t, unnest(generate_series(0, 200)) AS n FROM b WHERE octet_length(encode(t)) > 200),
+    k AS (SELECT doc_id, max(n) AS n FROM c WHERE octet_length(encode(left(t, CAST(n AS INT)))) <= 200 GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN k.n IS NULL THEN t ELSE left(t, CAST(k.n AS INT)) || '…' END AS cut FROM b LEFT JOIN k USING (doc_id)
+    """,
+)
+def byte_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with two-byte characters, cut at 200 bytes between characters."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x01-\x7e]", "é")
+    return table(spark, sf_dir, "documents").select("doc_id", T.truncate_bytes(t, 200, "…").alias("cut"))
 
 
-@query("utc_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
-def utc_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", utc_iso(F.col("ts")).alias("at"))
+@query("json_repair", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"k": ' || (props->>'$.k') || '}' WHEN 1 THEN '{"a": "\\\\d' || user_id || '", "b": [1, 2]}' END AS found FROM events""")
+def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fenced = F.concat(F.lit("so: ```json\n"), "props", F.lit("\n``` ok"))
+    loose = F.concat(F.lit('{"b": [1, 2], "a": "\\d'), F.col("user_id").cast("string"), F.lit('"} as asked'))
+    text = F.when(F.col("event_id") % 3 == 0, fenced).when(F.col("event_id") % 3 == 1, loose).otherwise("no json")
+    return table(spark, sf_dir, "events").select("event_id", T.extract_json()(text).alias("found"))
 
 
 @query(
-    "vector_functions",
+    "month_periods",
     """
-    SELECT a.vec_id AS x, b.vec_id AS y, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine,
-           round(sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))), 6) AS norm, 1.0 AS unit_norm
-    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m') END AS month, CASE WHEN o_orderkey % 3 < 2 THEN CAST(date_trunc('month', o_orderdate) AS DATE) END AS start,
+           CASE WHEN o_orderkey % 3 < 2 THEN CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS DATE) END AS "end" FROM orders
     """,
 )
-def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("x"), F.col("embedding").alias("a"))
-    b = table(spark, sf_dir, "embeddings").select((F.col("vec_id") - 1).alias("x"), F.col("vec_id").alias("y"), F.col("embedding").alias("b"))
-    return a.join(b, "x").select("x", "y", F.round(cosine(F.col("a"), F.col("b")), 6).alias("cosine"), F.round(norm(F.col("a")), 6).alias("norm"), F.round(norm(unit(F.col("a"))), 6).alias("unit_norm"))
+def month_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "CASE o_orderkey % 3 WHEN 0 THEN concat('深圳 ', year(o_orderdate), '年', month(o_orderdate), '月信息价') WHEN 1 THEN concat(date_format(o_orderdate, 'yyyy-MM'), ' 期') ELSE '无' END AS t"
+    given, m = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", said), title_month(F.col("t"))
+    return given.select("id", m.alias("month"), month_period(m)["start"].alias("start"), month_period(m)["end"].alias("end"))
 
 
 @query(
     "typed_json",
-    """SELECT * FROM (VALUES (1, false, false, true, false, true, false), (2, false, true, false, false, false, false), (3, true, false, false, false, false, false), (4, false, false, false, false, false, false),
-    (5, false, false, false, true, false, false), (6, false, false, false, false, false, true)) t(id, is_null, is_true, is_one, is_text, is_float, is_half)""",
+    """
+    SELECT event_id, kind = 2 AS is_null, kind = 1 AS is_true, kind = 0 AND n = 1 AS is_one, kind = 4 AS is_text, kind = 0 AND n = 1 AS is_float, kind = 5 AS is_half
+    FROM (SELECT event_id, event_id % 6 AS kind, user_id % 3 AS n FROM events)
+    """,
 )
 def typed_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, j string", (1, '{"k": 1}'), (2, '{"k": true}'), (3, '{"k": null}'), (4, '{"x": 1}'), (5, '{"k": "1"}'), (6, '{"k": 0.5}'))
-    j = F.col("j")
-    return given.select(
-        "id", json_equals(j, "k", None).alias("is_null"), json_equals(j, "k", True).alias("is_true"), json_equals(j, "k", 1).alias("is_one"), json_equals(j, "k", "1").alias("is_text"),
-        json_equals(j, "k", 1.0).alias("is_float"), json_equals(j, "k", 0.5).alias("is_half"),
-    )
+    docs = """array(concat('{"k": ', user_id % 3, '}'), '{"k": true}', '{"k": null}', '{"x": 1}', '{"k": "1"}', '{"k": 0.5}')"""
+    given, j = table(spark, sf_dir, "events").selectExpr("event_id", f"element_at({docs}, CAST(event_id % 6 AS INT) + 1) AS j"), F.col("j")
+    tests = {"is_null": None, "is_true": True, "is_one": 1, "is_text": "1", "is_float": 1.0, "is_half": 0.5}
+    return given.select("event_id", *[json_equals(j, "k", v).alias(name) for name, v in tests.items()])
 
 
-@query("json_filter", """SELECT event_id, user_id FROM events WHERE CAST(props->>'$.k' AS BIGINT) = 42""")
-def json_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where(json_equals(F.col("props"), "k", 42)).select("event_id", "user_id")
-
-
-@query("array_predicates", "SELECT * FROM (VALUES (1, true, ''), (2, false, 'size,colour')) t(id, passed, missing)")
+@query(
+    "array_predicates",
+    """
+    SELECT p_partkey, p_size % 4 IN (0, 1) AS passed, p_size % 2 = 1 AS apart, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'none' WHEN 2 THEN 'colour' ELSE 'size,colour' END AS missing FROM
+    (SELECT p_partkey, p_size FROM part WHERE p_size % 4 <> 1)
+    """,
+)
 def array_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, need array<string>, have array<string>", (1, ["a"], ["a", "b"]), (2, ["size", "colour"], ["weight 3"]))
-    return given.select("id", subset(F.col("need"), F.col("have")).alias("passed"), F.concat_ws(",", missing_features(F.col("need"), F.col("have"))).alias("missing"))
+    have = "element_at(array(array('size', 'colour', p_name), array(), array('size 3', 'size'), array(concat('weight ', p_size))), p_size % 4 + 1) AS have"
+    given = table(spark, sf_dir, "part").where("p_size % 4 <> 1").selectExpr("p_partkey", "array('size', 'colour') AS need", have)
+    need, have = F.col("need"), F.col("have")
+    return given.select("p_partkey", subset(need, have).alias("passed"), disjoint(need, have).alias("apart"), F.concat_ws(",", missing_features(need, have)).alias("missing"))
 
 
-_HTML = '<table><tr><th colspan="2">a</th><th rowspan="2">b</th></tr><tr><td>1</td><td>2</td></tr></table><p>x</p><table><tr><td>z</td></tr></table>'
+_HTML = "concat('<table><tr><th colspan=\"2\">', o_orderkey, '</th><th rowspan=\"2\">', o_orderpriority, '</th></tr><tr><td>', o_custkey, '</td><td>', o_orderstatus, '</td></tr></table><p>x</p><table><tr><td>z</td></tr></table>')"
 
 
-@query("html_table_grid", "SELECT * FROM (VALUES (1, 0, 0, 'a||b'), (1, 0, 1, '1|2|b'), (1, 1, 0, 'z')) t(page_id, \"table\", \"row\", cells)")
+@query(
+    "html_table_grid",
+    """
+    SELECT o_orderkey AS page_id, CAST(t AS INT) AS "table", CAST(r AS INT) AS "row", CASE WHEN t = 1 THEN 'z' WHEN r = 0 THEN o_orderkey || '||' || o_orderpriority ELSE o_custkey || '|' || o_orderstatus || '|' || o_orderpriority END AS cells
+    FROM orders, (VALUES (0, 0), (0, 1), (1, 0)) x(t, r)
+    """,
+)
 def html_table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "page_id int, html string", (1, _HTML), (2, None), (3, "<p>no table</p>"))
+    given = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page_id", f"{_HTML} AS html")
     return C.html_tables(given, "page_id", "html").withColumn("cells", F.concat_ws("|", "cells"))
 
 
-@query("page_tables", None)
+@query("page_tables", """SELECT page_id, 0::INT AS "table", CAST(r AS INT) AS "row", CASE r WHEN 0 THEN 'id|' || page_id ELSE 'url|' || url END AS cells FROM pages, (VALUES (0), (1)) x(r) WHERE html IS NOT NULL""")
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.html_tables(table(spark, sf_dir, "pages"), "page_id", "html")
+    """The whole pages, each with a table at its end (none of them has one of its own)."""
+    tail = "concat(html, '<table><tr><td>id</td><td>', page_id, '</td></tr><tr><td>url</td><td>', replace(url, '&', '&amp;'), '</td></tr></table>') AS html"
+    given = table(spark, sf_dir, "pages").where("html IS NOT NULL").selectExpr("page_id", tail)
+    return C.html_tables(given, "page_id", "html").withColumn("cells", F.concat_ws("|", "cells"))
 
 
-@query("table_markdown", "SELECT 1 AS page_id, '| a |  | b |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| 1 | 2 |  |' AS md")
+@query("table_markdown", "SELECT o_orderkey AS page_id, '| ' || o_orderkey || ' |  | ' || o_orderpriority || ' |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || o_custkey || ' | ' || o_orderstatus || ' |  |' AS md FROM orders")
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, "page_id int, html string", (1, _HTML)).select("page_id", C.table_markdown(F.col("html")).alias("md"))
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page_id", f"{_HTML} AS html").select("page_id", C.table_markdown(F.col("html")).alias("md"))
 
 
-@query("header_detection", "SELECT * FROM (VALUES ('s', 2, 3)) t(sheet, line, score)")
+@query(
+    "header_detection",
+    f"""
+    SELECT sheet, line, CAST(score AS INT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY score DESC, line) AS n FROM
+    (SELECT l_orderkey AS sheet, l_linenumber AS line, CASE l_returnflag WHEN 'A' THEN 3 WHEN 'N' THEN 1 ELSE 0 END AS score FROM {LINES})) WHERE n = 1
+    """,
+)
 def header_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "sheet string, line int, cells array<string>", ("s", 1, ["工程"]), ("s", 2, ["项目编码", "项目名称", "计量单位"]), ("s", 3, ["编码", "名称", "单位"]))
+    cells = "CASE l_returnflag WHEN 'A' THEN array('项目编码', '项目名称', '计量单位') WHEN 'N' THEN array('编码', CAST(l_partkey AS STRING)) ELSE array('工程') END AS cells"
+    given = numbered_lines(spark, sf_dir).selectExpr("l_orderkey AS sheet", "l_linenumber AS line", cells)
     return C.header_row(given, "sheet", "line", "cells", ["编码", "名称", "单位"])
 
 
-@query("matrix_links", "SELECT * FROM (VALUES ('q1', '人工', 1.5), ('q2', '人工', 2.0), ('q2', '水泥', 0.3)) t(item, name, value)")
-def matrix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, items array<string>, names array<string>, cells array<array<string>>", (1, ["q1", "q2"], ["人工", "水泥"], [["1.5", "2"], ["-", "0.3"]]))
-    return C.matrix_links(given, ["id"], "items", "names", "cells").select("item", "name", "value")
+@query(
+    "workbook_rows",
+    f"""
+    WITH r AS (SELECT l_orderkey AS sheet, l_linenumber AS line, CASE l_returnflag WHEN 'A' THEN 3 ELSE 0 END AS score, l_partkey, CAST(l_quantity AS BIGINT) AS q FROM {LINES}),
+    h AS (SELECT sheet, min(line) AS line FROM r WHERE score = 3 GROUP BY sheet)
+    SELECT r.sheet, r.line, CAST(l_partkey AS VARCHAR) AS code, CAST(q AS VARCHAR) AS quantity, CAST(NULL AS VARCHAR) AS unit FROM r JOIN h ON r.sheet = h.sheet AND r.line > h.line WHERE score = 0
+    """,
+)
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows under each sheet's header, read by where the header has their columns; repeated header rows go."""
+    cells = "CASE l_returnflag WHEN 'A' THEN array('数量', 'x', '项目编码') ELSE array(CAST(CAST(l_quantity AS BIGINT) AS STRING), 'x', CAST(l_partkey AS STRING)) END AS cells"
+    given = numbered_lines(spark, sf_dir).selectExpr("l_orderkey AS sheet", "l_linenumber AS line", cells)
+    return C.rows_under_header(given, "sheet", "line", "cells", {"code": ["编码"], "quantity": ["数量", "工程量"], "unit": ["单位"]})
 
 
-_STANDARD = "# 1 总则\n1.0.1 为了统一。\n续行\n## 2 大偏心\n# 2 术语\n2.0.1 结构\n# 附录A 材料\n表格\nA.0.1 明细\n# 条文说明\n1.0.1 解释"
+@query(
+    "matrix_links",
+    """
+    SELECT o_orderkey AS id, x || o_orderkey AS item, name, CAST(CASE WHEN x = 'q' THEN o_custkey + 0.5 WHEN name = '人工' THEN 2 ELSE o_custkey END AS DOUBLE) AS value
+    FROM orders, (VALUES ('q', '人工'), ('r', '人工'), ('r', '水泥')) t(x, name)
+    """,
+)
+def matrix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = "array(array(concat(o_custkey, '.5'), '2'), array('-', CAST(o_custkey AS STRING))) AS cells"
+    given = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "array(concat('q', o_orderkey), concat('r', o_orderkey)) AS items", "array('人工', '水泥') AS names", values)
+    return C.matrix_links(given, ["id"], "items", "names", "cells")
 
 
 @query(
     "clause_segmentation",
-    """SELECT * FROM (VALUES ('1.0.1', '1 总则', 14), ('2.0.1', '2 术语', 8), ('A.0', '附录A 材料', 2), ('A.0.1', '附录A 材料', 8)) t(clause_no, chapter, char_len)""",
+    """
+    SELECT o_orderkey AS doc_id, clause_no, chapter, CAST(CASE clause_no WHEN '1.0.1' THEN length('1.0.1 甲' || o_orderkey) + 1 + length(o_orderpriority) WHEN '2.0.1' THEN length('2.0.1 乙' || o_custkey) WHEN 'A.0' THEN 2 ELSE length('A.0.1 丙' || o_orderstatus) END AS INT) AS char_len
+    FROM orders, (VALUES ('1.0.1', '1 总则'), ('2.0.1', '2 术语'), ('A.0', '附录A 材料'), ('A.0.1', '附录A 材料')) t(clause_no, chapter)
+    """,
 )
 def clause_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = C.segment(rows(spark, "doc_id string, text string", ("s", _STANDARD.replace("## 2 大偏心\n", ""))), "doc_id", "text")
-    return made.select("clause_no", F.concat_ws(" > ", "chapter_path").alias("chapter"), "char_len")
+    lines = ["'# 1 总则'", "concat('1.0.1 甲', o_orderkey)", "o_orderpriority", "'# 2 术语'", "concat('2.0.1 乙', o_custkey)", "'2.0.1 乙'", "'# 附录A 材料'", "'表格'", "concat('A.0.1 丙', o_orderstatus)", "'# 条文说明'", "'1.0.1 解释'"]
+    given = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"array_join(array({', '.join(lines)}), '\\n') AS text")
+    return C.segment(given, "doc_id", "text").select("doc_id", "clause_no", F.concat_ws(" > ", "chapter_path").alias("chapter"), "char_len")
 
 
-@query("numbering_gaps", "SELECT * FROM (VALUES ('s', '3.1.7', 2)) t(doc_id, clause_no, previous)")
+@query(
+    "numbering_gaps",
+    """
+    SELECT doc_id, '3.1.' || last AS clause_no, CAST(previous AS INT) AS previous FROM (SELECT *, lag(last) OVER (PARTITION BY doc_id ORDER BY last) AS previous FROM (SELECT o_custkey AS doc_id, o_orderkey % 50 AS last FROM orders))
+    WHERE last - previous > 3
+    """,
+)
 def numbering_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "doc_id string, clause_no string", *[("s", c) for c in ("3.1.1", "3.1.2", "3.1.7", "3.2.1", "3.2.4", "9")])
+    given = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "concat('3.1.', o_orderkey % 50) AS clause_no")
     return C.numbering_gaps(given, ["doc_id"]).select("doc_id", "clause_no", "previous")
 
 
-@query("toc_runs", "SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, true), (5, false), (6, false)) t(idx, is_toc)")
+@query(
+    "toc_runs",
+    f"""
+    WITH e AS (SELECT l_orderkey AS doc, l_linenumber AS idx, l_returnflag = 'N' AS hit FROM {LINES}),
+    g AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY idx) - row_number() OVER (PARTITION BY doc, hit ORDER BY idx) AS run FROM e)
+    SELECT doc, idx, hit AND count(*) OVER (PARTITION BY doc, hit, run) >= 4 AS is_toc FROM g
+    """,
+)
 def toc_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "doc string, idx int, text string", *[("d", i, t) for i, t in enumerate(["总则 … 1", "术语 … 3", "设计 … 5", "附录 …… 9", "正文", "厚度 25"], 1)])
-    return C.mark_toc(given, ["doc"], "idx", "text").select("idx", "is_toc")
+    text = "CASE l_returnflag WHEN 'N' THEN concat('条目', l_partkey, ' …… ', l_linenumber) ELSE concat('正文', l_partkey) END AS text"
+    given = numbered_lines(spark, sf_dir).selectExpr("l_orderkey AS doc", "l_linenumber AS idx", text)
+    return C.mark_toc(given, ["doc"], "idx", "text").select("doc", "idx", "is_toc")
 
 
-@query("toc_location", "SELECT * FROM (VALUES (1, NULL, 'front'), (2, '总则', 'match'), (3, '总则', 'inherited'), (4, '设计', 'match'), (5, '设计', 'inherited')) t(idx, entry, source)")
+@query(
+    "toc_location",
+    f"""
+    SELECT doc, idx, entry, CASE WHEN hit THEN 'match' WHEN entry IS NULL THEN 'front' ELSE 'inherited' END AS source FROM (
+        SELECT doc, idx, hit, last_value(CASE WHEN hit THEN '章节' || idx END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY idx) AS entry FROM
+        (SELECT l_orderkey AS doc, l_linenumber AS idx, l_returnflag <> 'N' AS hit FROM {LINES}))
+    """,
+)
 def toc_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = rows(spark, "doc string, idx int, text string", *[("d", i, t) for i, t in enumerate(["封面", "总 则", "文字", "设计", "总则"], 1)])
-    entries = rows(spark, "doc string, idx int, title string", ("d", 1, "总则"), ("d", 2, "术语"), ("d", 3, "设计"))
-    return C.locate(blocks, "doc", "idx", "text", entries, "title").select("idx", "entry", "source")
+    given = numbered_lines(spark, sf_dir).selectExpr("l_orderkey AS doc", "l_linenumber AS idx", "CASE l_returnflag WHEN 'N' THEN '文字' ELSE concat('章 节', l_linenumber) END AS text")
+    entries = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc", "explode(sequence(1, 20)) AS i").selectExpr("doc", "i AS idx", "concat('章节', i) AS title")
+    return C.locate(given, "doc", "idx", "text", entries, "title").select("doc", "idx", "entry", "source")
+
 
+#: A customer's orders as the sections of a document.
+_PATHS = "CASE n WHEN 1 THEN '1' WHEN 2 THEN '1.1' WHEN 3 THEN '1.1.1.1' WHEN 4 THEN '附录E' WHEN 5 THEN 'E.1.1' WHEN 6 THEN '前言' WHEN 7 THEN '1.2' ELSE {} END"
+_TREE = f"""
+    WITH RECURSIVE s AS (SELECT o_custkey AS doc, n AS ord, {_PATHS.format("'1.2.' || n")} AS path FROM (SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS n FROM orders)),
+    tree AS (SELECT *, CASE path WHEN '1.1' THEN '1' WHEN '1.1.1.1' THEN '1.1' WHEN 'E.1.1' THEN '附录E' WHEN '1.2' THEN '1' ELSE CASE WHEN path LIKE '1.2.%' THEN '1.2' END END AS parent FROM s)
+"""
 
-_NODES = [("1", 1), ("1.1", 2), ("1.1.1.1", 3), ("附录E", 4), ("E.1.1", 5), ("前言", 6), ("1.2", 7)]
 
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc", "CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS n")
+    return C.resolve_parents(numbered.selectExpr("doc", "n AS ord", f"{_PATHS.format('''concat('1.2.', n)''')} AS path"), ["doc"], "path")
 
-def _tree(spark: SparkSession) -> DataFrame:
-    return C.resolve_parents(rows(spark, "doc string, path string, ord int", *[("d", p, o) for p, o in _NODES]), ["doc"], "path")
 
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tree with one name for each node of all documents."""
+    return _tree(spark, sf_dir).selectExpr("concat(doc, ':', path) AS node", "concat(doc, ':', parent) AS parent", "path")
 
-@query("parent_resolution", "SELECT * FROM (VALUES ('1', NULL), ('1.1', '1'), ('1.1.1.1', '1.1'), ('附录E', NULL), ('E.1.1', '附录E'), ('前言', NULL), ('1.2', '1')) t(path, parent)")
+
+@query("parent_resolution", _TREE + "SELECT doc, path, parent FROM tree")
 def parent_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tree(spark).select("path", "parent")
+    return _tree(spark, sf_dir).select("doc", "path", "parent")
 
 
-@query("children_lists", "SELECT * FROM (VALUES ('1', '1.1,1.2'), ('1.1', '1.1.1.1'), ('附录E', 'E.1.1')) t(path, children)")
+@query("children_lists", _TREE + "SELECT doc, parent AS path, string_agg(path, ',' ORDER BY ord) AS children FROM tree WHERE parent IS NOT NULL GROUP BY doc, parent")
 def children_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.children(_tree(spark), ["doc"], "path", "ord").select("path", F.concat_ws(",", "children").alias("children"))
+    return C.children(_tree(spark, sf_dir), ["doc"], "path", "ord").select("doc", "path", F.concat_ws(",", "children").alias("children"))
 
 
-@query("ancestor_chains", "SELECT * FROM (VALUES ('1.1', '1'), ('1.1.1.1', '1>1.1'), ('E.1.1', '附录E'), ('1.2', '1')) t(node, chain)")
-def ancestor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.ancestor_chain(_tree(spark).select(F.col("path").alias("node"), "parent")).select("node", F.concat_ws(">", "chain").alias("chain"))
+_UP = _TREE + ", r AS (SELECT doc, path, parent AS up, 1 AS n FROM tree WHERE parent IS NOT NULL UNION ALL SELECT r.doc, r.path, t.parent, n + 1 FROM r JOIN tree t ON t.doc = r.doc AND t.path = r.up WHERE t.parent IS NOT NULL)"
 
 
-@query(
-    "order_ancestry",
-    """
-    WITH RECURSIVE e AS (SELECT o_orderkey AS node, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent FROM orders),
-    r AS (SELECT node, parent AS ancestor, 1 AS up FROM e WHERE parent IS NOT NULL UNION ALL SELECT r.node, e.parent, up + 1 FROM r JOIN e ON e.node = r.ancestor WHERE e.parent IS NOT NULL)
-    SELECT node, max(up) AS depth, min(ancestor) AS root FROM r GROUP BY node
-    """,
-)
-def order_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth and root on real rows: each order's parent is its customer's order before."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    edges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.lag("o_orderkey").over(w).alias("parent"))
-    return C.roots(edges).select("node", "depth", "root")
+@query("ancestor_chains", _UP + "SELECT doc || ':' || path AS node, string_agg(doc || ':' || up, '>' ORDER BY n DESC) AS chain FROM r GROUP BY doc, path")
+def ancestor_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.ancestor_chain(_nodes(spark, sf_dir)).select("node", F.concat_ws(">", "chain").alias("chain"))
 
 
-@query("tree_pruning", "SELECT * FROM (VALUES ('1'), ('1.1'), ('1.1.1.1'), ('前言')) t(node)")
+@query("tree_pruning", _UP + ", g AS (SELECT doc, path FROM tree WHERE path IN ('1.1.1.1', '前言', '1.2.9')) SELECT doc || ':' || path AS node FROM (SELECT * FROM g UNION SELECT r.doc, r.up FROM r JOIN g USING (doc, path))")
 def tree_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _tree(spark).select(F.col("path").alias("node"), "parent")
-    return C.pruned(nodes, F.col("node") == "1.1.1.1", F.col("node") == "前言").select("node")
+    return C.pruned(_nodes(spark, sf_dir), F.col("path").isin("1.1.1.1", "1.2.9"), F.col("path") == "前言").select("node")
 
 
-@query("tree_leaves", "SELECT * FROM (VALUES ('1.1.1.1'), ('E.1.1'), ('1.2')) t(node)")
+@query("tree_leaves", _TREE + "SELECT doc || ':' || path AS node FROM tree t WHERE path <> '前言' AND NOT EXISTS (SELECT 1 FROM tree c WHERE c.doc = t.doc AND c.parent = t.path)")
 def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _tree(spark).select(F.col("path").alias("node"), "parent")
-    return C.leaves(nodes, F.col("node") != "前言").select("node")
-
-
-@query("reverse_references", "SELECT * FROM (VALUES ('b', 'a,c'), ('c', 'a')) t(dst, referenced_by)")
-def reverse_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = rows(spark, "src string, dst string", ("a", "b"), ("a", "b"), ("c", "b"), ("a", "c"), ("a", "zz"), ("b", "b"))
-    return C.reversed_edges(edges, rows(spark, "node string", ("a",), ("b",), ("c",))).select("dst", F.concat_ws(",", "referenced_by").alias("referenced_by"))
-
-
-@query("layout_parsing", "SELECT * FROM (VALUES ('d', 0, 'text', 'Title', 1, 0), ('d', 1, 'table', NULL, NULL, 2)) t(doc, block_idx, \"type\", text, text_level, page)")
-def layout_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = '[{"type": "text", "text": " Title ", "text_level": 1, "page_idx": 0}, {"type": "table", "table_body": "<table></table>", "table_caption": ["c"], "page_idx": 2}]'
-    return layout_blocks(rows(spark, "doc string, j string", ("d", raw)), "doc", "j").select("doc", "block_idx", "type", "text", "text_level", "page")
-
-
-@query("table_rendering", "SELECT 1 AS id, '表1' || chr(10) || 'a | b' || chr(10) || '1 | 2' || chr(10) || '3 | 4' AS t")
-def table_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, c string, h array<string>, b array<array<string>>", (1, "表1", ["a", "b"], [["1", "2"], ["3", "4"]]))
-    return given.select("id", T.table_text(F.col("c"), F.col("h"), F.col("b")).alias("t"))
-
-
-@query("feature_texts", "SELECT c_custkey, c_name || '。' || c_mktsegment AS t FROM customer")
-def feature_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", T.joined(F.col("c_name"), F.lit(" "), F.col("c_mktsegment"), by="。").alias("t"))
-
-
-@query("greedy_near_duplicates", None)
-def greedy_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.greedy_dedup(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.5)
+    return C.leaves(_nodes(spark, sf_dir), F.col("path") != "前言").select("node")
 
 
 @query(
-    "document_quality",
+    "reverse_references",
     """
-    SELECT source AS standard_code, count(*) AS clauses, count(DISTINCT doc_id) AS numbers, count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS blank,
-           count(*) FILTER (WHERE char_len < 10) AS short, count(*) FILTER (WHERE lang = 'xx') AS rootless, round(avg(char_len), 2) AS mean_chars, max(char_len) AS longest,
-           count(*) >= 5 AND count(*) FILTER (WHERE trim(coalesce(text, '')) = '') = 0 AND count(DISTINCT doc_id) = count(*) AS passed
-    FROM (SELECT *, length(coalesce(text, '')) AS char_len FROM documents) GROUP BY source
+    SELECT dst, string_agg(DISTINCT src, ',' ORDER BY src) AS referenced_by FROM (SELECT l_partkey AS src, l_partkey * 7 + l_linenumber AS dst FROM lineitem)
+    WHERE src <> dst AND dst IN (SELECT p_partkey FROM part) GROUP BY dst
     """,
 )
-def document_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(
-        F.col("source").alias("standard_code"), F.col("doc_id").alias("clause_no"), "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("char_len"), F.array("lang").alias("chapter_path")
-    )
-    return C.quality_report(d)
+def reverse_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS src", "l_partkey * 7 + l_linenumber AS dst")
+    return C.reversed_edges(edges, table(spark, sf_dir, "part").selectExpr("p_partkey AS node")).select("dst", F.concat_ws(",", "referenced_by").alias("referenced_by"))
 
 
 @query(
-    "survival_rates",
+    "layout_parsing",
     """
-    WITH b AS (SELECT source, count(*) AS before, count(*) FILTER (WHERE length(coalesce(text, '')) >= 500) AS after FROM documents GROUP BY source),
-         r AS (SELECT *, round(after / before, 4) AS rate FROM b)
-    SELECT *, (SELECT round(max(rate) - min(rate), 4) FROM r) AS spread FROM r
+    SELECT o_orderkey AS doc, CAST(b AS INT) AS block_idx, CASE b WHEN 0 THEN 'text' ELSE 'table' END AS "type", CASE b WHEN 0 THEN 'Title ' || o_custkey END AS text, CASE b WHEN 0 THEN 1 END AS text_level,
+           CAST(CASE b WHEN 0 THEN 0 ELSE o_orderkey % 9 END AS INT) AS page FROM orders, (VALUES (0), (1)) x(b)
     """,
 )
-def survival_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    return C.survival(d, d.where("n >= 500"), "source")
+def layout_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = """concat('[{"type": "text", "text": " Title ', o_custkey, ' ", "text_level": 1, "page_idx": 0}, {"type": "table", "table_body": "<table></table>", "table_caption": ["c"], "page_idx": ', o_orderkey % 9, '}]') AS j"""
+    return layout_blocks(table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc", made), "doc", "j").select("doc", "block_idx", "type", "text", "text_level", "page")
 
 
-@query("dataset_stats", "SELECT count(*) AS n, count(DISTINCT text) AS texts, (SELECT count(DISTINCT w) FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark)) AS words FROM documents")
-def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).agg(F.countDistinct("w").alias("words"))
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts")).join(F.broadcast(words))  # one row is broadcast
+@query("table_rendering", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN '表' || o_custkey || chr(10) ELSE '' END || 'a | b' || chr(10) || o_orderstatus || ' | ' || o_orderpriority || chr(10) || '3 | 4' AS t FROM orders")
+def table_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 2 = 0 THEN concat('表', o_custkey) ELSE ' ' END AS c", "array('a', 'b') AS h", "array(array(o_orderstatus, o_orderpriority), array('3', '4')) AS b")
+    return given.select("id", T.table_text(F.col("c"), F.col("h"), F.col("b")).alias("t"))
 
 
 @query(
-    "table_fingerprint",
+    "caption_parsing",
     """
-    WITH r AS (SELECT md5(concat_ws(chr(0), CAST(doc_id AS VARCHAR), coalesce(text, chr(1)), coalesce(lang, chr(1)))) AS h FROM documents),
-    s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS w0, sum(CAST('0x' || substr(h, 9, 8) AS BIGINT)) AS w1,
-                 sum(CAST('0x' || substr(h, 17, 8) AS BIGINT)) AS w2, sum(CAST('0x' || substr(h, 25, 8) AS BIGINT)) AS w3 FROM r)
-    SELECT substr(md5(concat_ws(':', n, w0, w1, w2, w3)), 1, 12) AS fingerprint, n AS rows FROM s
+    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 2 THEN '' ELSE '清理' || o_custkey || '坑' END AS work, CASE o_orderkey % 3 WHEN 0 THEN '10m³' WHEN 1 THEN '' ELSE '㎡' END AS unit,
+           CASE WHEN o_orderkey % 2 = 0 THEN '模板及支架(撑)' || o_custkey ELSE '梁' || o_custkey END AS category FROM orders
     """,
 )
-def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.fingerprint(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+def caption_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work content and unit of a table's caption, and its category without table number and code."""
+    said = "element_at(array(concat('工作内容：清理', o_custkey, '坑 单位：$10\\\\mathrm{m}^3$'), concat('工作内容: 清理', o_custkey, '坑'), '单位：㎡ 备注'), CAST(o_orderkey % 3 AS INT) + 1) AS said"
+    table_of = "CASE WHEN o_orderkey % 2 = 0 THEN concat('表 S.', o_custkey % 9, ' 模板及支架(撑)', o_custkey, '（编码：011702）') ELSE concat('续表 A.1-1 梁', o_custkey, '：') END AS caption"
+    given = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", said, table_of)
+    parts = T.caption_parts(F.col("said"))
+    return given.select("id", parts["work"].alias("work"), parts["unit"].alias("unit"), T.caption_category(F.col("caption")).alias("category"))
 
 
-@query("provenance_freshness", "SELECT * FROM (VALUES ('a', 'fresh'), ('b', 'unknown'), ('c', 'stale')) t(grp, status)")
+@query("provenance_freshness", "SELECT c_custkey AS grp, CASE c_custkey % 3 WHEN 0 THEN 'fresh' WHEN 1 THEN 'unknown' ELSE 'stale' END AS status FROM customer")
 def provenance_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.freshness(rows(spark, "grp string, fingerprint string", ("a", "f1"), ("b", None), ("c", "f0")), "f1").select("grp", "status")
+    given = table(spark, sf_dir, "customer").selectExpr("c_custkey AS grp", "CASE c_custkey % 3 WHEN 0 THEN 'f1' WHEN 2 THEN concat('f', c_custkey) END AS fingerprint")
+    return C.freshness(given, "f1").select("grp", "status")
 
 
-@query("reference_pairs", "SELECT * FROM (VALUES ('a', 'b'), ('b', 'c')) t(a, b)")
+@query(
+    "reference_pairs",
+    """
+    WITH e AS (SELECT p_partkey AS x, unnest([p_partkey % 20, p_partkey + 1, p_partkey + 1, -5]) AS y FROM part) SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM e WHERE x <> y AND y IN (SELECT p_partkey FROM part)
+    """,
+)
 def reference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id string, refs array<string>", ("a", ["b", "b"]), ("b", ["a", "zz"]), ("c", ["b", "c"]))
+    given = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "array(p_partkey % 20, p_partkey + 1, p_partkey + 1, -5L) AS refs")
     return C.existing_pairs(given, "id", "refs")
 
 
-@query("either_parent_gate", "SELECT * FROM (VALUES (1, 'rejected'), (2, 'kept'), (3, 'kept')) t(id, outcome)")
+@query("either_parent_gate", "SELECT o_orderkey AS id, CASE WHEN coalesce(o_orderstatus = 'F', false) OR o_totalprice > 300000 THEN 'rejected' ELSE 'kept' END AS outcome FROM orders")
 def either_parent_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, a boolean, b boolean", (1, False, True), (2, None, False), (3, None, None))
+    """Verdicts of two judges, unknown for orders in process."""
+    given = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus = 'F' END AS a", "CASE WHEN o_totalprice > 100000 THEN o_totalprice > 300000 END AS b")
     marked = R.split_by_reason(given, rejected=C.either_alone(F.col("a"), F.col("b")))
     return marked.select("id", F.coalesce("reject_reason", F.lit("kept")).alias("outcome"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.operators import costing as K
-from sparquill.plans.registry import query, rows
+from sparquill.plans.registry import LINES, numbered_lines, query
 from sparquill.sources.tables import table
 
 _KINDS = {"A": "labor", "N": "material", "R": "machine"}
@@ -43,17 +43,6 @@ def line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.line_totals(priced.withColumn("quantity", F.lit(3.5))).select("k", "line_total")
 
 
-@query("roll_up", "SELECT * FROM (VALUES (3.5, 2, 2)) t(total, included, skipped)")
-def roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.roll_up(rows(spark, "amount string", ("1.5",), ("2",), ("x",), (None,)), "amount")
-
-
-@query("bill_check", "SELECT * FROM (VALUES ('010101001', '', NULL), ('0101', 'invalid code,missing unit', 'error'), ('010101001001', 'missing name', 'warn')) t(code, issues, severity)")
-def bill_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "code string, name string, unit string", ("010101001", "挖土", "m³"), ("0101", "x", None), ("010101001001", "", "t"))
-    return K.check_bill(given).select("code", F.concat_ws(",", "issues").alias("issues"), "severity")
-
-
 @query(
     "cost_verification",
     _RATES
@@ -73,62 +62,151 @@ def cost_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.verify(claims, parts, fees, "k", ["深圳", "shenzhen", "Shenzhen"], ["2013"], _KINDS).select("k", "verdict")
 
 
-_LINKS = [(1, "b1", "q1", "人工", "普工", None, 1, None, None, 2.0), (2, "b1", "q1", "材料", "砖", "千块", 2, 9, 1000.0, 0.5), (3, "b1", "q1", "机械", "车", None, 3, None, None, 1.0), (4, "b1", "q2", "材料", "水泥", None, 4, None, None, 1.25)]
-_PRICES = [(1, "深圳", 80.0, dt.date(2026, 4, 1), dt.date(2026, 5, 1)), (1, "深圳", 90.0, dt.date(2026, 5, 1), dt.date(2026, 6, 1)), (9, "深圳", 0.45, dt.date(2026, 5, 1), dt.date(2026, 6, 1)), (4, "广州", 5.0, dt.date(2026, 5, 1), dt.date(2026, 6, 1)), (4, "深圳", 6.25, dt.date(2026, 3, 1), None)]
+@query("roll_up", "SELECT l_returnflag, sum(CASE WHEN l_linenumber % 4 > 1 THEN l_quantity ELSE 0 END) AS total, count(*) FILTER (WHERE l_linenumber % 4 > 1) AS included, count(*) FILTER (WHERE l_linenumber % 4 < 2) AS skipped FROM lineitem GROUP BY 1")
+def roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts as text, some of them missing or no numbers."""
+    given = table(spark, sf_dir, "lineitem").selectExpr("l_returnflag", "CASE WHEN l_linenumber % 4 = 0 THEN concat('x', l_quantity) WHEN l_linenumber % 4 > 1 THEN CAST(l_quantity AS STRING) END AS amount")
+    return K.roll_up(given, "amount", ["l_returnflag"])
 
 
-def _composed(spark: SparkSession, on=None) -> DataFrame:
-    links = rows(spark, "link_id int, code string, quota_code string, category string, res_name string, spec string, resource_id int, price_resource_id int, unit_factor double, consumption double", *_LINKS)
-    return K.compose(links, rows(spark, "rp_resource_id int, region string, price double, period_start date, period_end date", *_PRICES), on, "深圳")
+@query(
+    "bill_check",
+    """
+    SELECT p_partkey, concat_ws(',', CASE WHEN p_partkey % 3 = 1 THEN 'invalid code' END, CASE WHEN p_size % 4 = 0 THEN 'missing name' END, CASE WHEN p_size % 3 = 0 THEN 'missing unit' END) AS issues,
+           CASE WHEN p_partkey % 3 = 1 THEN 'error' WHEN p_size % 4 = 0 OR p_size % 3 = 0 THEN 'warn' END AS severity FROM part
+    """,
+)
+def bill_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = "lpad(CAST(p_partkey AS STRING), element_at(array(9, 8, 12), CAST(p_partkey % 3 AS INT) + 1), '0') AS code"
+    given = table(spark, sf_dir, "part").selectExpr("p_partkey", code, "CASE WHEN p_size % 4 <> 0 THEN p_name END AS name", "CASE WHEN p_size % 3 = 0 THEN '' ELSE 'm³' END AS unit")
+    return K.check_bill(given).select("p_partkey", F.concat_ws(",", "issues").alias("issues"), "severity")
+
+
+#: Lines as the resources of quotas (order, line status): a part's own price, else that of its supplier's material, else none.
+_PRICED = """
+    WITH prices AS (SELECT p_partkey AS id, p_size + 0.25 AS price, DATE '2026-04-01' AS a, CAST(DATE '2026-05-01' AS DATE) AS b FROM part WHERE p_partkey % 3 = 0
+                    UNION ALL SELECT p_partkey, p_size + 0.5, DATE '2026-05-01', CASE WHEN p_size % 2 = 0 THEN DATE '2026-06-01' END FROM part WHERE p_partkey % 3 = 0
+                    UNION ALL SELECT s_suppkey + 10000000, s_nationkey + 0.75, DATE '2026-03-01', NULL FROM supplier WHERE s_suppkey % 2 = 0),
+    good AS (SELECT * FROM prices WHERE {when}), latest AS (SELECT id, arg_max(price, a) AS price FROM good GROUP BY id),
+    composed AS (SELECT l_orderkey, l_linenumber, l_linestatus, l_returnflag, l_partkey, coalesce(d.price, m.price) AS price, CASE WHEN d.price IS NOT NULL THEN 'direct' WHEN m.price IS NOT NULL THEN 'mapped' END AS via,
+        CAST(l_quantity * coalesce(d.price, m.price) * CASE WHEN d.price IS NULL AND l_linenumber % 2 = 0 THEN 100 ELSE 1 END AS DOUBLE) AS amount FROM @LINES LEFT JOIN latest d ON d.id = l_partkey LEFT JOIN latest m ON m.id = l_suppkey + 10000000)
+""".replace("@LINES", LINES)
+
+
+def _composed(spark: SparkSession, sf_dir: str, on=None) -> DataFrame:
+    links = numbered_lines(spark, sf_dir).selectExpr(
+        "l_orderkey * 1000 + l_linenumber AS link_id", "l_orderkey", "l_linenumber", "l_orderkey AS code", "l_linestatus AS quota_code", "CASE l_returnflag WHEN 'A' THEN '人工' WHEN 'N' THEN '材料' ELSE '机械' END AS category",
+        "concat('r', lpad(CAST(l_partkey AS STRING), 9, '0'), l_linenumber) AS res_name", "CAST(NULL AS STRING) AS spec", "l_partkey AS resource_id", "l_suppkey + 10000000 AS price_resource_id",
+        "CASE WHEN l_linenumber % 2 = 0 THEN 100.0D END AS unit_factor", "l_quantity AS consumption",
+    )
+    p = table(spark, sf_dir, "part").where("p_partkey % 3 = 0")
+    first = p.selectExpr("p_partkey AS rp_resource_id", "'深圳' AS region", "p_size + 0.25D AS price", "DATE '2026-04-01' AS period_start", "DATE '2026-05-01' AS period_end")
+    second = p.selectExpr("p_partkey", "'深圳'", "p_size + 0.5D", "DATE '2026-05-01'", "CASE WHEN p_size % 2 = 0 THEN DATE '2026-06-01' END")
+    elsewhere = p.selectExpr("p_partkey", "'广州'", "1.0D", "DATE '2027-01-01'", "CAST(NULL AS DATE)")
+    material = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").selectExpr("s_suppkey + 10000000", "'深圳'", "s_nationkey + 0.75D", "DATE '2026-03-01'", "CAST(NULL AS DATE)")
+    return K.compose(links, first.union(second).union(elsewhere).union(material), on, "深圳")
 
 
-@query("price_composition", "SELECT * FROM (VALUES (1, 90.0, 'direct', 180.0, 'matched'), (2, 0.45, 'mapped', 225.0, 'matched'), (3, NULL, NULL, NULL, 'no_source'), (4, 6.25, 'direct', 7.81, 'matched')) t(link_id, price, via, amount, price_status)")
+@query("price_composition", _PRICED.format(when="true") + "SELECT l_orderkey, l_linenumber, CAST(price AS DOUBLE) AS price, via, amount, CASE WHEN price IS NULL THEN 'no_source' ELSE 'matched' END AS price_status FROM composed")
 def price_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _composed(spark).select("link_id", "price", "via", F.col("amount").cast("double").alias("amount"), "price_status")
+    return _composed(spark, sf_dir).select("l_orderkey", "l_linenumber", "price", "via", F.col("amount").cast("double").alias("amount"), "price_status")
 
 
-@query("price_composition_on", "SELECT * FROM (VALUES (1, 80.0), (2, NULL), (3, NULL), (4, 6.25)) t(link_id, price)")
+@query("price_composition_on", _PRICED.format(when="a <= DATE '2026-06-15' AND (b IS NULL OR b > DATE '2026-06-15')") + "SELECT l_orderkey, l_linenumber, CAST(price AS DOUBLE) AS price, via FROM composed")
 def price_composition_on(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _composed(spark, dt.date(2026, 4, 15)).select("link_id", "price")
+    return _composed(spark, sf_dir, dt.date(2026, 6, 15)).select("l_orderkey", "l_linenumber", "price", "via")
 
 
-@query("nested_quotas", "SELECT * FROM (VALUES ('b1', 'q1', '普工,砖,车', 405.0, 1), ('b1', 'q2', '水泥', 7.81, 0)) t(code, quota_code, resources, subtotal, unpriced)")
+@query(
+    "nested_quotas",
+    _PRICED.format(when="true")
+    + """SELECT l_orderkey AS code, l_linestatus AS quota_code, string_agg('r' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') || l_linenumber, ',' ORDER BY CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, l_partkey, l_linenumber) AS resources,
+    sum(amount) AS subtotal, count(*) FILTER (WHERE price IS NULL) AS unpriced FROM composed GROUP BY 1, 2""",
+)
 def nested_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = K.nested(_composed(spark), ["code"], ["quota_code"], "res_name", "price")
+    made = K.nested(_composed(spark, sf_dir), ["code"], ["quota_code"], "res_name", "price")
     return made.select("code", "quota_code", F.concat_ws(",", F.transform("resources", lambda r: r["res_name"])).alias("resources"), F.col("subtotal").cast("double").alias("subtotal"), "unpriced")
 
 
-@query("missing_prices", "SELECT 'b1::车::' AS price_key")
+@query("missing_prices", _PRICED.format(when="true") + "SELECT DISTINCT l_orderkey || '::r' || lpad(CAST(l_partkey AS VARCHAR), 9, '0') || l_linenumber || '::' AS price_key FROM composed WHERE price IS NULL")
 def missing_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.missing_prices(_composed(spark))
+    return K.missing_prices(_composed(spark, sf_dir))
 
 
-@query("price_write_back", "SELECT * FROM (VALUES ('b1::车::', 300.0, 'manual'), ('b1::普工::', 90.0, 'matched')) t(price_key, unit_price, price_status)")
+@query(
+    "price_write_back",
+    "SELECT p_partkey AS price_key, CASE WHEN p_partkey % 5 = 0 THEN p_size + 0.5 WHEN p_size % 3 = 0 THEN p_retailprice END AS unit_price, CASE WHEN p_partkey % 5 = 0 THEN 'manual' WHEN p_size % 3 = 0 THEN 'matched' ELSE 'no_source' END AS price_status FROM part",
+)
 def price_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = rows(spark, "price_key string, unit_price double, price_status string", ("b1::车::", None, "no_source"), ("b1::普工::", 90.0, "matched"))
-    return K.write_back(parts, rows(spark, "price_key string, unit_price double", ("b1::车::", 300.0)))
+    p = table(spark, sf_dir, "part")
+    parts = p.selectExpr("p_partkey AS price_key", "CASE WHEN p_size % 3 = 0 THEN p_retailprice END AS unit_price", "CASE WHEN p_size % 3 = 0 THEN 'matched' ELSE 'no_source' END AS price_status")
+    return K.write_back(parts, p.where("p_partkey % 5 = 0").selectExpr("p_partkey AS price_key", "p_size + 0.5D AS unit_price"))
 
 
 @query(
     "quota_schemes",
-    "SELECT * FROM (VALUES ('b1', 1, '010001-1|010002-2', 0.8, 30.0), ('b1', 2, '010001-1|010002-1', 0.5, 20.0), ('b2', 1, '010001-1', NULL, 5.0)) t(bill, scheme, codes, score, base_price)",
+    f"""
+    WITH q AS (SELECT l_orderkey AS bill, l_linenumber AS n, '01000' || (l_linenumber % 2) || '-' || l_linenumber AS code, ((l_orderkey + l_linenumber * 3) % 10) / 10 AS c, l_quantity AS p FROM {LINES} WHERE l_linenumber <= 4),
+    k AS (SELECT bill, count(*) AS k FROM q GROUP BY bill), o AS (SELECT q.* FROM q WHERE n % 2 = 1), e AS (SELECT * FROM q WHERE n % 2 = 0),
+    s AS (SELECT o.bill, CASE WHEN o.n < e.n THEN o.code || '|' || e.code ELSE e.code || '|' || o.code END AS codes, least(o.c, e.c) AS score, o.p + e.p AS base_price, o.c AS x, e.c AS y FROM o JOIN e USING (bill) JOIN k USING (bill) WHERE k > 2
+          UNION ALL SELECT bill, string_agg(code, '|' ORDER BY n), min(c), sum(p), 0, 0 FROM q JOIN k USING (bill) WHERE k <= 2 GROUP BY bill)
+    SELECT bill, CAST(row_number() OVER (PARTITION BY bill ORDER BY score DESC, x DESC, y DESC) AS INT) AS scheme, codes, CAST(score AS DOUBLE) AS score, CAST(base_price AS DOUBLE) AS base_price FROM s
+    """,
 )
 def quota_schemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(
-        spark, "bill string, ordinal int, quota_code string, confidence double, base_price double",
-        ("b1", 1, "010001-1", 0.9, 10.0), ("b1", 2, "010002-1", 0.5, 10.0), ("b1", 3, "010002-2", 0.8, 20.0), ("b2", 1, "010001-1", None, 5.0),
-    )
+    """An order's first four lines as quotas: the odd ones are alternatives, and so are the even ones."""
+    given = numbered_lines(spark, sf_dir).where("l_linenumber <= 4").selectExpr(
+        "l_orderkey AS bill", "l_linenumber AS ordinal", "concat('01000', l_linenumber % 2, '-', l_linenumber) AS quota_code", "((l_orderkey + l_linenumber * 3) % 10) / 10.0D AS confidence", "l_quantity AS base_price"
+    )
     return K.schemes(given, "bill").withColumn("codes", F.concat_ws("|", "codes"))
 
 
-@query("price_trend", "SELECT * FROM (VALUES ('砖', '2026-03', '2026-05', 0.05, 12.5), ('砖', '2026-05', '2026-06', -0.05, -11.11)) t(name, from_period, to_period, delta, pct)")
+@query(
+    "price_trend",
+    """
+    WITH p AS (SELECT l_suppkey AS name, strftime(l_shipdate, '%Y') AS period, min(l_quantity) AS price FROM lineitem WHERE l_quantity > 3 GROUP BY ALL),
+    q AS (SELECT *, lag(price) OVER w AS before, lag(period) OVER w AS from_period FROM p WINDOW w AS (PARTITION BY name ORDER BY period))
+    SELECT name, from_period, period AS to_period, round(price - before, 2) AS delta, round((price - before) / before * 100, 2) AS pct FROM q WHERE before IS NOT NULL
+    """,
+)
 def price_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "name string, spec string, period string, price string", ("砖", "a", "2026-03", "0.40"), ("砖", "a", "2026-05", "0.45"), ("砖", "a", "2026-06", "0.40"), ("砖", "b", "2026-05", "1"), ("灰", "a", "2026-03", "0"), ("灰", "a", "2026-05", "3"))
-    return K.trend(given, ["name", "spec"], "period", "price").drop("spec")
+    least = table(spark, sf_dir, "lineitem").where("l_quantity > 3").groupBy(F.col("l_suppkey").alias("name"), F.date_format("l_shipdate", "yyyy").alias("period")).agg(F.min("l_quantity").cast("string").alias("price"))
+    return K.trend(least, ["name"], "period", "price")
 
 
-@query("rule_table", "SELECT * FROM (VALUES (1, '管理费', 0.1), (2, '利润', 0.05), (3, NULL, NULL)) t(id, fee, rate)")
+@query("rule_table", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '管理费' WHEN 1 THEN '利润' END AS fee, CAST(CASE p_partkey % 3 WHEN 0 THEN 0.1 WHEN 1 THEN 0.05 END AS DOUBLE) AS rate FROM part")
 def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "id int, t string", (1, "企业管理费率 建筑"), (2, "利润率"), (3, "其他"))
+    given = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "element_at(array(concat('企业管理费率 ', p_name, ' 建筑'), concat(p_name, '利润率'), concat('管理费', p_name)), CAST(p_partkey % 3 AS INT) + 1) AS t")
     rules = [{"contains": ["管理费", "建筑"], "fee": "管理费", "rate": 0.1}, {"contains": ["利润"], "fee": "利润", "rate": 0.05}]
     return K.apply_rules(given, "t", rules, ["fee", "rate"]).select("id", "fee", "rate")
+
+
+@query(
+    "bill_matches",
+    """
+    WITH n AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'bad' ELSE lpad(CAST(CASE p_partkey % 5 WHEN 2 THEN 0 ELSE p_partkey END AS VARCHAR), 9, '0') END AS code, p_partkey AS k, p_size FROM part),
+    c AS (SELECT id, code, k, p_size, 0.4 + p_size % 6 / 10.0 AS s1, 0.3 + p_size % 4 / 10.0 AS s2 FROM n),
+    d AS (SELECT *, CASE WHEN code IS NULL THEN 'select' ELSE 'verify' END AS mode, code = 'bad' AS malformed, code IS NOT NULL AND code <> 'bad' AND k % 5 <> 2 AS exists_,
+                 s1 >= 0.6 AND s1 - s2 >= 0.05 AS decided, p_size % 7 <> 0 AS recalled FROM c)
+    SELECT id, mode, CASE WHEN mode = 'verify' THEN 'done' WHEN recalled AND decided THEN 'done' ELSE 'need_review' END AS status,
+           CASE WHEN mode = 'select' AND NOT (recalled AND decided) THEN NULL WHEN mode = 'verify' AND NOT exists_ THEN 'fail'
+                WHEN mode = 'verify' AND (p_size % 2 = 1 OR NOT recalled) THEN 'doubt' WHEN mode = 'select' AND p_size % 2 = 1 THEN 'doubt' ELSE 'pass' END AS verdict,
+           concat_ws(',', CASE WHEN malformed THEN 'code_format' END, CASE WHEN mode = 'verify' AND NOT malformed AND NOT exists_ THEN 'code_not_found' END,
+                     CASE WHEN p_size % 2 = 1 AND (exists_ OR mode = 'select' AND recalled AND decided) THEN 'missing_feature' END,
+                     CASE WHEN mode = 'verify' AND NOT malformed AND (NOT recalled OR NOT exists_) THEN 'recall_miss' WHEN mode = 'select' AND NOT recalled THEN 'no_candidates' WHEN mode = 'select' AND NOT decided THEN 'low_confidence' END) AS findings,
+           CASE WHEN mode = 'select' AND recalled AND decided THEN lpad(CAST(k AS VARCHAR), 9, '0') END AS selected FROM d
+    """,
+)
+def bill_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as requests: with a code it is verified, without one it is selected from the candidates of a search."""
+    p = table(spark, sf_dir, "part")
+    nine = "lpad(CAST({} AS STRING), 9, '0')"
+    asked = p.selectExpr(
+        "p_partkey AS id", f"CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'bad' WHEN 2 THEN {nine.format(0)} ELSE {nine.format('p_partkey')} END AS code", "concat(p_name, CASE WHEN p_size % 2 = 0 THEN ' 厚度 20' ELSE '' END) AS feature"
+    )
+    truth = p.where("p_partkey > 0").selectExpr(f"{nine.format('p_partkey')} AS code9", "array('厚度') AS required")
+    some = p.where("p_size % 7 <> 0")
+    first = some.selectExpr("p_partkey AS id", f"{nine.format('p_partkey')} AS code9", "CAST(0.4 + p_size % 6 / 10.0 AS DOUBLE) AS score")
+    second = some.selectExpr("p_partkey", f"{nine.format('p_partkey + 1')}", "CAST(0.3 + p_size % 4 / 10.0 AS DOUBLE)")
+    made = K.match_bills(asked, truth, first.union(second).withColumnRenamed("code9", "candidate"), 0.6, 0.05)
+    return made.select("id", "mode", "status", "verdict", F.concat_ws(",", F.transform("findings", lambda f: f["type"])).alias("findings"), "selected")

@@ -184,8 +184,30 @@ def first_of_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.first_of_kind(_events(spark, sf_dir).select("event_id", "event_type"), "event_type", "event_id", 5)
 
 
-@query("pending_work", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("pending_work", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey")
-    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().join(customers, "c_custkey", "left_semi")
+    done = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")).distinct().join(customers, "c_custkey", "left_semi")
     return V.pending(customers, done, "c_custkey")
+
+
+@query("pending_runs", "SELECT event_id FROM events WHERE event_type = 'view' AND ts <= TIMESTAMP '2024-01-05 00:00:00'")
+def pending_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _events(spark, sf_dir).select("event_id", F.when(F.col("event_type") == "view", "pending").otherwise("done").alias("status"), F.col("ts").alias("created_at"))
+    return V.pending_before(runs, "2024-01-05 00:00:00").select("event_id")
+
+
+@query(
+    "structured_content",
+    """
+    SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN '{"k":' || (props->>'$.k') || '}' ELSE '[' || user_id || ',"' || event_type || '"]' END AS content, event_id % 3 > 0 AS is_json, event_id % 3 = 1 AS is_dict, true AS same FROM events
+    """,
+)
+def structured_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, objects and lists, packed as text with marks and restored."""
+    kinds = F.when(F.col("event_id") % 3 == 0, F.to_json(F.struct(F.col("event_type").alias("x")))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"x": '), "props", F.lit("}")))
+    given = F.try_variant_get(F.parse_json(F.coalesce(kinds, F.concat(F.lit('{"x": ['), "user_id", F.lit(', "'), "event_type", F.lit('"]}')))), "$.x", "variant")
+    e = _events(spark, sf_dir).select("event_id", given.alias("v"), F.create_map(F.lit("trace"), F.col("user_id").cast("string")).alias("m"))
+    e = e.withColumn("p", V.packed_content(F.col("v"), F.col("m"))).withColumn("back", V.restored_content(F.col("p.content"), F.col("p.metadata")))
+    marked = lambda k: F.map_contains_key("p.metadata", k)
+    return e.select("event_id", "p.content", marked("content_is_json").alias("is_json"), marked("content_is_dict").alias("is_dict"), (F.to_json("back") == F.to_json("v")).alias("same"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,3 +30,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def rows(spark: SparkSession, schema: str, *values: tuple) -> DataFrame:
     """A literal table, for queries on data that the given tables lack."""
     return spark.createDataFrame(list(values), schema)
+
+
+#: The lines of an order numbered from 1 without ties (``l_linenumber`` itself may repeat), in both languages.
+_ORDERED = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)"
+LINES = f"(SELECT * REPLACE (CAST({_ORDERED} AS INT) AS l_linenumber) FROM lineitem)"
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("l_linenumber", F.expr(_ORDERED))

@@ -37,7 +37,8 @@ def tokens():
 def bm25_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     size = docs.agg(F.count("*"), F.avg(F.size(F.filter(tokens(), lambda t: t != "")))).first()
-    return S.bm25(S.postings(docs, "doc_id", tokens()), table(spark, sf_dir, "benchmark"), "item_id", tokens(), size[0], size[1] or 1.0)
+    asked = table(spark, sf_dir, "benchmark")
+    return S.bm25(S.postings(docs, "doc_id", tokens(), S.query_terms(asked, tokens())), asked, "item_id", tokens(), size[0], size[1] or 1.0)
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,23 +140,6 @@ def weighted_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_per(scored, ["q"], 15, F.desc("score"), F.length("p_name"), "p_name")
 
 
-@query(
-    "gram_similarity",
-    """
-    WITH w AS (SELECT * FROM (VALUES ('cold widget', 'warm widget'), ('a', 'a'), ('', 'b'), ('steel pipe', 'pipe steel')) t(x, y)),
-    n AS (SELECT x, y, replace(x, ' ', '') AS p, replace(y, ' ', '') AS q FROM w),
-    g AS (SELECT x, y, CASE WHEN length(p) = 0 THEN [] WHEN length(p) = 1 THEN [p] ELSE list_distinct([substr(p, i, 2) for i in range(1, length(p))]) END AS a,
-                 CASE WHEN length(q) = 0 THEN [] WHEN length(q) = 1 THEN [q] ELSE list_distinct([substr(q, i, 2) for i in range(1, length(q))]) END AS b FROM n)
-    SELECT x, y, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END, 6) AS coverage,
-           round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM g
-    """,
-)
-def gram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "x string, y string", ("cold widget", "warm widget"), ("a", "a"), ("", "b"), ("steel pipe", "pipe steel"))
-    a, b = T.grams(F.col("x")), T.grams(F.col("y"))
-    return given.select("x", "y", F.round(T.coverage(a, b), 6).alias("coverage"), F.round(T.jaccard(a, b), 6).alias("jaccard"))
-
-
 @query(
     "auto_select",
     _NEAR + """, m AS (SELECT query_id, max(CASE WHEN rank = 1 THEN id END) AS id, max(CASE WHEN rank = 1 THEN score END) AS score, max(CASE WHEN rank = 2 THEN score END) AS runner_up FROM near GROUP BY 1)
@@ -190,14 +174,8 @@ def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best match of every evaluation vector in each training group; matches above the threshold (strictly) leak."""
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("label = 0")
-    out = None
-    for g in [r[0] for r in e.where("label <> 0").select("label").distinct().orderBy("label").collect()]:  # one row per training group
-        best = S.nearest(asked, e.where(F.col("label") == g), 1, "vec_id", "vec_id", "embedding").select("query_id", F.lit(g).alias("grp"), "id", "score")
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        return spark.createDataFrame([], "eval_id long, grp int, train_id long, score double, leaked boolean")
-    return out.select(F.col("query_id").alias("eval_id"), "grp", F.col("id").alias("train_id"), "score", (F.col("score") > 0.3).alias("leaked"))
+    best = S.nearest(e.where("label = 0"), e.where("label <> 0"), 1, "vec_id", "vec_id", "embedding", group="label")
+    return best.select(F.col("query_id").alias("eval_id"), F.col("label").alias("grp"), F.col("id").alias("train_id"), "score", (F.col("score") > 0.3).alias("leaked"))
 
 
 @query(
@@ -208,3 +186,19 @@ def similarity_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = neighbours(spark, sf_dir).where("rank = 1")
     q = F.percentile("score", F.array(F.lit(0.5), F.lit(0.95)))
     return best.agg(F.round(q[0], 6).alias("median"), F.round(q[1], 6).alias("p95"), F.max("score").alias("most"), F.count_if(F.col("score") > 0.5).alias("above"))
+
+
+@query(
+    "gram_similarity",
+    """
+    WITH t AS (SELECT a.p_partkey AS x, b.p_partkey AS y, replace(replace(a.p_name, ' ', ''), 'x', '') AS s, replace(replace(b.p_name, ' ', ''), 'x', '') AS t FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+    g AS (SELECT x, y, list_distinct(list_transform(range(1, length(s)), lambda i: substr(s, CAST(i AS INT), 2))) AS a, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, CAST(i AS INT), 2))) AS b FROM t)
+    SELECT x, y, round(len(list_intersect(a, b)) / len(a), 6) AS coverage, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM g
+    """,
+)
+def gram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name and the next one's."""
+    p = table(spark, sf_dir, "part")
+    both = p.selectExpr("p_partkey AS x", "p_name AS s").join(p.selectExpr("p_partkey - 1 AS x", "p_partkey AS y", "p_name AS t"), "x")
+    a, b = T.grams(F.col("s")), T.grams(F.col("t"))
+    return both.select("x", "y", F.round(T.coverage(a, b), 6).alias("coverage"), F.round(T.jaccard(a, b), 6).alias("jaccard"))

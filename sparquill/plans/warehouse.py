@@ -10,7 +10,7 @@ from sparquill.functions.values import in_period, money
 from sparquill.operators import relational as R
 from sparquill.operators import retrieval
 from sparquill.operators.costing import resolve_codes
-from sparquill.plans.registry import query, rows
+from sparquill.plans.registry import LINES, numbered_lines, query, rows
 from sparquill.sources.tables import table
 
 
@@ -30,12 +30,6 @@ def any_pattern_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(R.matches_any(F.col("p_name"), ["%COLD%", "small w%"])).select("p_partkey", "p_name")
 
 
-_PRICES = """
-    SELECT l_partkey AS part, CAST(l_shipdate AS DATE) AS start, lead(CAST(l_shipdate AS DATE)) OVER (PARTITION BY l_partkey ORDER BY l_shipdate) AS "end", price FROM (
-        SELECT l_partkey, l_shipdate, max(l_extendedprice) AS price FROM lineitem GROUP BY l_partkey, l_shipdate)
-"""
-
-
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part, [start, end), price: the price of a part from each day on which it was shipped to the next one."""
     from pyspark.sql.window import Window
@@ -44,6 +38,12 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.select("part", "start", F.lead("start").over(Window.partitionBy("part").orderBy("start")).alias("end"), "price")
 
 
+_PRICES = """
+    SELECT l_partkey AS part, CAST(l_shipdate AS DATE) AS start, lead(CAST(l_shipdate AS DATE)) OVER (PARTITION BY l_partkey ORDER BY l_shipdate) AS "end", price FROM (
+        SELECT l_partkey, l_shipdate, max(l_extendedprice) AS price FROM lineitem GROUP BY l_partkey, l_shipdate)
+"""
+
+
 @query("point_in_range", f"SELECT part, start, price FROM ({_PRICES}) WHERE start <= DATE '1998-06-01' AND (\"end\" IS NULL OR DATE '1998-06-01' < \"end\")")
 def point_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.lit("1998-06-01").cast("date")
@@ -130,20 +130,6 @@ def composition_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("n_name", "p_type").agg(F.count("*").alias("lines"), F.sum(money(F.col("l_quantity")) * money(F.col("p_retailprice"))).cast("double").alias("amount"))
 
 
-@query(
-    "null_safe_upsert",
-    """
-    WITH old AS (SELECT * FROM (VALUES ('a', CAST(NULL AS VARCHAR), 1), ('b', 'x', 2), (NULL, NULL, 3)) t(name, spec, v)),
-         new AS (SELECT * FROM (VALUES ('a', CAST(NULL AS VARCHAR), 10), ('c', 'y', 20), (NULL, NULL, 30)) t(name, spec, v))
-    SELECT * FROM new UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.name IS NOT DISTINCT FROM o.name AND n.spec IS NOT DISTINCT FROM o.spec)
-    """,
-)
-def null_safe_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = rows(spark, "name string, spec string, v int", ("a", None, 1), ("b", "x", 2), (None, None, 3))
-    new = rows(spark, "name string, spec string, v int", ("a", None, 10), ("c", "y", 20), (None, None, 30))
-    return R.upsert(old, new, ["name", "spec"], "v")
-
-
 @query(
     "upsert_customers",
     """
@@ -265,22 +251,6 @@ def clash_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.numbered_clashes(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "new_id")
 
 
-@query("code_merge", "SELECT * FROM (VALUES ('010101001', 'm³,m', '挖土方'), ('010101003', 't', '钢筋')) t(code, units, name)")
-def code_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(
-        spark, "ordinal int, code string, name string, unit string",
-        (1, "010101001", "挖土方", "m³"), (2, "010101001", "挖 土方", "m"), (3, "010101001", "挖土方", "m³"), (4, "010101002", "回填", "m³"), (5, "010101002", "运土", "m³"), (6, "010101003", "钢筋", "t"),
-    )
-    merged, _ = resolve_codes(given, ["code"], T.resource_text(F.col("name")))
-    return merged.select("code", F.concat_ws(",", "units").alias("units"), "name")
-
-
-@query("code_conflicts", "SELECT * FROM (VALUES (4, '010101002'), (5, '010101002')) t(ordinal, code)")
-def code_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "ordinal int, code string, name string, unit string", (1, "010101001", "挖土方", "m³"), (2, "010101001", "挖 土方", "m"), (4, "010101002", "回填", "m³"), (5, "010101002", "运土", "m³"))
-    return resolve_codes(given, ["code"], T.resource_text(F.col("name")))[1].select("ordinal", "code")
-
-
 @query(
     "merge_first_values",
     """
@@ -292,22 +262,12 @@ def merge_first_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merged_first(e, ["user_id"], "event_id", "first_type", "first_big")
 
 
-@query("substring_containment", "SELECT n_nationkey, p_partkey FROM (SELECT DISTINCT n_nationkey, lower(substr(n_name, 1, 3)) AS needle FROM nation) JOIN part ON contains(p_name, needle)")
+@query("substring_containment", "SELECT n_nationkey, p_partkey FROM (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'ring' WHEN 1 THEN 'd w' WHEN 2 THEN 'ge' ELSE lower(n_name) END AS needle FROM nation) JOIN part ON contains(p_name, needle)")
 def substring_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = table(spark, sf_dir, "nation").select("n_nationkey", F.lower(F.substring("n_name", 1, 3)).alias("needle"))
+    short = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "CASE n_nationkey % 4 WHEN 0 THEN 'ring' WHEN 1 THEN 'd w' WHEN 2 THEN 'ge' ELSE lower(n_name) END AS needle")
     return R.substring_join(short, table(spark, sf_dir, "part").select("p_partkey", "p_name"), "needle", "p_name").select("n_nationkey", "p_partkey")
 
 
-@query("canonical_key_join", "SELECT * FROM (VALUES (1, 'matched', 7), (2, 'matched', 8), (3, 'none', NULL)) t(id, status, price_id)")
-def canonical_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quota = rows(spark, "id int, name string, spec string", (1, "干混砌筑砂浆 M7.5", None), (2, "钢管（Φ48×3.5）", None), (3, "电焊条", None))
-    price = rows(spark, "price_id int, name string, spec string", (7, "干混砌筑砂浆", "m7.5"), (8, "钢管", "Φ48x3.5"), (9, "钢管 ", "φ48×3.5"))
-    key = T.canonical_key(F.col("name"), F.col("spec"))
-    best = R.best_by(price.select(key.alias("k"), "price_id"), ["k"], F.col("price_id"))
-    found = quota.withColumn("k", key).join(best, "k", "left")
-    return found.select("id", F.when(F.col("price_id").isNotNull(), "matched").otherwise("none").alias("status"), "price_id")
-
-
 @query(
     "forward_fill",
     """
@@ -334,12 +294,6 @@ def value_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.where("island_size >= 2").groupBy("user_id", "island").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.count("*").alias("n"))
 
 
-@query("until_blank_run", "SELECT * FROM (VALUES ('a', 1), ('a', 3), ('b', 1)) t(sheet, line)")
-def until_blank_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(spark, "sheet string, line int, v string", ("a", 1, "x"), ("a", 2, ""), ("a", 3, "y"), ("a", 4, ""), ("a", 5, ""), ("a", 6, "z"), ("b", 1, "x"), ("b", 2, ""))
-    return R.until_blank_run(given, ["sheet"], "line", F.col("v") == "", 2).select("sheet", "line")
-
-
 @query(
     "period_changes",
     """
@@ -412,10 +366,10 @@ def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("rows"))
 
 
-@query("id_sets_agree", "SELECT c_custkey, 'right' AS missing_in FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'left' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("id_sets_agree", "SELECT c_custkey, 'right' AS missing_in FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT DISTINCT o_custkey, 'left' FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def id_sets_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return R.same_ids(table(spark, sf_dir, "customer"), orders, "c_custkey")
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return R.same_ids(table(spark, sf_dir, "customer").where("c_acctbal > 0"), orders, "c_custkey")
 
 
 @query(
@@ -446,3 +400,75 @@ def exact_else_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, parts = rows(spark, "q string", ("cold widget",), ("warm wid",), ("blu",)), table(spark, sf_dir, "part").select("p_partkey", "p_name")
     exact = asked.join(parts, asked["q"] == parts["p_name"]).select("q", "p_partkey")
     return retrieval.exact_else_fuzzy(exact, R.substring_join(asked, parts, "q", "p_name").select("q", "p_partkey"), ["q"])
+
+
+@query(
+    "null_safe_upsert",
+    """
+    WITH old AS (SELECT p_brand AS name, CASE WHEN p_size % 3 > 0 THEN p_type END AS spec, min(p_size) AS v FROM part WHERE p_size < 30 GROUP BY ALL),
+         new AS (SELECT CASE WHEN p_size < 45 THEN p_brand END AS name, CASE WHEN p_size % 3 > 0 THEN p_type END AS spec, min(p_size) AS v FROM part WHERE p_size >= 25 GROUP BY ALL)
+    SELECT * FROM new UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.name IS NOT DISTINCT FROM o.name AND n.spec IS NOT DISTINCT FROM o.spec)
+    """,
+)
+def null_safe_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, spec = table(spark, sf_dir, "part"), "CASE WHEN p_size % 3 > 0 THEN p_type END AS spec"
+    old = p.where("p_size < 30").selectExpr("p_brand AS name", spec, "p_size AS v").groupBy("name", "spec").agg(F.min("v").alias("v"))
+    return R.upsert(old, p.where("p_size >= 25").selectExpr("CASE WHEN p_size < 45 THEN p_brand END AS name", spec, "p_size AS v"), ["name", "spec"], "v")
+
+
+#: Parts as rows of a list: a code per brand and type; in some codes all names are equal but for blanks and brackets.
+_CODED = """
+    WITH g AS (SELECT p_partkey AS ordinal, p_brand || '/' || p_type AS code, CASE WHEN p_partkey % 2 = 0 THEN 'm³' ELSE 't' || p_size % 3 END AS unit, CASE WHEN length(p_type) % 2 = 0 THEN p_name ELSE p_type END AS plain FROM part),
+    k AS (SELECT code, count(DISTINCT plain) AS names FROM g GROUP BY code)
+"""
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = "CASE WHEN length(p_type) % 2 = 0 THEN p_name WHEN p_partkey % 2 = 0 THEN concat('（', p_type, '）') ELSE concat(' ', lower(p_type)) END AS name"
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS ordinal", "concat(p_brand, '/', p_type) AS code", name, "CASE WHEN p_partkey % 2 = 0 THEN 'm³' ELSE concat('t', p_size % 3) END AS unit")
+
+
+@query(
+    "code_merge",
+    _CODED
+    + """, u AS (SELECT code, unit, min(ordinal) AS o FROM g GROUP BY ALL)
+    SELECT code, string_agg(unit, ',' ORDER BY o) AS units FROM u JOIN k USING (code) WHERE names = 1 GROUP BY code""",
+)
+def code_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged, _ = resolve_codes(_coded(spark, sf_dir), ["code"], T.resource_text(F.col("name")))
+    return merged.select("code", F.concat_ws(",", "units").alias("units"))
+
+
+@query("code_conflicts", _CODED + "SELECT ordinal, code FROM g JOIN k USING (code) WHERE names > 1")
+def code_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve_codes(_coded(spark, sf_dir), ["code"], T.resource_text(F.col("name")))[1].select("ordinal", "code")
+
+
+@query(
+    "canonical_key_join",
+    """
+    WITH p AS (SELECT p_partkey AS price_id, p_name AS name, p_size AS size FROM part WHERE p_partkey % 3 = 0), k AS (SELECT name, size, min(price_id) AS price_id FROM p GROUP BY ALL)
+    SELECT p_partkey AS id, CASE WHEN price_id IS NULL THEN 'none' ELSE 'matched' END AS status, price_id FROM part LEFT JOIN k ON k.name = p_name AND k.size = p_size
+    """,
+)
+def canonical_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The specification is inside the name on one side and apart, otherwise written, on the other."""
+    quota = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "concat(upper(p_name), '（Φ', p_size, '×3）') AS name", "CAST(NULL AS STRING) AS spec")
+    price = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").selectExpr("p_partkey AS price_id", "concat(' ', p_name) AS name", "concat('φ', p_size, 'x3') AS spec")
+    key = T.canonical_key(F.col("name"), F.col("spec"))
+    best = R.best_by(price.select(key.alias("k"), "price_id"), ["k"], F.col("price_id"))
+    found = quota.withColumn("k", key).join(best, "k", "left")
+    return found.select("id", F.when(F.col("price_id").isNotNull(), "matched").otherwise("none").alias("status"), "price_id")
+
+
+@query(
+    "until_blank_run",
+    f"""
+    WITH l AS (SELECT l_orderkey AS sheet, l_linenumber AS line, l_returnflag = 'N' AS blank FROM {LINES}),
+    b AS (SELECT *, blank AND lead(blank, 1, false) OVER (PARTITION BY sheet ORDER BY line) AS two FROM l), s AS (SELECT sheet, min(line) AS stop FROM b WHERE two GROUP BY sheet)
+    SELECT sheet, line FROM l LEFT JOIN s USING (sheet) WHERE NOT blank AND (stop IS NULL OR line < stop)
+    """,
+)
+def until_blank_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = numbered_lines(spark, sf_dir).selectExpr("l_orderkey AS sheet", "l_linenumber AS line", "CASE l_returnflag WHEN 'N' THEN '' ELSE l_returnflag END AS v")
+    return R.until_blank_run(given, ["sheet"], "line", F.col("v") == "", 2).select("sheet", "line")

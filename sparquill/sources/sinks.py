@@ -33,7 +33,7 @@ def export(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A folder of CSV, JSON lines, Markdown or Parquet files, by the ending of ``path``; every task writes its rows."""
     kind = path.rpartition(".")[2].lower()
     if kind == "csv":
-        plain(df).write.mode(mode).option("header", True).csv(path)
+        plain(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
     elif kind in ("json", "jsonl"):
         plain(df).write.mode(mode).json(path)
     elif kind == "md":
@@ -52,7 +52,7 @@ def console(df: DataFrame, rows: int = 20, width: int = 40) -> None:
 
 def write_summary(df: DataFrame, path: str, fields: list[str]) -> None:
     """A CSV of fixed columns; what is missing is empty."""
-    df.select(*[F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields]).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*[F.col(f) if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields]).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_split(df: DataFrame, kept: str, rejected: str, reason: str = "reject_reason") -> None:

@@ -129,9 +129,9 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType |
     return out if order is None else out.orderBy(order)
 
 
-def read_record_sets(spark: SparkSession, root: str, name: str, schema: StructType | str, without: tuple[str, ...] = ()) -> DataFrame:
+def read_record_sets(spark: SparkSession, root: str, name: str, schema: StructType | str, without: tuple[str, ...] = (), ending: str = ".jsonl") -> DataFrame:
     """``root/*/name.jsonl`` of all folders but some, with the folder as ``doc_set``; each file once."""
-    rows = _parsed(spark, f"{root}/*/{name}.jsonl", schema).withColumn("doc_set", F.element_at(F.split("_file", "/"), -2))
+    rows = _parsed(spark, f"{root}/*/{name}{ending}", schema).withColumn("doc_set", F.element_at(F.split("_file", "/"), -2))
     return rows.where(~F.col("doc_set").isin(*without) & ~_blank()).select("_r.*", "doc_set").drop(_CORRUPT)
 
 

@@ -101,7 +101,10 @@ def test_greedy_dedup_against_brute_force(spark):
     rng = random.Random(4)
     data = [(rng.choice("ab"), i, [rng.choice((0.0, 1.0)), rng.choice((0.0, 1.0)), rng.choice((0.5, 1.0))], rng.choice((None, 0.2, 0.9))) for i in range(40)]
     df = spark.createDataFrame(data, "g string, id int, v array<double>, q double")
-    made = {r["id"]: r["kept"] for r in C.greedy_dedup(df, "g", "id", "v", 0.9, "q", "5").collect()}
+    made = {r["id"]: r["kept"] for r in C.greedy_dedup_by_quality(df, "g", "id", "v", 0.9, "q", "5").collect()}
+    plain = {r["id"]: r["kept"] for r in C.greedy_dedup(df, "g", "id", "v", 0.9, "5").collect()}
+    same = {r["id"]: r["kept"] for r in C.greedy_dedup_by_quality(df.withColumn("q", F.lit(0.0)), "g", "id", "v", 0.9, "q", "5").collect()}
+    assert plain == same and not all(same.values())
     import hashlib
 
     def cos(a, b):
