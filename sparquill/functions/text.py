@@ -320,10 +320,40 @@ def joined(*parts: Column, by: str = "\n") -> Column:
     return F.concat_ws(by, *[F.when(F.trim(p) != "", p) for p in parts])
 
 
+def _filled(text: Column) -> Column:
+    return F.nullif(F.trim(F.coalesce(text, F.lit(""))), F.lit(""))
+
+
+def feature_texts(path: Column, title: Column, body: Column, captions: Column, tables: Column, ancestors: Column) -> dict[str, Column]:
+    """What a section is searched by, from its own parts; blank parts are left out.
+
+    ``raw``: the body as it is. ``sparse``: path, title, body and whole tables by line. ``dense``: title, body and table
+    captions by line. ``context_aug``: titles of the ancestors, then the body (or the title) with captions.
+    ``captions`` and ``tables`` are texts, ``ancestors`` an array of titles from the root down.
+    """
+    lines = lambda *parts: F.concat_ws("\n", *[_filled(p) for p in parts])
+    above = F.array_join(F.filter(F.coalesce(ancestors, F.array().cast("array<string>")), lambda t: F.coalesce(t, F.lit("")) != ""), " / ")
+    own = lines(F.coalesce(_filled(body), _filled(title)), captions)
+    return {
+        "raw": body,
+        "sparse": lines(path, title, body, tables),
+        "dense": lines(title, body, captions),
+        "context_aug": F.when(above != "", F.concat(above, F.lit(" ‖ "), own)).otherwise(own),
+    }
+
+
+def item_text(name: Column, features: Column, category: Column, chapter: Column) -> Column:
+    """An item as a text to embed: its name, its features, its category unless that is the name, its chapter."""
+    named = F.transform(F.filter(F.coalesce(features, F.array().cast("array<string>")), lambda f: F.trim(F.coalesce(f, F.lit(""))) != ""), lambda f: F.trim(f))
+    return F.concat_ws(
+        "。", F.trim(name), F.when(F.size(named) > 0, F.concat(F.lit("特征:"), F.array_join(named, "/"))), F.when(F.trim(category) != F.trim(name), _filled(category)), _filled(chapter)
+    )
+
+
 def table_text(caption: Column, header: Column, body: Column) -> Column:
     """A caption, header and rows as text: cells by `` | ``, rows by line."""
     row = lambda cells: F.concat_ws(" | ", cells)
-    return F.concat_ws("\n", F.when(F.trim(caption) != "", caption), F.when(F.size(header) > 0, row(header)), F.concat_ws("\n", F.transform(body, row)))
+    return F.concat_ws("\n", F.when(F.trim(caption) != "", caption), F.when(F.size(header) > 0, row(header)), F.when(F.size(body) > 0, F.array_join(F.transform(body, row), "\n")))
 
 
 def tail_rule(score: Column, wanted: Column, name: Column, factor: float = 0.3) -> Column:

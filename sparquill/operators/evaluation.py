@@ -239,3 +239,13 @@ def run_checks(runs: DataFrame, refusals: list[str], elsewhere: list[str]) -> Da
     for c in terminal.values():
         passed = passed & F.coalesce(c, F.lit(True))
     return runs.withColumns({"terminal": F.struct(*[c.alias(k) for k, c in terminal.items()]), "policy": F.struct(*[c.alias(k) for k, c in policy.items()]), "passed": passed})
+
+
+def policy_rates(runs: DataFrame, policies: str, kind: str) -> DataFrame:
+    """(policy, scope, n, evaluable, coverage, rate): each policy over all runs and per ``kind``; null verdicts can't be judged.
+
+    ``policies`` is a map of verdicts. ``coverage`` is the share of runs that could be judged, ``rate`` that of these that kept the policy.
+    """
+    each = runs.select(F.col(kind).alias("_kind"), F.explode(policies).alias("policy", "_kept"))
+    measures = [F.count("*").alias("n"), F.count("_kept").alias("evaluable"), F.round(F.count("_kept") / F.count("*"), 4).alias("coverage"), rate(F.col("_kept")).alias("rate")]
+    return summarize(each, "policy", "_kind", measures)

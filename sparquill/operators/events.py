@@ -141,3 +141,10 @@ def restored_content(content: Column, metadata: Column) -> Column:
     text = F.parse_json(F.to_json(F.struct(content.alias("t"))))
     plain = F.try_variant_get(text, "$.t", "variant")
     return F.when(F.coalesce(F.element_at(metadata, "content_is_json") == "true", F.lit(False)), F.coalesce(F.try_parse_json(content), plain)).otherwise(plain)
+
+
+def new_facts(facts: DataFrame, known: DataFrame, content: str, order: str) -> DataFrame:
+    """Facts whose content is not known yet, each once (the first in ``order``); case and white space don't count."""
+    key = F.lower(F.trim(F.regexp_replace(content, r"\s+", " ")))
+    fresh = first_per(facts.withColumn("_key", key), ["_key"], order)
+    return fresh.join(known.select(key.alias("_key")).distinct(), "_key", "left_anti").drop("_key")

@@ -98,6 +98,47 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_
     return found.drop("grp") if group is None else found.select("query_id", F.col("grp").cast(kind).alias(group), "id", "score", "rank")
 
 
+def nearest_in_cells(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, vector: str, cells: int = 64, probes: int = 16, sample: int = 4096, seed: int = 7) -> DataFrame:
+    """(query_id, id, score, rank): nearest vectors by an index of cells; approximate where ``probes`` < ``cells``.
+
+    Centers are fitted by a few rounds of spherical k-means on the ``sample`` first vectors in hashed order (a bound); every
+    point goes into the cell of its nearest center, and a query is compared, by an equi-join on the cell, with the points of
+    its ``probes`` nearest cells in bounded Arrow batches. Measure the recall against ``nearest``; more probes raise it.
+    """
+    spark = points.sparkSession
+    some = points.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), point_id), point_id).select(F.col(vector).alias("v")).limit(sample).toPandas()
+    kind = "query_id long, id long, score double, rank int"
+    if not len(some):
+        return spark.createDataFrame([], kind)
+    m = _unit(np.stack(some["v"].tolist()))
+    center = m[: min(cells, len(m))]
+    for _ in range(8):
+        own = (m @ center.T).argmax(axis=1)
+        total = np.zeros_like(center)
+        np.add.at(total, own, m)
+        center = np.where(np.linalg.norm(total, axis=1, keepdims=True) > 1e-9, _unit(total), center)
+
+    def cell_of(most: int):
+        @F.pandas_udf("array<int>")
+        def cell(vectors: pd.Series) -> pd.Series:
+            s = _unit(np.stack(vectors.tolist())) @ center.T
+            return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :most].astype(np.int32)))
+
+        return cell
+
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("v"))
+    asked = asked.select("query_id", F.col("v").alias("q"), F.explode(cell_of(min(probes, len(center)))(F.col("v"))).alias("cell"))
+    have = points.where(F.col(vector).isNotNull()).select(F.col(point_id).cast("long").alias("id"), F.col(vector).alias("v"))
+    have = have.select("id", "v", cell_of(1)(F.col("v"))[0].alias("cell"))
+
+    @F.pandas_udf("double")
+    def product(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(np.round((_unit(np.stack(a.tolist())) * _unit(np.stack(b.tolist()))).sum(axis=1), 6))
+
+    met = asked.join(have, "cell").where("query_id <> id").select("query_id", "id", product("q", "v").alias("score"))
+    return top_per(met, ["query_id"], k, F.desc("score"), "id")
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     m = m.astype(np.float64)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)

@@ -74,9 +74,48 @@ def order_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.roots(edges).select("node", "depth", "root")
 
 
-@query("feature_texts", "SELECT c_custkey, c_name || '。' || c_mktsegment AS t FROM customer")
+@query(
+    "feature_texts",
+    """
+    WITH c AS (SELECT c_custkey, c_name AS title, CASE WHEN c_custkey % 3 > 0 THEN ' body ' || c_custkey || ' ' ELSE '  ' END AS body, CASE WHEN c_custkey % 2 = 0 THEN 't' || c_nationkey END AS caption, c_mktsegment AS seg, c_nationkey FROM customer)
+    SELECT c_custkey, body AS raw, concat_ws(chr(10), 'p' || c_nationkey, title, nullif(trim(body), ''), caption, CASE WHEN caption IS NOT NULL THEN 'a | b' END) AS sparse, concat_ws(chr(10), title, nullif(trim(body), ''), caption) AS dense,
+           CASE WHEN c_nationkey % 4 > 0 THEN seg || ' / ' || 'n' || c_nationkey || ' ‖ ' ELSE '' END || concat_ws(chr(10), coalesce(nullif(trim(body), ''), title), caption) AS context_aug FROM c
+    """,
+)
 def feature_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", T.joined(F.col("c_name"), F.lit(" "), F.col("c_mktsegment"), by="。").alias("t"))
+    given = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey", "concat('p', c_nationkey) AS path", "c_name AS title", "CASE WHEN c_custkey % 3 > 0 THEN concat(' body ', c_custkey, ' ') ELSE '  ' END AS body", "CASE WHEN c_custkey % 2 = 0 THEN concat('t', c_nationkey) END AS caption",
+        "CASE WHEN c_nationkey % 4 > 0 THEN array(c_mktsegment, '', concat('n', c_nationkey)) END AS above",
+    )
+    whole = T.table_text(F.col("caption"), F.array(F.lit("a"), F.lit("b")), F.array().cast("array<array<string>>"))
+    made = T.feature_texts(*map(F.col, ("path", "title", "body", "caption")), F.when(F.col("caption").isNotNull(), whole), F.col("above"))
+    return given.select("c_custkey", *[c.alias(name) for name, c in made.items()])
+
+
+@query(
+    "item_texts",
+    """
+    SELECT p_partkey, concat_ws('。', p_name, CASE WHEN p_size % 3 > 0 THEN '特征:' || p_brand || CASE WHEN p_size % 3 = 2 THEN '/' || p_size ELSE '' END END, CASE WHEN p_partkey % 2 = 0 THEN p_type END, CASE WHEN p_partkey % 5 > 0 THEN '第' || p_size || '章' END) AS t FROM part
+    """,
+)
+def item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "concat(' ', p_name) AS name", "CASE p_size % 3 WHEN 1 THEN array(p_brand, ' ') WHEN 2 THEN array(p_brand, NULL, CAST(p_size AS STRING)) END AS features", "CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_name END AS category",
+        "CASE WHEN p_partkey % 5 > 0 THEN concat('第', p_size, '章') ELSE '' END AS chapter",
+    )
+    return given.select("p_partkey", T.item_text(F.col("name"), F.col("features"), F.col("category"), F.col("chapter")).alias("t"))
+
+
+@query(
+    "index_rows",
+    """
+    SELECT doc_id, left(coalesce(text, ''), 65000) AS content, CAST(1 + doc_id % 3 AS INT) AS node_level, CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id % 7 ELSE 0 END AS INT) AS page, CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id - 1 AS VARCHAR) ELSE '' END AS parent_id FROM documents
+    """,
+)
+def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    above = "CASE doc_id % 3 WHEN 0 THEN array() WHEN 1 THEN array(CAST(doc_id - 1 AS STRING)) ELSE array('r', CAST(doc_id - 1 AS STRING)) END AS ancestors"
+    given = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", above, "CASE WHEN doc_id % 2 = 0 THEN array(CAST(doc_id % 7 AS INT), 99) ELSE array() END AS pages")
+    return C.index_rows(given, "doc_id", "text", "ancestors", "pages")
 
 
 @query("greedy_near_duplicates", None)

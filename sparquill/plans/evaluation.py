@@ -265,3 +265,18 @@ def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     made = E.run_checks(runs, refusals=["不在服务范围", "无法提供"], elsewhere=["广东", "江苏"])
     return made.select("id", F.col("terminal.code"), F.col("terminal.cited"), F.col("terminal.asked"), F.col("terminal.refused"), F.col("passed").alias("terminal"), F.col("policy.no_region_leak").alias("clean"))
+
+
+_KEPT = "count(*) AS n, count(kept) AS evaluable, round(count(kept) / count(*), 4) AS coverage, round(avg(CASE WHEN kept THEN 1.0 WHEN NOT kept THEN 0 END), 4) AS rate"
+
+
+@query(
+    "policy_rates",
+    f"""
+    WITH e AS (SELECT o_orderpriority AS kind, policy, CASE policy WHEN 'no_leak' THEN o_orderstatus <> 'P' WHEN 'asked' THEN CASE WHEN o_custkey % 3 > 0 THEN o_orderkey % 2 = 0 END END AS kept FROM orders, (VALUES ('no_leak'), ('asked'), ('unseen')) t(policy))
+    SELECT policy, kind AS scope, {_KEPT} FROM e GROUP BY ALL UNION ALL SELECT policy, 'all', {_KEPT} FROM e GROUP BY policy
+    """,
+)
+def policy_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = "map('no_leak', o_orderstatus <> 'P', 'asked', CASE WHEN o_custkey % 3 > 0 THEN o_orderkey % 2 = 0 END, 'unseen', CAST(NULL AS BOOLEAN)) AS verdicts"
+    return E.policy_rates(table(spark, sf_dir, "orders").selectExpr("o_orderpriority", judged), "verdicts", "o_orderpriority")

@@ -211,3 +211,17 @@ def structured_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("p", V.packed_content(F.col("v"), F.col("m"))).withColumn("back", V.restored_content(F.col("p.content"), F.col("p.metadata")))
     marked = lambda k: F.map_contains_key("p.metadata", k)
     return e.select("event_id", "p.content", marked("content_is_json").alias("is_json"), marked("content_is_dict").alias("is_dict"), (F.to_json("back") == F.to_json("v")).alias("same"))
+
+
+@query(
+    "new_facts",
+    """
+    WITH k AS (SELECT DISTINCT event_type, user_id % 50 AS u FROM events WHERE event_id % 40 = 0) SELECT min(event_id) AS event_id FROM events e WHERE event_id % 40 > 0
+    AND NOT EXISTS (SELECT 1 FROM k WHERE k.event_type = e.event_type AND u = e.user_id % 50) GROUP BY event_type, user_id % 50
+    """,
+)
+def new_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    facts = e.where("event_id % 40 > 0").selectExpr("event_id", "concat(' ', CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END, repeat(' ', CAST(event_id % 3 AS INT) + 1), user_id % 50) AS content")
+    known = e.where("event_id % 40 = 0").selectExpr("concat(event_type, ' ', user_id % 50, ' ') AS content")
+    return V.new_facts(facts, known, "content", "event_id").select("event_id")

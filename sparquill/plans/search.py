@@ -202,3 +202,12 @@ def gram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = p.selectExpr("p_partkey AS x", "p_name AS s").join(p.selectExpr("p_partkey - 1 AS x", "p_partkey AS y", "p_name AS t"), "x")
     a, b = T.grams(F.col("s")), T.grams(F.col("t"))
     return both.select("x", "y", F.round(T.coverage(a, b), 6).alias("coverage"), F.round(T.jaccard(a, b), 6).alias("jaccard"))
+
+
+@query("cell_search_recall", "SELECT CAST(count(*) AS BIGINT) AS queries, true AS enough FROM embeddings")
+def cell_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of cells against exact neighbours: at least 0.9 of the ten best are found."""
+    e = table(spark, sf_dir, "embeddings")
+    near = S.nearest_in_cells(e, e, 10, "vec_id", "vec_id", "embedding", cells=16, probes=12).select("query_id", "id", F.lit(1).alias("hit"))
+    both = neighbours(spark, sf_dir).select("query_id", "id").join(near, ["query_id", "id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("enough"))
