@@ -13,7 +13,9 @@ Skew: copies collapse in the partial aggregates, and names go back to rows by pl
 partitions AQE can split. No group is gathered in one task.
 
 Edge cases: null and blank texts are the same empty text; a null id sorts after any other in a tie; repeated rows
-(same id, same text) form one group in which exactly one row is kept; an empty table gives an empty result.
+(same id, same text) form one group in which exactly one row is kept; a very long text is named whole, in as many
+levels as it has binary digits of blocks; only the id and text columns are read, so further columns of any name do no
+harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import KEY, SPACE, keyed, materialize
+from sparquill.llm.common import KEY, SPACE, key_id_text, keyed, materialize
 
 BLOCK_CHARS = 4096
 
@@ -44,15 +46,16 @@ def exact_groups(
     text_col: str = "text",
     block_chars: int = BLOCK_CHARS,
     digest: Callable[[Column], Column] = sha256,
+    key: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: ``_row_key``, id, keep_id, group_size, kept, text_sha256.
 
-    ``docs`` may already carry ``_row_key`` (see ``keyed``).
+    ``key`` names a column of unique longs, if ``docs`` has one.
     """
-    rows = docs if KEY in docs.columns else keyed(docs, id_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = key_id_text(docs, id_col, text_col, key)
+    text = F.coalesce("text", F.lit(""))
     base = rows.select(
-        KEY, F.col(id_col).alias("id"), F.length(text).alias("n_points"), F.regexp_replace(text, f"{SPACE}+", "").alias("norm")
+        KEY, "id", F.length(text).alias("n_points"), F.regexp_replace(text, f"{SPACE}+", "").alias("norm")
     )
     blocks = F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), 0)
     marks = materialize(
@@ -109,6 +112,6 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they came."""
-    rows = keyed(docs, id_col)
-    kept = exact_groups(rows, id_col, text_col).where("kept").select(KEY)
-    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+    rows, key = keyed(docs, id_col)
+    kept = exact_groups(rows, id_col, text_col, key=key).where("kept").select(F.col(KEY).alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
