@@ -149,30 +149,37 @@ def schemes(quotas: DataFrame, bill: str, most: int = MOST_SCHEMES, alternatives
     scheme. The score is the least confidence. One bill's quotas are one group: a handful by nature.
     """
     kinds = dict(quotas.dtypes)
+    item = F.struct("ordinal", "quota_code", F.col("confidence").cast("double").alias("c"), F.col("base_price").cast("double").alias("p"))
+    listed = quotas.groupBy(bill).agg(F.array_sort(F.collect_list(item)).alias("q"))
+    listed = listed.select(bill, F.col("q.quota_code"), F.col("q.c"), F.col("q.p"))  # a field of an array of structs is an array
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ordinal", ignore_index=True)
+    def ways(codes: list[str], trust: list[float | None], price: list[float | None]) -> list[tuple]:
         by: dict[str, list[int]] = {}
-        for i, code in enumerate(group["quota_code"]):
+        for i, code in enumerate(codes):
             by.setdefault(code[:6], []).append(i)
-        trust = group["confidence"].astype(float)
-        choices = [sorted(g, key=lambda i: -(trust[i] if trust[i] == trust[i] else -1.0))[:alternatives] for g in by.values() if len(g) > 1]
+        worth = [-1.0 if t is None or t != t else t for t in trust]
+        choices = [sorted(g, key=lambda i: -worth[i])[:alternatives] for g in by.values() if len(g) > 1]
         fixed = [g[0] for g in by.values() if len(g) == 1]
         size = 1
         for c in choices:
             size *= len(c)
-        picks = [sorted([*fixed, *p]) for p in product(*choices)] if choices and size <= MOST_COMBINATIONS else [list(range(len(group)))]
+        picks = [sorted([*fixed, *p]) for p in product(*choices)] if choices and size <= MOST_COMBINATIONS else [list(range(len(codes)))]
         made = []
         for p in picks:
-            part = group.iloc[p]
-            known = part["confidence"].dropna().astype(float)
-            priced = part["base_price"].dropna().astype(float)
-            made.append((group[bill].iat[0], part["quota_code"].tolist(), float(known.min()) if len(known) else None, round(float(priced.sum()), 2) if len(priced) else None))
-        made.sort(key=lambda m: -(m[2] if m[2] is not None else -1.0))
-        return pd.DataFrame([(m[0], n, m[1], m[2], m[3]) for n, m in enumerate(made[:most], 1)], columns=[bill, "scheme", "codes", "score", "base_price"])
-
-    cols = [bill, "ordinal", "quota_code", "confidence", "base_price"]
-    return quotas.select(*cols).groupBy(bill).applyInPandas(run, f"{bill} {kinds[bill]}, scheme int, codes array<string>, score double, base_price double")
+            known = [trust[i] for i in p if trust[i] is not None and trust[i] == trust[i]]
+            priced = [price[i] for i in p if price[i] is not None and price[i] == price[i]]
+            made.append(([codes[i] for i in p], min(known) if known else None, round(sum(priced), 2) if priced else None))
+        made.sort(key=lambda m: -(m[1] if m[1] is not None else -1.0))
+        return made[:most]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (b, n, *m) for b, codes, c, p in zip(batch[bill], batch["quota_code"], batch["c"], batch["p"], strict=True) for n, m in enumerate(ways(list(codes), list(c), list(p)), 1)
+            ]
+            yield pd.DataFrame(rows, columns=[bill, "scheme", "codes", "score", "base_price"])
+
+    return listed.mapInPandas(run, f"{bill} {kinds[bill]}, scheme int, codes array<string>, score double, base_price double")
 
 
 def trend(prices: DataFrame, keys: list[str], period: str, price: str) -> DataFrame:
