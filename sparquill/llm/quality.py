@@ -4,24 +4,27 @@ A document is a bag of passages of about ``PASSAGE`` bytes. Every passage of the
 of byte-class pairs, how well it compresses, its length) and embedded; gated attention weights the passages of a
 document; a logistic unit scores the weighted sum. Only the document's label trains encoder, attention and scorer.
 
-Training takes at most ``SAMPLE_DOCS`` labelled documents and ``SAMPLE_PASSAGES`` passages, the first by a hash of
-the id: the one bounded sample here. Scoring reads every whole text in Arrow batches, with no shuffle.
-
-Edge cases: null and empty texts are one empty passage and get a score; a label row that is null, repeated or has
-no document is ignored (of repeated labels the least counts); without labels of both classes the score is the
-share of label 1, or 1.0 without any; repeated rows are scored each; an empty table gives an empty result.
+Training takes at most ``SAMPLE_DOCS`` labelled documents and ``SAMPLE_PASSAGES`` passages in all, the first by a hash
+of the id among those that are documents of the table: the one bounded sample here. Scoring reads every whole text in
+Arrow batches, with no shuffle; only the text goes to Python and only the score comes back.
+
+Edge cases: null and empty texts are one empty passage and get a score; very long texts are scored whole, but one of
+more than ``SAMPLE_PASSAGES`` passages is not learnt from; a label row that is null, repeated or has no document is
+ignored (of repeated labels the least counts); without labels of both classes the score is the share of label 1, or
+1.0 without any; repeated rows are scored each; columns of any other name stay as they are; an empty table gives an
+empty result.
 """
 
-from __future__ import annotations
-
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparquill.llm.common import free_name, raw_texts
+
 PASSAGE, SAMPLE_DOCS, SAMPLE_PASSAGES = 512, 3000, 40_000
 HIDDEN, ATTENTION, EPOCHS, BATCH = 32, 16, 20, 64
 THRESHOLD = 0.3
@@ -38,9 +41,8 @@ PAIRS = KINDS * KINDS
 WIDTH = PAIRS + 3
 
 
-def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def encode(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Passage features (float32, one row each) and the first row of each text."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     size = np.array([len(b) for b in raw], dtype=np.int64)
     parts = np.maximum(1, np.rint(size / PASSAGE).astype(np.int64))
     first = np.concatenate(([0], np.cumsum(parts)[:-1]))
@@ -65,16 +67,17 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return x, first
 
 
-def _parts(texts: list[str | None], part_bytes: int = 1 << 20) -> Iterator[list[str | None]]:
+def _parts(texts: Iterable[bytes], part_bytes: int = 1 << 20) -> Iterator[list[bytes]]:
     """Runs of texts of about ``part_bytes``, since encoding takes some 40 times that for a while."""
-    at = 0
-    while at < len(texts):
-        end, held = at, 0
-        while end < len(texts) and (end == at or held < part_bytes):
-            held += len(texts[end] or "") + 64
-            end += 1
-        yield texts[at:end]
-        at = end
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t) + 64
+        if held >= part_bytes:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 def _forward(m: dict, x: np.ndarray, first: np.ndarray) -> dict:
@@ -101,7 +104,7 @@ def _gradient(m: dict, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict:
     return {"We": x.T @ de, "be": de.sum(0), "V": e.T @ dv, "U": e.T @ du, "w": (v * u).T @ ds, "c": f["z"].T @ d, "b": d.sum()}
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 17) -> dict:
+def train(texts: list[bytes], labels: list[int], seed: int = 17) -> dict:
     """Adam on the bags' cross entropy; a constant model where one class is missing."""
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
@@ -132,47 +135,54 @@ def train(texts: list[str | None], labels: list[int], seed: int = 17) -> dict:
     return m
 
 
-def score_texts(m: dict, texts: list[str | None]) -> np.ndarray:
+def score_texts(m: dict, texts: Iterable[bytes]) -> np.ndarray:
     if "constant" in m:
-        return np.full(len(texts), m["constant"])
+        return np.full(sum(1 for _ in texts), m["constant"])
     out = [_forward(m, *encode(part))["p"] for part in _parts(texts)]
     return np.concatenate(out).astype(np.float64) if out else np.empty(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn_from: F.Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
+def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict:
     """The model, from a bounded sample of the labelled documents for whose ids ``learn_from`` holds."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("i")).agg(F.min(label_col).alias("y"))
     if learn_from is not None:
         known = known.withColumn(id_col, F.col("i")).where(learn_from).select("i", "y")
-    # a bounded sample: at most SAMPLE_DOCS rows are broadcast
-    some = F.broadcast(known.orderBy(F.xxhash64("i"), "i").limit(2 * SAMPLE_DOCS))
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(some, "i")
-    sized = texts.withColumn("n", F.greatest(F.lit(1), F.round(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE)))
-    rows = sized.orderBy(F.xxhash64("i"), "i", "text").limit(SAMPLE_DOCS)
-    held, used = 0, []
-    for r in rows.toLocalIterator():
-        held += r["n"]
-        if used and held > SAMPLE_PASSAGES:
-            break
-        used.append((r["text"], int(r["y"])))
-    return train([t for t, _ in used], [y for _, y in used])
-
-
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with ``score`` and ``predicted`` (their own columns of those names give way)."""
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    passages = F.greatest(F.lit(1), F.round(F.octet_length("text") / PASSAGE)).cast("long")
+    sized = texts.select("i", passages.alias("n")).groupBy("i").agg(F.sum("n").alias("n")).join(known, "i")
+    first = sized.where(F.col("n") <= SAMPLE_PASSAGES).orderBy(F.xxhash64("i"), "i").limit(SAMPLE_DOCS).collect()  # numbers only
+    held = np.cumsum([r["n"] for r in first])
+    chosen = [(r["i"], int(r["y"])) for r, h in zip(first, held, strict=True) if h <= SAMPLE_PASSAGES]
+    if not chosen:
+        return train([], [])
+    kind = f"i {docs.schema[id_col].dataType.simpleString()}, y int"
+    # at most SAMPLE_DOCS rows are broadcast, and SAMPLE_PASSAGES passages of text come to the driver
+    used = texts.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, kind)), "i").collect()
+    used.sort(key=lambda r: (r["i"], r["text"]))
+    return train([r["text"].encode("utf-8", "surrogatepass") for r in used], [r["y"] for r in used])
+
+
+def scorer(model: dict) -> Callable[[Column], Column]:
+    """The score of a column of texts."""
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            batch["score"] = score_texts(model, batch[text_col].tolist())
-            yield batch
+            yield pa.array(score_texts(model, raw_texts(batch)), pa.float64())
+
+    return run.asNondeterministic()  # for the optimizer, which would else score again for a filter on the score
 
-    scored = docs.select(*rest).mapInPandas(run, f"{fields}, score double")
+
+def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """The columns of ``docs`` with ``score`` and ``predicted`` (their own columns of those names give way)."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "predicted")]
+    scored = docs.select(*rest, scorer(model)(F.col(f"`{text_col}`")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, learn_from: F.Column | None = None) -> DataFrame:
+def drop_rejected(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, with their columns as they came."""
-    return score(docs, fit(docs, labels, learn_from)).where("predicted = 1").select(*docs.columns)
+    name = free_name(docs, "_score")
+    kept = docs.withColumn(name, scorer(fit(docs, labels, learn_from))(F.col("text"))).where(F.col(name) >= THRESHOLD)
+    return kept.drop(name)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -49,8 +50,125 @@ def test_no_training_texts_and_none(spark):
 
 def test_class_probabilities_add_up():
     rng = np.random.default_rng(1)
-    p = np.exp(lm.log_softmax(rng.standard_normal((50, 7)).astype("f4"), np.zeros(7, "f4"), rng.integers(0, 50, (30, 4))))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    weights, rows = rng.standard_normal((50, 7)).astype("f4"), rng.integers(0, 50, (30, 4))
+    p = np.exp([lm.log_softmax(weights, np.zeros(7, "f4"), rows, np.full(30, y)) for y in range(7)])
+    assert np.allclose(p.sum(axis=0), 1, atol=1e-5)
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_path(tree, word):
+    """Slots of any word, from the tree's lists only."""
+    if word in tree.words:
+        return [int(x) for x in tree.slots[tree.words.index(word)] if x >= 0]
+    return [tree.half + zlib.crc32(word[-2:]) % tree.half, tree.half + (zlib.crc32(word) >> 7) % tree.half, tree.width - 1]
+
+
+def plain_row(value, buckets):
+    value = value * 0x9E3779B97F4A7C15 & M64
+    value ^= value >> 29
+    return (value * 0xBF58476D1CE4E5B9 & M64) >> (65 - buckets.bit_length())
+
+
+def plain_log10(tree, weights, counts, words, i):
+    """log10 P(words[i] | the words before), one softmax after the other in plain loops."""
+    start, buckets = 0x5851F42D4C957F2D, len(weights)
+    mark = lambda j: zlib.crc32(words[j]) if j >= 0 else start
+    kind = lambda j: plain_path(tree, words[j])[0] if j >= 0 else tree.width
+    near, far = mark(i - 1), mark(i - 2) ^ 0xA0761D6478BD642F
+    out, node, path = 0.0, 0, plain_path(tree, words[i])
+    for depth, slot in enumerate(path):
+        salt = node * 0xD6E8FEB86659FD93
+        features = [near + salt & M64, far + salt & M64]
+        if depth == 0:
+            features = [near, far, kind(i - 1) * 1024 + kind(i - 2) + (1 << 40), kind(i - 1) * 1024 + kind(i - 3) + (2 << 40)]
+        z = [float(tree.bias[node][s]) + sum(float(weights[plain_row(f, buckets)][s]) for f in features) for s in range(tree.width)]
+        out += (z[slot] - math.log(sum(math.exp(x) for x in z))) / math.log(10)
+        if slot >= tree.half:
+            node = 1 + slot - tree.half if depth == 0 else 1 + tree.half + (node - 1) * tree.half + slot - tree.half
+    if len(path) == 3 and path[2] == tree.width - 1:
+        cell = (path[0] - tree.half) * tree.half + path[1] - tree.half
+        out += math.log10(counts.get(words[i], 0) + 1) - tree.norm[cell]
+    return out
+
+
+def small_model(seed=3, width=8, n=400):
+    rng = random.Random(seed)
+    counts = {b"": 50} | {f"{rng.choice('abcd')}{i}{rng.choice(['ed', 's', 'ly', 'er'])}".encode(): 1 + 1000 // (i + 1) for i in range(n)}
+    words = sorted(counts, key=lambda w: (-counts[w], w))[: n - 20]  # the last ones are not in the head
+    half = width // 2
+    sums, kinds = np.zeros(half * half, np.int64), np.zeros(half * half, np.int64)
+    for w, c in counts.items():
+        cell = lm.class_of(w, half) * half + lm.subclass_of(lm.mark_of(w), half)
+        sums[cell] += c
+        kinds[cell] += 1
+    tree = lm.Tree(words, np.array([counts[w] for w in words]), sums, kinds, width)
+    return tree, counts, np.random.default_rng(seed).standard_normal((1 << 9, width)).astype("f4")
+
+
+def test_scores_are_those_of_a_plain_model():
+    tree, counts, weights = small_model()
+    rng = random.Random(4)
+    texts = [" ".join([w.decode() for w in rng.choices(sorted(counts), k=30)] + ["UNSEENed"]).encode() for _ in range(4)] + [b"", b"x"]
+    words, size, number, slots, levels = lm.Reader(tree, len(weights)).read(texts)
+    made = lm.token_scores(tree, weights, number, slots, levels)
+    at = 0
+    for text in texts:
+        own = lm.words_of(text)
+        for i, w in enumerate(own):
+            more = math.log10(counts.get(w, 0) + 1) if w not in tree.words else 0.0  # comes by a join with the counts
+            assert made[at + i] + more == pytest.approx(plain_log10(tree, weights, counts, own, i), abs=1e-4)
+        at += len(own)
+    assert at == len(words) == size.sum()
+
+
+def test_word_probabilities_add_up():
+    """Over all counted words and one unseen share of each subclass, after a history."""
+    tree, counts, weights = small_model()
+    before = sorted(counts)[5:9]
+    total = sum(10 ** plain_log10(tree, weights, counts, [*before, w], 4) for w in counts)
+    cells = set()
+    for i in range(20_000):  # an unseen word of each subclass
+        w = f"zz{i}{'edslyerxq'[i % 9]}{i % 7}".encode()
+        cell = tuple(plain_path(tree, w))
+        if w not in counts and cell not in cells:
+            cells.add(cell)
+            total += 10 ** plain_log10(tree, weights, counts, [*before, w], 4)
+    assert len(cells) == tree.half**2 and total == pytest.approx(1, abs=1e-4)
+
+
+def test_update_follows_the_gradient():
+    rng = np.random.default_rng(6)
+    weights, bias = rng.standard_normal((32, 5)).astype("f8"), rng.standard_normal(5)
+    rows, y = rng.integers(0, 32, (40, 3)), rng.integers(0, 5, 40)
+    loss = lambda w: -lm.log_softmax(w, bias, rows, y).sum()
+    after = weights.copy()
+    lm.update(after, np.full(32, 1e9), np.zeros(32, np.int64), bias, rows[:, :1], y)  # a tiny step for one feature
+    step, base = after - weights, lambda w: -lm.log_softmax(w, bias, rows[:, :1], y).sum()
+    for at in zip(*np.nonzero(np.abs(step) > 1e-9), strict=True):
+        moved = weights.copy()
+        moved[at] += 1e-5
+        slope = (base(moved) - base(weights)) / 1e-5
+        assert step[at] == pytest.approx(-lm.RATE / 4 * slope / math.sqrt(1e9), rel=0.05, abs=1e-8)
+    before = loss(weights)
+    for _ in range(30):
+        lm.update(weights, np.full(32, 1.0), np.zeros(32, np.int64), bias, rows, y)
+    assert loss(weights) < before / 2
+
+
+def test_model_grows_with_the_vocabulary():
+    sizes = [10**3, 10**6, 10**9]
+    assert [lm.width_of(v) for v in sizes] == [32, 32, 48] and lm.width_of(3 * 10**10) == 56
+    assert [lm.buckets_of(v) for v in sizes] == [1 << 14, 1 << 14, 1 << 18]
+
+
+def test_repeated_rows_and_a_very_long_text(spark):
+    long = " ".join(f"w{i % 977}" for i in range(120_000))
+    df = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (2, "w1 w2", None), (None, "w3", None)], "doc_id long, text string, rest string")
+    made = lm.score_texts(df, F.lit(False)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"]) for r in made) == [(0, 2, 2), (1, 120_001, 120_001), (1, 120_001, 120_001), (2, 3, 3)]
+    assert len({r["score"] for r in made if r["doc_id"] == 1}) == 1 and {r["train_tokens"] for r in made} == {240_007}
 
 
 def test_held_out_lm_beats_unigrams(spark):
@@ -70,7 +188,7 @@ def test_held_out_quality(spark):
 
 def test_gradient_is_that_of_the_loss():
     rng = np.random.default_rng(2)
-    x, first = quality.encode(["some text here", "", "X" * 3000])
+    x, first = quality.encode([b"some text here", b"", b"X" * 3000])
     y = np.array([1, 0, 1], "f4")
     m = {"We": rng.standard_normal((quality.WIDTH, 3)) * 0.1, "be": np.zeros(3), "V": rng.standard_normal((3, 2)), "U": rng.standard_normal((3, 2)), "w": rng.standard_normal(2), "c": rng.standard_normal(3), "b": 0.1}
     x = x.astype(float)
@@ -99,3 +217,13 @@ def test_quality_edge_cases(spark):
     assert sorted(r["doc_id"] for r in made.collect()) == [1, 2, 3]
     assert quality.drop_rejected(docs, labels.limit(0)).columns == docs.columns
     assert quality.score(docs.limit(0), model).count() == 0
+    twice = quality.score(docs.unionByName(docs), model).collect()
+    assert len(twice) == 6 and len({(r["doc_id"], r["score"]) for r in twice}) == 3
+
+
+def test_labels_without_documents_crowd_nothing_out(spark):
+    """Of very many labels only few have documents: the sample is of those."""
+    docs = spark.createDataFrame([(i, "good words here. " * 20 if i % 2 else "$$$ !!! ### " * 20, "a", 0.5) for i in range(10**6, 10**6 + 60)], "doc_id long, text string, lang string, _score double")
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality").unionByName(docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality"))
+    kept = quality.drop_rejected(docs, labels)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] % 2 for r in kept.collect()) == [1] * 30
