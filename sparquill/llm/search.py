@@ -1,20 +1,28 @@
-"""Operator 9, exact top-k search: BM25 over an inverted index with block-max dynamic pruning, by shard.
-
-1. One pass over the whole texts builds an index shard from every ``SHARD_BYTES`` of text or so: terms, postings in
-   document order, and for each term and block of ``BLOCK`` documents the entry's range. Shards are written once.
-2. Queries come in blocks of bounded size (``QUERY_ROWS`` rows and ``QUERY_BYTES`` of text; a longer text is a block
-   of its own); a block is broadcast. Document frequencies of its terms are summed over all shards first, so every
-   shard scores with the same global statistics.
-3. In a shard, each query adds up its terms' block maxima. The best blocks are scored first and set the threshold;
-   of the others only blocks whose bound reaches it are scored, which is the pruning of block-max WAND with whole
-   numpy batches for its cursor moves. Each shard returns its exact top k, and the union's top k is exact.
+"""Operator 9, exact top-k search: BM25 over an inverted index with block-max WAND pruning, by shard.
+
+1. One pass over the whole texts builds an index shard from every ``SHARD_BYTES`` of text or so. Within a shard,
+   documents are ordered by their most frequent word, then by length, so that the ``BLOCK`` documents of a block are
+   alike and bounds are tight. For each term and block the index stores the maximum: the greatest term frequency and
+   the least document length there, which bound the term's score for whatever mean length the corpus has in the end.
+2. Query rows are numbered and packed into blocks of at most ``QUERY_ROWS`` rows and about ``QUERY_BYTES`` of text (a
+   longer text is a block of its own). A packed block, not the texts, is what the driver reads and broadcasts.
+   Document frequencies of its terms are summed over all shards first, so every shard scores with global statistics.
+3. Shards are searched in rounds, each ``GROWTH`` times as many as the one before; the k best so far give each
+   query's threshold for the next round, so all rounds together return about ``GROWTH`` * k rows per query and round,
+   and the number of rounds grows with the logarithm of the shards.
+4. In a shard, each query adds up its terms' block maxima and walks the blocks from the greatest bound down: a run
+   of blocks is scored, the threshold rises to the k-th best score met by this task so far, and the walk ends at the
+   first block whose bound is under it. These are the pivots of block-max WAND, with numpy batches for cursor moves.
+   A task keeps only the k best of a query over all its shards. The union's top k is exact.
 
 Score: sum over query terms of qtf * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)),
 rounded to 6 places; ties go to the smaller id.
 
 Edge cases: null and empty texts match nothing and, as queries, return no row; documents without a common term are
-not returned, so a query may have fewer than k rows; repeated rows are ranked each; null ids are not indexed; an empty
-table gives an empty result.
+not returned, so a query may have fewer than k rows; repeated documents are ranked each; every row of ``queries`` is a
+query of its own, also where ids repeat; null ids are not indexed (as queries they are answered under a null id); very
+long texts are indexed whole, in a shard of their own if need be; only the named columns are read, so further columns
+of any name do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,59 +32,185 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparquill.llm.common import materialize
+from sparquill.llm.common import ONE_ROW_GROUPS, arrow_rows, materialize, raw_texts
 
 K1, B = 1.5, 0.75
 SHARD_BYTES, BLOCK = 8 << 20, 64
 QUERY_ROWS, QUERY_BYTES = 4000, 16 << 20
+GROWTH, FIRST_SHARDS = 16, 6
+
+
+def terms_of(raw: bytes) -> list[bytes]:
+    return raw.lower().split()
+
+
+class _Shard:
+    """One shard under construction: words are numbered as they come, so that only numbers are held."""
+
+    def __init__(self, block: int):
+        self.block = block
+        self.number: dict[bytes, int] = {}
+        self.ids: list[int] = []
+        self.words: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, doc_id: int, raw: bytes) -> None:
+        number = self.number
+        self.ids.append(doc_id)
+        self.words.append(np.array([number.setdefault(w, len(number)) for w in terms_of(raw)], np.int32))
+        self.held += len(raw) + 64
+
+    def row(self) -> dict:
+        n, v = len(self.ids), max(1, len(self.number))
+        size = np.array([len(w) for w in self.words], np.int64)
+        cell = np.concatenate(self.words).astype(np.int64)
+        self.words = []
+        cell += np.repeat(np.arange(n) * v, size)
+        cell.sort()
+        head = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+        tf = np.diff(np.append(head, len(cell)))
+        cell = cell[head]
+        doc, term = cell // v, cell % v
+        # alike documents next to each other: by most frequent word, then length
+        top = np.full(n, -1, np.int64)
+        by_count = np.argsort(tf, kind="stable")
+        top[doc[by_count]] = term[by_count]  # the last write of a document is its most frequent word
+        order = np.lexsort((size, top))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        size, doc = size[order], place[doc]
+        by_term = np.lexsort((doc, term))
+        doc, term, tf = doc[by_term], term[by_term], tf[by_term]
+        n_blocks = -(-n // self.block)
+        entry = term * n_blocks + doc // self.block
+        first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1])) if len(entry) else np.empty(0, np.int64)
+        most = np.maximum.reduceat(tf, first) if len(first) else first
+        least = np.minimum.reduceat(size[doc], first) if len(first) else first
+        return {
+            "ids": np.array(self.ids, "<i8")[order].tobytes(),
+            "size": size.astype("<i4").tobytes(),
+            "terms": b"\n".join(self.number),
+            "df": np.bincount(term, minlength=len(self.number)).astype("<i4").tobytes(),
+            "doc": doc.astype("<i4").tobytes(),
+            "tf": tf.astype("<i4").tobytes(),
+            "entry_term": np.bincount(entry[first] // n_blocks, minlength=len(self.number)).astype("<i4").tobytes(),
+            "entry_block": (entry[first] % n_blocks).astype("<i4").tobytes(),
+            "entry_first": first.astype("<i4").tobytes(),
+            "entry_most": most.astype("<i4").tobytes(),
+            "entry_least": least.astype("<i4").tobytes(),
+            "n_docs": n,
+            "n_words": int(size.sum()),
+        }
+
+
+_BLOBS = "ids size terms df doc tf entry_term entry_block entry_first entry_most entry_least".split()
+_SHARD = pa.schema([*((c, pa.binary()) for c in _BLOBS), ("n_docs", pa.int64()), ("n_words", pa.int64())])
+_SHARD_KIND = ", ".join(f"{c} binary" for c in _BLOBS) + ", n_docs long, n_words long"
+
+
+def _builder(shard_bytes: int, block: int):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = _Shard(block)
+        for batch in batches:
+            for i, raw in zip(batch.column("id").to_pylist(), raw_texts(batch.column("text")), strict=True):
+                shard.add(i, raw)
+                if shard.held >= shard_bytes:
+                    yield pa.RecordBatch.from_pylist([shard.row()], _SHARD)
+                    shard = _Shard(block)
+        if shard.ids:
+            yield pa.RecordBatch.from_pylist([shard.row()], _SHARD)
 
-
-def terms_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return build
 
 
-def _shard(ids: list[int], texts: list[list[bytes]]) -> dict:
-    number: dict[bytes, int] = {}
-    flat = np.array([number.setdefault(w, len(number)) for ws in texts for w in ws], np.int64)
-    size = np.array([len(ws) for ws in texts], np.int64)
-    cell, tf = np.unique(flat * len(texts) + np.repeat(np.arange(len(texts)), size), return_counts=True)
-    term, doc = cell // len(texts), cell % len(texts)
-    return {
-        "ids": np.array(ids, "<i8").tobytes(),
-        "size": size.astype("<i4").tobytes(),
-        "terms": b"\n".join(number),
-        "df": np.bincount(term, minlength=len(number)).astype("<i4").tobytes(),
-        "doc": doc.astype("<i4").tobytes(),
-        "tf": tf.astype("<i4").tobytes(),
-        "n_docs": len(ids),
-        "n_words": int(size.sum()),
-    }
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, block: int = BLOCK) -> DataFrame:
+    """The index table: one row a shard, ``round`` says in which round the shard is searched (0 is the last)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    made = rows.mapInArrow(_builder(shard_bytes, block), _SHARD_KIND)
+    # the share of shards of round r and earlier ones is GROWTH ** -r: as many leading zeros of a hash in base GROWTH
+    draw = F.pmod(F.xxhash64("ids"), F.lit(GROWTH**8))
+    return materialize(made.withColumn("round", sum((draw < GROWTH ** (8 - r)).cast("int") for r in range(1, 9))), "index", **ONE_ROW_GROUPS)
 
 
-_SHARD_KIND = "ids binary, size binary, terms binary, df binary, doc binary, tf binary, n_docs long, n_words long"
+def _pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Query rows of a block (which are neighbours) as numbers into the block part's own term list."""
+    part: list[tuple] = []
+    held, now = 0, None
 
+    def done() -> pd.DataFrame:
+        number: dict[bytes, int] = {}
+        term = [number.setdefault(t, len(number)) for *_, c in part for t in c]
+        size = [len(c) for *_, c in part]
+        return pd.DataFrame(
+            [
+                {
+                    "block": now,
+                    "query": np.array([q for q, _, _ in part], "<i8").tobytes(),
+                    "size": np.array(size, "<i4").tobytes(),
+                    "words": b"\n".join(number),
+                    "term": np.array(term, "<i4").tobytes(),
+                    "tf": np.array([n for *_, c in part for n in c.values()], "<i4").tobytes(),
+                }
+            ]
+        )
 
-def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    ids, texts, held = [], [], 0
     for batch in batches:
-        for i, text in zip(batch["id"].tolist(), batch["text"], strict=True):
-            ids.append(i)
-            texts.append(terms_of(text))
-            held += len(text or "") + 64
-            if held >= SHARD_BYTES:
-                yield pd.DataFrame([_shard(ids, texts)])
-                ids, texts, held = [], [], 0
-    if ids:
-        yield pd.DataFrame([_shard(ids, texts)])
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    return materialize(rows.mapInPandas(_build, _SHARD_KIND), "index")
+        for block, query, text in batch[["block", "query", "text"]].itertuples(index=False):
+            if part and (block != now or held > 1 << 20):
+                yield done()
+                part, held = [], 0
+            counts = Counter(terms_of((text or "").encode("utf-8", "surrogatepass")))
+            now = block
+            if counts:
+                part.append((query, block, counts))
+                held += len(text) + 64
+    if part:
+        yield done()
+
+
+def _packed(queries: DataFrame, query_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The numbered query rows, and their packed blocks (rows of about a megabyte)."""
+    numbered = queries.select(F.monotonically_increasing_id().alias("query"), F.col("id").cast("long").alias("query_id"), "text")
+    numbered = materialize(numbered, "queries")
+    # blocks: rows and bytes before a row, summed over chunks of rows first, so that no task holds all of them
+    sized = numbered.select("query", (F.octet_length(F.coalesce("text", F.lit(""))) + 64).cast("long").alias("n"), F.shiftright("query", 10).alias("chunk"))
+    chunks = sized.groupBy("chunk").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bytes"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows"))
+    own = Window.partitionBy("chunk").orderBy("query")
+    spot = sized.join(chunks, "chunk").select(
+        "query",
+        F.floor((F.col("bytes") + F.sum("n").over(own) - F.col("n")) / QUERY_BYTES).alias("a"),
+        F.floor((F.col("rows") + F.row_number().over(own) - 1) / query_rows).alias("b"),
+    )
+    spot = spot.select("query", (F.col("a") * (1 << 31) + F.col("b")).alias("block"))
+    rows = numbered.join(spot, "query").repartition("block").sortWithinPartitions("block", "query")
+    packed = rows.select("block", "query", "text").mapInPandas(_pack, "block long, query binary, size binary, words binary, term binary, tf binary")
+    return numbered, materialize(packed, "packed")
+
+
+class _Queries:
+    """One packed block: its distinct words, and of each query the terms with their frequencies."""
+
+    def __init__(self, parts: list):
+        self.number: dict[bytes, int] = {}
+        ids, sizes, terms, tf = [], [], [], []
+        for p in sorted(parts, key=lambda p: np.frombuffer(p["query"], "<i8", 1)[0]):
+            local = np.array([self.number.setdefault(w, len(self.number)) for w in p["words"].split(b"\n")], np.int64)
+            ids.append(np.frombuffer(p["query"], "<i8"))
+            sizes.append(np.frombuffer(p["size"], "<i4").astype(np.int64))
+            terms.append(local[np.frombuffer(p["term"], "<i4")])
+            tf.append(np.frombuffer(p["tf"], "<i4").astype(np.float64))
+        self.ids, self.term, self.tf = np.concatenate(ids), np.concatenate(terms), np.concatenate(tf)
+        self.start = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
+        self.weight: np.ndarray | None = None
+        self.least = np.zeros(len(self.ids))
+        self.mean = 1.0
 
 
 def _terms(blob: bytes) -> list[bytes]:
@@ -85,7 +219,7 @@ def _terms(blob: bytes) -> list[bytes]:
 
 def _frequencies(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = shared.value["number"]
+        number = shared.value.number
         total = np.zeros(len(number), np.int64)
         for batch in batches:
             for blob, df in zip(batch["terms"], batch["df"], strict=True):
@@ -103,112 +237,145 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best: score descending, then id."""
-    hit = np.flatnonzero(score > 0)
-    if len(hit) > k:
-        hit = hit[score[hit] >= np.partition(score[hit], len(hit) - k)[len(hit) - k]]
-    return hit[np.lexsort((ids[hit], -score[hit]))][:k]
+class _Best:
+    """The k best (score, id) of each query that a task has met."""
+
+    def __init__(self, least: np.ndarray, k: int):
+        self.k, self.least = k, least.copy()
+        self.score: dict[int, np.ndarray] = {}
+        self.ids: dict[int, np.ndarray] = {}
+
+    def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
+        if q in self.score:
+            score, ids = np.concatenate((self.score[q], score)), np.concatenate((self.ids[q], ids))
+        if len(score) > self.k:
+            kth = np.partition(score, len(score) - self.k)[len(score) - self.k]
+            hit = np.flatnonzero(score >= kth)
+            hit = hit[np.lexsort((ids[hit], -score[hit]))][: self.k]
+            score, ids = score[hit], ids[hit]
+        self.score[q], self.ids[q] = score, ids
+        if len(score) == self.k:
+            self.least[q] = max(self.least[q], score.min())
+
+
+def _walk(shard, block: _Queries, best: _Best) -> None:
+    """All queries of a block over one shard."""
+    ids, dl = np.frombuffer(shard.ids, "<i8"), np.frombuffer(shard.size, "<i4")
+    doc, tf = np.frombuffer(shard.doc, "<i4").astype(np.int64), np.frombuffer(shard.tf, "<i4")
+    where, first = np.frombuffer(shard.entry_block, "<i4").astype(np.int64), np.frombuffer(shard.entry_first, "<i4").astype(np.int64)
+    high, low = np.frombuffer(shard.entry_most, "<i4").astype(np.float64), np.frombuffer(shard.entry_least, "<i4")
+    size = np.diff(np.append(first, len(doc)))
+    of_term = np.concatenate(([0], np.cumsum(np.frombuffer(shard.entry_term, "<i4").astype(np.int64))))
+    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / block.mean)[doc])  # once for all queries of the block
+    most = high * (K1 + 1) / (high + K1 * (1 - B + B * low / block.mean))  # the stored maxima, for the corpus's mean length
+    n_blocks = int(where.max(initial=0)) + 1
+    local = np.full(len(block.number), -1, np.int64)
+    at = np.array([block.number.get(t, -1) for t in _terms(shard.terms)], np.int64)
+    local[at[at >= 0]] = np.flatnonzero(at >= 0)
+    all_terms, start, least = local[block.term], block.start.tolist(), best.least
+    chosen = np.zeros(n_blocks, bool)
+    for q in range(len(start) - 1):
+        t, w = all_terms[start[q] : start[q + 1]], block.weight[start[q] : start[q + 1]]
+        here = t >= 0
+        t, w = t[here], w[here]
+        if not len(t):
+            continue
+        n = of_term[t + 1] - of_term[t]
+        entry, weight = _ranges(of_term[t], n), np.repeat(w, n)
+        spot = where[entry]
+        bound = np.bincount(spot, most[entry] * weight, n_blocks) * (1 + 1e-9) + 1e-6
+        todo = np.flatnonzero((bound >= least[q]) & (bound > 1e-6))
+        todo = todo[np.argsort(-bound[todo], kind="stable")]
+        # the first run makes a threshold, or halves the work under the one there is; the next one takes what is still over it
+        step = 1 + best.k // BLOCK
+        step = step if least[q] == 0 else max(step, len(todo) // 2)
+        while len(todo):
+            some, todo = todo[:step], todo[step:]
+            chosen[:] = False
+            chosen[some] = True
+            mine = np.flatnonzero(chosen[spot])
+            e = entry[mine]
+            p = _ranges(first[e], size[e])
+            score = np.round(np.bincount(doc[p], impact[p] * np.repeat(weight[mine], size[e]), len(ids)), 6)
+            hit = np.flatnonzero((score >= least[q]) & (score > 0))
+            if len(hit):
+                best.add(q, score[hit], ids[hit])
+            todo = todo[bound[todo] >= least[q]]
+            step = max(step, -(-len(todo) // 2))
 
 
 def _searcher(shared, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = shared.value
-        number, idf, mean = block["number"], block["idf"], block["mean"]
+        best = _Best(block.least, k)
         for batch in batches:
             for shard in batch.itertuples(index=False):
-                ids, dl = np.frombuffer(shard.ids, "<i8"), np.frombuffer(shard.size, "<i4")
-                at = np.array([number.get(t, -1) for t in _terms(shard.terms)], np.int64)
-                df = np.frombuffer(shard.df, "<i4").astype(np.int64)
-                local = np.full(len(number) + 1, -1, np.int64)  # the block's term -> the shard's, without postings no more
-                keep = np.flatnonzero(at >= 0)
-                local[at[keep]] = np.arange(len(keep))
-                take = _ranges((np.cumsum(df) - df)[keep], df[keep])
-                doc, tf = np.frombuffer(shard.doc, "<i4")[take].astype(np.int64), np.frombuffer(shard.tf, "<i4")[take].astype(np.float64)
-                impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[doc] / mean))
-                term = np.repeat(np.arange(len(keep)), df[keep])
-                impact *= idf[at[keep]][term]
-                n_blocks = -(-len(ids) // BLOCK)
-                cell = term * n_blocks + doc // BLOCK
-                first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
-                size = np.diff(np.append(first, len(cell)))
-                most = np.maximum.reduceat(impact, first) if len(cell) else np.empty(0)
-                owner, where = cell[first] // n_blocks, cell[first] % n_blocks
-                of_term = np.searchsorted(owner, np.arange(len(keep) + 1))
-                out_q, out_d, out_s = [], [], []
-                for q, q_terms, q_tf in block["queries"]:
-                    t = local[q_terms]
-                    w, t = q_tf[t >= 0], t[t >= 0]
-                    if not len(t):
-                        continue
-                    n = of_term[t + 1] - of_term[t]
-                    entry, weight = _ranges(of_term[t], n), np.repeat(w, n)
-                    bound = np.bincount(where[entry], most[entry] * weight, n_blocks)
-                    score = np.zeros(len(ids))
-
-                    def add(blocks: np.ndarray, entry=entry, weight=weight, score=score) -> None:
-                        mine = blocks[where[entry]]
-                        e = entry[mine]
-                        p = _ranges(first[e], size[e])
-                        score += np.bincount(doc[p], impact[p] * np.repeat(weight[mine], size[e]), len(ids))
-
-                    lead = np.zeros(n_blocks, bool)
-                    lead[np.argsort(-bound, kind="stable")[: 1 + -(-k // BLOCK)]] = True
-                    add(lead)
-                    so_far = np.round(score, 6)
-                    least = np.partition(so_far, len(so_far) - k)[len(so_far) - k] if len(so_far) >= k else 0.0
-                    rest = (bound > 0) & (bound * (1 + 1e-9) + 1e-6 >= least) & ~lead
-                    if rest.any():
-                        add(rest)
-                    score = np.round(score, 6)
-                    best = _best(score, ids, k)
-                    out_q.append(np.full(len(best), q))
-                    out_d.append(ids[best])
-                    out_s.append(score[best])
-                yield pd.DataFrame({"query_id": np.concatenate(out_q), "doc_id": np.concatenate(out_d), "score": np.concatenate(out_s)}) if out_q else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "doc_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                _walk(shard, block, best)
+        met = list(best.score)
+        n = [len(best.score[q]) for q in met]
+        yield pd.DataFrame(
+            {
+                "query": np.repeat(block.ids[met], n) if met else np.empty(0, np.int64),
+                "doc_id": np.concatenate([best.ids[q] for q in met]) if met else np.empty(0, np.int64),
+                "score": np.concatenate([best.score[q] for q in met]) if met else np.empty(0),
+            }
+        )
 
     return run
 
 
-def _blocks(queries: DataFrame) -> Iterator[list[tuple[int, Counter]]]:
-    """Query rows in id order, in blocks of bounded size; the driver holds one block at a time."""
-    block, held = [], 0
-    for r in queries.orderBy("id").toLocalIterator():
-        n = len(r["text"] or "")
-        if block and (len(block) >= QUERY_ROWS or held + n > QUERY_BYTES):
-            yield block
-            block, held = [], 0
-        block.append((r["id"], Counter(terms_of(r["text"]))))
-        held += n
-    if block:
-        yield block
+def _top(tops: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
+    return tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of ``index`` for each row of ``queries(id, text)``."""
     spark = index.sparkSession
-    n_docs, n_words = index.agg(F.sum("n_docs"), F.sum("n_words")).first()
+    kind = "query_id long, rank int, doc_id long, score double"
+    by_round = {r["round"]: (r["shards"], r["docs"], r["words"]) for r in index.groupBy("round").agg(F.count("*").alias("shards"), F.sum("n_docs").alias("docs"), F.sum("n_words").alias("words")).collect()}
+    n_docs, n_words = sum(x[1] for x in by_round.values()), sum(x[2] for x in by_round.values())
+    if not n_words:
+        return spark.createDataFrame([], kind)
+    # the first rounds are joined until they have a few shards
+    rounds: list[list[int]] = [[]]
+    held = 0
+    for r in sorted(by_round, reverse=True):
+        rounds[-1].append(r)
+        held += by_round[r][0]
+        if r and held >= FIRST_SHARDS:
+            rounds.append([])
+    rounds = [r for r in rounds if r]
+    numbered, packed = _packed(queries, query_rows)
     found = []
-    for rows in _blocks(queries) if n_words else ():
-        number: dict[bytes, int] = {}
-        for _, counts in rows:
-            for t in counts:
-                number.setdefault(t, len(number))
-        packed = [(q, np.array([number[t] for t in c], np.int64), np.array(list(c.values()), np.float64)) for q, c in rows]
-        shared = spark.sparkContext.broadcast({"number": number})
+    for b in [r["block"] for r in packed.select("block").distinct().orderBy("block").toLocalIterator()]:
+        block = _Queries(packed.where(F.col("block") == b).collect())  # at most query_rows rows and QUERY_BYTES, or one text
+        shared = spark.sparkContext.broadcast(block)
         parts = index.select("terms", "df").mapInPandas(_frequencies(shared), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-        df = np.zeros(len(number))
-        for r in parts.toLocalIterator():  # at most one row per term of this block
-            df[r["term"]] = r["df"]
-        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
-        shared = spark.sparkContext.broadcast({"number": number, "idf": idf, "mean": n_words / n_docs, "queries": packed})
-        tops = index.mapInPandas(_searcher(shared, k), "query_id long, doc_id long, score double")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-        tops = tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        found.append(materialize(tops.select("query_id", "rank", "doc_id", "score"), "tops"))
+        df = np.zeros(len(block.number))
+        with arrow_rows(spark, 1):
+            parts = materialize(parts, "frequencies")
+        hits = parts.toPandas()  # at most one row per term of this block
+        df[hits["term"].to_numpy(np.int64)] = hits["df"].to_numpy()
+        shared.unpersist()
+        block.weight = block.tf * np.log(1 + (n_docs - df + 0.5) / (df + 0.5))[block.term]
+        block.mean = n_words / n_docs
+        tops = None
+        for nth, some in enumerate(rounds):
+            shared = spark.sparkContext.broadcast(block)
+            more = index.where(F.col("round").isin(some)).drop("round").mapInPandas(_searcher(shared, k), "query long, doc_id long, score double")
+            with arrow_rows(spark, 1):
+                tops = materialize(_top(more if tops is None else more.unionByName(tops), k).select("query", "doc_id", "score"), "tops")
+            shared.unpersist()
+            if nth + 1 < len(rounds):  # the k-th best so far, of queries that have k
+                full = tops.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).toPandas()
+                at = np.searchsorted(block.ids, full["query"].to_numpy(np.int64))
+                block.least = np.zeros(len(block.ids))
+                block.least[at] = full["least"].to_numpy()
+        found.append(tops)
     if not found:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+        return spark.createDataFrame([], kind)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return _top(out, k).join(numbered.select("query", "query_id"), "query").select("query_id", "rank", "doc_id", "score")

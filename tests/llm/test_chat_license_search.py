@@ -80,6 +80,46 @@ def test_short_notices_in_comments_and_with_changed_words():
                 assert name in [m["license"] for m in licenses.scan_text(" ".join(["before", *changed, "after"]), index)]
 
 
+def test_long_and_repeated_rows(spark):
+    long = "lorem </s> " * 40_000
+    told = spark.createDataFrame([(1, 0, "user", long, "x"), (1, 1, "assistant", long, "y")], "conv_id long, turn long, role string, text string, loss_chars string")
+    made = chat.read_back(chat.format_turns(told)).collect()
+    assert len(made) == 1 and made[0]["loss_chars"] == len(long) and made[0]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    text = "filler words " * 30_000 + licenses.TEMPLATES["zlib-text"] + " tail"
+    found = licenses.scan(spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")).collect()
+    assert [[m["license"] for m in r["matches"]] for r in found] == [["zlib-text"]] * 3
+
+
+def best_alignment(words, template):
+    """Most matched words of the best-scoring alignment of the template anywhere in the text, by a full table."""
+    row = [(0.0, 0)] * (len(words) + 1)
+    for t in template:
+        new = [(row[0][0] - 0.5, row[0][1])]
+        for j, w in enumerate(words):
+            options = [(row[j][0] + 1, row[j][1] + 1) if w == t else (row[j][0] - 1, row[j][1]), (row[j + 1][0] - 0.5, row[j + 1][1]), (new[j][0] - 0.5, new[j][1])]
+            new.append(max(options, key=lambda x: x[0]))
+        row = new
+    return max(row)[1]
+
+
+def test_scan_against_full_alignment():
+    """What a full alignment of every template with the whole text finds; words changed or missing, none to many."""
+    rng = random.Random(10)
+    index = licenses.Index(licenses.TEMPLATES)
+    for _ in range(60):
+        name = rng.choice(list(licenses.TEMPLATES))
+        words = licenses.TEMPLATES[name].split()
+        share = rng.choice([0, 0.05, 0.1, 0.15, 0.3])
+        kept = [rng.choice([None, "other"]) if rng.random() < share else w for w in words]
+        text = " ".join(["lorem the software"] * rng.randint(0, 5) + [w for w in kept if w] + ["ipsum of the"] * rng.randint(0, 5))
+        plain = licenses.normalised(text)
+        found = {m["license"] for m in licenses.scan_text(text, index)}
+        for other, template in licenses.TEMPLATES.items():
+            t = licenses.normalised(template)
+            if other in (name, *found):
+                assert (best_alignment(plain, t) >= licenses.COVERAGE * len(t)) == (other in found), (name, other, share)
+
+
 def brute_bm25(texts, queries, k):
     words = {i: Counter((t or "").encode().lower().split()) for i, t in texts}
     n, mean = len(texts), sum(sum(w.values()) for w in words.values()) / len(texts)
@@ -98,14 +138,39 @@ def brute_bm25(texts, queries, k):
     return sorted(out)
 
 
-def test_search_against_brute_force(spark, monkeypatch):
-    for name, value in (("SHARD_BYTES", 3000), ("BLOCK", 4), ("QUERY_ROWS", 7)):
-        monkeypatch.setattr(search, name, value)
+def test_search_against_brute_force(spark):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(60)]
     texts = [(i, " ".join(rng.choices(vocabulary, weights=range(60, 0, -1), k=rng.randint(0, 40)))) for i in range(150)] + [(200, None), (201, "w1 w1"), (202, "w1 w1")]
-    docs = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, tf int").repartition(3)
+    texts += [(300, " ".join(rng.choices(vocabulary, k=9000)))]  # very long: a shard of its own
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in texts], "doc_id long, text string, tf int, round string").repartition(3)
     asked = [(i, t) for i, t in texts if i % 10 == 0]
-    found = search.search(search.build_index(docs), spark.createDataFrame(asked, "id long, text string"), k=5)
-    assert sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in found.collect()) == brute_bm25(texts, asked, 5)
-    assert search.search(search.build_index(docs.limit(0)), spark.createDataFrame(asked, "id long, text string")).count() == 0
+    for block, shard_bytes, rows in ((4, 600, 7), (64, 1 << 20, 4000)):
+        index = search.build_index(docs, shard_bytes=shard_bytes, block=block)
+        found = search.search(index, spark.createDataFrame(asked, "id long, text string"), k=5, query_rows=rows)
+        assert sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in found.collect()) == brute_bm25(texts, asked, 5)
+    queries = spark.createDataFrame(asked, "id long, text string")
+    assert search.search(search.build_index(docs.limit(0)), queries).count() == 0 == search.search(index, queries.limit(0)).count()
+
+
+def test_search_repeated_rows(spark):
+    docs = spark.createDataFrame([(i % 7, f"a{i % 7} b") for i in range(14)] + [(None, "b")], "doc_id long, text string")
+    index = search.build_index(docs)
+    asked = spark.createDataFrame([(1, "b"), (1, "b"), (None, "a3"), (2, None), (2, " \n")], "id long, text string")
+    rows = [(r["query_id"], r["rank"], r["doc_id"]) for r in search.search(index, asked, k=14).collect()]
+    whole = [(1, i + 1, i // 2) for i in range(14)]  # each repeated document twice, each repeated query for itself
+    assert sorted(r for r in rows if r[0]) == sorted(whole * 2)
+    assert sorted(r[1:] for r in rows if r[0] is None) == [(1, 3), (2, 3)]
+
+
+def test_index_stores_block_maxima():
+    shard = search._Shard(2)
+    for i, text in enumerate(["a a b", "b", "a c c c c", "a"]):
+        shard.add(i, text.encode())
+    row = shard.row()
+    ints = lambda k: [int.from_bytes(row[k][j : j + 4], "little") for j in range(0, len(row[k]), 4)]
+    size, entries = ints("size"), list(zip(ints("entry_block"), ints("entry_first"), ints("entry_most"), ints("entry_least"), strict=True))
+    ends = [e[1] for e in entries[1:]] + [len(ints("doc"))]
+    for (block, first, most, least), end in zip(entries, ends, strict=True):
+        docs = ints("doc")[first:end]
+        assert {d // 2 for d in docs} == {block} and most == max(ints("tf")[first:end]) and least == min(size[d] for d in docs)
