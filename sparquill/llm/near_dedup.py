@@ -6,38 +6,43 @@ that is, pi shifted circularly by k. Coordinates are cut into bands; documents t
 
 1. One Arrow pass reads each text whole: set size, digest of the word sequence, band keys, one-byte signature.
 2. Rows with equal word sequences become one class (partial aggregate), stood for by its least key.
-3. In each (band, key) bucket, members hang on the least one. The components of that sparse graph are clusters:
-   two documents that share a bucket share a cluster, and no pairs are enumerated.
-4. Members of a cluster meet in blocks of at most ``block`` documents (a larger cluster meets in pairs of blocks,
-   one group each, so no group grows with the input). Pairs that share a band are confirmed on their full
-   shingle sets, best-agreeing first; pairs that are connected already are skipped; only the links that join
-   something are returned.
-5. Components of those links.
-
-With 25 bands of 5, a pair at similarity 0.85 shares no band with probability 4e-7, and falls below the
-signature threshold with probability under 1e-7. Nothing else is lost: no bucket, cluster or partner list is capped.
-Shingles are 64-bit hashes of their words' 64-bit hashes.
+3. Members of a (band, key) bucket hang on the least one, its star; buckets with the same members count once.
+4. First, each document is confirmed on its full shingle set against the least of its stars, in groups of a star
+   and at most ``block`` rows and ``GROUP_BYTES`` of sets. In the usual case that connects all of a large group.
+5. Then only buckets whose members are not all connected go on. In such a bucket the members that are connected to
+   its star need no comparison with each other: the others are dealt into bounded groups, each meeting itself, the
+   other such groups and the groups of connected ones. Within a group, pairs of unconnected documents that agree on
+   enough of their signatures are confirmed on the full sets, best-agreeing first.
+6. Components of all confirmed links.
+
+A cluster of true copies is thus linear work however large it is, false hits never chain into larger groups, and
+no bucket, cluster or partner list is capped. Bands are derived from the threshold so that a pair just at it shares
+no band with probability under ``MISS`` (1e-7); it falls below the signature threshold (5.5 standard deviations under
+its mean) with probability under 1e-7. Shingles are 64-bit hashes of their words' 64-bit hashes.
 
 Edge cases: null, empty and blank texts have an empty set, n_shingles 0, and link with nothing; fewer words than the
 shingle width make one shingle; repeated rows and equal texts are one component; null ids and repeated ids are kept
-as rows of their own; an empty table gives an empty result.
+as rows of their own; very long texts count whole; only the id and text columns are read, so further columns of any
+name do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import KEY, keyed, materialize
+from sparquill.llm.common import KEY, key_id_text, keyed, materialize, raw_texts
 from sparquill.llm.components import components
 
-BANDS, ROWS, BLOCK = 25, 5, 1000
+ROWS, MISS, BLOCK, GROUP_BYTES, OUT_BYTES = 4, 1e-7, 1000, 16 << 20, 4 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -53,11 +58,11 @@ def _stir(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """Distinct shingle hashes of a text, sorted; word hashes are remembered up to a bound."""
 
-    def __init__(self, width: int, remember: int = 300_000):
+    def __init__(self, width: int, remember: int = 100_000):
         self.width, self.remember, self.known = width, remember, {}
 
-    def words(self, text: str | None) -> list[bytes]:
-        return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
+    def words(self, text: bytes) -> list[bytes]:
+        return text.lower().split()  # bytes: A-Z and ASCII white space only
 
     def shingles(self, words: list[bytes]) -> np.ndarray:
         if not words:
@@ -110,51 +115,69 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h
 
 
+def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """Bands with which a pair at the threshold shares none with probability ``miss`` at most."""
+    agree = (percent / 100) ** rows
+    return 1 if agree >= 1 else math.ceil(math.log(miss) / math.log1p(-agree))
+
+
+_SIGNED = pa.schema([(KEY, pa.int64()), ("id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+_SET = pa.schema([(KEY, pa.int64()), ("shingles", pa.binary())])
+
+
 def _signer(width: int, bands: int, rows: int):
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                words = shingler.words(text)
-                s = shingler.shingles(words)
-                if not len(s):
-                    out.append((0, b"", [], b""))
-                    continue
-                sig = circulant_signature(s, bands * rows)
-                digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                out.append((len(s), digest, band_keys(sig, bands, rows).view(np.int64).tolist(), sig.astype(np.uint8).tobytes()))
-            n, digest, keys, sig = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pd.DataFrame({KEY: batch[KEY], "id": batch["id"], "n_shingles": pd.Series(n, dtype="int64"), "digest": digest, "bands": keys, "sig": sig})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                out = []
+                for text in raw_texts(batch.column("text")):
+                    words = shingler.words(text)
+                    s = shingler.shingles(words)
+                    if not len(s):
+                        out.append((0, b"", np.empty(0, np.int64), b""))
+                        continue
+                    sig = circulant_signature(s, bands * rows)
+                    digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+                    out.append((len(s), digest, band_keys(sig, bands, rows).view(np.int64), sig.astype(np.uint8).tobytes()))
+                n, digest, keys, sig = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(KEY), batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sig, pa.binary())], schema=_SIGNED)
 
     return sign
 
 
 def _setter(width: int):
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            for at in range(0, len(batch), 200):  # sets are as large as texts: hand them on in small parts
-                part = batch.iloc[at : at + 200]
-                yield pd.DataFrame({KEY: part[KEY], "shingles": [shingler.shingles(shingler.words(t)).tobytes() for t in part["text"]]})
+            keys, out, held = [], [], 0
+            for key, text in zip(batch.column(KEY).to_pylist(), raw_texts(batch.column("text")), strict=True):
+                keys.append(key)
+                out.append(shingler.shingles(shingler.words(text)).tobytes())
+                held += len(out[-1])
+                if held > OUT_BYTES:  # sets are as large as texts: hand them on in small parts
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], schema=_SET)
+                    keys, out, held = [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], schema=_SET)
 
     return sets
 
 
-def _linker(bands: int, percent: int, floor: float):
+def _linker(percent: int, floor: float):
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        """Spanning links among the rows of one block, or between those of two (``side`` 0 and 1)."""
+        """Spanning links among the rows of one group, or between its two sides; rows of equal ``label`` are connected."""
         group = group.sort_values(["side", KEY], ignore_index=True)
-        key, side = group[KEY].to_numpy(), group["side"].to_numpy()
-        keys = np.array(group["bands"].tolist(), dtype=np.int64).reshape(len(group), bands)
+        key, side, label = group[KEY].to_numpy(), group["side"].to_numpy(), group["label"].to_numpy()
         sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
         size = group["n_shingles"].to_numpy()
-        two = side[-1] == 1
-        first_b = int(np.searchsorted(side, 1)) if two else 0
+        two = side[-1] != side[0]
+        first_b = int(np.searchsorted(side, side[-1])) if two else 0
         a, b, near = [], [], []
         for i in range(first_b if two else len(group)):
             j0 = first_b if two else i + 1
-            j = j0 + np.flatnonzero((keys[j0:] == keys[i]).any(axis=1))
+            j = j0 + np.flatnonzero(label[j0:] != label[i])
             j = j[np.minimum(size[j], size[i]) * 100 >= percent * np.maximum(size[j], size[i])]
             agree = (sig[j] == sig[i]).sum(axis=1)
             keep = agree >= floor * sig.shape[1]
@@ -165,7 +188,8 @@ def _linker(bands: int, percent: int, floor: float):
         if a and sum(map(len, a)):
             x, y, s = np.concatenate(a), np.concatenate(b), np.concatenate(near)
             order = np.argsort(-s.astype(np.int64), kind="stable")
-            root = list(range(len(group)))
+            head: dict[int, int] = {}
+            root = [head.setdefault(x, i) for i, x in enumerate(label.tolist())]
             sets: dict[int, np.ndarray] = {}
 
             def find(i: int) -> int:
@@ -201,49 +225,77 @@ def near_groups(
     text_col: str = "text",
     width: int = 5,
     percent: int = 80,
-    bands: int = BANDS,
+    bands: int | None = None,
     rows: int = ROWS,
     block: int = BLOCK,
+    key: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: ``_row_key``, id, n_shingles, component_id (least id reachable), kept.
 
     Linked are texts whose shingle sets have 100 * intersection >= percent * union. Of each component the row with
-    the least id (then least ``_row_key``) is kept.
+    the least id (then least key) is kept. ``key`` names a column of unique longs, if ``docs`` has one.
     """
-    source = docs if KEY in docs.columns else keyed(docs, id_col)
-    texts = source.select(KEY, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    bands = bands or bands_for(percent, rows)
+    texts = key_id_text(docs, id_col, text_col, key)
     kinds = f"{KEY} long, id long, n_shingles long, digest binary, bands array<long>, sig binary"
-    signed = materialize(texts.mapInPandas(_signer(width, bands, rows), kinds), "signed")
+    signed = materialize(texts.mapInArrow(_signer(width, bands, rows), kinds), "signed")
 
     full = signed.where("n_shingles > 0")
     # the least member stands for its class; only its band keys and signature go on
-    classes = full.groupBy("digest").agg(F.min(KEY).alias("rep"))
+    classes = materialize(full.groupBy("digest").agg(F.min(KEY).alias("rep")), "classes")  # joins then read plain shuffles, which AQE can split
     reps = materialize(
-        full.join(classes, (full["digest"] == classes["digest"]) & (full[KEY] == classes["rep"]), "left_semi").select(KEY, "n_shingles", "bands", "sig"),
+        full.join(classes.hint("merge"), (full["digest"] == classes["digest"]) & (full[KEY] == classes["rep"]), "left_semi").select(KEY, "n_shingles", "bands", "sig"),
         "reps",
     )
     cells = reps.select(KEY, F.posexplode("bands").alias("band", "cell"))
-    stars = cells.groupBy("band", "cell").agg(F.min(KEY).alias("star"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hung = cells.join(stars, ["band", "cell"]).select(F.col(KEY).alias("a"), F.col("star").alias("b"))
-    clusters = components(hung).select(F.col("node").alias(KEY), "root")
-
-    # blocks of a cluster: its members dealt by hash, then every pair of blocks is one group
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    spot = clusters.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64(KEY), F.col("blocks")))
-    met = spot.select(KEY, "root", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    met = met.select(
-        KEY, "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side")
-    )
-    members = materialize(
-        texts.join(clusters.select(KEY).hint("merge"), KEY, "left_semi").select(KEY, "text").mapInPandas(_setter(width), f"{KEY} long, shingles binary").join(reps, KEY),
-        "members",
-    )
+    marks = [F.sum(F.xxhash64(F.lit(i), KEY).cast("decimal(20,0)")).alias(f"m{i}") for i in range(2)]
+    buckets = cells.groupBy("band", "cell").agg(F.min(KEY).alias("star"), F.count("*").alias("n"), *marks).where("n > 1")
+    buckets = buckets.groupBy("star", "n", "m0", "m1").agg(F.min(F.struct("band", "cell")).alias("b")).select("b.band", "b.cell", "star")
+    hung = materialize(cells.join(buckets, ["band", "cell"]), "hung")
+
+    mine = hung.groupBy(KEY).agg(F.min("star").alias("star"))
+    own = mine.select(KEY).hint("merge")
+    sets = texts.join(own, KEY, "left_semi").select(KEY, "text").mapInArrow(_setter(width), f"{KEY} long, shingles binary")
+    members = materialize(sets.join(reps.select(KEY, "n_shingles", "sig"), KEY), "members")
     floor = percent / 100 - 5.5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
-    links = met.join(members, KEY).groupBy("root", "lo", "hi").applyInPandas(_linker(bands, percent, floor), "a long, b long")
-    linked = components(links)
-
-    rep_of = full.join(classes, "digest").select(KEY, "id", "n_shingles", "rep")
-    rooted = rep_of.join(linked, rep_of["rep"] == linked["node"], "left").select(KEY, "id", "n_shingles", F.coalesce("root", "rep").alias("root"))
+    size = (8 * F.col("n_shingles") + 256).cast("long")
+    parts = F.ceil(F.greatest(F.sum("held") / GROUP_BYTES, F.count("*") / block)).alias("parts")
+
+    def linked(met: DataFrame, group: list[str]) -> DataFrame:
+        return met.join(members.hint("merge"), KEY).groupBy(*group).applyInPandas(_linker(percent, floor), "a long, b long")
+
+    # each document and the least of its stars: a hot star's members are dealt into groups, the star is in each
+    fans = mine.where(F.col("star") < F.col(KEY)).join(reps.select(KEY, size.alias("held")), KEY)
+    deals = fans.groupBy("star").agg(parts)
+    met = fans.join(deals, "star").select(KEY, "star", F.pmod(F.xxhash64(KEY), "parts").alias("nth"), F.lit(1).alias("side"), F.col(KEY).alias("label"))
+    hubs = deals.select(F.col("star").alias(KEY), "star", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("nth"), F.lit(0).alias("side"), F.col("star").alias("label"))
+    near = materialize(linked(met.unionByName(hubs), ["star", "nth"]), "links")
+
+    # buckets that are not connected yet: the members not connected to the star meet each other and all others
+    labels = components(near)
+    hung = hung.join(labels.withColumnRenamed("node", KEY), KEY, "left").withColumn("label", F.coalesce("root", KEY)).drop("root")
+    hung = materialize(hung, "labelled")
+    spread = hung.groupBy("band", "cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.when(F.col(KEY) == F.col("star"), F.col("label"))).alias("main"))
+    spread = spread.where("lo < hi").select("band", "cell", "main")
+    spot = hung.join(spread, ["band", "cell"]).join(reps.select(KEY, size.alias("held")), KEY)
+    spot = materialize(spot.select("band", "cell", KEY, "label", "held", (F.col("label") == F.col("main")).alias("tied")), "open")
+    deals = spot.groupBy("band", "cell", "tied").agg(parts)
+    deals = deals.groupBy("band", "cell").agg(*[F.coalesce(F.max(F.when(F.col("tied") == t, F.col("parts"))), F.lit(0)).alias(c) for t, c in ((True, "ties"), (False, "loose"))])
+    spot = spot.join(deals, ["band", "cell"]).withColumn("nth", F.pmod(F.xxhash64(KEY), F.when(F.col("tied"), F.col("ties")).otherwise(F.col("loose"))))
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("other")
+    free, tied = (spot.where(F.col("tied") == t).select("band", "cell", KEY, "label", "nth", to("loose")) for t in (False, True))
+    spots = [
+        free.select("band", "cell", KEY, "label", F.lit(0).alias("kind"), F.least("nth", "other").alias("lo"), F.greatest("nth", "other").alias("hi"), (F.col("nth") > F.col("other")).cast("int").alias("side")),
+        tied.select("band", "cell", KEY, "label", F.lit(1).alias("kind"), F.col("other").alias("lo"), F.col("nth").alias("hi"), F.lit(1).alias("side")),
+        spot.where("NOT tied").select("band", "cell", KEY, "label", F.lit(1).alias("kind"), F.col("nth").alias("lo"), to("ties"), F.lit(0).alias("side")).withColumnRenamed("other", "hi"),
+    ]
+    met = spots[0].unionByName(spots[1]).unionByName(spots[2])
+    far = materialize(linked(met, ["band", "cell", "kind", "lo", "hi"]), "links")
+    # joined to what is connected already
+    roots = components(far.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    rep_of = full.join(classes.hint("merge"), "digest").select(KEY, "id", "n_shingles", "rep")
+    rooted = rep_of.join(roots, rep_of["rep"] == roots["node"], "left").select(KEY, "id", "n_shingles", F.coalesce("root", "rep").alias("root"))
     placed = materialize(rooted.unionByName(signed.where("n_shingles = 0").select(KEY, "id", "n_shingles", F.col(KEY).alias("root"))), "placed")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(KEY).alias("k"))).alias("first"))
     first = materialize(first, "first")  # the join below then reads plain shuffles, which AQE can split
@@ -254,6 +306,6 @@ def near_groups(
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with their columns as they came."""
-    rows = keyed(docs, id_col)
-    kept = near_groups(rows, id_col, text_col, **how).where("kept").select(KEY)
-    return rows.join(kept, KEY, "left_semi").select(*docs.columns)
+    rows, key = keyed(docs, id_col)
+    kept = near_groups(rows, id_col, text_col, key=key, **how).where("kept").select(F.col(KEY).alias(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
