@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.llm import chat, exact_dedup, licenses, lm, mixing, near_dedup, packing, quality, search, substring_dedup
-from sparquill.llm.common import documents
+from sparquill.llm.common import KEY, documents, keyed
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    docs, key = keyed(documents(spark, sf_dir).select("doc_id", "text"))
+    cut = substring_dedup.remove_repeats(docs, key=key)
+    shared = substring_dedup.shared_passages(docs, key=key)  # also what is too short in bytes to be cut
+    out = cut.join(shared, KEY, "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0).cast("long")))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

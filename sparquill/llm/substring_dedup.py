@@ -13,15 +13,19 @@ Every byte covered by a ``length``-byte string that also starts anywhere else, i
    hashes, so a comparison takes a logarithmic number of steps. From each suffix a walk over its neighbours in
    sorted order, where the right extension only shrinks, collects the left extensions (again by binary search) that
    add windows. What hashes claim is verified on the bytes; a collision makes the batch be sorted on bytes.
-4. A gram with more than ``HOT`` classes is not gathered: its windows are counted by 128-bit hashes in partial
-   aggregates instead, which is exact as well.
+4. A group of more than ``HOT`` contexts is never gathered. Its windows are split by how many bytes they have before
+   the anchor, into ``PARTS`` ranges; all windows of a range share a core, the bytes that every one of them covers, so
+   contexts, cut to the range, are regrouped by (range, core), equal ones collapse into classes, and the smaller
+   groups are sorted as in 3. Groups that are still too large are split again; a range of one offset has the whole
+   window as its core, so at most ``ceil(log(length - GRAM + 1, PARTS))`` rounds are needed, mostly none.
 5. The repeated spans of each text are merged and cut out.
 
-Work grows with the text and its repeats; nothing is capped. The texts are shuffled once, by key, for 3, 4 and 5.
+Work grows with the text and its repeats; nothing is capped. The texts are shuffled once, by key, for 3 and 5.
 
 Edge cases: null and empty texts have 0 bytes and the digest of nothing; texts shorter than ``length`` stay
-whole; repeated rows are texts of their own, so a row that comes twice loses its long passages in both; a null id
-is kept; an empty table gives an empty result.
+whole; very long texts go through in segments of window starts, so no match is lost between segments; repeated rows
+are texts of their own, so a row that comes twice loses its long passages in both; a null id is kept; only the id
+and text columns are read, so further columns of any name do no harm; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,13 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import KEY, keyed, materialize
+from sparquill.llm.common import KEY, key_id_text, materialize, raw_texts
 
-LENGTH, GRAM, HOT, SEGMENT = 400, 64, 4000, 1 << 18
+LENGTH, GRAM, HOT, PARTS, SEGMENT = 400, 64, 4000, 8, 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -93,24 +98,28 @@ def anchors(data: np.ndarray, powers: Powers, length: int = LENGTH, gram: int =
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _raw(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass")
+_FOUND = pa.schema([(KEY, pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("context", pa.binary())])
+_CONTEXT = pa.schema([(KEY, pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_()), ("bytes", pa.binary())])
+_CONTEXT_KIND = f"{KEY} long, h long, place long, before long, n long, hot boolean, bytes binary"
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _finder(length: int, gram: int):
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             rows: list[tuple] = []
             digests: list[bytes] = []
             held = 0
 
-            def flush() -> pd.DataFrame:
+            def flush() -> pa.RecordBatch:
                 key, h, place, first, last = (np.concatenate(x) for x in zip(*rows, strict=True))
-                return pd.DataFrame({KEY: key, "h": h.view(np.int64), "place": place, "first": first, "last": last, "context": digests})
+                return pa.RecordBatch.from_arrays([*map(pa.array, (key, h.view(np.int64), place, first, last)), pa.array(digests, pa.binary())], schema=_FOUND)
 
-            for key, text in zip(batch[KEY].tolist(), batch["text"], strict=True):
-                raw = _raw(text)
+            for key, raw in zip(batch.column(KEY).to_pylist(), raw_texts(batch.column("text")), strict=True):
                 if len(raw) < length:
                     continue
                 found = anchors(np.frombuffer(raw, np.uint8), powers, length, gram)
@@ -126,17 +135,45 @@ def _finder(length: int, gram: int):
     return find
 
 
-def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for key, text, wanted in batch[[KEY, "text", "wanted"]].itertuples(index=False):
-            raw = _raw(text)
-            for w in wanted:
-                out.append((key, w["h"], w["place"], w["place"] - w["first"], w["n"], raw[w["first"] : w["end"]]))
+        for key, raw, wanted in zip(batch.column(KEY).to_pylist(), raw_texts(batch.column("text")), batch.column("wanted"), strict=True):
+            for w in wanted.as_py():
+                out.append((key, w["h"], w["place"], w["place"] - w["first"], w["n"], w["hot"], raw[w["first"] : w["end"]]))
             if len(out) > 5000:
-                yield pd.DataFrame(out, columns=[KEY, "h", "place", "before", "n", "bytes"])
+                yield _table(out, _CONTEXT)
                 out = []
-        yield pd.DataFrame(out, columns=[KEY, "h", "place", "before", "n", "bytes"])
+        if out:
+            yield _table(out, _CONTEXT)
+
+
+_PART = pa.schema([(KEY, pa.int64()), ("h", pa.int64()), ("place", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary()), ("context", pa.binary())])
+
+
+def _splitter(length: int, width: int):
+    """Contexts cut to ranges of ``width`` offsets, each with a hash of (group, range, core) and a digest of the cut."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                key, h, place, before, raw = row[KEY], row["h"], row["place"], row["before"], row["bytes"]
+                least, most = max(0, before + length - len(raw)), min(before, length)  # bytes that a window has before the anchor
+                for a in range(least // width * width, most + 1, width):
+                    lo, hi = max(a, least), min(a + width - 1, most)
+                    core = raw[before - a : before + length - (a + width - 1)] if lo <= hi else b""
+                    if lo <= hi:
+                        cut = raw[before - hi : before + length - lo]
+                        group = xxhash.xxh3_64_intdigest(core, seed=(h ^ a * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+                        out.append((key, group - (1 << 63), place, hi, row["n"], cut, xxhash.xxh3_128_digest(cut + hi.to_bytes(4, "little"))))
+                if len(out) > 5000:
+                    yield _table(out, _PART)
+                    out = []
+            if out:
+                yield _table(out, _PART)
+
+    return split
 
 
 class Suffixes:
@@ -286,22 +323,25 @@ def _sorter(length: int):
     return run
 
 
-def _windows(length: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, place, before, raw in batch[[KEY, "place", "before", "bytes"]].itertuples(index=False):
-                starts = range(len(raw) - length + 1)
-                yield pd.DataFrame({KEY: key, "lo": [place - before + i for i in starts], "window": [xxhash.xxh3_128_digest(raw[i : i + length]) for i in starts]})
-
-    return run
+_KEPT = pa.schema(
+    [
+        (KEY, pa.int64()),
+        ("id", pa.int64()),
+        ("n_bytes", pa.int64()),
+        ("n_removed", pa.int64()),
+        ("n_spans", pa.int64()),
+        ("kept_sha256", pa.string()),
+        ("removed", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
+    ]
+)
 
 
-def _remover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for text, spans in zip(batch["text"], batch["spans"], strict=True):
-            raw, merged = _raw(text), []
-            for lo, hi in sorted((x["lo"], x["hi"]) for x in spans) if spans is not None else []:
+        for key, i, raw, spans in zip(batch.column(KEY).to_pylist(), batch.column("id").to_pylist(), raw_texts(batch.column("text")), batch.column("spans"), strict=True):
+            merged: list[list[int]] = []
+            for lo, hi in sorted((x["lo"], x["hi"]) for x in spans.as_py() or ()):
                 if merged and lo <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], hi)
                 else:
@@ -312,42 +352,108 @@ def _remover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kept.update(raw[at:lo])
                 at = hi
             kept.update(raw[at:])
-            out.append((len(raw), sum(hi - lo for lo, hi in merged), len(merged), kept.hexdigest(), [{"lo": lo, "hi": hi} for lo, hi in merged]))
-        done = pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
-        yield pd.concat([batch[[KEY, "id"]].reset_index(drop=True), done], axis=1)
+            out.append((key, i, len(raw), sum(hi - lo for lo, hi in merged), len(merged), kept.hexdigest(), [{"lo": lo, "hi": hi} for lo, hi in merged]))
+        if out:
+            yield _table(out, _KEPT)
+
 
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, key: str | None = None
+) -> DataFrame:
+    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 and ``removed``, the byte spans.
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 and ``removed``, the byte spans."""
-    source = docs if KEY in docs.columns else keyed(docs, id_col)
-    texts = source.select(KEY, F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(KEY).isNotNull())
-    found = texts.select(KEY, "text").mapInPandas(_finder(length, gram), f"{KEY} long, h long, place long, first long, last long, context binary")
+    ``key`` names a column of unique longs, if ``docs`` has one.
+    """
+    texts = key_id_text(docs, id_col, text_col, key)
+    found = texts.select(KEY, "text").mapInArrow(_finder(length, gram), f"{KEY} long, h long, place long, first long, last long, context binary")
     found = materialize(found, "anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    again = materialize(found.join(again.hint("merge"), "h").withColumn("before", F.col("place") - F.col("first")), "repeated")
+    # aggregates are written before their join, which then reads plain shuffles, so that AQE can split a hot gram
+    twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "grams")
+    again = materialize(found.join(twice.hint("merge"), "h").withColumn("before", F.col("place") - F.col("first")), "repeated")
     same = ["h", "context", "before"]
     spot = F.struct(KEY, "place", "first", (F.col("last") + length).alias("end"))
     classes = materialize(again.groupBy(*same).agg(F.count("*").alias("n"), F.min(spot).alias("one")), "classes")
     whole = again.join(classes.where("n > 1").select(*same).hint("merge"), same, "left_semi").select(KEY, F.col("first").alias("lo"), (F.col("last") + length).alias("hi"))
 
-    several = classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    several = materialize(classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "several")
     want = classes.join(several.hint("merge"), "h").select(
         F.col(f"one.{KEY}").alias(KEY), F.struct("h", "one.place", "one.first", "one.end", "n", (F.col("m") > hot).alias("hot")).alias("w")
     )
     want = materialize(want.groupBy(KEY).agg(F.collect_list("w").alias("wanted")), "wanted")  # at most an anchor every byte of one text
-    by_key = texts.repartition(KEY)  # one shuffle of the texts for all joins below, which take the same columns
-
-    def fetched(hot: bool) -> DataFrame:
-        some = want.select(KEY, F.filter("wanted", lambda w: w["hot"] == hot).alias("wanted")).where(F.size("wanted") > 0)
-        joined = by_key.join(some.hint("merge"), KEY).select(KEY, "id", "text", "wanted")
-        return joined.mapInPandas(_fetch, f"{KEY} long, h long, place long, before long, n long, bytes binary")
-
-    sorted_ = fetched(False).repartition("h").sortWithinPartitions("h").mapInPandas(_sorter(length), f"{KEY} long, lo long, hi long")
-    counted = fetched(True).mapInPandas(_windows(length), f"{KEY} long, lo long, window binary")
-    twice = counted.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    sorted_ = sorted_.unionByName(counted.join(twice, "window").select(KEY, "lo", (F.col("lo") + length).alias("hi")))
-    spans = whole.unionByName(sorted_).groupBy(KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    out = by_key.join(spans.hint("merge"), KEY, "left").select(KEY, "id", "text", "spans").mapInPandas(
+    by_key = texts.repartition(KEY)  # one shuffle of the texts for both joins below, which take the same columns
+    context = by_key.join(want.hint("merge"), KEY).select(KEY, "id", "text", "wanted").mapInArrow(_fetch, _CONTEXT_KIND)
+    large = None
+    if several.where(F.col("m") > hot).take(1):
+        context = materialize(context, "contexts")
+        large = context.where("hot")
+    spans = [whole]
+
+    def sort(rows: DataFrame) -> None:
+        spans.append(rows.repartition("h").sortWithinPartitions("h").mapInPandas(_sorter(length), f"{KEY} long, lo long, hi long"))
+
+    sort(context.where("NOT hot").select(KEY, "h", "place", "before", "n", "bytes"))
+    width = length - gram + 1
+    while large is not None:
+        width = -(-width // PARTS)
+        part = materialize(large.select(KEY, "h", "place", "before", "n", "bytes").mapInArrow(_splitter(length, width), f"{KEY} long, h long, place long, before long, n long, bytes binary, context binary"), "parts")
+        one = F.min(F.struct(KEY, "place", "bytes")).alias("one")
+        kinds = materialize(part.groupBy(*same).agg(F.sum("n").alias("n"), F.count("*").alias("k"), one), "kinds")
+        span = (KEY, (F.col("place") - F.col("before")).alias("lo"), (F.col("place") - F.col("before") + F.octet_length("bytes")).alias("hi"))
+        spans.append(part.join(kinds.where("k > 1").select(*same).hint("merge"), same, "left_semi").select(*span))
+        several = materialize(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "several")
+        left = kinds.join(several.hint("merge"), "h").select(f"one.{KEY}", "h", "one.place", "before", "n", "one.bytes", (F.col("m") > hot).alias("hot"))
+        left = materialize(left, "contexts")
+        sort(left.where("NOT hot").drop("hot"))
+        large = left.where("hot") if width > 1 and several.where(F.col("m") > hot).take(1) else None
+    every = spans[0]
+    for more in spans[1:]:
+        every = every.unionByName(more)
+    every = every.groupBy(KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    out = by_key.join(every.hint("merge"), KEY, "left").select(KEY, "id", "text", "spans").mapInArrow(
         _remover, f"{KEY} long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<lo:long,hi:long>>"
     )
     return out.withColumnRenamed("id", id_col)
+
+
+def _marker(gram: int, window: int):
+    """Distinct winnowed hashes of runs of ``gram`` words: the least of every ``window`` neighbours."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, known = Powers(), {}
+        for batch in batches:
+            keys, marks, held = [], [], 0
+            for key, raw in zip(batch.column(KEY).to_pylist(), raw_texts(batch.column("text")), strict=True):
+                words = raw.split()
+                if len(words) < gram + window - 1:
+                    continue
+                if len(known) > 100_000:
+                    known.clear()
+                for w in words:
+                    if w not in known:
+                        known[w] = xxhash.xxh3_64_intdigest(w)
+                sums = powers.prefix(np.array([known[w] for w in words], np.uint64))
+                h = _stir((sums[gram:] - sums[:-gram]) * powers.down[: len(words) - gram + 1])
+                least = np.unique(np.lib.stride_tricks.sliding_window_view(h, window).min(axis=1))
+                keys.append(np.full(len(least), key))
+                marks.append(least.view(np.int64))
+                held += len(least)
+                if held > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(marks))], names=[KEY, "mark"])
+                    keys, marks, held = [], [], 0
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(marks))], names=[KEY, "mark"])
+
+    return mark
+
+
+def shared_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 51, gram: int = 38, key: str | None = None) -> DataFrame:
+    """(``_row_key``, n_shared) of the rows whose text shares a passage with another row's: ``n_shared`` counts the
+    fingerprints that do. Every common passage of ``words`` words has one, none is shorter than ``gram`` words.
+
+    A report beside the byte-exact removal: passages shorter than its ``length`` bytes are named here, and not cut.
+    """
+    texts = key_id_text(docs, id_col, text_col, key)
+    marks = materialize(texts.select(KEY, "text").mapInArrow(_marker(gram, words - gram + 1), f"{KEY} long, mark long"), "marks")
+    shared = marks.groupBy("mark").agg(F.min(KEY).alias("lo"), F.max(KEY).alias("hi")).where("lo < hi").select("mark")
+    shared = materialize(shared, "shared")  # the join then reads plain shuffles, which AQE can split
+    return marks.join(shared.hint("merge"), "mark").groupBy(KEY).agg(F.count("*").alias("n_shared"))

@@ -149,6 +149,71 @@ def test_repeated_bytes_across_segments(spark, monkeypatch):
     assert first[0] == 0 and last[-1] == 380 and (first[1:] == last[:-1] + 1).all()  # every window has one anchor
 
 
+@pytest.mark.parametrize("size", [150, 180])
+def test_hot_group_of_one_long_passage(spark, size):
+    """A passage shorter than the window in many texts: all contexts differ, so groups split by offsets."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = word(size)
+    texts = [(i, word(rng.randint(0, 90)) + passage + rng.choice(["x", "yz", "zz1"]) * rng.randint(0, 40) + word(30)) for i in range(40)]
+    found = substring_dedup.remove_repeats(table(spark, texts), length=200, gram=16, hot=3)
+    made = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found.collect())
+    assert made == repeats_by_hand(texts, 200)
+
+
+def test_long_text_over_segments(spark):
+    """Texts longer than a segment of window starts (2**18): repeats across the segment's end and within one text."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    a, b = word(700), word(500)
+    edge = substring_dedup.SEGMENT
+    texts = [(1, word(edge - 300) + a + word(2000) + b + word(900) + b), (2, a + word(10)), (3, word(1000)), (4, None)]
+    found = substring_dedup.remove_repeats(table(spark, texts))
+    made = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found.collect())
+    assert made == repeats_by_hand(texts, 400)
+
+
+def test_shared_passages(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    p, q = words(51), words(37)
+    texts = [(1, [*words(30), *p, *words(5)]), (2, [*p, *words(200)]), (3, [*q, *words(60)]), (4, [*words(60), *q]), (5, words(90) * 2), (6, [])]
+    df = table(spark, [(i, " ".join(w)) for i, w in texts] + [(7, None)])
+    assert {r[0] for r in substring_dedup.shared_passages(df, key="doc_id").collect()} == {1, 2}
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e f", None, 5), (2, "a b c d e f", 7, None), (3, "x" * 900, 7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row_key long, h long")
+    assert substring_dedup.remove_repeats(df).count() == 3
+    assert near_dedup.near_groups(df).count() == 3 and exact_dedup.exact_groups(df).count() == 3
+    for drop in (near_dedup.drop_near_copies, exact_dedup.drop_exact_copies):
+        assert sorted(map(tuple, drop(df).collect())) == [rows[0], rows[2]]
+
+
+def test_near_hot_star_and_chain(spark):
+    """More copies than a block around one star, a chain whose ends are unlike, and loose members of the same buckets."""
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        w[rng.randrange(120)] = f"v{i}"
+        texts.append((i, " ".join(w)))
+    chain = list(base)
+    for i in range(60, 90):
+        chain[(i - 60) * 4 : (i - 60) * 4 + 2] = [f"c{i}", f"d{i}"]
+        texts.append((i, " ".join(chain)))
+    found = near_dedup.near_groups(table(spark, texts), width=3, percent=85, block=7)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in found.collect()) == near_by_hand(texts, 3, 85)
+
+
+def test_bands_follow_the_threshold():
+    for percent in (60, 80, 85, 95, 100):
+        n = near_dedup.bands_for(percent)
+        assert (1 - (percent / 100) ** near_dedup.ROWS) ** n <= near_dedup.MISS
+
+
 def test_repeated_rows_and_none(spark):
     df = table(spark, [(1, "x" * 500), (1, "x" * 500), (2, "y" * 399)])
     made = substring_dedup.remove_repeats(df).collect()
