@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -22,18 +24,46 @@ def docs(spark, n=400, sources=("a", "b", "Z", None, "é")):
     return spark.createDataFrame([*rows, (n, None, "a", 1), (n + 1, " \n", None, 1)], "doc_id long, text string, source string, size long").repartition(3)
 
 
-def test_targets_by_hand():
-    assert mixing.targets_of([100, 100, 100], [1, 1, 1]) == [100, 100, 100]
-    assert mixing.targets_of([10, 100, 1000], [5, 2, 1]) == [30, 300, 780]
-    assert mixing.targets_of([0, 10], [5, 1]) == [0, 10]
-    assert mixing.targets_of([], []) == [] and mixing.targets_of([0], [1]) == [0]
-
-
-def test_tree_is_exact():
-    quotas = np.array([7, 0, 500, 33])
-    made = mixing.split_tree(quotas, 9, 3)
-    assert (made.sum(axis=0) == quotas).all() and (made >= 0).all()
-    assert set(made.sum(axis=1)) <= {60, 61}
+def targets_of(sizes, weights, most=3):
+    """Shares of the whole size by weight, none above ``most`` times its own size, in exact fractions."""
+    total, out = Fraction(sum(sizes)), [Fraction(0)] * len(sizes)
+    free = [i for i, n in enumerate(sizes) if n]
+    while free:
+        weight = sum(weights[i] for i in free)
+        over = [i for i in free if total * weights[i] / weight > most * sizes[i]]
+        for i in over or free:
+            out[i] = Fraction(most * sizes[i]) if over else total * weights[i] / weight
+        if not over:
+            break
+        total -= sum(out[i] for i in over)
+        free = [i for i in free if i not in over]
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [10, 100, 1000], [0, 10], [0], [], [1, 2, 3, 5000, 4, 5, 0, 9, 800], [7] * 40 + [90_000]])
+def test_targets(spark, sizes):
+    names = [f"s{i:03}" for i in range(len(sizes))]
+    rows = [(s if i + 1 < len(sizes) else None, n, n) for i, (s, n) in enumerate(zip(names, sizes, strict=True))]  # the last one is null
+    made = mixing.targets(spark.createDataFrame(rows, "source string, source_size long, longest long").repartition(3)).orderBy("nth").collect()
+    want = targets_of(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+    assert [r["source"] for r in made] == [r[0] for r in rows] and [r["nth"] for r in made] == list(range(len(sizes)))
+    for r, n, t in zip(made, sizes, want, strict=True):
+        passes = int(t // n) if n else 0
+        assert r["target"] == pytest.approx(float(t)) and r["passes"] == passes and r["rest"] == pytest.approx(float(t - passes * n))
+
+
+def test_tree_is_exact(spark):
+    quotas = [7, 0, 500, 33, 100_000]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(quotas) if n], "nth long, units long")
+    total, shards = sum(quotas), 700  # more than SPAN: both parts of the tree
+    made = mixing.shard_quotas(rows, total, shards, 3).toPandas()
+    assert made.groupby("nth")["n"].sum().to_dict() == {i: n for i, n in enumerate(quotas) if n} and (made["n"] > 0).all()
+    per = made.groupby("shard")["n"].sum()
+    assert len(per) == shards and set(per) <= {total // shards, total // shards + 1}
+    # hypergeometric: of source 2, a shard holds its share in the mean, with that distribution's spread
+    n, share = total / shards, quotas[2] / total
+    own = made[made["nth"] == 2].set_index("shard")["n"].reindex(range(shards), fill_value=0)
+    assert own.mean() == pytest.approx(quotas[2] / shards) and own.var() == pytest.approx(n * share * (1 - share), rel=0.3)
 
 
 def test_mix(spark):
@@ -47,7 +77,7 @@ def test_mix(spark):
     assert made["times"].max() <= 3
     names = sorted((s for s in set(source.values()) if s is not None), key=lambda s: s.encode()) + [None]
     totals = [sum(n for i, n in size.items() if source[i] == s) for s in names]
-    targets = mixing.targets_of(totals, [(5, 2, 1)[i % 3] for i in range(len(names))])
+    targets = targets_of(totals, [(5, 2, 1)[i % 3] for i in range(len(names))])
     for s, want in zip(names, targets, strict=True):
         part = made[made["source"] == (s or "")]
         assert part["target"].iloc[0] == pytest.approx(float(want))
@@ -111,3 +141,29 @@ def test_plan_uses_up_the_histogram():
         for n, u in pattern:
             used[n] += u * times
     assert (used == h).all()
+
+
+def test_mixed_rows_are_the_draws(spark):
+    """Every row as often as drawn, in shards, with clashing names and null ids; one text longer than many blocks."""
+    rng = random.Random(12)
+    rows = [(i if i % 9 else None, "w " * rng.randint(0, 30), "ab"[i % 2], i, "s", i % 3) for i in range(90)] + [(900, "w " * 5000, "a", 900, "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _row_key long, shard string, row int").repartition(4)
+    made = mixing.mix(df, block_size=60, key="_row_key").toPandas()
+    times = {int(k): len(d) for k, d in zip(made["_row_key"], made["draws"], strict=True)}
+    drawn = Counter(r["_row_key"] for r in mixing.mixed(df.where("doc_id IS NOT NULL"), block_size=60).collect())
+    assert max(times.values()) <= 3 and len(times) == 91 and set(drawn) <= {r[3] for r in rows if r[0] is not None}
+    assert sorted(mixing.mixed(df, block_size=60).columns) == sorted(df.columns)
+    size = {r[3]: len(r[1].split()) for r in rows}
+    for source, miss in (("a", 500), ("b", 30)):  # source a can't come nearer: without its long text it has few words
+        own = [r[3] for r in rows if r[2] == source]
+        target = float(made.set_index("_row_key").loc[own[0], "target"])
+        assert abs(sum(times[k] * size[k] for k in own) - target) <= miss
+
+
+def test_pack_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "a b", 1), (None, None, 2), (3, "x " * 3000, 3), (3, "x " * 3000, 4)], "doc_id long, text string, length int").repartition(3)
+    made = packing.pack(df, TOKENIZER).toPandas()
+    assert made["doc_id"].isna().sum() == 2 and made[made["doc_id"] == 3].groupby("start")["length"].count().eq(2).all()
+    for _, s in made.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert (s["offset"] == s["length"].cumsum() - s["length"]).all() and s["length"].sum() <= 1024
