@@ -2,6 +2,11 @@
 
 Every stage is a function (spark, docs, sf_dir) -> DataFrame, written as Parquet and read again as the next one's
 ``docs``. All but the last return the columns of ``documents``; ``run`` applies them in turn.
+
+Edge cases, for every stage: null and empty texts are documents (the classifier scores them, all of them are exact
+copies of each other, none is a near copy, the mix never takes them); very long texts go through whole; rows with a
+null id or with an id that others have are rows of their own; further columns, whatever their names, are carried
+along up to the mix; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sparquill.llm import exact_dedup, mixing, near_dedup, packing, quality
-from sparquill.llm.common import documents, materialize
+from sparquill.llm.common import documents, materialize, scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

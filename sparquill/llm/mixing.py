@@ -16,18 +16,19 @@
 4. A source's units, permuted by hash, are cut by the shards' quotas into disjoint runs, so each unit is drawn by
    one shard. Within a shard, documents are shuffled by a hash of (seed, document, pass).
 
-The driver holds one row per source and one number per source and shard; both are bounded by ``MAX_SOURCES`` and
-``MAX_CELLS`` (beyond, the number of shards shrinks; more sources than that raise an error). Blocks, units and
-documents stay in Spark; running sums over a source's blocks go by chunks of blocks, so a hot source is not one task.
+Sources, targets, quotas, units and documents stay in Spark, whatever their number: the driver holds a few sums a
+round of resharing. Running sums over a source's blocks and shards go by chunks, so a hot source is not one task. The
+tree's upper part is drawn in one group (one number a source), the subtrees under its ``SPAN`` nodes in a group each.
+Blocks grow with the corpus beyond ``MAX_UNITS`` of them, so that every draw is from numpy's exact sampler.
 
 Edge cases: a null source is a source of its own, weighted last; empty and null texts have size 0 and are never
-taken; a table without words gives every row taken 0; repeated rows are rows of their own; reruns agree.
+taken; very long texts are settled one by one; a table without words gives every row taken 0; repeated rows are rows
+of their own; a null id is kept; columns of any name do no harm; reruns agree.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from fractions import Fraction
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -37,56 +38,45 @@ from pyspark.sql.window import Window
 
 from sparquill.llm.common import KEY, WORD, keyed, materialize
 
-BLOCK_SIZE, CHUNK, UNITS_A_SHARD = 20_000, 512, 64
-MAX_SOURCES, MAX_CELLS = 200_000, 2_000_000
+BLOCK_SIZE, CHUNK, UNITS_A_SHARD, SPAN, MAX_UNITS = 20_000, 512, 64, 256, 250_000_000
+#: So many rows of sources are broadcast at most; a longer table is joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
-def targets_of(sizes: list[int], weights: list[int], most: int = 3) -> list[Fraction]:
-    """Shares of the whole size by weight, none above ``most`` times its own size."""
-    total, out = Fraction(sum(sizes)), [Fraction(0)] * len(sizes)
-    free = [i for i, n in enumerate(sizes) if n]
-    while free:
-        weight = sum(weights[i] for i in free)
-        over = [i for i in free if total * weights[i] / weight > most * sizes[i]]
-        for i in over or free:
-            out[i] = Fraction(most * sizes[i]) if over else total * weights[i] / weight
-        if not over:
-            break
-        total -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return out
-
+def split_tree(quotas: np.ndarray, lo: int, hi: int, ends: Callable[[int], int], seed: int, leaf: int = 1) -> list[tuple[int, int, np.ndarray]]:
+    """(lo, hi, units of each source) of the nodes of at most ``leaf`` shards under the node of the shards lo .. hi - 1.
 
-def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """(shards, sources) units of each source in each shard: exact in every row and column total."""
-    out = np.zeros((shards, len(quotas)), np.int64)
-    total = int(quotas.sum())
-    ends = [total * s // shards for s in range(shards + 1)]
-    todo = [(0, shards, quotas.astype(np.int64))]
+    Shard s ends at unit ``ends(s)`` of all; a node's left child gets exactly the units of its shards, drawn from the
+    multivariate hypergeometric distribution of the node's quotas.
+    """
+    out, todo = [], [(lo, hi, quotas.astype(np.int64))]
     while todo:
         lo, hi, have = todo.pop()
-        if hi - lo == 1:
-            out[lo] = have
+        if hi - lo <= leaf:
+            out.append((lo, hi, have))
             continue
         mid = (lo + hi) // 2
-        rng = np.random.default_rng([seed, lo, hi])
-        left, need, rest = np.zeros_like(have), ends[mid] - ends[lo], int(have.sum())
-        for i, n in enumerate(have.tolist()):  # one source given the ones before
-            rest -= n
-            if need and n:
-                left[i] = _hypergeometric(rng, n, rest, need)
-                need -= int(left[i])
+        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(have, ends(mid) - ends(lo), method="marginals")
         todo += [(lo, mid, left), (mid, hi, have - left)]
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """numpy's sampler up to its limit, beyond that a normal draw rounded into the exact range."""
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, draws))
-    share = good / (good + bad)
-    spread = (draws * share * (1 - share) * (good + bad - draws) / (good + bad - 1)) ** 0.5
-    return int(min(good, draws, max(0, draws - bad, round(rng.normal(draws * share, spread)))))
+def shard_quotas(quotas: DataFrame, units: int, shards: int, seed: int) -> DataFrame:
+    """(shard, nth, n): how many of the units of each source in ``quotas(nth, units)`` each shard draws; zeros are left out."""
+    ends = lambda s: units * s // shards
+    leaf = -(-shards // SPAN)
+
+    def nodes(group: pd.DataFrame, lo: int, hi: int, leaf: int) -> pd.DataFrame:
+        group = group.sort_values("nth", ignore_index=True)
+        nth = group["nth"].to_numpy()
+        made = [(a, b, nth[n > 0], n[n > 0]) for a, b, n in split_tree(group["units"].to_numpy(), lo, hi, ends, seed, leaf)]
+        size = [len(m[2]) for m in made]
+        return pd.DataFrame({"lo": np.repeat([m[0] for m in made], size), "hi": np.repeat([m[1] for m in made], size), "nth": np.concatenate([m[2] for m in made]), "units": np.concatenate([m[3] for m in made])})
+
+    kind = "lo long, hi long, nth long, units long"
+    upper = quotas.groupBy(F.lit(0).alias("all")).applyInPandas(lambda g: nodes(g, 0, shards, leaf), kind)
+    lower = upper.groupBy("lo", "hi").applyInPandas(lambda g: nodes(g, int(g["lo"].iat[0]), int(g["hi"].iat[0]), 1), kind)
+    return lower.select(F.col("lo").alias("shard"), "nth", F.col("units").alias("n"))
 
 
 def settle(group: pd.DataFrame) -> pd.DataFrame:
@@ -130,6 +120,40 @@ def settle(group: pd.DataFrame) -> pd.DataFrame:
     return group.loc[taken, ["nth", "block", KEY]]
 
 
+def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """``sources(source, source_size, longest)`` with ``nth`` (in code-point order, null last), ``target`` (a share of
+    the whole size by weight, none above ``most`` times its own size), whole ``passes`` and the ``rest`` of a target."""
+    order = sources.orderBy(F.col("source").isNull(), "source")
+    order = materialize(order.withColumn("at", F.monotonically_increasing_id()), "sources")
+    parts = order.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    parts = parts.select("part", before.alias("base"))  # one row a partition
+    ranked = order.join(parts, F.shiftright("at", 33) == F.col("part"))
+    ranked = ranked.withColumn("nth", F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("at", "part", "base")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("nth", F.lit(len(weights))) + 1).cast("int")).cast("long")
+    ranked = materialize(ranked.withColumn("weight", weight), "sources")
+    # the level of the uncapped: what is left of the whole, over their weights; it only rises, and ends where no more source is capped
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    left, share, capped = None, None, -1
+    while True:
+        over = F.lit(False) if left is None else (big("weight") * F.lit(left) > big("source_size") * F.lit(most * share))
+        r = ranked.where("source_size > 0").select("source_size", "weight", over.alias("over")).agg(
+            F.sum("source_size"), F.sum(F.when(F.col("over"), F.col("source_size"))), F.sum(F.when(~F.col("over"), F.col("weight"))), F.count(F.when(F.col("over"), True))
+        ).first()
+        if r[3] == capped:
+            break
+        left, share, capped = (r[0] or 0) - most * (r[1] or 0), r[2] or 1, r[3]
+        if not r[2]:  # all are capped
+            break
+    over = big("weight") * F.lit(left) > big("source_size") * F.lit(most * share)
+    free = F.col("weight") * F.lit(float(left)) / F.lit(float(share))
+    whole = (big("weight") * F.lit(left) / (big("source_size") * F.lit(share))).cast("long")
+    some = F.col("source_size") > 0
+    out = ranked.withColumn("target", F.when(~some, 0.0).when(over, F.col("source_size") * float(most)).otherwise(free))
+    out = out.withColumn("passes", F.when(~some, 0).when(over, most).otherwise(whole).cast("int"))
+    return materialize(out.withColumn("rest", F.when(some & ~over, F.col("target") - F.col("passes") * F.col("source_size")).otherwise(0.0)), "targets")
+
+
 def count_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
@@ -148,32 +172,24 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    key: str | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs`` (which may carry ``_row_key``): ``_row_key``, id, size, source_size, target, and
+    """One row per row of ``docs``: ``_row_key`` (from the column ``key`` of unique longs, if there is one), id, size, source_size, target, and
     ``draws``, an array of (pass, shard, place) with one entry for each time that the mix takes the document.
 
     ``weights`` repeat over the sources in code-point order, null last.
     """
-    rows = docs if KEY in docs.columns else keyed(docs, id_col)
+    if key is None:
+        docs, key = keyed(docs.select(*{id_col, text_col, source_col}), id_col)
     sized = materialize(
-        rows.select(KEY, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size")), "sized"
+        docs.select(F.col(key).alias(KEY), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), count_words(F.col(text_col)).alias("size")), "sized"
     )
-    per = sized.groupBy("source").agg(F.sum("size").alias("size"), F.max("size").alias("longest"))
-    found = per.limit(MAX_SOURCES + 1).collect()  # one row per source
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; mix by a coarser column")
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    sizes = [int(r["size"]) for r in found]
-    targets = targets_of(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
-    table = []
-    for i, (r, n, t) in enumerate(zip(found, sizes, targets, strict=True)):
-        passes = int(t // n) if n else 0
-        table.append((i, r["source"], n, float(t), passes, float(t - passes * n), max(1, -(-n // block_size)), int(r["longest"])))
-    spark = docs.sparkSession
-    kinds = "nth int, source string, source_size long, target double, passes int, rest double, blocks long, longest long"
-    # at most MAX_SOURCES rows
-    plan = F.broadcast(spark.createDataFrame(table, kinds))
-    dealt = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.max("size").alias("longest")), weights, most)
+    n_sources, total = sources.agg(F.count("*"), F.sum("source_size")).first()
+    block_size = max(block_size, -(-(total or 0) // MAX_UNITS))
+    plan = sources.select(F.col("source").alias("of"), "nth", "source_size", "longest", "target", "passes", "rest", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_size)).alias("blocks"))
+    plan = F.broadcast(plan) if n_sources <= BROADCAST_SOURCES else plan
+    dealt = sized.join(plan, sized["source"].eqNullSafe(plan["of"])).drop("of")
     dealt = dealt.withColumn("block", F.pmod(_hash(seed, KEY), F.col("blocks"))).withColumn("class", F.length(F.bin("size")))
 
     # running size of a class's blocks in block order, which is a random order: documents are dealt by hash
@@ -200,7 +216,7 @@ def mix(
 
     edge = dealt.join(cell.where("state = 2").select("nth", "class", "block", "total", "start"), ["nth", "class", "block"])
     edge = edge.select("nth", "class", "block", KEY, "size", "total", "start", "rest", _hash(seed + 2, KEY).alias("order"))
-    filled = materialize(edge.groupBy("nth").applyInPandas(settle, f"nth int, block long, {KEY} long"), "filled")
+    filled = materialize(edge.groupBy("nth").applyInPandas(settle, f"nth long, block long, {KEY} long"), "filled")
 
     # the classes of a block that the extra pass takes whole; it is one unit more if it takes any document
     block = cell.groupBy("nth", "block").agg(F.first("passes").alias("passes"), F.collect_list(F.when(F.col("state") == 1, F.col("class"))).alias("whole"))
@@ -208,10 +224,15 @@ def mix(
     extra = (F.size("whole") > 0) | F.coalesce("some", F.lit(False))
     block = materialize(block.select("nth", "block", "whole", (F.col("passes") + extra.cast("int")).alias("units")), "units")
 
-    quota = {r["nth"]: int(r["units"]) for r in block.groupBy("nth").agg(F.sum("units").alias("units")).collect()}
-    quotas = np.array([quota.get(i, 0) for i in range(len(table))], np.int64)
-    shards = max(1, min(shards or -(-int(quotas.sum()) // UNITS_A_SHARD), MAX_CELLS // max(1, len(table))))
-    cuts = np.cumsum(split_tree(quotas, shards, seed), axis=0)  # at most MAX_CELLS numbers
+    quotas = materialize(block.groupBy("nth").agg(F.sum("units").cast("long").alias("units")).where("units > 0"), "quotas")
+    all_units = quotas.agg(F.sum("units")).first()[0] or 0
+    shards = max(1, min(shards or -(-all_units // UNITS_A_SHARD), all_units))
+    cuts = materialize(shard_quotas(quotas, all_units, shards, seed).withColumn("chunk", F.floor(F.col("shard") / CHUNK)), "cuts")
+    bases = cuts.groupBy("nth", "chunk").agg(F.sum("n").alias("n")).select("nth", "chunk", before("nth"))
+    earlier_cuts = Window.partitionBy("nth", "chunk").orderBy("shard").rowsBetween(*earlier)
+    first = F.col("base") + F.coalesce(F.sum("n").over(earlier_cuts), zero)
+    places = cuts.join(bases, ["nth", "chunk"]).select("nth", "shard", "n", first.alias("first"))
+    places = places.select("nth", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("rank"))
 
     # a unit's rank among its source's units, in hashed order, says which shard draws it
     units = block.where("units > 0").select("nth", "block", F.explode(F.sequence(F.lit(0), F.col("units").cast("int") - 1)).alias("pass"))
@@ -221,14 +242,7 @@ def mix(
     in_order = Window.partitionBy("nth", "chunk").orderBy("mark", "block", "pass")
     units = units.join(bases, ["nth", "chunk"]).select("nth", "block", "pass", (F.col("base") + F.row_number().over(in_order) - 1).alias("rank"))
 
-    def to_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            shard = np.zeros(len(batch), np.int64)
-            for i, at in batch.groupby("nth").indices.items():
-                shard[at] = np.searchsorted(cuts[:, i], batch["rank"].to_numpy()[at], side="right")
-            yield batch[["nth", "block", "pass"]].assign(shard=shard)
-
-    drawn = units.mapInPandas(to_shards, "nth int, block long, pass int, shard long")
+    drawn = units.join(places, ["nth", "rank"])
     drawn = drawn.groupBy("nth", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("drawn"))  # at most ``most`` entries
     drawn = materialize(block.join(drawn, ["nth", "block"], "left").select("nth", "block", "whole", "drawn"), "drawn")
 
@@ -250,7 +264,9 @@ def mix(
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as drawn, by shard and shuffled within each shard."""
-    rows = keyed(docs)
-    spots = mix(rows, **how).select(KEY, F.explode("draws").alias("_draw"))
-    drawn = rows.join(spots, KEY)
-    return drawn.repartition(F.col("_draw.shard")).sortWithinPartitions("_draw.shard", "_draw.place", KEY).select(*docs.columns)
+    rows, key = keyed(docs)
+    spots = mix(rows, key=key, **how).select(F.col(KEY).alias("k"), F.explode("draws").alias("d"))
+    spots = spots.select("k", F.struct("d.shard", "d.place", "k").alias("spot"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    drawn = rows.select(F.struct(*own).alias("row"), F.col(key).alias("k")).join(spots, "k").select("row", "spot")
+    return drawn.repartition("spot.shard").sortWithinPartitions("spot").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

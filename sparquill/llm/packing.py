@@ -9,7 +9,8 @@
 3. Pieces of a length are ranked (by buckets of a hash, so that a length that holds a third of all rows is many
    small groups), and the rank says which slot of which sequence a piece takes.
 
-Edge cases: null and empty texts are the one id 0; repeated rows are packed each; special-token strings in a
+Edge cases: null and empty texts are the one id 0; very long texts are tokenized whole and cut into as many pieces as
+they fill; repeated rows are packed each; null ids are kept; special-token strings in a
 text are ordinary text; an empty table gives an empty result; of the input only id and text are read.
 """
 
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparquill.llm.common import KEY, keyed, materialize
+from sparquill.llm.common import KEY, materialize, raw_texts
 
 WINDOW, BUCKETS, BUCKET_ROWS = 1024, 64, 200_000
 KEEP_FIRST, KEEP_LATER, ENCODE_AT_ONCE = 250_000, 150_000, 4096
@@ -82,28 +84,31 @@ def _tokens(path: str) -> TokenBytes:
     return _TOKENS[path]
 
 
+_PIECES = pa.schema([(KEY, pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
+
+
 def _cutter(path: str, window: int):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path)
-        for batch in batches:
-            keys, ids, texts = batch[KEY].tolist(), batch["id"].astype(object).where(batch["id"].notna(), None).tolist(), [t or "" for t in batch["text"]]
+
+        def pieces(keys: list[int], ids: list[int | None], texts: list[str]) -> pa.RecordBatch:
             out: list[tuple] = []
-            at = 0
-            while at < len(texts):
-                end, held = at, 0
-                while end < len(texts) and (end == at or held < 500_000):
-                    held += len(texts[end])
-                    end += 1
-                for k, i, raw in zip(keys[at:end], ids[at:end], tokens.of(texts[at:end]), strict=True):
-                    raw += b"\0\0\0\0"
-                    n = len(raw) // 4
-                    for start in range(0, n, window):
-                        part = raw[4 * start : 4 * (start + window)]
-                        out.append((k, i, start, len(part) // 4, zlib.crc32(part), n))
-                at = end
-            frame = pd.DataFrame(out, columns=[KEY, "id", "start", "length", "ids_crc32", "doc_tokens"])
-            frame["id"] = frame["id"].astype("Int64")
-            yield frame
+            for k, i, raw in zip(keys, ids, tokens.of(texts), strict=True):
+                raw += b"\0\0\0\0"
+                n = len(raw) // 4
+                for start in range(0, n, window):
+                    part = raw[4 * start : 4 * (start + window)]
+                    out.append((k, i, start, len(part) // 4, zlib.crc32(part), n))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_PIECES)
+
+        for batch in batches:
+            keys, ids, texts, held = batch.column(KEY).to_pylist(), batch.column("id").to_pylist(), [], 0
+            for at, raw in enumerate(raw_texts(batch.column("text")), 1):
+                texts.append(raw.decode("utf-8", "replace"))
+                held += len(raw)
+                if held >= 500_000 or at == len(keys):
+                    yield pieces(keys[at - len(texts) : at], ids[at - len(texts) : at], texts)
+                    texts, held = [], 0
 
     return cut
 
@@ -201,10 +206,10 @@ def slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[int, np.nda
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = docs if KEY in docs.columns else keyed(docs, id_col)
-    texts = rows.select(KEY, F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # numbered in the one pass that reads the texts: all that follows reads the written pieces
+    texts = docs.select(F.monotonically_increasing_id().alias(KEY), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     kinds = f"{KEY} long, id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = materialize(texts.mapInPandas(_cutter(tokenizer_path, window), kinds), "pieces")
+    pieces = materialize(texts.mapInArrow(_cutter(tokenizer_path, window), kinds), "pieces")
     histogram = np.zeros(window + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most one row per length
         histogram[r["length"]] = r["count"]
