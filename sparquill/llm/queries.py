@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import chat, exact_dedup, licenses, lm, mixing, near_dedup, packing, quality, search, substring_dedup
+from sparquill.llm import chat, clustering, exact_dedup, licenses, lm, mixing, near_dedup, packing, quality, search, substring_dedup
 from sparquill.llm.common import KEY, documents, keyed
 
 
@@ -68,7 +68,49 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, seed=2).drop("contenders")
+
+
+def _kmeans_sql(k: int = 40, rounds: int = 5) -> str:
+    """The rounds as one chain of tables: centroids c0 to c5 and, from each, the assignment a0 to a5."""
+    parts = [
+        f"""v AS (
+            SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        ), c0 AS (
+            SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, x AS m
+            FROM (SELECT sha256('2:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {k})
+        )"""
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""a{r} AS MATERIALIZED (
+                SELECT vec_id, c, d FROM (
+                    SELECT vec_id, c, list_sum(list_transform(range(1, 65), lambda i: (x[i] - m[i]) * (x[i] - m[i]))) AS d FROM v CROSS JOIN c{r}
+                ) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1
+            )"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""s{r} AS (
+                    SELECT c, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN v USING (vec_id) CROSS JOIN range(1, 65) t(i) GROUP BY c, i
+                ), n{r} AS (
+                    SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{r} GROUP BY c
+                ), c{r + 1} AS MATERIALIZED (
+                    SELECT c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN n{r} n USING (c)
+                )"""
+            )
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} USING (c)
+    """
+
+
 QUERIES = {
+    "op13_centroid_clustering": op13_centroid_clustering,
     "op8_license_scan": op8_license_scan,
     "op9_topk_search": op9_topk_search,
     "op3_chat_formatting": op3_chat_formatting,
@@ -82,6 +124,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op13_centroid_clustering": _kmeans_sql(),
     "op9_topk_search": r"""
         WITH w AS (
             SELECT doc_id, unnest(list_filter(regexp_split_to_array(
