@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import chat, clustering, exact_dedup, licenses, lm, mixing, near_dedup, packing, quality, search, substring_dedup
+from sparquill.llm import chat, clustering, credentials, exact_dedup, licenses, lm, mixing, near_dedup, packing, quality, search, substring_dedup
 from sparquill.llm.common import KEY, documents, keyed
 
 
@@ -68,6 +68,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scan(documents(spark, sf_dir))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, seed=2).drop("contenders")
 
@@ -110,6 +114,7 @@ def _kmeans_sql(k: int = 40, rounds: int = 5) -> str:
 
 
 QUERIES = {
+    "op12_secret_scan": op12_secret_scan,
     "op13_centroid_clustering": op13_centroid_clustering,
     "op8_license_scan": op8_license_scan,
     "op9_topk_search": op9_topk_search,
