@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparquill.llm import chat, clustering, credentials, exact_dedup, licenses, lm, mixing, near_dedup, packing, quality, search, substring_dedup
+from sparquill.llm import chat, clustering, credentials, exact_dedup, lexical, licenses, lm, mixing, near_dedup, packing, quality, search, substring_dedup
 from sparquill.llm.common import KEY, documents, keyed
 
 
@@ -68,6 +68,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.scan(documents(spark, sf_dir))
 
@@ -114,6 +118,7 @@ def _kmeans_sql(k: int = 40, rounds: int = 5) -> str:
 
 
 QUERIES = {
+    "op11_ranked_search": op11_ranked_search,
     "op12_secret_scan": op12_secret_scan,
     "op13_centroid_clustering": op13_centroid_clustering,
     "op8_license_scan": op8_license_scan,
@@ -128,7 +133,30 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 ORACLE = {
+    "op11_ranked_search": rf"""
+        WITH t AS (
+            SELECT doc_id, unnest({_TERMS}) AS term FROM documents
+        ), p AS (
+            SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL
+        ), d AS (
+            SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY doc_id
+        ), g AS (
+            SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM d
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p CROSS JOIN g GROUP BY term, docs
+        ), q AS (
+            SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+        ), s AS (
+            SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words)))) AS BIGINT) AS score
+            FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id) CROSS JOIN g GROUP BY ALL
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 10
+    """,
     "op13_centroid_clustering": _kmeans_sql(),
     "op9_topk_search": r"""
         WITH w AS (
