@@ -6,12 +6,12 @@
 2. Per term of the items the ``k`` best impacts are stored with their documents, and the document frequency. An impact is
    what a term adds to a document's score, less the term's weight; Spark keeps the k best of every task before the shuffle.
 3. Seeds: the weighted k-th impact of any of its terms bounds an item's k-th score from below. The stored documents of
-   its ``SEEDS`` best terms are scored exactly, and the k-th of these scores raises the bound.
+   its ``SEEDS`` best terms and those that its rarest terms put first are scored exactly; the k-th score raises the bound.
 4. Terms are put in order of document frequency; the most frequent ones whose greatest impacts together stay under
-   the bound can't lift a document into the list by themselves, and their postings are not joined: most of all postings.
+   the bound (``KEPT`` times the bound) can't lift a document into the list by themselves: their postings are not joined.
 5. The other terms' postings meet the items by an equi-join on the term and add up per (item, document), combined before
-   the shuffle. Candidates that can't reach the bound with all pruned terms go; the others are scored exactly over all
-   terms, and the k best of each item stay.
+   the shuffle. Candidates that can't reach the bound with all pruned terms go. The first of the others, scored exactly,
+   raise the bound once more; what is left is scored exactly over all terms, and the k best of each item stay.
 
 All arithmetic but a term's weight is in 64-bit integers: ``floor(1000 * ln((2 N + 2) / (2 df + 1)))`` times
 ``(1000000000 tf) div (1000 tf + 8 m)`` with ``m = 100 - 90 + (90 n N) div L``.
@@ -38,7 +38,11 @@ from pyspark.sql.window import Window
 from sparquill.llm.common import KEY, keyed, materialize, raw_texts
 from sparquill.operators.relational import small
 
-SEEDS = 8
+#: Terms of an item whose stored documents are seeds, and the share of its terms, the rarest, that find further ones.
+SEEDS, RARE = 8, 0.5
+#: Terms are pruned while all of them together stay under this share of the bound. At 1 the fewest postings are joined, but
+#: then nearly every document that has a joined term is a candidate; at a half, one must reach half of the bound by joined terms.
+KEPT = 0.5
 MARKS = 1 << 24
 PIECE = 4 << 20
 
@@ -146,6 +150,10 @@ class Index:
         w = F.floor(1000 * F.log(F.lit(2 * self.docs + 2).cast("double") / (2 * F.col("df") + 1)))
         return df.join(best, "term").select("term", "df", w.alias("w"), "best")
 
+    def parts(self, terms: DataFrame) -> DataFrame:
+        """(q, _row_key, part): what ``terms`` (q, term, w) alone add to the score of every document that has one."""
+        return self.postings().join(small(terms), "term").groupBy("q", KEY).agg(F.sum(F.col("w") * F.col("impact")).alias("part"))
+
     def exact(self, pairs: DataFrame, asked: DataFrame) -> DataFrame:
         """(q, _row_key, id, score): the score of each of ``pairs`` (q, _row_key) over all terms of the item."""
         each = pairs.join(self.rows, KEY).select("q", KEY, "id", "n", F.inline(F.arrays_zip("term", "tf")))
@@ -153,18 +161,34 @@ class Index:
         return each.groupBy("q", KEY).agg(F.first("id").alias("id"), F.sum(F.col("w") * F.col("impact")).alias("score"))
 
 
+def _kth(scored: DataFrame, k: int) -> DataFrame:
+    """(q, score): the k-th greatest score of each item that has so many."""
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
+    return scored.select("q", "score").withColumn("r", place).where(F.col("r") == k).select("q", "score")
+
+
+def _first(parts: DataFrame, k: int) -> DataFrame:
+    """(q, _row_key): the k documents of greatest ``part`` of each item."""
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("part"), KEY))
+    return parts.withColumn("r", place).where(F.col("r") <= k).select("q", KEY)
+
+
 def seeded(index: Index, asked: DataFrame) -> DataFrame:
-    """(q, least): a lower bound of each item's k-th score, from stored impacts and from exact scores of their documents; 0 if there is none."""
+    """(q, least): a lower bound of each item's k-th score, 0 if there is none.
+
+    The weighted k-th stored impacts bound it; so do exact scores of any k documents: here of those that are stored with
+    the item's ``SEEDS`` best terms, and of those that the rarest ``RARE`` of its terms together put first.
+    """
     k = index.k
     kth = F.when(F.size("best") >= k, F.col("w") * F.col("best")[k - 1]["impact"]).otherwise(0)
     bounds = asked.withColumn("kth", kth)
     stored = bounds.groupBy("q").agg(F.max("kth").alias("stored"))
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("kth"), "term"))
-    pairs = bounds.withColumn("nth", nth).where(F.col("nth") <= SEEDS).select("q", F.explode("best").alias("b")).select("q", F.col(f"b.{KEY}").alias(KEY)).distinct()
-    scored = index.exact(pairs, asked)
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
-    scored = scored.withColumn("r", place).where(F.col("r") == k).select("q", "score")
-    return stored.join(scored, "q", "left").select("q", F.greatest("stored", F.coalesce("score", F.lit(0))).alias("least"))
+    pairs = bounds.withColumn("nth", nth).where(F.col("nth") <= SEEDS).select("q", F.explode("best").alias("b")).select("q", F.col(f"b.{KEY}").alias(KEY))
+    place = F.percent_rank().over(Window.partitionBy("q").orderBy("df", "term"))
+    rare = asked.withColumn("place", place).where(F.col("place") <= RARE).select("q", "term", "w")
+    pairs = pairs.unionByName(_first(index.parts(rare), k)).distinct()
+    return stored.join(_kth(index.exact(pairs, asked), k), "q", "left").select("q", F.greatest("stored", F.coalesce("score", F.lit(0))).alias("least"))
 
 
 def pruned(asked: DataFrame, least: DataFrame) -> DataFrame:
@@ -186,10 +210,12 @@ def rank(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id",
     index = Index(rows, terms.select("term"), k)
     asked = materialize(terms.join(index.impacts, "term"), "asked")
     bounded = materialize(pruned(asked, seeded(index, asked)), "bounded")
-    joined = bounded.where("bound >= least AND bound > 0").select("q", "term", "w")
-    rest = bounded.groupBy("q").agg(F.first("least").alias("least"), F.coalesce(F.max(F.when(F.col("bound") < F.col("least"), F.col("bound"))), F.lit(0)).alias("rest"))
-    met = index.postings().join(small(joined), "term").groupBy("q", KEY).agg(F.sum(F.col("w") * F.col("impact")).alias("part"))
-    candidates = met.join(small(rest), "q").where("part + rest >= least").select("q", KEY)
+    kept = (F.col("bound") >= KEPT * F.col("least")) & (F.col("bound") > 0)
+    joined = bounded.where(kept).select("q", "term", "w")
+    rest = bounded.groupBy("q").agg(F.first("least").alias("least"), F.coalesce(F.max(F.when(~kept, F.col("bound"))), F.lit(0)).alias("rest"))
+    met = materialize(index.parts(joined).join(small(rest), "q").where("part + rest >= least"), "met")
+    higher = _kth(index.exact(_first(met, k), asked), k)  # once more, now that most of every score is known
+    candidates = met.join(higher, "q", "left").where("part + rest >= coalesce(score, 0)").select("q", KEY)
     scored = index.exact(materialize(candidates, "candidates"), asked).where("score > 0")
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("id"), KEY)
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
