@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, FractionalType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
 #: Sides under this many bytes (by the optimizer's statistics) may be broadcast.
@@ -102,18 +104,71 @@ def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: st
     return both.select("_l.*", *[F.col(f"_m.{c}").alias(c if c not in left.columns else f"right_{c}") for c in rest])
 
 
+#: Cells that the longest spans are cut into, and how many powers of two a level is above the one below.
+TOP_CELLS, LEVEL_STEP = 64, 2
+
+
+def _axis(points: DataFrame, spans: DataFrame, at: str, start: str, end: str) -> tuple[Callable[[str], Column], int, Column] | None:
+    """Of the points' axis: a column's tick (a whole number from 0 on that keeps the order, outer values at its ends), the
+    number of ticks, and which spans may hold a point at all; None without points."""
+    kinds = [points.schema[at].dataType, spans.schema[start].dataType, spans.schema[end].dataType]
+    if any(isinstance(k, TimestampType | TimestampNTZType) for k in kinds):
+        value = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    elif isinstance(kinds[0], DateType):
+        value = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    elif any(isinstance(k, FractionalType) for k in kinds):
+        value = lambda c: F.col(c).cast("double")
+    else:
+        value = lambda c: F.col(c).cast("long")
+    finite = F.when(F.abs(value(at).cast("double")) < 1e300, value(at))
+    e = points.agg(F.min(at).alias("first"), F.max(at).alias("last"), F.min(finite).alias("lo"), F.max(finite).alias("hi")).first()
+    if e["first"] is None:
+        return None
+    lo, hi = e["lo"] or 0, e["hi"] or 0
+    inside = (F.col(start).isNull() | (F.col(start) <= F.lit(e["last"]))) & (F.col(end).isNull() | (F.col(end) > F.lit(e["first"])))
+    clamped = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.least(value(c), F.lit(hi)), F.lit(lo)))
+    if isinstance(lo, int) and hi - lo < 1 << 61:
+        return lambda c: clamped(c) - lo, hi - lo + 1, inside
+    factor = 2.0 ** (40 - math.frexp(max(hi - lo, 1e-300))[1])
+    return lambda c: F.floor((clamped(c).cast("double") - float(lo)) * factor).cast("long"), (1 << 40) + 1, inside
+
+
+def cell_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
+    """(points' columns, spans' columns but the keys): points with the spans [start, end) of equal ``keys`` that hold them.
+
+    Cells are powers of two of the axis. A span lies in the one or two cells of the least level that is as wide as the span,
+    a point in one cell of every level that spans use, and both meet by an equi-join on keys, level and cell, so that no
+    width has to be chosen and a short span never meets points far away. The axis ends at the outermost points: there open
+    (null) ends are cut off. The widest level has cells of a ``TOP_CELLS``th of the axis, and longer spans lie in up to so
+    many of them; so the rows of a hot key, even under spans that hold them all, are dealt out over as many groups.
+    Null points and keys match nothing, nor do empty spans. Points and spans are dates, timestamps or numbers.
+    """
+    axis = _axis(points, spans, at, start, end)
+    if axis is None:
+        both = points.select(*[points[c] for c in points.columns], *[F.lit(None).cast(f.dataType).alias(f.name) for f in spans.schema if f.name not in keys])
+        return both.where(F.lit(False))
+    tick, width, inside = axis
+    top = -(-max(0, width // TOP_CELLS).bit_length() // LEVEL_STEP) * LEVEL_STEP
+    cut = spans.where(inside).withColumns({"_a": F.coalesce(tick(start), F.lit(0)).cast("long"), "_b": F.coalesce(tick(end), F.lit(width - 1)).cast("long")}).where("_a <= _b")
+    level = F.least(F.ceil(F.log2(F.col("_b") - F.col("_a") + 1) / LEVEL_STEP) * LEVEL_STEP, F.lit(top)).cast("int")
+    cut = cut.withColumn("_level", level)
+    levels = sorted(r[0] for r in cut.select("_level").distinct().collect())  # 32 at most
+    cell = lambda c: F.expr(f"shiftright({c}, _level)")
+    posted = cut.withColumn("_cell", F.explode(F.sequence(cell("_a"), cell("_b")))).drop("_a", "_b")
+    probes = points.where(F.col(at).isNotNull()).withColumn("_p", tick(at)).withColumn("_level", F.explode(F.lit(levels).cast("array<int>")))
+    probes = probes.withColumn("_cell", cell("_p")).drop("_p")
+    after = F.col(start).isNull() | (F.col(start) <= F.col(at))
+    return probes.join(posted, [*keys, "_level", "_cell"]).where(after & (F.col(end).isNull() | (F.col(at) < F.col(end)))).drop("_level", "_cell")
+
+
 def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
-    """Points with the spans [start, end) of the same keys that hold them; a null end is open."""
-    held = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
-    return points.join(spans, keys).where(held)
+    """Points with the spans [start, end) of the same keys that hold them; a null start or end is open. See ``cell_join``."""
+    return cell_join(points, spans, keys, at, start, end)
 
 
-def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: float) -> DataFrame:
-    """Points and spans [start, end) of one line, with no other key: both meet in cells of ``width``, an equi-join."""
-    cell = lambda c: F.floor(F.col(c) / width)
-    wide = spans.where(F.col(start) < F.col(end)).withColumn("_cell", F.explode(F.sequence(cell(start), F.ceil(F.col(end) / width) - 1)))
-    near = points.withColumn("_cell", cell(at)).join(wide, "_cell")
-    return near.where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_cell")
+def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """Points and spans [start, end) of one line, with no other key. See ``cell_join``."""
+    return cell_join(points, spans, [], at, start, end)
 
 
 def either_key_join(left: DataFrame, right: DataFrame, direct: str, mapped: str, right_key: str, *order: Column | str, ids: list[str]) -> DataFrame:
@@ -128,25 +183,6 @@ def either_key_join(left: DataFrame, right: DataFrame, direct: str, mapped: str,
     return left.join(found.select(*ids, *extra, "via"), ids, "left")
 
 
-def substring_join(short: DataFrame, long: DataFrame, needle: str, hay: str, gram: int = 3) -> DataFrame:
-    """Pairs in which ``hay`` contains ``needle``: candidates share the needle's rarest gram, then are checked.
-
-    Needles shorter than ``gram`` characters are compared by their own length of gram.
-    """
-    from sparquill.functions.text import windows
-
-    out = None
-    for n in range(1, gram + 1):
-        some = short.where(F.length(needle) >= n if n == gram else F.length(needle) == n)
-        hays = long.withColumn("_g", F.explode(F.array_distinct(windows(F.col(hay), n))))
-        often = hays.groupBy("_g").agg(F.count("*").alias("_n"))
-        grams = some.withColumn("_g", F.explode(F.array_distinct(windows(F.col(needle), n)))).join(often, "_g")
-        rare = grams.groupBy(*short.columns).agg(F.min(F.struct("_n", "_g")).alias("_m")).withColumn("_g", F.col("_m._g")).drop("_m")
-        found = rare.join(hays, "_g").where(F.contains(F.col(hay), F.col(needle))).drop("_g")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
 def pairs_within(df: DataFrame, keys: list[str], id_col: str, carry: list[str] | None = None) -> DataFrame:
     """Unordered pairs of a group, which must be small by nature (rows of one section, lines of one order)."""
     a = df.select(*keys, *[F.col(c).alias(f"{c}_a") for c in [id_col, *(carry or [])]])

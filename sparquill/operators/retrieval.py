@@ -1,12 +1,9 @@
-"""Retrieval: BM25 over postings, exact nearest vectors, rank fusion, expansion along references, gram similarity."""
+"""Retrieval: BM25 over postings, rank fusion, expansion along references, gram similarity."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,100 +47,6 @@ def bm25(index: DataFrame, queries: DataFrame, query_id: str, tokens: Column, n_
     return scored if k is None else top_per(scored, ["query_id"], k, F.desc("score"), "id")
 
 
-# ---- vectors
-
-
-def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, vector: str, block_rows: int = 4096, group: str | None = None, cells: int = 1 << 22) -> DataFrame:
-    """(query_id, id, score, rank): exact cosine neighbours, score 6 places, ties to the lesser id; a query is not its own.
-
-    Query vectors are broadcast in blocks of bounded size; points are multiplied in slices so that a product has at most
-    ``cells`` numbers, and each partition hands on its top k per query only. With ``group``, a column of the points, the
-    k best of every group are found in the same pass, and the result has that column.
-    """
-    spark = points.sparkSession
-    rows = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v"))
-    span = max(1, -(-rows.count() // block_rows))
-    out: list[DataFrame] = []
-    for part in range(span):
-        mine = rows.where(F.pmod(F.xxhash64("q"), F.lit(span)) == part).toPandas()  # block_rows rows or so
-        if not len(mine):
-            continue
-        shared = spark.sparkContext.broadcast((mine["q"].to_numpy(), _unit(np.stack(mine["v"].tolist()))))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            best = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "grp": pd.Series(dtype=object), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-            step = max(1, cells // len(ids))
-            for batch in batches:
-                for g, of in batch.groupby("grp", sort=False):
-                    for at in range(0, len(of), step):
-                        some = of.iloc[at : at + step]
-                        p = some["id"].to_numpy()
-                        s = np.round(q @ _unit(np.stack(some["v"].tolist())).T, 6)
-                        s[ids[:, None] == p[None, :]] = -np.inf
-                        take = min(k, s.shape[1])
-                        least = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take]
-                        i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-                        best = pd.concat([best, pd.DataFrame({"query_id": ids[i], "grp": g, "id": p[j], "score": s[i, j]})])
-                        best = best.sort_values(["query_id", "grp", "score", "id"], ascending=[True, True, False, True]).groupby(["query_id", "grp"], sort=False).head(k)
-            yield best
-
-        grp = F.lit("") if group is None else F.col(group).cast("string")
-        near = points.select(F.col(point_id).cast("long").alias("id"), F.col(vector).alias("v"), grp.alias("grp")).where(F.col("v").isNotNull() & F.col("grp").isNotNull())
-        out.append(near.mapInPandas(run, "query_id long, grp string, id long, score double"))
-    kind = "string" if group is None else dict(points.dtypes)[group]
-    if not out:
-        return spark.createDataFrame([], "query_id long, id long, score double, rank int" if group is None else f"query_id long, {group} {kind}, id long, score double, rank int")
-    found = top_per(reduce(DataFrame.unionByName, out), ["query_id", "grp"], k, F.desc("score"), "id")
-    return found.drop("grp") if group is None else found.select("query_id", F.col("grp").cast(kind).alias(group), "id", "score", "rank")
-
-
-def nearest_in_cells(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, vector: str, cells: int = 64, probes: int = 16, sample: int = 4096, seed: int = 7) -> DataFrame:
-    """(query_id, id, score, rank): nearest vectors by an index of cells; approximate where ``probes`` < ``cells``.
-
-    Centers are fitted by a few rounds of spherical k-means on the ``sample`` first vectors in hashed order (a bound); every
-    point goes into the cell of its nearest center, and a query is compared, by an equi-join on the cell, with the points of
-    its ``probes`` nearest cells in bounded Arrow batches. Measure the recall against ``nearest``; more probes raise it.
-    """
-    spark = points.sparkSession
-    some = points.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), point_id), point_id).select(F.col(vector).alias("v")).limit(sample).toPandas()
-    kind = "query_id long, id long, score double, rank int"
-    if not len(some):
-        return spark.createDataFrame([], kind)
-    m = _unit(np.stack(some["v"].tolist()))
-    center = m[: min(cells, len(m))]
-    for _ in range(8):
-        own = (m @ center.T).argmax(axis=1)
-        total = np.zeros_like(center)
-        np.add.at(total, own, m)
-        center = np.where(np.linalg.norm(total, axis=1, keepdims=True) > 1e-9, _unit(total), center)
-
-    def cell_of(most: int):
-        @F.pandas_udf("array<int>")
-        def cell(vectors: pd.Series) -> pd.Series:
-            s = _unit(np.stack(vectors.tolist())) @ center.T
-            return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :most].astype(np.int32)))
-
-        return cell
-
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("v"))
-    asked = asked.select("query_id", F.col("v").alias("q"), F.explode(cell_of(min(probes, len(center)))(F.col("v"))).alias("cell"))
-    have = points.where(F.col(vector).isNotNull()).select(F.col(point_id).cast("long").alias("id"), F.col(vector).alias("v"))
-    have = have.select("id", "v", cell_of(1)(F.col("v"))[0].alias("cell"))
-
-    @F.pandas_udf("double")
-    def product(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(np.round((_unit(np.stack(a.tolist())) * _unit(np.stack(b.tolist()))).sum(axis=1), 6))
-
-    met = asked.join(have, "cell").where("query_id <> id").select("query_id", "id", product("q", "v").alias("score"))
-    return top_per(met, ["query_id"], k, F.desc("score"), "id")
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    m = m.astype(np.float64)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-
-
 # ---- fusion and expansion
 
 
@@ -193,6 +96,48 @@ def gram_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return hits.join(total, "left_id")
 
 
+def prefix_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_grams: Column, right_grams: Column, weights: DataFrame, least: float, reach: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates (left_id, right_id, total) of ``weighted_matches``, with the written grams of both sides.
+
+    A left row's grams are put in order of how rarely the right side has them. Grams at the end that together weigh less
+    than ``least`` of the total can't make a match alone, so only those before them, the row's prefix, look for partners,
+    and only their postings are shuffled. What a pair shares in the prefix and all that lies beyond it bound its hit.
+    With ``reach`` under 1 the prefix goes on until only that share of the threshold lies beyond: more postings, but a
+    candidate must then share enough weight of rare grams, not just one.
+    """
+    a = left.select(F.col(left_id).alias("left_id"), F.array_distinct(left_grams).alias("grams"))
+    b = written(right.select(F.col(right_id).alias("right_id"), F.array_distinct(right_grams).alias("grams")), "right_grams")
+    posted = b.select("right_id", F.explode("grams").alias("gram"))
+    often = posted.groupBy("gram").agg(F.count("*").alias("df"))
+    each = a.select("left_id", F.explode("grams").alias("gram")).join(weights, "gram", "left").join(often, "gram", "left")
+    each = each.select("left_id", "gram", F.coalesce("w", F.lit(1.0)).alias("w"), F.coalesce("df", F.lit(0)).alias("df"))
+    from_here = Window.partitionBy("left_id").orderBy("df", "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    each = each.withColumn("rest", F.sum("w").over(from_here)).withColumn("total", F.sum("w").over(Window.partitionBy("left_id")))
+    each = written(each, "left_grams")
+    prefix = each.where(F.col("rest") >= reach * _need(least))
+    beyond = prefix.groupBy("left_id").agg(F.min(F.col("rest") - F.col("w")).alias("beyond"))
+    met = posted.join(small(prefix.where("df > 0")), "gram").groupBy("left_id", "right_id").agg(F.sum("w").alias("shared"), F.first("total").alias("total"))
+    return met.join(small(beyond), "left_id").where(F.col("shared") + F.col("beyond") >= _need(least)).select("left_id", "right_id", "total"), each, b
+
+
+def _need(least: float) -> Column:
+    """What a hit must weigh; sums of doubles in another order may be off by their last places."""
+    return F.lit(least) * F.col("total") * (1 - 1e-9)
+
+
+def weighted_matches(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_grams: Column, right_grams: Column, weights: DataFrame, least: float, reach: float = 0.6) -> DataFrame:
+    """(left_id, right_id, hit, total): the pairs of ``gram_matches`` with hit >= ``least`` * total (0 < least <= 1), all of them and none else.
+
+    Candidates come from a prefix filter with weight bounds (``prefix_candidates``) and are compared with whole gram sets.
+    Ids are unique on their side; rows with a null id or without grams match nothing; a gram without weight weighs 1.
+    """
+    candidates, each, b = prefix_candidates(left, right, left_id, right_id, left_grams, right_grams, weights, least, reach)
+    weighed = each.groupBy("left_id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("weights"))
+    pairs = candidates.join(weighed, "left_id").join(b, "right_id")
+    hit = F.aggregate(F.array_intersect(F.map_keys("weights"), "grams"), F.lit(0.0), lambda acc, g: acc + F.element_at("weights", g))
+    return pairs.select("left_id", "right_id", hit.alias("hit"), "total").where(F.col("hit") >= _need(least))
+
+
 def gram_idf(names: DataFrame, grams: Column) -> DataFrame:
     """(gram, w): ln((N + 1) / (df + 1)) + 1 over all names."""
     each = names.select(F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count("*").alias("df"))

@@ -437,12 +437,19 @@ def matrix_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "clause_segmentation",
     """
-    SELECT o_orderkey AS doc_id, clause_no, chapter, CAST(CASE clause_no WHEN '1.0.1' THEN length('1.0.1 甲' || o_orderkey) + 1 + length(o_orderpriority) WHEN '2.0.1' THEN length('2.0.1 乙' || o_custkey) WHEN 'A.0' THEN 2 ELSE length('A.0.1 丙' || o_orderstatus) END AS INT) AS char_len
-    FROM orders, (VALUES ('1.0.1', '1 总则'), ('2.0.1', '2 术语'), ('A.0', '附录A 材料'), ('A.0.1', '附录A 材料')) t(clause_no, chapter)
+    SELECT o_orderkey AS doc_id, clause_no, chapter, CAST(CASE clause_no
+        WHEN '1.0.1' THEN length('1.0.1 甲' || o_orderkey) + 1 + length(o_orderpriority) WHEN '2.0.1' THEN length('2.0.1 乙' || o_custkey)
+        WHEN '3.1.1' THEN length('3.1.1混凝土' || o_orderkey) WHEN '3.1.1.2' THEN length('3.1.1.2 细目') WHEN 'A.0' THEN 2 WHEN 'A.0.1' THEN length('A.0.1 丙' || o_orderstatus)
+        WHEN 'E.1' THEN length('E.1 基本雪压') + 3 ELSE length('E.5 全国' || o_custkey) END AS INT) AS char_len
+    FROM orders, (VALUES ('1.0.1', '1 总则'), ('2.0.1', '2 术语'), ('3.1.1', '3 基本规定 > 3.1 材料'), ('3.1.1.2', '3 基本规定 > 3.1 材料'), ('A.0', '附录A 材料'), ('A.0.1', '附录A 材料'),
+                         ('E.1', '附录E 荷载'), ('E.5', '附录E 荷载')) t(clause_no, chapter)
     """,
 )
 def clause_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ["'# 1 总则'", "concat('1.0.1 甲', o_orderkey)", "o_orderpriority", "'# 2 术语'", "concat('2.0.1 乙', o_custkey)", "'2.0.1 乙'", "'# 附录A 材料'", "'表格'", "concat('A.0.1 丙', o_orderstatus)", "'# 条文说明'", "'1.0.1 解释'"]
+    """Headings with and without a blank, contents lines, clauses of three and four numbers and of letters, appendices, commentary."""
+    lines = ["'# 1 总则 12'", "'# 1 总则'", "concat('1.0.1 甲', o_orderkey)", "o_orderpriority", "'# 2 术语'", "concat('2.0.1 乙', o_custkey)", "'2.0.1 乙'"]
+    lines += ["'## 3基本规定'", "'## 3.1材料'", "concat('3.1.1混凝土', o_orderkey)", "'3.1.1.2 细目'"]
+    lines += ["'# 附录A 材料'", "'表格'", "concat('A.0.1 丙', o_orderstatus)", "'# 附录E 荷载'", "'## E.1 基本雪压'", "'表一'", "concat('## E.5 全国', o_custkey)", "'# 条文说明'", "'1.0.1 解释'"]
     given = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS doc_id", f"array_join(array({', '.join(lines)}), '\\n') AS text")
     return C.segment(given, "doc_id", "text").select("doc_id", "clause_no", F.concat_ws(" > ", "chapter_path").alias("chapter"), "char_len")
 

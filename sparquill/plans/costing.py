@@ -184,17 +184,33 @@ def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "bill_matches",
     """
-    WITH n AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'bad' ELSE lpad(CAST(CASE p_partkey % 5 WHEN 2 THEN 0 ELSE p_partkey END AS VARCHAR), 9, '0') END AS code, p_partkey AS k, p_size FROM part),
-    c AS (SELECT id, code, k, p_size, 0.4 + p_size % 6 / 10.0 AS s1, 0.3 + p_size % 4 / 10.0 AS s2 FROM n),
-    d AS (SELECT *, CASE WHEN code IS NULL THEN 'select' ELSE 'verify' END AS mode, code = 'bad' AS malformed, code IS NOT NULL AND code <> 'bad' AND k % 5 <> 2 AS exists_,
-                 s1 >= 0.6 AND s1 - s2 >= 0.05 AS decided, p_size % 7 <> 0 AS recalled FROM c)
-    SELECT id, mode, CASE WHEN mode = 'verify' THEN 'done' WHEN recalled AND decided THEN 'done' ELSE 'need_review' END AS status,
-           CASE WHEN mode = 'select' AND NOT (recalled AND decided) THEN NULL WHEN mode = 'verify' AND NOT exists_ THEN 'fail'
-                WHEN mode = 'verify' AND (p_size % 2 = 1 OR NOT recalled) THEN 'doubt' WHEN mode = 'select' AND p_size % 2 = 1 THEN 'doubt' ELSE 'pass' END AS verdict,
-           concat_ws(',', CASE WHEN malformed THEN 'code_format' END, CASE WHEN mode = 'verify' AND NOT malformed AND NOT exists_ THEN 'code_not_found' END,
-                     CASE WHEN p_size % 2 = 1 AND (exists_ OR mode = 'select' AND recalled AND decided) THEN 'missing_feature' END,
-                     CASE WHEN mode = 'verify' AND NOT malformed AND (NOT recalled OR NOT exists_) THEN 'recall_miss' WHEN mode = 'select' AND NOT recalled THEN 'no_candidates' WHEN mode = 'select' AND NOT decided THEN 'low_confidence' END) AS findings,
-           CASE WHEN mode = 'select' AND recalled AND decided THEN lpad(CAST(k AS VARCHAR), 9, '0') END AS selected FROM d
+    WITH n AS (
+        SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'bad' WHEN 2 THEN lpad('0', 9, '0') ELSE lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS code, p_size FROM part
+    ), c AS (
+        SELECT p_partkey AS id, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS candidate, CAST(0.4 + p_size % 6 / 10.0 AS DOUBLE) AS score FROM part WHERE p_size % 7 <> 0
+        UNION ALL SELECT p_partkey, lpad(CAST(p_partkey + 1 AS VARCHAR), 9, '0'), CAST(0.3 + p_size % 4 / 10.0 AS DOUBLE) FROM part WHERE p_size % 7 <> 0
+    ), r AS (
+        SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, candidate) AS place FROM c
+    ), b AS (
+        SELECT id, max(candidate) FILTER (WHERE place = 1) AS best, max(score) FILTER (WHERE place = 1) AS score, max(score) FILTER (WHERE place = 2) AS next FROM r GROUP BY id
+    ), t AS (
+        SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS code9 FROM part WHERE p_partkey > 0
+    ), d AS (
+        SELECT n.id, code, p_size, best, CASE WHEN code IS NULL THEN 'select' ELSE 'verify' END AS mode, coalesce(code = 'bad', false) AS malformed,
+               code IS NULL AND coalesce(b.score >= 0.6 AND round(b.score - next, 9) >= 0.05, false) AS decided,
+               EXISTS (SELECT 1 FROM c WHERE c.id = n.id AND c.candidate = code) AS recalled
+        FROM n LEFT JOIN b USING (id)
+    ), e AS (
+        SELECT *, coalesce(CASE WHEN mode = 'verify' THEN code WHEN decided THEN best END IN (SELECT code9 FROM t), false) AS known, p_size % 2 = 1 AS bare FROM d
+    ), f AS (
+        SELECT *, mode = 'verify' AND NOT malformed AND NOT known AS lost, known AND bare AS lacks, mode = 'verify' AND NOT malformed AND NOT recalled AS missed FROM e
+    )
+    SELECT id, mode, CASE WHEN mode = 'verify' OR decided THEN 'done' ELSE 'need_review' END AS status,
+           CASE WHEN mode = 'select' AND NOT decided THEN NULL WHEN malformed OR lost THEN 'fail' WHEN lacks OR missed THEN 'doubt' ELSE 'pass' END AS verdict,
+           concat_ws(',', CASE WHEN malformed THEN 'code_format' END, CASE WHEN lost THEN 'code_not_found' END, CASE WHEN lacks THEN 'missing_feature' END, CASE WHEN missed THEN 'recall_miss' END,
+                     CASE WHEN mode = 'select' AND best IS NULL THEN 'no_candidates' WHEN mode = 'select' AND NOT decided THEN 'low_confidence' END) AS findings,
+           CASE WHEN decided THEN best END AS selected
+    FROM f
     """,
 )
 def bill_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import text as T
 from sparquill.operators import retrieval as S
+from sparquill.operators import vectors
 from sparquill.plans.registry import query, rows
 from sparquill.sources.tables import table
 
@@ -43,7 +44,7 @@ def bm25_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return S.nearest(e, e, 10, "vec_id", "vec_id", "embedding")
+    return vectors.nearest(e, e, 10, "vec_id", "vec_id", "embedding")
 
 
 @query("bm25_search", _BM25 + "SELECT query_id, id, score, rank FROM bm25")
@@ -140,6 +141,28 @@ def weighted_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top_per(scored, ["q"], 15, F.desc("score"), F.length("p_name"), "p_name")
 
 
+_SPECS = "SELECT DISTINCT p_name || ' ' || p_type AS name FROM part"
+
+
+@query(
+    "weighted_names",
+    f"""
+    WITH n AS ({_SPECS}), g AS (SELECT name, {_GRAMS12} AS g FROM (SELECT name, regexp_replace(name, '[ 0-9/().-]', '', 'g') AS s FROM n)),
+    e AS (SELECT name, unnest(g) AS gram FROM g),
+    idf AS (SELECT gram, ln(((SELECT count(*) FROM n) + 1.0) / (count(*) + 1)) + 1 AS w FROM e GROUP BY gram),
+    tot AS (SELECT name, sum(w) AS total FROM e JOIN idf USING (gram) GROUP BY name),
+    hit AS (SELECT x.name AS wanted, y.name AS found, sum(w) AS hit FROM e x JOIN e y USING (gram) JOIN idf USING (gram) GROUP BY ALL)
+    SELECT wanted, found, round(hit / total, 6) AS score FROM hit JOIN tot ON tot.name = wanted WHERE hit >= 0.8 * total * (1 - 1e-9)
+    """,
+)
+def weighted_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts against each other: those that cover at least 0.8 of a name's gram weight."""
+    names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("name")).distinct()
+    grams = T.grams12(F.col("name"))
+    met = S.weighted_matches(names, names, "name", "name", grams, grams, S.gram_idf(names, grams), 0.8)
+    return met.select(F.col("left_id").alias("wanted"), F.col("right_id").alias("found"), F.round(F.col("hit") / F.col("total"), 6).alias("score"))
+
+
 @query(
     "auto_select",
     _NEAR + """, m AS (SELECT query_id, max(CASE WHEN rank = 1 THEN id END) AS id, max(CASE WHEN rank = 1 THEN score END) AS score, max(CASE WHEN rank = 2 THEN score END) AS runner_up FROM near GROUP BY 1)
@@ -174,7 +197,7 @@ def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best match of every evaluation vector in each training group; matches above the threshold (strictly) leak."""
     e = table(spark, sf_dir, "embeddings")
-    best = S.nearest(e.where("label = 0"), e.where("label <> 0"), 1, "vec_id", "vec_id", "embedding", group="label")
+    best = vectors.nearest(e.where("label = 0"), e.where("label <> 0"), 1, "vec_id", "vec_id", "embedding", group="label")
     return best.select(F.col("query_id").alias("eval_id"), F.col("label").alias("grp"), F.col("id").alias("train_id"), "score", (F.col("score") > 0.3).alias("leaked"))
 
 
@@ -208,6 +231,17 @@ def gram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cell_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of cells against exact neighbours: at least 0.9 of the ten best are found."""
     e = table(spark, sf_dir, "embeddings")
-    near = S.nearest_in_cells(e, e, 10, "vec_id", "vec_id", "embedding", cells=16, probes=12).select("query_id", "id", F.lit(1).alias("hit"))
+    near = vectors.nearest_in_cells(e, e, 10, "vec_id", "vec_id", "embedding", cells=16, probes=12).select("query_id", "id", F.lit(1).alias("hit"))
     both = neighbours(spark, sf_dir).select("query_id", "id").join(near, ["query_id", "id"], "left")
     return both.agg(F.countDistinct("query_id").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query("graph_search_recall")
+def graph_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as queries in the layered graphs: the share of the ten exact neighbours that is found, and of the vectors that a query is compared with."""
+    e = table(spark, sf_dir, "embeddings")
+    found = vectors.graph_search(vectors.graph_index(e, "vec_id", "embedding"), e, 10, "vec_id", "embedding").select("query_id", "id", "compared")
+    both = neighbours(spark, sf_dir).select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    recall = both.agg(F.countDistinct("query_id").alias("queries"), F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count("*"), 4).alias("recall"))
+    asked = found.groupBy("query_id").agg(F.first("compared").alias("compared")).agg(F.sum("compared").alias("compared"), F.count("*").alias("n"))
+    return recall.join(F.broadcast(asked)).select("queries", "recall", F.round(F.col("compared") / F.col("n") / F.col("queries"), 4).alias("share"))  # one row each

@@ -108,7 +108,7 @@ def cached_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "text")
     table(spark, sf_dir, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(" "), F.replace("text", F.lit("\n"), F.lit(" ")))).write.text(path)
-    found = tables.grep(spark, path, "[aeiou]{3}", most_chars=1_000_000, limit=1_000_000)
+    found = tables.grep(spark, path, "[aeiou]{3}")
     return found.select(F.substring_index("line", " ", 1).cast("long").alias("item_id"), "line")
 
 

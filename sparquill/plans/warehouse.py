@@ -10,6 +10,7 @@ from sparquill.functions.values import in_period, money
 from sparquill.operators import relational as R
 from sparquill.operators import retrieval
 from sparquill.operators.costing import resolve_codes
+from sparquill.operators.needles import substring_join
 from sparquill.plans.registry import LINES, numbered_lines, query, rows
 from sparquill.sources.tables import table
 
@@ -96,7 +97,7 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") - 50).alias("lo"), (F.col("s_acctbal") + 50).alias("hi"))
-    return R.range_join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), spans, "c_acctbal", "lo", "hi", 100.0).groupBy("c_custkey").agg(F.count("*").alias("suppliers"))
+    return R.range_join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), spans, "c_acctbal", "lo", "hi").groupBy("c_custkey").agg(F.count("*").alias("suppliers"))
 
 
 @query(
@@ -265,7 +266,25 @@ def merge_first_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("substring_containment", "SELECT n_nationkey, p_partkey FROM (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'ring' WHEN 1 THEN 'd w' WHEN 2 THEN 'ge' ELSE lower(n_name) END AS needle FROM nation) JOIN part ON contains(p_name, needle)")
 def substring_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "CASE n_nationkey % 4 WHEN 0 THEN 'ring' WHEN 1 THEN 'd w' WHEN 2 THEN 'ge' ELSE lower(n_name) END AS needle")
-    return R.substring_join(short, table(spark, sf_dir, "part").select("p_partkey", "p_name"), "needle", "p_name").select("n_nationkey", "p_partkey")
+    return substring_join(short, table(spark, sf_dir, "part").select("p_partkey", "p_name"), "needle", "p_name").select("n_nationkey", "p_partkey")
+
+
+_PHRASES = r"""SELECT DISTINCT item_id, trim(p) AS phrase FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[.\n]')) AS p FROM benchmark) WHERE length(trim(p)) >= 12"""
+
+
+@query(
+    "benchmark_needles",
+    f"""
+    SELECT item_id, phrase, doc_id, CAST((length(text) - length(replace(text, phrase, ''))) // length(phrase) AS INT) AS hits, CAST(instr(text, phrase) AS INT) AS first
+    FROM ({_PHRASES}) JOIN documents ON contains(text, phrase)
+    """,
+)
+def benchmark_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every phrase of the benchmark in all whole documents, which are read once and not shuffled."""
+    phrase = F.explode(F.transform(F.split("text", r"[.\n]"), lambda p: F.trim(p)))
+    phrases = table(spark, sf_dir, "benchmark").select("item_id", phrase.alias("phrase")).where(F.length("phrase") >= 12).distinct()
+    met = substring_join(phrases, table(spark, sf_dir, "documents").select("doc_id", "text"), "phrase", "text")
+    return met.select("item_id", "phrase", "doc_id", "hits", "first")
 
 
 @query(
@@ -399,7 +418,7 @@ def two_stage_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_else_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, parts = rows(spark, "q string", ("cold widget",), ("warm wid",), ("blu",)), table(spark, sf_dir, "part").select("p_partkey", "p_name")
     exact = asked.join(parts, asked["q"] == parts["p_name"]).select("q", "p_partkey")
-    return retrieval.exact_else_fuzzy(exact, R.substring_join(asked, parts, "q", "p_name").select("q", "p_partkey"), ["q"])
+    return retrieval.exact_else_fuzzy(exact, substring_join(asked, parts, "q", "p_name").select("q", "p_partkey"), ["q"])
 
 
 @query(

@@ -38,8 +38,7 @@ def export(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         plain(df).write.mode(mode).json(path)
     elif kind == "md":
         head = df.sparkSession.createDataFrame([("| " + " | ".join(df.columns) + " |",), ("|" + " --- |" * len(df.columns),)], "value string").coalesce(1)
-        head.write.mode(mode).text(path)  # files are named in order of writing: the head comes first in time
-        markdown_lines(df).write.mode("append").text(path)
+        head.union(markdown_lines(df)).write.mode(mode).text(path)  # one write: files are named by partition, and the head's is the first
     elif kind == "parquet":
         df.write.mode(mode).parquet(path)
     else:

@@ -117,31 +117,43 @@ def _object() -> Column:
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType | str, policy: str = "strict", order: str | None = None) -> DataFrame:
     """JSON lines. ``strict``: a blank line or one that is no object raises an error when it is read; ``lenient``: blank
     lines are skipped, others must parse; ``skip``: what doesn't parse is skipped."""
-    rows = _parsed(spark, path, schema)
+    out = _by_policy(_parsed(spark, path, schema), policy).select("_r.*").drop(_CORRUPT)
+    return out if order is None else out.orderBy(order)
+
+
+def _by_policy(rows: DataFrame, policy: str) -> DataFrame:
     if policy == "skip":
-        rows = rows.where(~_blank() & _object())
-    elif policy in ("strict", "lenient"):
-        bad = ~_object() if policy == "strict" else ~_blank() & ~_object()
-        rows = rows.where(F.when(bad, F.raise_error(F.concat(F.lit("not a JSON object in "), F.col("_file"), F.lit(": "), F.substring("value", 1, 80))).cast("boolean")).otherwise(~_blank()))
-    else:
+        return rows.where(~_blank() & _object())
+    if policy not in ("strict", "lenient"):
         raise ValueError(f"unknown policy {policy!r}")
-    out = rows.select("_r.*").drop(_CORRUPT)
-    return out if order is None else out.orderBy(order)
+    bad = ~_object() if policy == "strict" else ~_blank() & ~_object()
+    error = F.raise_error(F.concat(F.lit("not a JSON object in "), F.col("_file"), F.lit(": "), F.substring("value", 1, 80))).cast("boolean")
+    return rows.where(F.when(bad, error).otherwise(~_blank()))
 
 
-def read_record_sets(spark: SparkSession, root: str, name: str, schema: StructType | str, without: tuple[str, ...] = (), ending: str = ".jsonl") -> DataFrame:
-    """``root/*/name.jsonl`` of all folders but some, with the folder as ``doc_set``; each file once."""
+def read_record_sets(spark: SparkSession, root: str, name: str, schema: StructType | str, without: tuple[str, ...] = (), ending: str = ".jsonl", policy: str = "lenient") -> DataFrame:
+    """``root/*/name.jsonl`` of all folders but some, with the folder as ``doc_set``; each file once. Policies as in ``read_jsonl``."""
     rows = _parsed(spark, f"{root}/*/{name}{ending}", schema).withColumn("doc_set", F.element_at(F.split("_file", "/"), -2))
-    return rows.where(~F.col("doc_set").isin(*without) & ~_blank()).select("_r.*", "doc_set").drop(_CORRUPT)
+    return _by_policy(rows.where(~F.col("doc_set").isin(*without)), policy).select("_r.*", "doc_set").drop(_CORRUPT)
 
 
 # ---- text and layouts
 
 
-def grep(spark: SparkSession, path: str, pattern: str, most_bytes: int = 1_000_000, most_chars: int = 500, limit: int = 200) -> DataFrame:
-    """(file, line): lines that match, of files up to a size, cut to a length; stops at ``limit`` lines."""
+def grep(spark: SparkSession, path: str, pattern: str, most_bytes: int | None = None, most_chars: int | None = None, limit: int | None = None) -> DataFrame:
+    """(file, line): all lines that match. Only if asked for: of files up to a size (``grep_skipped`` names the others), cut to a length, ``limit`` lines."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), "value")
-    return lines.where((F.col("size") <= most_bytes) & F.col("value").rlike(pattern)).select("file", F.substring("value", 1, most_chars).alias("line")).limit(limit)
+    if most_bytes is not None:
+        lines = lines.where(F.col("size") <= most_bytes)
+    line = F.col("value") if most_chars is None else F.substring("value", 1, most_chars)
+    found = lines.where(F.col("value").rlike(pattern)).select("file", line.alias("line"))
+    return found if limit is None else found.limit(limit)
+
+
+def grep_skipped(spark: SparkSession, path: str, most_bytes: int) -> DataFrame:
+    """(file, size): the files that ``grep`` leaves out for their size, from the listing alone."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.where(F.col("length") > most_bytes).select(F.col("path").alias("file"), F.col("length").alias("size"))
 
 
 LAYOUT = "array<struct<type:string,text:string,text_level:int,page_idx:int,table_caption:array<string>,table_body:string>>"

@@ -15,7 +15,7 @@ from sparquill.operators import corpus as C
 from sparquill.operators import costing as K
 from sparquill.operators import evaluation as E
 from sparquill.operators import events as V
-from sparquill.operators import profile
+from sparquill.operators import needles, profile, vectors
 from sparquill.operators import relational as R
 from sparquill.operators import retrieval as S
 from sparquill.plans.corpus import order_ancestry
@@ -47,14 +47,105 @@ def test_as_of_join_against_brute_force(spark):
     assert rows(strict, "id", "v") == expected(lambda a, t: a < t)
 
 
-def test_range_and_substring_join_against_brute_force(spark):
+@pytest.mark.parametrize("scale, kind", [(1, "double"), (1e-9, "double"), (1e12, "double"), (40, "long"), (3, "int")])
+def test_range_join_against_brute_force(spark, scale, kind):
+    """Short, long, empty, open and reversed spans on axes of every size."""
     rng = random.Random(2)
-    points, spans = [(i, rng.uniform(-5, 5)) for i in range(80)], [(i, a := rng.uniform(-6, 5), a + rng.uniform(0, 3)) for i in range(30)]
-    made = R.range_join(spark.createDataFrame(points, "p int, x double"), spark.createDataFrame(spans, "s int, lo double, hi double"), "x", "lo", "hi", 0.7)
-    assert rows(made, "p", "s") == sorted(((p, s) for p, x in points for s, lo, hi in spans if lo <= x < hi), key=repr)
-    needles, hays = ["a", "ab", "abc", "bcd", "zzz", "dd"], ["abcd", "ddd", "xxab", ""]
-    made = R.substring_join(spark.createDataFrame([(n,) for n in needles], "n string"), spark.createDataFrame([(h,) for h in hays], "h string"), "n", "h")
-    assert rows(made, "n", "h") == sorted((n, h) for n in needles for h in hays if n in h)
+    number = (lambda x: x * scale) if kind == "double" else (lambda x: int(x * scale))
+    points = [(i, number(rng.uniform(-5, 5))) for i in range(80)] + [(80, None)]
+    spans = [(i, a := number(rng.uniform(-6, 5)), a + number(rng.choice([0, 0.01, 1, 9]))) for i in range(40)]
+    spans += [(40, None, number(1.0)), (41, number(2.0), None), (42, None, None), (43, number(3.0), number(-3.0)), (44, number(99.0), None), (45, None, number(-99.0)), (46, *[points[0][1]] * 2)]
+    made = R.range_join(spark.createDataFrame(points, f"p int, x {kind}"), spark.createDataFrame(spans, f"s int, lo {kind}, hi {kind}"), "x", "lo", "hi")
+    held = lambda x, lo, hi: x is not None and (lo is None or lo <= x) and (hi is None or x < hi)
+    assert rows(made, "p", "s") == sorted(((p, s) for p, x in points for s, lo, hi in spans if held(x, lo, hi)), key=repr)
+
+
+def test_interval_join_on_dates_and_timestamps(spark):
+    rng = random.Random(4)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    points = [(i, rng.choice("abc"), day(rng.randrange(400))) for i in range(120)] + [(120, None, day(3)), (121, "a", None)]
+    spans = [(i, rng.choice("abc"), a := rng.randrange(400), rng.choice([None, a + 1, a + 30, a + 390])) for i in range(60)]
+    spans = [(i, k, day(a), None if b is None else day(b)) for i, k, a, b in spans] + [(60, None, day(0), None), (61, "b", None, day(9))]
+    want = sorted(((p, s) for p, k, x in points for s, kk, a, b in spans if x and k and k == kk and (a is None or a <= x) and (b is None or x < b)), key=repr)
+    p, s = spark.createDataFrame(points, "p int, k string, x date"), spark.createDataFrame(spans, "s int, k string, lo date, hi date")
+    assert rows(R.interval_join(p, s, ["k"], "x", "lo", "hi"), "p", "s") == want
+    later = s.withColumns({"lo": F.col("lo").cast("timestamp"), "hi": F.col("hi").cast("timestamp")})
+    assert rows(R.interval_join(p, later, ["k"], "x", "lo", "hi"), "p", "s") == want
+    none = R.interval_join(p.limit(0), s, ["k"], "x", "lo", "hi")
+    assert none.columns == ["p", "k", "x", "s", "lo", "hi"] and none.count() == 0 == R.range_join(p, s.limit(0), "x", "lo", "hi").count()
+
+
+def test_hot_key_is_dealt_out_over_cells(spark):
+    """One key with most rows under open spans: no group of the join has more than a small share of the points."""
+    points = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN id % 50 ELSE 7 END AS k", "id AS x")
+    spans = spark.range(50).selectExpr("id AS k", "CAST(NULL AS LONG) AS lo", "CAST(NULL AS LONG) AS hi")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = R.interval_join(points, spans, ["k"], "x", "lo", "hi").groupBy(F.spark_partition_id()).count()
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        dealt = sorted(r["count"] for r in made.collect())
+    finally:
+        for c, v in (("spark.sql.autoBroadcastJoinThreshold", "10m"), ("spark.sql.adaptive.enabled", "true"), ("spark.sql.shuffle.partitions", "4")):
+            spark.conf.set(c, v)
+    assert sum(dealt) == 20_000 and dealt[-1] < 2.5 * dealt[len(dealt) // 2]
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_substring_join_against_brute_force(spark, most):
+    """By the automaton and, beyond its bound, by grams: needles that hold and overlap each other, repeats, nulls, empty ones."""
+    short = [(0, "a"), (1, "ab"), (2, "abc"), (3, "bcd"), (4, "zzz"), (5, "dd"), (6, "ab"), (7, ""), (8, None), (9, "\U0001f600é")]
+    long = [(0, "abcd"), (1, "ddddd"), (2, "xxab"), (3, ""), (4, None), (5, "abcd"), (6, "é\U0001f600é\U0001f600é" * 3), (7, "ab" * 500)]
+    made = needles.substring_join(spark.createDataFrame(short, "i int, n string"), spark.createDataFrame(long, "j int, h string"), "n", "h", most=most)
+    assert made.columns == ["i", "n", "j", "h", "hits", "first"]
+    want = sorted((i, j, h.count(n), h.index(n) + 1) for i, n in short for j, h in long if n and h and n in h)
+    assert rows(made, "i", "j", "hits", "first") == want
+    assert needles.substring_join(spark.createDataFrame([], "i int, n string"), spark.createDataFrame(long, "j int, h string"), "n", "h", most=most).count() == 0
+
+
+def test_texts_are_not_shuffled_for_needles(spark):
+    short, long = spark.createDataFrame([("a",)], "n string"), spark.range(10).selectExpr("id", "cast(id AS string) AS h")
+    plan = needles.substring_join(short, long, "n", "h").select("n", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
+def test_weighted_matches_against_brute_force(spark):
+    """All pairs over the threshold and none else, from far fewer candidates than pairs."""
+    rng = random.Random(6)
+    syllables = [a + b for a in "bcdfghklmnprst" for b in "aeiou"]
+    names = sorted({"".join(rng.choices(syllables, k=rng.randint(2, 5))) for _ in range(300)})
+    names += [n + rng.choice(syllables) for n in names[:60]]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)] + [(998, ""), (999, None)], "id int, name string")
+    grams = T.grams12(F.col("name"))
+    weights = S.gram_idf(df, grams)
+    w = {r["gram"]: r["w"] for r in weights.collect()}
+    sets = {i: {n[a : a + b] for b in (1, 2) for a in range(len(n) - b + 1)} for i, n in enumerate(names)}
+    for least in (0.5, 0.8, 1.0):
+        want = set()
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if sum(w[g] for g in a & b) >= least * sum(w[g] for g in a) * (1 - 1e-9):
+                    want.add((i, j))
+        made = S.weighted_matches(df, df, "id", "id", grams, grams, weights, least).collect()
+        assert {(r["left_id"], r["right_id"]) for r in made} == want and len(made) == len(want)
+        assert all(abs(r["hit"] - sum(w[g] for g in sets[r["left_id"]] & sets[r["right_id"]])) < 1e-9 for r in made)
+    candidates = S.prefix_candidates(df, df, "id", "id", grams, grams, weights, 0.8)[0].count()
+    assert candidates < 0.05 * len(names) ** 2
+
+
+def test_clause_forms():
+    text = "\n".join(
+        ["# 1 总则 3", "# 1总则", "1.0.1混凝土", "# 2 术语", "## 2.1术语", "## 2.1.1 结构", "2.1.1.1 细目", "## 2 大偏心", "接上", "2.1.1.1.1 不是条款", "附录E 雪压", "## E.1 基本雪压", "表", "E.1.2.3.4 深", "## E.5 全国", "附: 条文说明", "9.9.9 后"]
+    )
+    made = {c["clause_no"]: (c["chapter_path"], c["text"]) for c in C.clauses_of(text)}
+    assert made == {
+        "1.0.1": (["1 总则"], "1.0.1混凝土"),
+        "2.1.1": (["2 术语", "2.1 术语"], "2.1.1 结构"),
+        "2.1.1.1": (["2 术语", "2.1 术语"], "2.1.1.1 细目\n## 2 大偏心\n接上\n2.1.1.1.1 不是条款"),
+        "E.1": (["附录E 雪压"], "E.1 基本雪压\n表"),
+        "E.1.2.3.4": (["附录E 雪压"], "E.1.2.3.4 深"),
+        "E.5": (["附录E 雪压"], "E.5 全国"),
+    }
 
 
 def test_null_keys_are_equal_in_updates(spark):
@@ -82,19 +173,82 @@ def test_limits_and_scopes():
         R.owned(None, None)
 
 
-def test_nearest_against_brute_force(spark):
-    rng = np.random.default_rng(3)
-    v = rng.standard_normal((40, 5)).round(1)
-    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, v array<float>").repartition(4)
-    made = S.nearest(df, df, 3, "id", "id", "v", block_rows=7)
+def cosines(v):
     u = v.astype(np.float32).astype(float)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    s = np.round(u @ u.T, 6)
-    for i in range(40):
-        best = sorted((-s[i, j], j) for j in range(40) if j != i)[:3]
-        mine = sorted((r["rank"], r["id"]) for r in made.where(F.col("query_id") == i).collect()) if i < 3 else None
-        assert mine is None or [j for _, j in mine] == [j for _, j in best]
-    assert made.count() == 120
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-9)
+    return np.round(u @ u.T, 6)
+
+
+def best_rows(s, k, within=None):
+    """(query, rank, id, score) of the k best by the definition."""
+    n = len(s)
+    within = within or (lambda j: True)
+    return sorted((i, r + 1, j, -t) for i in range(n) for r, (t, j) in enumerate(sorted((-s[i, j], j) for j in range(n) if j != i and within(j))[:k]))
+
+
+def vector_rows(spark, v, *more):
+    return spark.createDataFrame([(i, [float(x) for x in row], *[m(i) for m in more]) for i, row in enumerate(v)], "id long, v array<float>" + ", g int" * len(more)).repartition(4)
+
+
+@pytest.mark.parametrize("block, shard", [(4096, 8192), (7, 9)])
+def test_nearest_against_brute_force(spark, block, shard):
+    """Ties by the dozen, zero vectors, null vectors; blocks and shards of any size."""
+    v = np.random.default_rng(3).standard_normal((60, 3)).round(0)
+    df = vector_rows(spark, v, lambda i: i % 3)
+    found = vectors.nearest(df.unionByName(spark.createDataFrame([(99, None, 1)], df.schema)), df, 3, "id", "id", "v", block_rows=block, shard_rows=shard)
+    assert sorted(map(tuple, found.select("query_id", "rank", "id", "score").collect())) == best_rows(cosines(v), 3)
+    grouped = vectors.nearest(df, df, 2, "id", "id", "v", block_rows=block, shard_rows=shard, group="g")
+    for g in range(3):
+        made = grouped.where(F.col("g") == g).select("query_id", "rank", "id", "score").collect()
+        assert sorted(map(tuple, made)) == best_rows(cosines(v), 2, lambda j, g=g: j % 3 == g)
+    assert vectors.nearest(df.limit(0), df, 3, "id", "id", "v").count() == 0 == vectors.nearest(df, df.limit(0), 3, "id", "id", "v").count()
+
+
+def test_nearest_has_as_many_jobs_for_many_blocks(spark):
+    df = vector_rows(spark, np.random.default_rng(1).standard_normal((50, 4)))
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(block):
+        name = f"nearest-{block}"
+        spark.sparkContext.setJobGroup(name, name)
+        vectors.nearest(df, df, 3, "id", "id", "v", block_rows=block).collect()
+        spark.sparkContext.setJobGroup("rest", "rest")
+        return len(tracker.getJobIdsForGroup(name))
+
+    assert jobs(2) <= jobs(5000) + 2
+
+
+def test_cells_against_brute_force(spark):
+    v = np.random.default_rng(5).standard_normal((80, 4))
+    df = vector_rows(spark, v)
+    every = vectors.nearest_in_cells(df, df, 4, "id", "id", "v", cells=6, probes=6)
+    assert sorted(map(tuple, every.select("query_id", "rank", "id", "score").collect())) == best_rows(cosines(v), 4)
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_graph_search_recall_and_effort(spark, clustered):
+    """At least 0.9 of the ten nearest, comparing under a fifth of the vectors, in one and in several shards; scores are exact."""
+    draw = np.random.default_rng(8)
+    v = draw.standard_normal((4000, 16))
+    v = v * 0.3 + draw.standard_normal((20, 16))[draw.integers(0, 20, 4000)] if clustered else v
+    v[100:110] = v[50]  # repeated vectors
+    df = vector_rows(spark, v)
+    asked = df.where("id % 20 = 0")
+    s = cosines(v)
+    for shard in (16384, 2000):
+        found = vectors.graph_search(vectors.graph_index(df, "id", "v", shard), asked, 10, "id", "v").collect()
+        hits = sum(s[r["query_id"], r["id"]] >= np.sort(np.delete(s[r["query_id"]], r["query_id"]))[-10] for r in found)
+        assert len(found) == 2000 and hits >= 0.9 * 2000
+        assert all(abs(r["score"] - s[r["query_id"], r["id"]]) < 2e-6 for r in found)
+        effort = sum({r["query_id"]: r["compared"] for r in found}.values()) / 200 / 4000
+        assert effort < (0.2 if shard > 4000 else 0.4)
+
+
+def test_graph_of_few_vectors(spark):
+    df = vector_rows(spark, np.array([[1.0, 0], [1, 0], [0, 1]]))
+    found = vectors.graph_search(vectors.graph_index(df, "id", "v"), df, 10, "id", "v")
+    assert rows(found, "query_id", "rank", "id") == [(0, 1, 1), (0, 2, 2), (1, 1, 0), (1, 2, 2), (2, 1, 0), (2, 2, 1)]
+    assert vectors.graph_search(vectors.graph_index(df.limit(0), "id", "v"), df, 10, "id", "v").count() == 0
 
 
 def test_greedy_dedup_against_brute_force(spark):

@@ -46,6 +46,16 @@ def test_record_sets(spark, tmp_path):
     assert sorted((r["a"], r["doc_set"]) for r in found.collect()) == [("one", "one"), ("two", "two")]
 
 
+def test_record_sets_with_malformed_lines(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "item.jsonl").write_text('{"a": "x"}\n\nnot json\n[1]\n')
+    read = lambda policy: tables.read_record_sets(spark, f"file://{tmp_path}", "item", "a string", policy=policy).collect()
+    assert [tuple(r) for r in read("skip")] == [("x", "one")]
+    for policy in ("strict", "lenient"):
+        with pytest.raises(Exception, match="not a JSON object"):
+            read(policy)
+
+
 def test_hash_and_cache(spark, tmp_path):
     (tmp_path / "in.txt").write_text("x")
     first = tables.content_hash(spark, f"file://{tmp_path}/in.txt")
@@ -67,6 +77,25 @@ def test_grep(spark, tmp_path):
     assert sorted(r["line"] for r in tables.grep(spark, f"file://{tmp_path}/a.txt", "^ab").collect()) == ["ab", "abc"]
 
 
+def test_grep_of_large_files(spark, tmp_path):
+    (tmp_path / "big.txt").write_text("abc def\n" * 200_000)
+    (tmp_path / "small.txt").write_text("abc\n")
+    path = f"file://{tmp_path}"
+    assert tables.grep(spark, path, "^ab").count() == 200_001
+    assert tables.grep(spark, path, "^ab", most_bytes=1_000_000, most_chars=2, limit=5).collect()[0]["line"] == "ab"
+    assert [r["file"].rpartition("/")[2] for r in tables.grep_skipped(spark, path, 1_000_000).collect()] == ["big.txt"]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_markdown_begins_with_its_head(spark, tmp_path, parts):
+    """The files in order of their names are the table in the order of its rows."""
+    df = spark.range(0, 40, 1, parts).select("id", F.concat(F.lit("r"), "id").alias("t"))
+    for n in range(4):
+        sinks.export(df, f"file://{tmp_path}/out{n}.md")
+        lines = [x for f in sorted((tmp_path / f"out{n}.md").glob("part-*")) for x in f.read_text().splitlines()]
+        assert lines == ["| id | t |", "| --- | --- |", *[f"| {i} | r{i} |" for i in range(40)]]
+
+
 @pytest.mark.parametrize("kind", ["csv", "json", "md", "parquet"])
 def test_exports(spark, tmp_path, kind):
     df = spark.createDataFrame([(1, "a|b"), (2, None)], "id int, t string").withColumn("d", F.lit("2026-01-02").cast("date"))
