@@ -8,7 +8,7 @@ Training takes at most ``SAMPLE_DOCS`` labelled documents and ``SAMPLE_PASSAGES`
 of the id among those that are documents of the table: the one bounded sample here. Scoring reads every whole text in
 Arrow batches, with no shuffle; only the text goes to Python and only the score comes back.
 
-Edge cases: null and empty texts are one empty passage and get a score; very long texts are scored whole, but one of
+Edge cases: null and empty texts are one empty passage and get a score; very long texts are scored whole, in runs of passages that are folded into one attention, but one of
 more than ``SAMPLE_PASSAGES`` passages is not learnt from; a label row that is null, repeated or has no document is
 ignored (of repeated labels the least counts); without labels of both classes the score is the share of label 1, or
 1.0 without any; repeated rows are scored each; columns of any other name stay as they are; an empty table gives an
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from sparquill.llm.common import free_name, raw_texts
 
 PASSAGE, SAMPLE_DOCS, SAMPLE_PASSAGES = 512, 3000, 40_000
+#: Bytes from which a text is encoded in runs of passages.
+LONG, RUN = 1 << 20, 2048
 HIDDEN, ATTENTION, EPOCHS, BATCH = 32, 16, 20, 64
 THRESHOLD = 0.3
 
@@ -67,10 +69,58 @@ def encode(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, first
 
 
+def encode_run(raw: bytes, at: int, end: int, parts: int) -> np.ndarray:
+    """Features of the passages ``at`` to ``end`` of a text that has ``parts``, without a look at the others."""
+    nth = np.arange(at, end)
+    lo, hi = nth * len(raw) // parts, (nth + 1) * len(raw) // parts
+    kind = CLASS[np.frombuffer(raw, np.uint8, min(len(raw), int(hi[-1]) + 1) - int(lo[0]), int(lo[0]))]
+    kind = np.append(kind, _END) if hi[-1] == len(raw) else kind
+    cell = np.repeat((nth - at) * PAIRS, hi - lo) + kind[:-1] * KINDS + kind[1:]
+    counts = np.bincount(cell, minlength=len(nth) * PAIRS).reshape(len(nth), PAIRS)
+    x = np.empty((len(nth), WIDTH), np.float32)
+    x[:, :PAIRS] = np.sqrt(counts / np.maximum(1, hi - lo)[:, None]) * 4
+    squeezed = [len(zlib.compress(raw[a:b], 1)) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    x[:, PAIRS] = np.array(squeezed) / np.maximum(16, hi - lo)
+    x[:, PAIRS + 1] = np.log1p(hi - lo) / 6
+    x[:, PAIRS + 2] = hi == lo
+    return x
+
+
+def _runs(raw: bytes) -> Iterator[np.ndarray]:
+    """The passages of a long text in runs of ``RUN``, so that memory doesn't grow with its length."""
+    parts = max(1, int(np.rint(len(raw) / PASSAGE)))
+    for at in range(0, parts, RUN):
+        yield encode_run(raw, at, min(parts, at + RUN), parts)
+
+
+def _encoded(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    if len(part) == 1 and len(part[0]) > LONG:
+        return np.concatenate(list(_runs(part[0]))), np.zeros(1, np.int64)
+    return encode(part)
+
+
+def _folded(m: dict, raw: bytes) -> float:
+    """The score of one long text: a running maximum, sum and weighted sum stand for the attention over all passages."""
+    most, total, z = -np.inf, 0.0, np.zeros(len(m["c"]))
+    for x in _runs(raw):
+        e = np.tanh(x @ m["We"] + m["be"])
+        s = ((np.tanh(e @ m["V"]) / (1 + np.exp(-(e @ m["U"])))) @ m["w"]).astype(np.float64)
+        top = max(most, float(s.max()))
+        keep, a = np.exp(most - top), np.exp(s - top)
+        most, total, z = top, total * keep + a.sum(), z * keep + a @ e
+    return float(1 / (1 + np.exp(-np.clip(z / total @ m["c"] + m["b"], -30, 30))))
+
+
 def _parts(texts: Iterable[bytes], part_bytes: int = 1 << 20) -> Iterator[list[bytes]]:
-    """Runs of texts of about ``part_bytes``, since encoding takes some 40 times that for a while."""
+    """Runs of texts of about ``part_bytes``, since encoding takes some 40 times that for a while; a long text is a part of its own."""
     part, held = [], 0
     for t in texts:
+        if len(t) > LONG:
+            if part:
+                yield part
+            yield [t]
+            part, held = [], 0
+            continue
         part.append(t)
         held += len(t) + 64
         if held >= part_bytes:
@@ -109,7 +159,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 17) -> dict:
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 1.0}
-    made = [encode(part) for part in _parts(texts)]
+    made = [_encoded(part) for part in _parts(texts)]
     before = np.cumsum([0, *(len(x) for x, _ in made)])
     first = np.concatenate([f + b for (_, f), b in zip(made, before, strict=False)])
     x = np.concatenate([x for x, _ in made])
@@ -138,7 +188,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 17) -> dict:
 def score_texts(m: dict, texts: Iterable[bytes]) -> np.ndarray:
     if "constant" in m:
         return np.full(sum(1 for _ in texts), m["constant"])
-    out = [_forward(m, *encode(part))["p"] for part in _parts(texts)]
+    out = [np.array([_folded(m, part[0])]) if len(part[0]) > LONG else _forward(m, *encode(part))["p"] for part in _parts(texts)]
     return np.concatenate(out).astype(np.float64) if out else np.empty(0)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -227,3 +229,50 @@ def test_labels_without_documents_crowd_nothing_out(spark):
     labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality").unionByName(docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality"))
     kept = quality.drop_rejected(docs, labels)
     assert kept.columns == docs.columns and sorted(r["doc_id"] % 2 for r in kept.collect()) == [1] * 30
+
+
+def _plain_score(m, raw):
+    """Attention over passages in loops, from the definition."""
+    parts = max(1, round(len(raw) / quality.PASSAGE))
+    scores, hidden = [], []
+    for n in range(parts):
+        lo, hi = n * len(raw) // parts, (n + 1) * len(raw) // parts
+        kinds = [int(quality.CLASS[b]) for b in raw[lo : hi + 1]] + ([quality._END] if hi == len(raw) else [])
+        x = np.zeros(quality.WIDTH)
+        for a, b in itertools.pairwise(kinds):
+            x[a * quality.KINDS + b] += 1
+        x = np.sqrt(x / max(1, hi - lo)) * 4
+        x[-3:] = len(zlib.compress(raw[lo:hi], 1)) / max(16, hi - lo), math.log1p(hi - lo) / 6, hi == lo
+        e = [math.tanh(sum(x[i] * m["We"][i, j] for i in np.flatnonzero(x)) + m["be"][j]) for j in range(quality.HIDDEN)]
+        gate = [math.tanh(np.dot(e, m["V"][:, k])) / (1 + math.exp(-np.dot(e, m["U"][:, k]))) for k in range(quality.ATTENTION)]
+        scores.append(np.dot(gate, m["w"]))
+        hidden.append(e)
+    weights = [math.exp(s - max(scores)) for s in scores]
+    z = sum(w / sum(weights) * np.array(e) for w, e in zip(weights, hidden, strict=True))
+    return 1 / (1 + math.exp(-(np.dot(z, m["c"]) + m["b"])))
+
+
+def test_scores_are_those_of_plain_attention(monkeypatch):
+    draw = random.Random(4)
+    text = lambda n: "".join(draw.choices("abc  ABé,.!\n01", k=n)).encode()
+    texts = [b"", b"x", text(500), text(800), text(5000), text(20_000)]
+    m = quality.train([text(900) for _ in range(30)] + [b"Good words, all of them. " * 40] * 30, [0] * 30 + [1] * 30)
+    want = [_plain_score(m, t) for t in texts]
+    assert np.allclose(quality.score_texts(m, texts), want, atol=1e-4)
+    monkeypatch.setattr(quality, "LONG", 1000)  # and in runs
+    monkeypatch.setattr(quality, "RUN", 7)
+    assert np.allclose(quality.score_texts(m, texts), want, atol=1e-4)
+    runs = np.concatenate(list(quality._runs(texts[-1])))
+    assert np.array_equal(runs, quality.encode([texts[-1]])[0])
+
+
+def test_a_very_long_text_takes_little_memory():
+    m = quality.train([b"good words " * 50, b"@@## " * 90] * 8, [1, 0] * 8)
+    raw = b"Some words of a very long text, again and again.\n" * 1_000_000
+    tracemalloc.start()
+    try:
+        (score,) = quality.score_texts(m, iter([raw]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert 0 <= score <= 1 and peak < 4 * len(raw)
