@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,28 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from sparquill.sources.scratch import ONE_ROW_GROUPS, arrow_rows, shared_folder
+
+__all__ = ["KEY", "ONE_ROW_GROUPS", "SPACE", "WORD", "arrow_rows", "documents", "free_name", "key_id_text", "keyed", "materialize", "raw_texts", "scratch"]
+
 #: ASCII white space as the contracts name it: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 KEY = "_row_key"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only where the setting is missing on a local master (tests, bench) a folder of this machine is used;
-    on a cluster a missing setting is an error, since executors could not see each other's files.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="sparquill-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{root}")
-    return f"file://{root}"
-
-
 _written: list[str] = []
 
 
@@ -44,7 +31,7 @@ def materialize(df: DataFrame, label: str, keep: bool = False, **options: object
     ``scratch`` deletes what is written within it, unless ``keep``.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     if not keep:
         _written.append(path)
@@ -67,22 +54,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         del _written[before:]
 
 
-#: Write options for rows of megabytes: a row group each, so that readers hold one at a time.
-ONE_ROW_GROUPS = {"parquet.block.row.count.limit": 1}
-
-
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Actions within pass Arrow batches of at most ``rows`` rows, for rows of megabytes."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def free_name(docs: DataFrame, name: str) -> str:
     """``name``, or with underscores before it if ``docs`` has such a column."""
     taken = {c.lower() for c in docs.columns}
@@ -106,11 +77,15 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
 
 
 def key_id_text(docs: DataFrame, id_col: str, text_col: str, key: str | None) -> DataFrame:
-    """(``_row_key``, id, text) of ``docs``: unique longs, from the column ``key`` if there is one, and nothing else."""
+    """(``_row_key``, id, text) of ``docs``: unique longs, from the column ``key`` if there is one, and nothing else.
+
+    Ids that are no integers give way to the row's number, by which rows are then ordered, told apart and joined back.
+    """
     if key is None:
         docs, key = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
         id_col, text_col = "id", "text"
-    return docs.select(F.col(key).alias(KEY), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = id_col if isinstance(docs.schema[id_col].dataType, IntegralType) else key
+    return docs.select(F.col(key).alias(KEY), F.col(own).cast("long").alias("id"), F.col(text_col).alias("text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

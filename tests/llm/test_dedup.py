@@ -219,3 +219,15 @@ def test_repeated_rows_and_none(spark):
     made = substring_dedup.remove_repeats(df).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in made) == [(1, 500), (1, 500), (2, 0)]
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_text_ids(spark):
+    """Ids that are no integers tell nothing apart; rows go by their number."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [("b", text), ("a", text), ("a", text + " more"), ("c", None), (None, "other words altogether than those of the rest")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    exact = sorted((r["doc_id"] or "", len(r["text"] or "")) for r in exact_dedup.drop_exact_copies(df).collect())
+    assert len(exact) == 4
+    near = near_dedup.drop_near_copies(df).collect()
+    assert len(near) == 3 and {r["doc_id"] for r in near} >= {"c", None}
+    assert substring_dedup.remove_repeats(df).count() == 5
