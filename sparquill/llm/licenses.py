@@ -7,8 +7,9 @@ words always shares a kept one. A text that reaches ``coverage`` by changed or m
 the template is long enough (from 16 words on at 0.8). Shorter templates have no fingerprints: a text is a candidate
 where a stretch of the template's length and the band on both sides holds enough of its words, counted with their
 repetitions, so that changed, missing and added words cannot hide a match. The kept ones form an inverted index: fingerprint -> (template, place). A document's
-fingerprints are looked up in it; hits of a template on near diagonals make a candidate, whose surroundings are
-aligned with the template within a band of ``BAND`` words. A match is reported where the share of the template's
+fingerprints are looked up in it. Around a hit of a long template the whole template is aligned with the text that may
+belong to it, on as many diagonals as missing and added words make; a short one is aligned within a band of ``BAND``
+words around its hits. A match is reported where the share of the template's
 words that are aligned to equal words reaches ``coverage``, with its span in characters of the original text.
 
 Templates are a small parameter and travel with the code; documents are scanned where they lie, with no shuffle.
@@ -183,12 +184,63 @@ def align(words: list[int], template: np.ndarray, diagonal: int, band: int) -> t
     return row[d][1], max(0, row[d][2]), min(len(words), max(0, end))
 
 
-def shared_grams(words: np.ndarray, index: Index) -> dict[int, list[int]]:
-    """The diagonals of each long template on which the text shares a kept fingerprint."""
+def align_within(words: np.ndarray, template: np.ndarray) -> tuple[int, int, int]:
+    """(matched words, first, last + 1): best alignment of the whole template with a stretch of text, by whole rows.
+
+    The rules are those of ``align``, without a band: a row is a template word, and extra words of the text are a running
+    maximum along it.
+    """
+    places = np.arange(len(words) + 1)
+    half = places * 0.5
+    score, hits, start = np.zeros(len(places)), np.zeros(len(places), np.int64), places
+    for t in template.tolist():
+        same = words == t
+        best, best_hits, best_start = score - 0.5, hits, start  # the template's word is missing
+        straight = score[:-1] + np.where(same, 1.0, -1.0)
+        take = np.append(False, straight >= best[1:])
+        best = np.where(take, np.append(0.0, straight), best)
+        best_hits = np.where(take, np.append(0, hits[:-1] + same), best_hits)
+        best_start = np.where(take, np.append(0, start[:-1]), best_start)
+        lifted = best + half
+        run = np.maximum.accumulate(lifted)
+        come_from = np.maximum.accumulate(np.where(lifted >= run, places, 0))  # extra words since then
+        score, hits, start = run - half, best_hits[come_from], best_start[come_from]
+    end = int(np.where(score == score.max(), hits, -1).argmax())
+    return int(hits[end]), int(start[end]), end
+
+
+def chained(words: np.ndarray, template: np.ndarray, hits: list[tuple[int, int]], need: int) -> list[tuple[int, int, int]]:
+    """(matched, first, last + 1) of the matches of a long template, by way of its shared fingerprints (text place, template place).
+
+    The whole template is aligned with the stretch of text around a hit that may belong to it, so that words that are
+    missing or added in a row, up to a quarter of the template or ``BAND``, don't part a match: its pieces lie on several
+    diagonals of one alignment. What lies before and after a match is looked at again without it.
+    """
+    drift = max(BAND, len(template) // 4)
+    found: list[tuple[int, int, int]] = []
+    todo = [(0, len(words), sorted(hits))]
+    while todo:
+        low, high, some = todo.pop()
+        if not some:
+            continue
+        spot, place = some[0]
+        lo, hi = max(low, spot - place - 2 * drift), min(high, spot + len(template) - place + 2 * drift)
+        matched, first, last = align_within(words[lo:hi], template)
+        first, last = first + lo, last + lo
+        if matched >= need:
+            found.append((matched, first, last))
+            todo += [(low, first, [h for h in some if h[0] < first]), (last, high, [h for h in some if h[0] >= last])]
+        else:  # what is within the drift of this hit was part of the alignment
+            todo.append((low, high, [h for h in some[1:] if not (h[0] < hi and abs(h[0] - h[1] - spot + place) <= drift)]))
+    return found
+
+
+def shared_grams(words: np.ndarray, index: Index) -> dict[int, list[tuple[int, int]]]:
+    """The kept fingerprints that the text shares with each long template: (text place, template place)."""
     n = len(words) - index.gram + 1
-    diagonals: dict[int, list[int]] = {}
+    hits: dict[int, list[tuple[int, int]]] = {}
     if n <= 0 or not len(index.keys):
-        return diagonals
+        return hits
     ok = words[:n] >= 0
     for i in range(1, index.gram):
         ok &= words[i : i + n] >= 0
@@ -199,8 +251,8 @@ def shared_grams(words: np.ndarray, index: Index) -> dict[int, list[int]]:
     at = np.minimum(np.searchsorted(index.keys, prints), len(index.keys) - 1)
     for h in np.flatnonzero(index.keys[at] == prints).tolist():
         for t, place in index.places[at[h]]:
-            diagonals.setdefault(t, []).append(int(spots[h]) - place)
-    return diagonals
+            hits.setdefault(t, []).append((int(spots[h]), place))
+    return hits
 
 
 def shared_words(words: np.ndarray, index: Index, band: int) -> dict[int, set[int]]:
@@ -233,12 +285,14 @@ def scan_text(text: str, index: Index, band: int = BAND, coverage: float = COVER
     places = [i for i, w in enumerate(stripped) if w]
     number = [index.word.get(stripped[i], -1) for i in places]
     words = np.array(number, np.int64)
-    diagonals = shared_grams(words, index) | shared_words(words, index, band)
+    long, short = shared_grams(words, index), shared_words(words, index, band)
     out: list[dict] = []
     spans: list[tuple[int, int]] = []
-    for t, found in diagonals.items():
+    for t in long | short:
         template, tried, mine = index.templates[t], None, []
-        for diagonal in sorted(found):
+        if t in long:
+            mine = [(m / len(template), a, b, m) for m, a, b in chained(words, template, long[t], math.ceil(coverage * len(template) - 1e-9))]
+        for diagonal in sorted(short.get(t, ())):
             if tried is not None and diagonal - tried <= band // 2:
                 continue  # within the band of the last alignment
             tried = diagonal
@@ -266,6 +320,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
             found = [scan_text(t, index, coverage=coverage) if t else [] for t in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "n_matches": [len(f) for f in found], "matches": found})
 
-    kinds = "id long, n_matches int, matches array<struct<license:string,coverage:double,matched_words:int,start:int,end:int>>"
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kinds = f"id {rows.schema['id'].dataType.simpleString()}, n_matches int, matches array<struct<license:string,coverage:double,matched_words:int,start:int,end:int>>"
     return rows.mapInPandas(run, kinds).withColumnRenamed("id", id_col)

@@ -7,6 +7,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -102,6 +103,32 @@ def best_alignment(words, template):
     return max(row)[1]
 
 
+def test_runs_of_missing_and_added_words_do_not_part_a_match():
+    """Nine or more words in a row missing, a dozen added, both at once, and copies next to each other."""
+    index = licenses.Index(licenses.TEMPLATES)
+    found = lambda text, name: [(round(m["coverage"], 2), text[m["start"] : m["end"]]) for m in licenses.scan_text(text, index) if m["license"] == name]
+    mit = licenses.TEMPLATES["mit-text"].split()
+    extra = "one two three four five six seven eight nine ten eleven twelve".split()
+    for kept in ([*mit[:60], *mit[69:]], [*mit[:60], *mit[75:]], [*mit[:80], *extra, *mit[80:]], [*mit[:40], *mit[52:90], *extra, *mit[90:]]):
+        text = " ".join(["before it", *kept, "after it"])
+        (match,) = found(text, "mit-text")
+        assert match == (round(len([w for w in kept if w not in extra]) / len(mit), 2), " ".join(kept))
+    twice = " ".join([*mit[:60], *mit[69:], "and", *mit, "and then", *mit[:100], *extra, *mit[100:]])
+    assert [c for c, _ in found(twice, "mit-text")] == [round((len(mit) - 9) / len(mit), 2), 1.0, 1.0]
+    assert found(" ".join(mit[:120]), "mit-text") == []
+
+
+def test_text_ids_and_rows_aligned_alike(spark):
+    df = spark.createDataFrame([("a", "Released under the MIT License."), (None, None)], "doc_id string, text string")
+    assert sorted((r["doc_id"] or "", r["n_matches"]) for r in licenses.scan(df).collect()) == [("", 0), ("a", 1)]
+    rng = random.Random(2)
+    for _ in range(200):
+        template = np.array([rng.randrange(6) for _ in range(rng.randint(1, 12))])
+        words = [rng.randrange(7) for _ in range(rng.randint(0, 16))]
+        matched, first, last = licenses.align_within(np.array(words, np.int64), template)
+        assert matched == best_alignment(words, template.tolist()) and 0 <= first <= last <= len(words)
+
+
 def test_scan_against_full_alignment():
     """What a full alignment of every template with the whole text finds; words changed or missing, none to many."""
     rng = random.Random(10)
