@@ -259,16 +259,16 @@ def page_at(df: DataFrame, offset: int, limit: int, *order: Column | str) -> Dat
 # ---- samples
 
 
-def seeded_sample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
-    """``n`` rows, the same for a seed whatever the partitioning: the least by hash."""
-    return df.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(n)
-
-
 def hash_order(id_col: str, seed: str) -> Column:
     """A shuffle order that other engines can repeat: md5 of seed and id."""
     return F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col)))
 
 
+def seeded_sample(df: DataFrame, n: int, seed: int, id_col: str) -> DataFrame:
+    """``n`` rows, the same for a seed whatever the partitioning: the first in ``hash_order``."""
+    return df.orderBy(hash_order(id_col, str(seed)), id_col).limit(n)
+
+
 def stratified_sample(df: DataFrame, stratum: str, quotas: dict[str, int], total: int, id_col: str, seed: str) -> DataFrame:
     """Up to a quota from each stratum in hashed order, topped up from the rest to ``total``."""
     order = hash_order(id_col, seed)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from sparquill.functions.values import money
 from sparquill.operators import profile
 from sparquill.plans.registry import query
+from sparquill.sources.scratch import written
 from sparquill.sources.tables import Catalog, register_all, table
 
 _NET = "CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))"
@@ -70,6 +71,14 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("column", "count", "nulls", "mean", "stddev", F.col("min").cast("double").alias("min"), "q25", "median", "q75", F.col("max").cast("double").alias("max"))
 
 
+@query("sketched_months")
+def sketched_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices and orders of all lines: sketches of each ship day are stored, and every year is answered from them alone."""
+    li = table(spark, sf_dir, "lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
+    stored = written(profile.sketches(li, ["day"], "l_extendedprice", "l_orderkey"), "sketches")
+    return profile.merged_sketches(stored.withColumn("year", F.year("day")), ["year"], [0.25, 0.5, 0.75])
+
+
 @query(
     "profile_other",
     " UNION ALL ".join(

@@ -62,11 +62,20 @@ def priced_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.priced(used, rows(spark, "model string, price_in double, price_out double", ("view", 0.5, 2.0)), 0.5, 1.5)
 
 
-@query("external_usage", "SELECT * FROM (VALUES ('a', 5), ('b', 7)) t(call, total)")
+@query(
+    "external_usage",
+    """
+    WITH r AS (SELECT event_id AS n, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE user_id || ':' || event_type END AS call, CAST(event_id % 4 AS INT) AS i, CAST(event_id % 3 AS INT) AS o,
+                      CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 50 AS INT) ELSE 0 END AS t FROM events),
+    k AS (SELECT n, call, CASE WHEN t > 0 THEN t ELSE i + o END AS total FROM r WHERE trim(call) <> '')
+    SELECT call, total FROM k WHERE total > 0 QUALIFY row_number() OVER (PARTITION BY call ORDER BY n) = 1
+    """,
+)
 def external_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = rows(
-        spark, "n int, call string, tokens_in int, tokens_out int, total int",
-        (1, "a", 2, 3, 5), (2, "a", 9, 9, 18), (3, "b", 3, 4, 0), (4, " ", 1, 1, 2), (5, "c", 0, 0, 0),
+    """Records of all events: blank calls, missing totals, totals of nothing, and calls that are told again."""
+    given = _events(spark, sf_dir).selectExpr(
+        "event_id AS n", "CASE WHEN event_id % 11 = 0 THEN ' ' ELSE concat(user_id, ':', event_type) END AS call",
+        "CAST(event_id % 4 AS INT) AS tokens_in", "CAST(event_id % 3 AS INT) AS tokens_out", "CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 50 AS INT) ELSE 0 END AS total",
     )
     return V.external_usage(given, "call", "n").select("call", "total")
 

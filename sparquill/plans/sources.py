@@ -6,13 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparquill.functions import text as T
 from sparquill.functions.values import first_key
+from sparquill.operators import corpus as C
 from sparquill.operators import relational as R
 from sparquill.operators import retrieval as S
 from sparquill.plans.registry import query
-from sparquill.sources import sinks, tables
+from sparquill.sources import sinks, tables, workbooks
+from sparquill.sources.keyed import KeyedTable
 from sparquill.sources.scratch import shared_folder
 from sparquill.sources.tables import table
 
@@ -90,6 +93,75 @@ def catalog_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.query(f"SELECT c_mktsegment, count(*) AS n, sum(o_totalprice) > 0 AS paid FROM {customers} JOIN {orders} ON o_custkey = c_custkey GROUP BY 1")
 
 
+@query(
+    "catalog_functions",
+    """
+    SELECT o_custkey, count(*) AS clauses, CAST(sum(length('1.0.1 甲' || o_orderkey)) AS BIGINT) AS chars, max(o_orderstatus) AS last FROM orders GROUP BY o_custkey
+    """,
+)
+def catalog_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's SQL that calls library operators as table functions, one with a schema that the call names."""
+    known = tables.Catalog(spark)
+    text = F.concat_ws("\n", F.lit("# 1 总则"), F.concat(F.lit("1.0.1 甲"), "o_orderkey"), F.lit("# 条文说明"), F.lit("1.0.2 乙"))
+    cells = F.array(F.col("o_orderkey").cast("string"), "o_orderstatus")
+    docs = known.add(table(spark, sf_dir, "orders").select("o_custkey", text.alias("text"), cells.alias("cells")), "texts")
+    return known.query(
+        f"""SELECT o_custkey, count(*) AS clauses, CAST(sum(length(clause)) AS BIGINT) AS chars, max(status) AS last
+        FROM {docs}, LATERAL clauses(text), LATERAL named_cells(cells, 'number, status') GROUP BY o_custkey"""
+    )
+
+
+@query(
+    "workbook_scan",
+    "SELECT p_brand || '.xlsx' AS file, 'size ' || (p_size % 3) AS sheet, CAST(p_partkey AS VARCHAR) AS code, p_name AS name, CAST(p_size AS VARCHAR) AS size FROM part",
+)
+def workbook_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each brand, written and read again sheet by sheet: a title, a header to be found, rows, and after blank rows a note to be left out."""
+    path = _folder(spark, "workbooks")
+    sheet = F.concat(F.lit("size "), F.col("p_size") % 3)
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), sheet.alias("sheet"), F.col("p_partkey").alias("n"), F.array(F.lit(None), F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string")).alias("cells"))
+    ends = p.groupBy("file", "sheet").agg(F.max("n").alias("last"))
+    line = lambda n, *cells: ends.select("file", "sheet", n.alias("n"), F.array(*[F.lit(c) for c in cells]).alias("cells"))
+    every = p.unionByName(line(F.lit(-2), "清单", None)).unionByName(line(F.lit(-1), None, "项目编码", "项目名称", "规格"))
+    for i in range(1, 4):
+        every = every.unionByName(line(F.col("last") + i, None, None))
+    every = every.unionByName(line(F.col("last") + 4, "注", "项目", "合计", "0"))
+    workbooks.write_each(every, path, "file", "sheet", "n", "cells")
+    rows = workbooks.read(spark, path)
+    return _under_headers(rows)
+
+
+def _under_headers(rows: DataFrame) -> DataFrame:
+    """Rows of every sheet under its header, up to the first gap of three rows."""
+    named = rows.withColumn("book", F.concat_ws("/", "file", "sheet"))
+    below = C.rows_under_header(named, "book", "row", "cells", {"code": ["编码"], "name": ["名称"], "size": ["规格"]})
+    gap = F.col("row") - F.coalesce(F.lag("row").over(Window.partitionBy("book").orderBy("row")), F.col("row"))
+    after = F.max((gap > 3).cast("int")).over(Window.partitionBy("book").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    kept = below.withColumn("after", after).where("after = 0")
+    return kept.select(F.substring_index("book", "/", 1).alias("file"), F.substring_index("book", "/", -1).alias("sheet"), "code", "name", "size")
+
+
+@query(
+    "keyed_updates",
+    """
+    WITH new AS (SELECT o_custkey AS k, max(o_totalprice) AS balance FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
+    u AS (SELECT c_custkey AS k, coalesce(new.balance, c_acctbal) AS balance FROM customer LEFT JOIN new ON k = c_custkey
+          UNION ALL SELECT k, balance FROM new WHERE k NOT IN (SELECT c_custkey FROM customer)),
+    i AS (SELECT * FROM u UNION ALL SELECT s_suppkey + 1000000, s_acctbal FROM supplier WHERE s_suppkey + 1000000 NOT IN (SELECT k FROM u))
+    SELECT k, balance FROM i WHERE k NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+    """,
+)
+def keyed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert, insert-if-absent and delete by key on a table in files."""
+    kept = KeyedTable(spark, _folder(spark, "keyed"), "k long, balance double", ["k"], buckets=16)
+    customer = table(spark, sf_dir, "customer")
+    kept.upsert(customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance")), "balance")
+    kept.upsert(table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("balance")), F.desc("balance"))
+    kept.insert_absent(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000000).alias("k"), F.col("s_acctbal").alias("balance")))
+    kept.delete(customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k")))
+    return kept.rows()
+
+
 @query("cached_build", "SELECT n_nationkey, n_name, 1 AS builds FROM nation")
 def cached_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built once under the hash of its input's bytes; the second call reads what the first has written."""
@@ -189,7 +261,7 @@ def clamped_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some[0].unionByName(some[1]).unionByName(some[2])
 
 
-@query("seeded_sample", None)
+@query("seeded_sample", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.seeded_sample(table(spark, sf_dir, "orders").select("o_orderkey"), 100, 42, "o_orderkey")
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparquill.sources import sql_functions, workbooks
+
 _CORRUPT = "_corrupt_record"
 
 
@@ -37,18 +39,28 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def read_workbook(path: str) -> dict[str, "object"]:
-    """Sheets of a workbook as pandas frames; needs a workbook reader that pandas knows, else an ImportError says so."""
-    import pandas as pd
+def sheet_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """Of ``workbooks.read`` of one file: each sheet as a table by its name, columns named by its first row.
 
-    return pd.read_excel(path, sheet_name=None)
+    A column whose values are all numbers is a double, else a string; columns without a name are left out.
+    """
+    first = rows.groupBy("sheet").agg(F.min_by("cells", "row").alias("head"), F.min("row").alias("row")).collect()  # a row a sheet
+    out = {}
+    for sheet, head, row in sorted(first):
+        taken: set[str] = set()
+        cells = [(i, view_name(name.strip(), taken)) for i, name in enumerate(head) if name and name.strip()]
+        body = rows.where((F.col("sheet") == sheet) & (F.col("row") > row)).select(*[F.get("cells", F.lit(i)).alias(name) for i, name in cells])
+        numeric = body.agg(*[F.coalesce(F.bool_and(F.col(name).try_cast("double").isNotNull() | F.col(name).isNull()), F.lit(False)).alias(name) for _, name in cells]).first() if cells else {}
+        out[sheet] = body.select(*[F.col(name).cast("double").alias(name) if numeric[name] else F.col(name) for _, name in cells])
+    return out
 
 
 class Catalog:
-    """Files of several formats as temporary views; names are sanitized, clashes numbered."""
+    """Files of several formats as temporary views; names are sanitized, clashes numbered. Queries may use ``sql_functions``."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.views, self._taken = spark, {}, set()
+        sql_functions.register(spark)
 
     def add(self, df: DataFrame, name: str) -> str:
         view = view_name(name, self._taken)
@@ -65,9 +77,9 @@ class Catalog:
             return [self.add(read.json(path), stem)]
         if kind in ("parquet", "orc"):
             return [self.add(read.format(kind).load(path), stem)]
-        if kind in ("xlsx", "xls"):
-            sheets = read_workbook(path)
-            return [self.add(self.spark.createDataFrame(frame), sheet if len(sheets) > 1 else stem) for sheet, frame in sheets.items()]
+        if kind == "xlsx":
+            sheets = sheet_tables(workbooks.read(self.spark, path))
+            return [self.add(made, sheet if len(sheets) > 1 else stem) for sheet, made in sheets.items()]
         raise ValueError(f"no reader for .{kind} files")
 
     def query(self, sql: str) -> DataFrame:

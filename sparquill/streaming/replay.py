@@ -25,17 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-OFFSET = "log_offset"
-
+from sparquill.sources.scratch import place_of
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+OFFSET = "log_offset"
 
 
 def _files(path: str, sub: str, ending: str) -> list[str]:
-    system, root = _place(path)
+    system, root = place_of(path)
     found = system.get_file_info(fs.FileSelector(f"{root}/{sub}", allow_not_found=True, recursive=True))
     return sorted(f.path for f in found if f.is_file and f.path.endswith(ending) and "/_" not in f.path[len(root) + 1 + len(sub) :])
 
@@ -45,12 +41,12 @@ def head(path: str) -> dict:
     heads = _files(path, "heads", ".json")
     if not heads:
         return {"first": 0, "next": 0}
-    with _place(path)[0].open_input_stream(heads[-1]) as f:
+    with place_of(path)[0].open_input_stream(heads[-1]) as f:
         return json.loads(f.read())
 
 
 def _set_head(path: str, state: dict) -> None:
-    system, root = _place(path)
+    system, root = place_of(path)
     system.create_dir(f"{root}/heads", recursive=True)
     name = f"{root}/heads/{len(_files(path, 'heads', '.json')):012d}"
     with system.open_output_stream(f"{name}.tmp") as f:
@@ -77,7 +73,7 @@ def append(df: DataFrame, path: str, order: str, most: int | None = None) -> dic
         numbered = part.join(F.broadcast(where), "_part").withColumn(OFFSET, F.col("_start") + F.col("_nth"))
         numbered.select(OFFSET, *df.columns).write.mode("overwrite").parquet(folder)
         _set_head(path, state)
-    system, root = _place(path)
+    system, root = place_of(path)
     system.delete_dir(f"{root}/data/{now['next']:020d}-unnumbered")
     for f in _files(path, "data", ".parquet"):
         low, high = _range(system, f)
@@ -110,7 +106,7 @@ class _Reader(DataSourceStreamReader):
     def initialOffset(self) -> dict:  # noqa: N802
         state = head(self.path)
         if self.after is not None:
-            system, _ = _place(self.path)
+            system, _ = place_of(self.path)
             for f in self._numbered():
                 with system.open_input_file(f) as source:
                     table = pq.read_table(source, columns=[OFFSET, self.id_col])
@@ -125,7 +121,7 @@ class _Reader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         low, high = max(start["next"], head(self.path)["first"]), end["next"]
-        system, _ = _place(self.path)
+        system, _ = place_of(self.path)
         out = []
         for f in self._numbered() if low < high else []:
             a, b = _range(system, f)
@@ -134,7 +130,7 @@ class _Reader(DataSourceStreamReader):
         return out
 
     def read(self, partition: _Slice) -> Iterator[pa.RecordBatch]:
-        system, _ = _place(self.path)
+        system, _ = place_of(self.path)
         with system.open_input_file(partition.file) as source:
             for batch in pq.ParquetFile(source).iter_batches(columns=self.names):
                 offset = batch.column(OFFSET)
