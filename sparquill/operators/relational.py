@@ -223,11 +223,14 @@ def without(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(~F.coalesce(condition, F.lit(False)))
 
 
-def overlaps(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Rows whose half-open period overlaps an earlier one of the same keys: empty if the constraint holds."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = F.max(F.coalesce(F.col(end).cast("string"), F.lit("9999-12-31"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("_e", before).where(F.col(start).cast("string") < F.col("_e")).drop("_e")
+def overlaps(df: DataFrame, keys: list[str], start: str, end: str, *tie: str) -> DataFrame:
+    """Rows whose half-open period overlaps an earlier one of the same keys: empty if the constraint holds.
+
+    A null end is open. Of equal periods the first by ``tie`` counts as the earlier one. Ends keep their type.
+    """
+    before = Window.partitionBy(*keys).orderBy(start, end, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    open_end, latest = F.max(F.col(end).isNull()).over(before), F.max(end).over(before)
+    return df.withColumns({"_open": open_end, "_end": latest}).where(F.col("_open") | (F.col(start) < F.col("_end"))).drop("_open", "_end")
 
 
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:

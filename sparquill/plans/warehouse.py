@@ -178,11 +178,8 @@ def replace_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def overlapping_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
-    spans = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), day.alias("s"), F.date_add(day, 20).alias("e"), F.col("o_orderkey").alias("id")).orderBy("id")
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("k").orderBy("s", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("_e", F.max("e").over(w)).where("s < _e").select("id")
+    spans = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), day.alias("s"), F.date_add(day, 20).alias("e"), F.col("o_orderkey").alias("id"))
+    return R.overlaps(spans, ["k"], "s", "e", "id").select("id")
 
 
 @query("orphans", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1")

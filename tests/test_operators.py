@@ -133,6 +133,27 @@ def test_weighted_matches_against_brute_force(spark):
     assert candidates < 0.05 * len(names) ** 2
 
 
+def test_pruning_of_chains_and_cycles(spark):
+    """A chain of 300, a cycle, branches; against a walk from every good node."""
+    edges = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(300)] + [("x", "y"), ("y", "z"), ("z", "x"), ("b1", "c100"), ("b2", "b1"), ("b3", "c299"), ("lone", None), ("own", "own")]
+    up = dict(edges)
+    for good in ({"c150", "b2"}, {"y"}, {"b3", "lone"}, set(), {"own"}):
+        want = set()
+        for n in good:
+            while n is not None and n not in want:
+                want.add(n)
+                n = up[n]
+        df = spark.createDataFrame(edges, "node string, parent string")
+        some = F.col("node").isin(*good) if good else F.lit(False)
+        assert {r["node"] for r in C.pruned(df, some, F.lit(False)).collect()} == want
+
+
+def test_overlaps_keep_types(spark):
+    rows_of = [(1, "k", 9.0, 10.0), (2, "k", 10.0, 100.0), (3, "k", 99.0, None), (4, "k", 200.0, 201.0), (5, "q", 1.0, None), (6, "q", 1.0, None), (7, "r", 5.0, 6.0)]
+    made = R.overlaps(spark.createDataFrame(rows_of, "id int, k string, a double, b double"), ["k"], "a", "b", "id")
+    assert made.columns == ["id", "k", "a", "b"] and rows(made, "id") == [(3,), (4,), (6,)]
+
+
 def test_clause_forms():
     text = "\n".join(
         ["# 1 总则 3", "# 1总则", "1.0.1混凝土", "# 2 术语", "## 2.1术语", "## 2.1.1 结构", "2.1.1.1 细目", "## 2 大偏心", "接上", "2.1.1.1.1 不是条款", "附录E 雪压", "## E.1 基本雪压", "表", "E.1.2.3.4 深", "## E.5 全国", "附: 条文说明", "9.9.9 后"]
