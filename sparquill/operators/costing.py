@@ -212,16 +212,26 @@ def components_of(frames: Iterator[DataFrame]) -> DataFrame:
     return out
 
 
-def match_bills(asked: DataFrame, truth: DataFrame, candidates: DataFrame, least: float = 0.86, margin: float = 0.08, top: int = 10, id_col: str = "id") -> DataFrame:
+def match_bills(asked: DataFrame, truth: DataFrame | None, candidates: DataFrame | None, least: float = 0.86, margin: float = 0.08, top: int = 10, id_col: str = "id") -> DataFrame:
     """One row per request (id, code, feature): ``mode``, ``status``, ``verdict``, ``findings`` and ``selected``.
 
     A request with a code is verified: its form, that it exists, that required features are named, and that it is among
     the ``top`` candidates found for its description. One without a code is selected: the best candidate if it is good
     enough and clear of the next one, else it needs a review. ``truth``: code9, required (array); ``candidates``: id,
-    candidate (9 digits), score. A request without description has no cross-check of candidates.
+    candidate (9 digits), score. A request without description has no cross-check of candidates. If the requests have a
+    column ``provided`` (array), required features must be in it, where it is not null; else they must occur in the text.
+
+    A service that did not answer is no fault of the request: without ``truth`` (None) a verification is ``blocked`` and
+    has no verdict, and without ``candidates`` a selection is; a verification then only notes that it wasn't cross-checked.
     """
     code = code9(F.col("code"))
-    rows = asked.select(id_col, "code", F.coalesce("feature", F.lit("")).alias("feature"), code.alias("_code9"))
+    provided = F.col("provided") if "provided" in asked.columns else F.lit(None).cast("array<string>")
+    rows = asked.select(id_col, "code", F.coalesce("feature", F.lit("")).alias("feature"), code.alias("_code9"), provided.alias("_provided"))
+    no_truth, no_candidates = truth is None, candidates is None
+    if no_truth:
+        truth = asked.sparkSession.createDataFrame([], "code9 string, required array<string>")
+    if no_candidates:
+        candidates = asked.sparkSession.createDataFrame([], f"{id_col} {asked.schema[id_col].dataType.simpleString()}, candidate string, score double")
     w = Window.partitionBy(id_col).orderBy(F.desc("score"), "candidate")
     ranked = candidates.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= top)
     best = ranked.groupBy(id_col).agg(
@@ -237,26 +247,28 @@ def match_bills(asked: DataFrame, truth: DataFrame, candidates: DataFrame, least
     rows = rows.join(known, "_wanted", "left")
     exists = F.coalesce("_exists", F.lit(False))
     found = lambda name, severity, c: F.when(c, F.array(F.struct(F.lit(name).alias("type"), F.lit(severity).alias("severity"), F.lit(None).cast("string").alias("about"))))
-    lacking = F.filter(F.coalesce("required", F.array().cast("array<string>")), lambda r: ~F.contains(F.col("feature"), r))
+    named = lambda r: F.coalesce(F.array_contains("_provided", r), F.contains(F.col("feature"), r))
+    lacking = F.filter(F.coalesce("required", F.array().cast("array<string>")), lambda r: ~named(r))
     lacks = F.transform(lacking, lambda r: F.struct(F.lit("missing_feature").alias("type"), F.lit("warn").alias("severity"), r.alias("about")))
     described = F.trim("feature") != ""
+    blocked = F.when(verify, F.lit(no_truth) & F.col("_code9").isNotNull()).otherwise(F.lit(no_candidates))
     parts = [
         found("code_format", "critical", verify & F.col("_code9").isNull()),
-        found("code_not_found", "critical", verify & F.col("_code9").isNotNull() & ~exists),
+        found("truth_unavailable" if no_truth else "code_not_found", "warn" if no_truth else "critical", verify & F.col("_code9").isNotNull() & ~exists),
         lacks,
-        found("recall_miss", "warn", verify & F.col("_code9").isNotNull() & described & F.col("_recalled").isNull()),
-        found("no_candidates", "warn", ~verify & F.col("_first").isNull()),
+        found("recall_unavailable" if no_candidates else "recall_miss", "info" if no_candidates else "warn", verify & ~blocked & F.col("_code9").isNotNull() & described & F.col("_recalled").isNull()),
+        found("no_candidates", "warn", ~verify & ~blocked & F.col("_first").isNull()),
         found("low_confidence", "warn", ~verify & F.col("_first").isNotNull() & ~F.col("_decided")),
     ]
     none = F.array().cast("array<struct<type:string,severity:string,about:string>>")
     rows = rows.withColumn("findings", F.concat(*[F.coalesce(p, none) for p in parts]))
     has = lambda s: F.exists("findings", lambda f: f["severity"] == s)
-    done = verify | F.col("_decided")
+    done = ~blocked & (verify | F.col("_decided"))
     return rows.select(
         id_col,
         "code",
         F.when(verify, "verify").otherwise("select").alias("mode"),
-        F.when(done, "done").otherwise("need_review").alias("status"),
+        F.when(blocked, "blocked").when(done, "done").otherwise("need_review").alias("status"),
         F.when(done, F.when(has("critical"), "fail").when(has("warn"), "doubt").otherwise("pass")).alias("verdict"),
         "findings",
         F.when(F.col("_decided"), F.col("_first")).alias("selected"),

@@ -517,6 +517,23 @@ def parent_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).select("doc", "path", "parent")
 
 
+@query(
+    "parent_by_title",
+    """
+    SELECT doc, path, CASE WHEN n > 2 THEN CASE WHEN n % 2 = 0 THEN '1' WHEN n % 3 = 0 THEN '附录E' WHEN n % 3 = 1 THEN '1' END END AS parent FROM (
+        SELECT doc, n, CASE WHEN n = 1 THEN '1' WHEN n = 2 THEN '附录E' WHEN n % 2 = 0 THEN '1.' || n ELSE '说明' || n END AS path
+        FROM (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders))
+    """,
+)
+def parent_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with numbers hang on numbers, prose on the first node that has the title of its catalog entry."""
+    n = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc", "CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS n")
+    path = "CASE WHEN n = 1 THEN '1' WHEN n = 2 THEN '附录E' WHEN n % 2 = 0 THEN concat('1.', n) ELSE concat('说明', n) END AS path"
+    title = "CASE WHEN n = 1 THEN '总则' WHEN n % 4 = 0 THEN NULL ELSE '一般规定' END AS title"
+    catalog = "CASE n % 3 WHEN 0 THEN '一般规定' WHEN 1 THEN '总则' ELSE '没有' END AS catalog"
+    return C.resolve_parents(n.selectExpr("doc", "n", path, title, catalog), ["doc"], "path", "title", "catalog", "n").select("doc", "path", "parent")
+
+
 @query("children_lists", _TREE + "SELECT doc, parent AS path, string_agg(path, ',' ORDER BY ord) AS children FROM tree WHERE parent IS NOT NULL GROUP BY doc, parent")
 def children_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.children(_tree(spark, sf_dir), ["doc"], "path", "ord").select("doc", "path", F.concat_ws(",", "children").alias("children"))

@@ -240,7 +240,7 @@ def cell_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_search_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors as queries in the layered graphs: the share of the ten exact neighbours that is found, and of the vectors that a query is compared with."""
     e = table(spark, sf_dir, "embeddings")
-    found = vectors.graph_search(vectors.graph_index(e, "vec_id", "embedding"), e, 10, "vec_id", "embedding").select("query_id", "id", "compared")
+    found = vectors.graph_search(vectors.graph_index(e, "vec_id", "embedding"), e, 10, "vec_id", "embedding", width=16).select("query_id", "id", "compared")
     both = neighbours(spark, sf_dir).select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     recall = both.agg(F.countDistinct("query_id").alias("queries"), F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count("*"), 4).alias("recall"))
     asked = found.groupBy("query_id").agg(F.first("compared").alias("compared")).agg(F.sum("compared").alias("compared"), F.count("*").alias("n"))

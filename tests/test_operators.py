@@ -133,6 +133,26 @@ def test_weighted_matches_against_brute_force(spark):
     assert candidates < 0.05 * len(names) ** 2
 
 
+def test_bills_without_services_and_with_given_features(spark):
+    asked = spark.createDataFrame(
+        [(1, "010101001", "土方 厚度", None), (2, "bad", "x", None), (3, None, "x", None), (4, "010101001", "厚度", ["材质"]), (5, "010101001", "", ["厚度", "材质"])], "id int, code string, feature string, provided array<string>"
+    )
+    truth = spark.createDataFrame([("010101001", ["厚度", "材质"])], "code9 string, required array<string>")
+    found = spark.createDataFrame([(i, "010101001", 0.95) for i in (1, 3, 4)], "id int, candidate string, score double")
+
+    def run(t, c):
+        return {r["id"]: (r["status"], r["verdict"], [f["type"] for f in r["findings"]], r["selected"]) for r in K.match_bills(asked, t, c).collect()}
+
+    assert run(truth, found) == {
+        1: ("done", "doubt", ["missing_feature"], None), 2: ("done", "fail", ["code_format"], None), 3: ("done", "doubt", ["missing_feature"] * 2, "010101001"),
+        4: ("done", "doubt", ["missing_feature"], None), 5: ("done", "pass", [], None),
+    }
+    no_truth = run(None, found)
+    assert no_truth[1] == ("blocked", None, ["truth_unavailable"], None) and no_truth[2] == ("done", "fail", ["code_format"], None) and no_truth[3][0] == "done"
+    no_candidates = run(truth, None)
+    assert no_candidates[1] == ("done", "doubt", ["missing_feature", "recall_unavailable"], None) and no_candidates[3] == ("blocked", None, [], None)
+
+
 def test_pruning_of_chains_and_cycles(spark):
     """A chain of 300, a cycle, branches; against a walk from every good node."""
     edges = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(300)] + [("x", "y"), ("y", "z"), ("z", "x"), ("b1", "c100"), ("b2", "b1"), ("b3", "c299"), ("lone", None), ("own", "own")]
