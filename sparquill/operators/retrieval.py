@@ -33,18 +33,37 @@ def postings(docs: DataFrame, id_col: str, tokens: Column, terms: DataFrame | No
 def bm25(index: DataFrame, queries: DataFrame, query_id: str, tokens: Column, n_docs: int, mean_length: float, k: int | None = 10) -> DataFrame:
     """(query_id, id, score[, rank]): the documents of ``postings`` for each query; repeated query words count each.
 
-    Postings meet queries by an equi-join on the term, scores are partial sums per (query, document).
-    Score 6 places; ties go to the lesser id. ``k`` None returns all documents with a common term.
+    Postings meet queries by an equi-join on the term, scores are partial sums per (query, document). Scores have 6 places;
+    ties go to the lesser id. ``k`` None returns all documents with a common term. Else frequent terms are kept out of the
+    join: the k-th best sum over a query's rarer half of terms bounds its k-th score from below, the terms that all
+    together can't add half of that find no candidates, and candidates that can't reach the bound with them are not scored.
     """
     wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(F.filter(tokens, lambda t: t != "")).alias("term"))
     wanted = wanted.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     index = written(index, "postings")  # read for the frequencies and for the hits
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = wanted.join(df, "term").withColumn("w", F.col("qtf") * F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
-    hits = index.join(small(weighted.select("query_id", "term", "w")), "term")
-    scored = hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * impact), 6).alias("score"))
-    return scored if k is None else top_per(scored, ["query_id"], k, F.desc("score"), "id")
+    stats = index.groupBy("term").agg(F.count("*").alias("df"), F.max(impact).alias("most"))
+    weighted = wanted.join(stats, "term").withColumn("w", F.col("qtf") * F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+    def summed(terms: DataFrame, name: str) -> DataFrame:
+        return index.join(small(terms.select("query_id", "term", "w")), "term").groupBy("query_id", "id").agg(F.sum(F.col("w") * impact).alias(name))
+
+    if k is None:
+        return summed(weighted, "score").withColumn("score", F.round("score", 6))
+    weighted = written(weighted, "weighted")
+    by_df = Window.partitionBy("query_id").orderBy("df", "term")
+    rare = summed(weighted.withColumn("place", F.percent_rank().over(by_df)).where("place <= 0.5"), "part")
+    kth = rare.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("part")))).where(F.col("place") == k)
+    upto = Window.partitionBy("query_id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounded = weighted.withColumn("bound", F.sum(F.col("w") * F.col("most")).over(upto)).join(kth.select("query_id", F.col("part").alias("least")), "query_id", "left")
+    bounded = written(bounded.withColumn("least", F.coalesce("least", F.lit(0.0))), "bounded")
+    joined = F.col("bound") >= 0.5 * F.col("least")
+    rest = bounded.groupBy("query_id").agg(F.first("least").alias("least"), F.coalesce(F.max(F.when(~joined, F.col("bound"))), F.lit(0.0)).alias("rest"))
+    # a bound and a score are sums of the same doubles in another order, so the bound gets a millionth of room
+    near = summed(bounded.where(joined), "part").join(small(rest), "query_id").where(F.col("part") + F.col("rest") + 1e-6 >= F.col("least")).select("query_id", "id")
+    scored = near.join(index, "id").join(small(weighted.select("query_id", "term", "w")), ["query_id", "term"])
+    scored = scored.groupBy("query_id", "id").agg(F.round(F.sum(F.col("w") * impact), 6).alias("score"))
+    return top_per(scored, ["query_id"], k, F.desc("score"), "id")
 
 
 # ---- fusion and expansion

@@ -153,6 +153,23 @@ def test_bills_without_services_and_with_given_features(spark):
     assert no_candidates[1] == ("done", "doubt", ["missing_feature", "recall_unavailable"], None) and no_candidates[3] == ("blocked", None, [], None)
 
 
+@pytest.mark.parametrize("k", [1, 5, 40])
+def test_bm25_against_all_scores(spark, k):
+    """The k best of all scores, with frequent terms, ties, fewer documents than k and repeated query words."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    share = [1 / (1 + i) for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, share, k=rng.choice([3, 10, 40])))) for i in range(150)] + [(200 + i, "w1 w2 w40") for i in range(12)] + [(300, ""), (301, None)]
+    queries = [(i, " ".join(rng.choices(words, share, k=rng.choice([1, 4, 12])))) for i in range(20)] + [(50, "w40 w40 w1"), (51, "nothing"), (52, None)]
+    d, q = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(queries, "q long, text string")
+    tokens = F.split(F.coalesce("text", F.lit("")), " ")
+    size = [len((t or "").split()) for _, t in docs]
+    args = (S.postings(d, "id", tokens, S.query_terms(q, tokens)), q, "q", tokens, len(docs), sum(size) / len(size))
+    every = S.bm25(*args, k=None)
+    want = R.top_per(every, ["query_id"], k, F.desc("score"), "id")
+    assert rows(S.bm25(*args, k=k), "query_id", "rank", "id", "score") == rows(want, "query_id", "rank", "id", "score")
+
+
 def test_pruning_of_chains_and_cycles(spark):
     """A chain of 300, a cycle, branches; against a walk from every good node."""
     edges = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(300)] + [("x", "y"), ("y", "z"), ("z", "x"), ("b1", "c100"), ("b2", "b1"), ("b3", "c299"), ("lone", None), ("own", "own")]
