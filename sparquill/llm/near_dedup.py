@@ -33,16 +33,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import KEY, key_id_text, keyed, materialize, raw_texts
+from sparquill.llm.common import KEY, arrow_rows, key_id_text, keyed, materialize, raw_texts
 from sparquill.llm.components import components
 
 ROWS, MISS, BLOCK, GROUP_BYTES, OUT_BYTES = 4, 1e-7, 1000, 16 << 20, 4 << 20
+#: Rows with their sets in an Arrow batch on the way to the links.
+GROUP_ROWS = 256
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -165,56 +166,93 @@ def _setter(width: int):
     return sets
 
 
-def _linker(percent: int, floor: float):
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        """Spanning links among the rows of one group, or between its two sides; rows of equal ``label`` are connected."""
-        group = group.sort_values(["side", KEY], ignore_index=True)
-        key, side, label = group[KEY].to_numpy(), group["side"].to_numpy(), group["label"].to_numpy()
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint8).reshape(len(group), -1)
-        size = group["n_shingles"].to_numpy()
-        two = side[-1] != side[0]
-        first_b = int(np.searchsorted(side, side[-1])) if two else 0
-        a, b, near = [], [], []
-        for i in range(first_b if two else len(group)):
-            j0 = first_b if two else i + 1
-            j = j0 + np.flatnonzero(label[j0:] != label[i])
-            j = j[np.minimum(size[j], size[i]) * 100 >= percent * np.maximum(size[j], size[i])]
-            agree = (sig[j] == sig[i]).sum(axis=1)
-            keep = agree >= floor * sig.shape[1]
-            a.append(np.full(keep.sum(), i))
-            b.append(j[keep])
-            near.append(agree[keep])
+def _views(column: pa.ChunkedArray) -> list[memoryview]:
+    """The bytes of each value of a binary column, without copies."""
+    out: list[memoryview] = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        ends = np.frombuffer(offsets, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        view = memoryview(data) if data is not None else memoryview(b"")
+        out += [view[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    return out
+
+
+def _links(key: np.ndarray, side: np.ndarray, label: np.ndarray, size: np.ndarray, sigs: list, shingles: list, percent: int, floor: float) -> list[tuple[int, int]]:
+    """Spanning links among the rows of one group, or between its two sides; rows of equal ``label`` are connected."""
+    two = side[-1] != side[0]
+    if (label == label[0]).all():
+        return []
+    sig = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(key), -1)
+    first_b = int(np.searchsorted(side, side[-1])) if two else 0
+    a, b, near = [], [], []
+    for i in range(first_b if two else len(key)):
+        j0 = first_b if two else i + 1
+        j = j0 + np.flatnonzero(label[j0:] != label[i])
+        j = j[np.minimum(size[j], size[i]) * 100 >= percent * np.maximum(size[j], size[i])]
+        agree = (sig[j] == sig[i]).sum(axis=1)
+        keep = agree >= floor * sig.shape[1]
+        a.append(np.full(keep.sum(), i))
+        b.append(j[keep])
+        near.append(agree[keep])
+    out: list[tuple[int, int]] = []
+    if not sum(map(len, a)):
+        return out
+    x, y, s = np.concatenate(a), np.concatenate(b), np.concatenate(near)
+    order = np.argsort(-s.astype(np.int64), kind="stable")
+    head: dict[int, int] = {}
+    root = [head.setdefault(x, i) for i, x in enumerate(label.tolist())]
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        p, q = find(i), find(j)
+        if p == q:
+            continue
+        u, v = np.frombuffer(shingles[i], np.uint64), np.frombuffer(shingles[j], np.uint64)
+        both = np.concatenate((u, v))
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        if 100 * common >= percent * (len(u) + len(v) - common):
+            root[max(p, q)] = min(p, q)
+            out.append((int(key[i]), int(key[j])))
+    return out
+
+
+def _linker(group: list[str], percent: int, floor: float):
+    """The links of all groups of a partition that is sorted by ``group``, side and key: most groups are small, so many are taken from a batch at once."""
+    kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def of(rows: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        key, side, label, size = (rows.column(c).to_numpy() for c in (KEY, "side", "label", "n_shingles"))
+        sigs, shingles = _views(rows.column("sig")), _views(rows.column("shingles"))
         out: list[tuple[int, int]] = []
-        if a and sum(map(len, a)):
-            x, y, s = np.concatenate(a), np.concatenate(b), np.concatenate(near)
-            order = np.argsort(-s.astype(np.int64), kind="stable")
-            head: dict[int, int] = {}
-            root = [head.setdefault(x, i) for i, x in enumerate(label.tolist())]
-            sets: dict[int, np.ndarray] = {}
-
-            def find(i: int) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            def of(i: int) -> np.ndarray:
-                if i not in sets:
-                    sets[i] = np.frombuffer(group["shingles"].iat[i], np.uint64)
-                return sets[i]
-
-            for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-                p, q = find(i), find(j)
-                if p == q:
-                    continue
-                u, v = of(i), of(j)
-                both = np.concatenate((u, v))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(u) + len(v) - common):
-                    root[max(p, q)] = min(p, q)
-                    out.append((int(key[i]), int(key[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        for x, y in zip(starts, [*starts[1:], len(key)], strict=True):
+            if y - x > 1:
+                out += _links(key[x:y], side[x:y], label[x:y], size[x:y], sigs[x:y], shingles[x:y], percent, floor)
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], schema=kinds)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            new = np.zeros(rows.num_rows, bool)
+            new[0] = True
+            for c in group:
+                v = rows.column(c).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            starts = np.flatnonzero(new).tolist()
+            if len(starts) > 1:
+                yield of(rows.slice(0, starts[-1]), starts[:-1])
+            rest = rows.slice(starts[-1])  # it may go on in the next batch
+        if rest is not None:
+            yield of(rest, [0])
 
     return link
 
@@ -262,14 +300,18 @@ def near_groups(
     parts = F.ceil(F.greatest(F.sum("held") / GROUP_BYTES, F.count("*") / block)).alias("parts")
 
     def linked(met: DataFrame, group: list[str]) -> DataFrame:
-        return met.join(members.hint("merge"), KEY).groupBy(*group).applyInPandas(_linker(percent, floor), "a long, b long")
+        """Written links of the groups of ``met``."""
+        rows = met.join(members.hint("merge"), KEY).select(*group, "side", KEY, "label", "n_shingles", "sig", "shingles")
+        rows = rows.repartition(*group).sortWithinPartitions(*group, "side", KEY)
+        with arrow_rows(docs.sparkSession, GROUP_ROWS):
+            return materialize(rows.mapInArrow(_linker(group, percent, floor), "a long, b long"), "links")
 
     # each document and the least of its stars: a hot star's members are dealt into groups, the star is in each
     fans = mine.where(F.col("star") < F.col(KEY)).join(reps.select(KEY, size.alias("held")), KEY)
     deals = fans.groupBy("star").agg(parts)
     met = fans.join(deals, "star").select(KEY, "star", F.pmod(F.xxhash64(KEY), "parts").alias("nth"), F.lit(1).alias("side"), F.col(KEY).alias("label"))
     hubs = deals.select(F.col("star").alias(KEY), "star", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("nth"), F.lit(0).alias("side"), F.col("star").alias("label"))
-    near = materialize(linked(met.unionByName(hubs), ["star", "nth"]), "links")
+    near = linked(met.unionByName(hubs), ["star", "nth"])
 
     # buckets that are not connected yet: the members not connected to the star meet each other and all others
     labels = components(near)
@@ -290,7 +332,7 @@ def near_groups(
         spot.where("NOT tied").select("band", "cell", KEY, "label", F.lit(1).alias("kind"), F.col("nth").alias("lo"), to("ties"), F.lit(0).alias("side")).withColumnRenamed("other", "hi"),
     ]
     met = spots[0].unionByName(spots[1]).unionByName(spots[2])
-    far = materialize(linked(met, ["band", "cell", "kind", "lo", "hi"]), "links")
+    far = linked(met, ["band", "cell", "kind", "lo", "hi"])
     # joined to what is connected already
     roots = components(far.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
