@@ -134,9 +134,9 @@ def compose(links: DataFrame, prices: DataFrame, on_date=None, region: str | Non
     )
 
 
-def nested(composed: DataFrame, bill: list[str], quota: list[str], *columns: str) -> DataFrame:
-    """One row per (bill, quota) with its resources in category order."""
-    item = F.struct(category_order(F.col("category")).alias("o"), F.col("res_name").alias("n"), F.struct(*columns).alias("r"))
+def nested(composed: DataFrame, bill: list[str], quota: list[str], *columns: str, order: tuple[str, ...] = ("res_name",)) -> DataFrame:
+    """One row per (bill, quota) with its resources in category order, those of one category by the columns of ``order``."""
+    item = F.struct(category_order(F.col("category")).alias("o"), F.struct(*order).alias("n"), F.struct(*columns).alias("r"))
     made = composed.groupBy(*bill, *quota).agg(F.array_sort(F.collect_list(item)).alias("_r"), F.sum("amount").alias("subtotal"), F.count_if(F.col("price_status") == "no_source").alias("unpriced"))
     return made.withColumn("resources", F.transform("_r", lambda x: x["r"])).drop("_r")
 

@@ -124,7 +124,7 @@ def price_composition_on(spark: SparkSession, sf_dir: str) -> DataFrame:
     sum(amount) AS subtotal, count(*) FILTER (WHERE price IS NULL) AS unpriced FROM composed GROUP BY 1, 2""",
 )
 def nested_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = K.nested(_composed(spark, sf_dir), ["code"], ["quota_code"], "res_name", "price")
+    made = K.nested(_composed(spark, sf_dir), ["code"], ["quota_code"], "res_name", "price", order=("resource_id", "l_linenumber"))  # names sort line 10 before line 9
     return made.select("code", "quota_code", F.concat_ws(",", F.transform("resources", lambda r: r["res_name"])).alias("resources"), F.col("subtotal").cast("double").alias("subtotal"), "unpriced")
 
 
