@@ -1,9 +1,9 @@
 """Vector neighbours by cosine: exact by blocked products, and approximate by layered neighbour graphs.
 
 Vectors are held in packed rows: query vectors in blocks, points in shards, both of bounded size and drawn by a hash of the
-id. Blocks meet shards in Spark by an equi-join on their numbers (blocks are broadcast only if they are small), each pair
-is one call of numpy on an executor, and Spark merges the ``k`` best of the shards. The number of jobs does not depend on
-the number of queries.
+id. For products many blocks and many shards are dealt to a tile, which is one task; in graphs blocks meet shards by an
+equi-join on their numbers (blocks are broadcast only if they are small). Spark merges the ``k`` best of the tiles or
+shards. The number of jobs does not depend on the number of queries.
 
 Null vectors are left out on both sides; a vector of zeros is 0 from everything; ids are integers; a query is not its
 own neighbour (by id); vectors of one call have one length. Scores have 6 places, ties go to the lesser id.
@@ -26,6 +26,8 @@ from sparquill.sources.scratch import ONE_ROW_GROUPS, arrow_rows, written
 BLOCK_ROWS, SHARD_ROWS = 4096, 8192
 #: Numbers of a product that is held at once.
 CELLS = 1 << 21
+#: Tiles on a side of the square of all pairs, and rows of a tile's side from which on there are more.
+TILES, TILE_ROWS = 12, 1 << 17
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -91,36 +93,117 @@ def _met(blocks: DataFrame, shards: DataFrame, n_blocks: int, n_shards: int) ->
 # ---- exact
 
 
-def _best_of(q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores), a row per query: its k best points, ties to the lesser id; absent ones score -2."""
-    ids, scores = np.empty((len(q), 0), np.int64), np.empty((len(q), 0))
-    step = max(k, CELLS // len(q))
-    for at in range(0, len(p), step):
-        some = p_ids[at : at + step]
-        s = np.rint(q @ p[at : at + step].T * 1e6).astype(np.int64)
-        s[q_ids[:, None] == some[None, :]] = -2_000_000
-        order = s * len(some) - np.arange(len(some))  # all different: by score, then by id, since shards are sorted by id
-        take = min(k, len(some))
-        best = np.argpartition(order, len(some) - take, axis=1)[:, len(some) - take :]
-        ids = np.concatenate((ids, some[best]), axis=1)
-        scores = np.concatenate((scores, np.take_along_axis(s, best, axis=1) / 1e6), axis=1)
-        first = np.lexsort((ids, -scores), axis=1)[:, :k]
-        ids, scores = np.take_along_axis(ids, first, axis=1), np.take_along_axis(scores, first, axis=1)
-    return ids, scores
-
-
-def _multiplied(k: int, grouped: bool) -> Callable:
+class _Best:
+    """The ``k`` best points so far of every query of a block, ties to the lesser id; scores are held in millionths.
+
+    Products in single precision and a bound of their error leave candidates, which are scored in double precision.
+    """
+
+    NONE = -2_000_000
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
+        self.q_ids, self.v, self.fast, self.k = ids, v, v.astype(np.float32), k
+        self.slack = np.float32((v.shape[1] + 8) * 2.0**-23 + 2e-6)
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.scores = np.zeros((len(self.v), self.k), np.int64), np.full((len(self.v), self.k), self.NONE, np.int64)
+
+    def offer(self, p_ids: np.ndarray, p: np.ndarray, p_fast: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Points in ascending order of their ids, to all queries or to those at ``rows``."""
+        rows = np.arange(len(self.v)) if rows is None else rows
+        if not len(rows):
+            return
+        q = self.fast if len(rows) == len(self.v) else self.fast[rows]
+        step = max(self.k, CELLS // len(rows))
+        for at in range(0, len(p_ids), step):
+            some = p_ids[at : at + step]
+            s = q @ p_fast[at : at + step].T
+            near = s >= (self.scores[rows, -1] / 1e6).astype(np.float32)[:, None] - self.slack
+            take = min(self.k, len(some))
+            if np.count_nonzero(near) > 8 * self.k * len(rows):
+                s[self.q_ids[rows][:, None] == some[None, :]] = -2
+                near &= s >= np.partition(s, len(some) - take, axis=1)[:, len(some) - take, None] - 2 * self.slack
+            if np.count_nonzero(near) > 8 * self.k * len(rows):  # equal scores by the dozen
+                exact = np.rint(self.v[rows] @ p[at : at + step].T * 1e6).astype(np.int64)
+                exact[self.q_ids[rows][:, None] == some[None, :]] = self.NONE
+                order = exact * len(some) - np.arange(len(some))  # all different: by score, then by id
+                j = np.argpartition(order, len(some) - take, axis=1)[:, len(some) - take :].ravel()
+                i = np.repeat(np.arange(len(rows)), take)
+                self.merge(rows[i], some[j], exact[i, j])
+                continue
+            i, j = np.divmod(np.flatnonzero(near), len(some))  # far quicker than nonzero of two axes
+            exact = np.empty(len(i), np.int64)
+            for a in range(0, len(i), 1 << 14):
+                exact[a : a + (1 << 14)] = np.rint(np.einsum("ij,ij->i", self.v[rows[i[a : a + (1 << 14)]]], p[at + j[a : a + (1 << 14)]]) * 1e6)
+            self.merge(rows[i], some[j], exact)
+
+    def merge(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """More points of the queries ``at``, which ascend."""
+        last, last_id = self.scores[at, -1], self.ids[at, -1]
+        kept = (ids != self.q_ids[at]) & ((scores > last) | ((scores == last) & (ids < last_id)))
+        at, ids, scores = at[kept], ids[kept], scores[kept]
+        hit, row = np.unique(at, return_inverse=True)
+        row = np.concatenate((np.repeat(np.arange(len(hit)), self.k), row))
+        ids, scores = np.concatenate((self.ids[hit].ravel(), ids)), np.concatenate((self.scores[hit].ravel(), scores))
+        order = np.lexsort((ids, -scores, row))
+        row = row[order]
+        best = order[np.arange(len(row)) - np.searchsorted(row, np.arange(len(hit)))[row] < self.k]
+        self.ids[hit], self.scores[hit] = ids[best].reshape(-1, self.k), scores[best].reshape(-1, self.k)
+
+    def rows(self, grp: str) -> pd.DataFrame:
+        i, j = np.nonzero(self.scores > self.NONE)
+        return pd.DataFrame({"query_id": self.q_ids[i], "grp": grp, "id": self.ids[i, j], "score": self.scores[i, j] / 1e6})
+
+
+def _multiplied(k: int, grouped: bool, center: np.ndarray | None = None, probes: int = 0) -> Callable:
+    """Of each tile its blocks, which are held, with its shards one by one; with ``center`` a query meets only shards of its ``probes`` nearest cells."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[_Best, np.ndarray | None]] = []
+        tile = grp = None
         for batch in batches:
             for r in batch.itertuples(index=False):
-                q_ids = np.frombuffer(r.q_ids, "<i8")
-                ids, scores = _best_of(q_ids, _vectors(r.q_vectors, r.q_n), np.frombuffer(r.ids, "<i8"), _vectors(r.vectors, r.n), k)
-                i, j = np.nonzero(scores > -2)
-                yield pd.DataFrame({"query_id": q_ids[i], "grp": r.grp if grouped else "", "id": ids[i, j], "score": scores[i, j]})
+                if r.tile != tile or (grouped and r.grp != grp):
+                    for b, _ in held:
+                        yield b.rows(grp)
+                        b.clear()
+                    grp = r.grp if grouped else ""
+                if r.tile != tile:
+                    tile = r.tile
+                    held.clear()
+                ids, v = np.frombuffer(r.ids, "<i8"), _vectors(r.vectors, r.n)
+                if r.side == 0:
+                    cells = None if center is None else np.argsort(-(v @ center.T), axis=1, kind="stable")[:, :probes]
+                    held.append((_Best(ids, v, k), cells))
+                    continue
+                fast = v.astype(np.float32)
+                for b, cells in held:
+                    b.offer(ids, v, fast, None if cells is None else np.flatnonzero((cells == int(r.grp)).any(axis=1)))
+        for b, _ in held:
+            yield b.rows(grp)
 
     return run
 
 
+def _tiled(blocks: DataFrame, shards: DataFrame, n_blocks: int, n_shards: int, block_rows: int, shard_rows: int, run: Callable) -> DataFrame:
+    """(query_id, grp, id, score): every block with every shard, in tiles of many blocks by many shards.
+
+    A tile is shuffled to one task, so a row is copied once for each tile on the other side: up to ``TILES`` times, however
+    many rows there are, until tiles have ``TILE_ROWS`` rows.
+    """
+    sides = [max(min(n, TILES), -(-n * rows // TILE_ROWS)) for n, rows in ((n_blocks, block_rows), (n_shards, shard_rows))]
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_o")
+    q = blocks.select(F.lit(0).alias("side"), F.lit("").alias("grp"), "n", "ids", "vectors", (F.col("block") % sides[0] * sides[1]).alias("_t"), other(sides[1]))
+    grp = F.col("grp") if "grp" in shards.columns else F.lit("").alias("grp")
+    p = shards.select(F.lit(1).alias("side"), grp, "n", "ids", "vectors", (F.col("shard") % sides[1]).alias("_t"), (other(sides[0])))
+    p = p.withColumn("_o", F.col("_o") * sides[1])
+    both = q.unionByName(p).withColumn("tile", (F.col("_t") + F.col("_o")).cast("int")).drop("_t", "_o")
+    dealt = both.repartition(sides[0] * sides[1], "tile").sortWithinPartitions("tile", "side", "grp")
+    with arrow_rows(blocks.sparkSession, 1):
+        return written(dealt.mapInPandas(run, "query_id long, grp string, id long, score double"), "tops")
+
+
 def _asked(blocks: DataFrame, key: str = "block") -> DataFrame:
     return blocks.select(key, F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
 
@@ -133,8 +216,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_
     """
     blocks, n_blocks = _packed(queries, query_id, vector, "block", block_rows, "blocks")
     shards, n_shards = _packed(points, point_id, vector, "shard", shard_rows, "shards", group)
-    with arrow_rows(points.sparkSession, 1):
-        found = written(_met(_asked(blocks), shards, n_blocks, n_shards).mapInPandas(_multiplied(k, group is not None), "query_id long, grp string, id long, score double"), "tops")
+    found = _tiled(blocks, shards, n_blocks, n_shards, block_rows, shard_rows, _multiplied(k, group is not None))
     best = top_per(found, ["query_id", "grp"], k, F.desc("score"), "id")
     return best.drop("grp") if group is None else best.select("query_id", F.col("grp").cast(points.schema[group].dataType).alias(group), "id", "score", "rank")
 
@@ -315,8 +397,8 @@ def nearest_in_cells(queries: DataFrame, points: DataFrame, k: int, query_id: st
     """(query_id, id, score, rank): nearest vectors by an index of cells; approximate where ``probes`` < ``cells``.
 
     Centers are fitted by a few rounds of spherical k-means on the ``sample`` first vectors in hashed order (a bound); every
-    point goes into the cell of its nearest center, and a query meets the points of its ``probes`` nearest cells, packed
-    rows by packed rows. Measure the recall against ``nearest``; more probes raise it.
+    point goes into the cell of its nearest center, and a query meets the points of its ``probes`` nearest cells, in tiles of
+    packed rows. Measure the recall against ``nearest``; more probes raise it.
     """
     spark = points.sparkSession
     some = points.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), point_id), point_id).select(F.col(vector).alias("v")).limit(sample).toPandas()
@@ -330,18 +412,13 @@ def nearest_in_cells(queries: DataFrame, points: DataFrame, k: int, query_id: st
         np.add.at(total, own, m)
         center = np.where(np.linalg.norm(total, axis=1, keepdims=True) > 1e-9, _unit(total), center)
 
-    def cell_of(most: int):
-        @F.pandas_udf("array<int>")
-        def cell(vectors: pd.Series) -> pd.Series:
-            s = _unit(np.stack(vectors.tolist())) @ center.T
-            return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :most].astype(np.int32)))
-
-        return F.explode(cell(F.col(vector)).cast("array<string>")).alias("_cell")
+    @F.pandas_udf("array<int>")
+    def cell(vectors: pd.Series) -> pd.Series:
+        s = _unit(np.stack(vectors.tolist())) @ center.T
+        return pd.Series(list(np.argsort(-s, axis=1, kind="stable")[:, :1].astype(np.int32)))
 
-    blocks, _ = _packed(queries.where(F.col(vector).isNotNull()).select(query_id, vector, cell_of(min(probes, len(center)))), query_id, vector, "block", BLOCK_ROWS, "blocks", "_cell")
-    shards, n_shards = _packed(points.where(F.col(vector).isNotNull()).select(point_id, vector, cell_of(1)), point_id, vector, "shard", SHARD_ROWS, "shards", "_cell")
-    with arrow_rows(spark, 1):
-        asked = _asked(blocks, "grp").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-        met = asked.join(shards, ["grp", "shard"])
-        found = written(met.mapInPandas(_multiplied(k, False), "query_id long, grp string, id long, score double"), "tops")
+    blocks, n_blocks = _packed(queries, query_id, vector, "block", BLOCK_ROWS, "blocks")
+    own = F.explode(cell(F.col(vector)).cast("array<string>")).alias("_cell")
+    shards, n_shards = _packed(points.where(F.col(vector).isNotNull()).select(point_id, vector, own), point_id, vector, "shard", SHARD_ROWS, "shards", "_cell")
+    found = _tiled(blocks, shards, n_blocks, n_shards, BLOCK_ROWS, SHARD_ROWS, _multiplied(k, False, center, probes))
     return top_per(found.drop("grp"), ["query_id"], k, F.desc("score"), "id")

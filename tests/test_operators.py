@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 
 import numpy as np
@@ -283,6 +284,21 @@ def test_cells_against_brute_force(spark):
     assert sorted(map(tuple, every.select("query_id", "rank", "id", "score").collect())) == best_rows(cosines(v), 4)
 
 
+def test_neighbours_are_merged_by_tiles(spark):
+    """Candidates grow with the tiles, not with the shards, and queries of cells are packed once, not once a probe."""
+    before = set(stored(spark))
+    df = vector_rows(spark, np.random.default_rng(6).standard_normal((60, 3)))
+    assert vectors.nearest(df, df, 3, "id", "id", "v", block_rows=30, shard_rows=2).count() == 180
+    assert vectors.nearest_in_cells(df, df, 3, "id", "id", "v", cells=6, probes=5).count() == 180
+    made = {label: sum(spark.read.parquet(f).agg(F.sum(x)).first()[0] for f in set(stored(spark)) - before if f.rsplit("/", 1)[-1].startswith(label)) for label, x in (("tops", F.lit(1)), ("blocks", F.col("n")))}
+    assert made["tops"] <= 60 * 3 * (vectors.TILES + 1) and made["blocks"] == 2 * 60
+
+
+def stored(spark):
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    return [f"{root}/{f}" for f in os.listdir(root)]
+
+
 @pytest.mark.parametrize("clustered", [False, True])
 def test_graph_search_recall_and_effort(spark, clustered):
     """At least 0.9 of the ten nearest, comparing under a fifth of the vectors, in one and in several shards; scores are exact."""
