@@ -171,6 +171,34 @@ def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: st
     return cell_join(points, spans, [], at, start, end)
 
 
+def bucket_of(value: Column, cuts: list[float]) -> Column:
+    """The number of ``cuts`` below a value: buckets in the order of the values, of like sizes if the cuts are quantiles."""
+    return F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < value))
+
+
+def range_counts(points: DataFrame, spans: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """Points that lie in spans [start, end), numbers or null for open, with ``spans``: in how many; no pairs are made.
+
+    A span adds one at its start and takes one off at its end. The running sum over all values is made in buckets of
+    them, from the sum of the buckets before.
+    """
+    x = lambda c: F.col(c).cast("double")
+    lo, hi = F.coalesce(x(start), F.lit(float("-inf"))), x(end)
+    given = points.where(F.col(at).isNotNull()).withColumn("_v", x(at))
+    ends = spans.where(hi.isNull() | (lo < hi)).select(F.inline(F.array(F.struct(lo.alias("_v"), F.lit(1).alias("_d")), F.struct(hi.alias("_v"), F.lit(-1).alias("_d"))))).where("_v IS NOT NULL")
+    steps = ends.unionByName(given.select("_v", F.lit(0).alias("_d"))).groupBy("_v").agg(F.sum("_d").alias("_d"))
+    cuts = ends.agg(F.percentile_approx("_v", [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
+    steps = steps.withColumn("_b", bucket_of(F.col("_v"), sorted({c for c in cuts if c == c})))
+    before, total = [], 0
+    sums = dict(steps.groupBy("_b").agg(F.sum("_d")).collect())  # 64 rows at most
+    for b in range(len(cuts) + 1):
+        before.append(total)
+        total += sums.get(b, 0)
+    running = F.sum("_d").over(Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = steps.withColumn("spans", running + F.element_at(F.lit(before).cast("array<long>"), F.col("_b") + 1)).where("spans > 0").select("_v", "spans")
+    return given.join(counted, "_v").select(*points.columns, "spans")
+
+
 def either_key_join(left: DataFrame, right: DataFrame, direct: str, mapped: str, right_key: str, *order: Column | str, ids: list[str]) -> DataFrame:
     """The best right row by the direct key or else by the mapped one: two equi-joins with a preference, no OR.
 

@@ -96,8 +96,8 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") - 50).alias("lo"), (F.col("s_acctbal") + 50).alias("hi"))
-    return R.range_join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), spans, "c_acctbal", "lo", "hi").groupBy("c_custkey").agg(F.count("*").alias("suppliers"))
+    spans = table(spark, sf_dir, "supplier").where("s_acctbal IS NOT NULL").select("s_suppkey", (F.col("s_acctbal") - 50).alias("lo"), (F.col("s_acctbal") + 50).alias("hi"))
+    return R.range_counts(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), spans, "c_acctbal", "lo", "hi").groupBy("c_custkey").agg(F.sum("spans").alias("suppliers"))
 
 
 @query(

@@ -61,6 +61,35 @@ def test_range_join_against_brute_force(spark, scale, kind):
     assert rows(made, "p", "s") == sorted(((p, s) for p, x in points for s, lo, hi in spans if held(x, lo, hi)), key=repr)
 
 
+def test_range_counts_make_no_pairs(spark):
+    """Ties, open, empty and reversed spans against brute force; and 30,000 points in 30,000 spans without 900 million pairs."""
+    rng = random.Random(3)
+    points = [(i, float(rng.randint(-9, 9)), 0) for i in range(90)] + [(90, None, 0)]
+    spans = [(a := float(rng.randint(-9, 9)), a + rng.choice([-1.0, 0.0, 0.5, 1.0, 7.0])) for _ in range(60)] + [(None, 1.0), (2.0, None), (None, None)]
+    made = R.range_counts(spark.createDataFrame(points, "p int, x double, z int"), spark.createDataFrame(spans, "lo double, hi double"), "x", "lo", "hi")
+    want = {p: sum((lo is None or lo <= x) and (hi is None or x < hi) for lo, hi in spans) for p, x, _ in points if x is not None}
+    assert {r["p"]: r["spans"] for r in made.collect()} == {p: n for p, n in want.items() if n}
+    many = spark.range(30_000).selectExpr("id AS p", "CAST(id AS DOUBLE) AS x", "-1.0D AS lo", "1e9D AS hi")
+    assert R.range_counts(many.select("p", "x"), many.select("lo", "hi"), "x", "lo", "hi").where("spans = 30000").count() == 30_000
+    assert made.columns == ["p", "x", "z", "spans"] and R.range_counts(many.limit(0), many, "x", "lo", "hi").count() == 0
+
+
+def test_quartiles_without_all_values_in_one_task(spark):
+    x = np.random.default_rng(4).standard_normal(999).round(2)
+    given = [(float(v), None if i % 7 else float("inf"), 5) for i, v in enumerate(x)] + [(None, None, None), (float("nan"), 1.5, 5)]
+    df = spark.createDataFrame(given, "a double, b double, c int")
+    made = profile.summary(df)
+    assert "percentile(" not in made._jdf.queryExecution().toString()
+    same = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(c) for c in "abc"]).first()
+    assert [[r["q25"], r["median"], r["q75"]] for r in made.collect()] == [[round(v, 6) for v in same[c]] for c in "abc"]
+    assert [r["median"] for r in profile.summary(df.limit(0)).collect()] == [None] * 3
+
+
+def test_more_tasks_for_more_rows(spark):
+    df = spark.range(1000)
+    assert R.in_parts(df, "id", each=100).rdd.getNumPartitions() == 80 and R.in_parts(df, "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_interval_join_on_dates_and_timestamps(spark):
     rng = random.Random(4)
     day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
