@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
+from pyspark.sql.window import Window
+
+from sparquill.operators.relational import bucket_of
+from sparquill.sources.scratch import written
 
 _KINDS = "column string, kind string, count long, nulls long, mean double, stddev double, min string, q25 double, median double, q75 double, max string, distinct long, mode string"
 
@@ -20,29 +26,74 @@ def inspect(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(rows))
 
 
+_SHARES = (0.25, 0.5, 0.75)
+
+
+def _quartiles(df: DataFrame, columns: list[str], cuts: list[list[float]], counts: list[int]) -> list[list[float | None]]:
+    """Exact quartiles of each column, interpolated as ``percentile`` does; no task sees all values of a column.
+
+    The counts of the values fall into buckets between approximate quantiles; the buckets' sums say in which ones the
+    wanted places lie, and only in those values are counted up.
+    """
+    x = [F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(columns)]
+    values = df.select(F.inline(F.array(*x))).where("x IS NOT NULL").groupBy("i", "x").agg(F.count("*").alias("n"))
+    bucket = F.lit(0)
+    for i, c in enumerate(cuts):
+        bucket = F.when(F.col("i") == i, bucket_of(F.col("x"), c)).otherwise(bucket)
+    values = written(values.withColumn("b", bucket), "values")
+    sums = {(r["i"], r["b"]): r["n"] for r in values.groupBy("i", "b").agg(F.sum("n").alias("n")).collect()}  # 64 rows a column
+    wanted = set()
+    for i, n in enumerate(counts):
+        for place in {p for s in _SHARES for p in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))} if n else ():
+            before = 0
+            for b in range(len(cuts[i]) + 1):
+                if place < before + sums.get((i, b), 0):
+                    wanted.add((i, b, place, place - before))
+                    break
+                before += sums.get((i, b), 0)
+    if not wanted:
+        return [[None] * len(_SHARES) for _ in columns]
+    places = df.sparkSession.createDataFrame(sorted(wanted), "i int, b int, place long, rest long")
+    near = values.join(F.broadcast(places.select("i", "b").distinct()), ["i", "b"])  # a literal table of a few rows
+    near = near.withColumn("upto", F.sum("n").over(Window.partitionBy("i", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = near.join(F.broadcast(places), ["i", "b"]).where("upto > rest").groupBy("i", "place").agg(F.min("x").alias("x")).collect()
+    at = {(r["i"], r["place"]): r["x"] for r in found}
+
+    def value(i: int, n: int, share: float) -> float | None:
+        if not n:
+            return None
+        place = share * (n - 1)
+        low, high = math.floor(place), math.ceil(place)
+        return at[i, low] if at[i, low] == at[i, high] or low == high else (high - place) * at[i, low] + (place - low) * at[i, high]
+
+    return [[value(i, n, s) for s in _SHARES] for i, n in enumerate(counts)]
+
+
+def _numbers(df: DataFrame, columns: list[str], places: int) -> DataFrame:
+    aggs = []
+    for i, c in enumerate(columns):
+        x = F.col(f"`{c}`").cast("double")
+        cuts = F.percentile_approx(x, [j / 64 for j in range(1, 64)], 1000)
+        aggs.append(F.struct(F.count(x).alias("count"), F.count_if(x.isNull()).alias("nulls"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("stddev"), F.min(x).alias("min"), F.max(x).alias("max"), cuts.alias("cuts")).alias(f"s{i}"))
+    one = df.agg(*aggs).first()
+    quarts = _quartiles(df, columns, [sorted({x for x in r["cuts"] or [] if x == x}) for r in one], [r["count"] for r in one])
+    rows = [(c, "number", r["count"], r["nulls"], r["mean"], r["stddev"], r["min"], *q, r["max"], None, None) for c, r, q in zip(columns, one, quarts, strict=True)]
+    made = df.sparkSession.createDataFrame(rows, _KINDS.replace("min string", "min double").replace("max string", "max double"))
+    rounded = {c: F.round(c, places) for c in ("mean", "stddev", "q25", "median", "q75")}
+    return made.withColumns(rounded | {c: F.col(c).cast("string") for c in ("min", "max")})
+
+
 def summary(df: DataFrame, columns: list[str] | None = None, places: int = 6) -> DataFrame:
     """One row per column. Numbers: mean, sample deviation, least, quartiles (interpolated), greatest. Others: distinct, mode.
 
-    All numeric columns are one aggregate; the distinct values of each other column are counted first (``groupBy``),
+    All numeric columns are one aggregate, and their quartiles come from the counts of their values (``_quartiles``); the distinct values of each other column are counted first (``groupBy``),
     so that mode (ties: the least value) and distinct count are partial aggregates, too.
     """
     names = columns or df.columns
     numeric = [c for c in names if is_numeric(df, c)]
     out = []
     if numeric:
-        aggs = []
-        for i, c in enumerate(numeric):
-            x = F.col(f"`{c}`").cast("double")
-            quart = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            aggs += [
-                F.struct(
-                    F.lit(c).alias("column"), F.lit("number").alias("kind"), F.count(x).alias("count"), F.count_if(x.isNull()).alias("nulls"), F.round(F.avg(x), places).alias("mean"),
-                    F.round(F.stddev_samp(x), places).alias("stddev"), F.min(x).cast("string").alias("min"), F.round(quart[0], places).alias("q25"), F.round(quart[1], places).alias("median"),
-                    F.round(quart[2], places).alias("q75"), F.max(x).cast("string").alias("max"), F.lit(None).cast("long").alias("distinct"), F.lit(None).cast("string").alias("mode"),
-                ).alias(f"s{i}")
-            ]
-        one = df.agg(*aggs)
-        out.append(one.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(numeric))]))))
+        out.append(_numbers(df, numeric, places))
     for c in names:
         if c in numeric:
             continue
