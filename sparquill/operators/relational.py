@@ -21,6 +21,13 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size <= most else df
 
 
+def in_parts(df: DataFrame, *keys: str, each: int = 4 << 20, by: DataFrame | None = None) -> DataFrame:
+    """``df`` dealt out by ``keys`` over as many tasks as the optimizer's estimate of its (or of ``by``'s) size has ``each`` bytes, so that a task's share does not grow."""
+    size = int(str((by or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, min(size // each, 20_000)), *keys)
+
+
 # ---- filters
 
 
@@ -213,8 +220,9 @@ def either_key_join(left: DataFrame, right: DataFrame, direct: str, mapped: str,
 
 def pairs_within(df: DataFrame, keys: list[str], id_col: str, carry: list[str] | None = None) -> DataFrame:
     """Unordered pairs of a group, which must be small by nature (rows of one section, lines of one order)."""
-    a = df.select(*keys, *[F.col(c).alias(f"{c}_a") for c in [id_col, *(carry or [])]])
-    b = df.select(*keys, *[F.col(c).alias(f"{c}_b") for c in [id_col, *(carry or [])]])
+    dealt = in_parts(df.select(*dict.fromkeys([*keys, id_col, *(carry or [])])), *keys)
+    a = dealt.select(*keys, *[F.col(c).alias(f"{c}_a") for c in [id_col, *(carry or [])]])
+    b = dealt.select(*keys, *[F.col(c).alias(f"{c}_b") for c in [id_col, *(carry or [])]])
     return a.join(b, keys).where(F.col(f"{id_col}_a") < F.col(f"{id_col}_b"))
 
 

@@ -365,8 +365,9 @@ def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT least(a.l_partkey, b.l_partkey) AS x, greatest(a.l_partkey, b.l_partkey) AS y, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY 1, 2 HAVING count(*) > 1",
 )
 def pairs_in_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = R.pairs_within(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber", ["l_partkey"])
-    return pairs.groupBy(F.least("l_partkey_a", "l_partkey_b").alias("x"), F.greatest("l_partkey_a", "l_partkey_b").alias("y")).agg(F.count("*").alias("n")).where("n > 1")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    pairs = R.pairs_within(lines, ["l_orderkey"], "l_linenumber", ["l_partkey"]).select(F.least("l_partkey_a", "l_partkey_b").alias("x"), F.greatest("l_partkey_a", "l_partkey_b").alias("y"))
+    return R.in_parts(pairs, "x", "y", by=lines).groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query(
