@@ -82,12 +82,13 @@ def _packed(df: DataFrame, id_col: str, vector: str, key: str, rows: int, label:
 
 
 def _met(blocks: DataFrame, shards: DataFrame, n_blocks: int, n_shards: int) -> DataFrame:
-    """Every block with every shard, by an equi-join on their numbers."""
-    of_block = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    near = small(blocks)
-    if near is not blocks:
-        return of_block.join(near, "block")
-    return of_block.join(blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))), ["block", "shard"])
+    """Every block with every shard, by an equi-join; a shard is copied once for each of ``TILES`` groups of blocks, which are as many tasks."""
+    groups = min(n_blocks, TILES)
+    of_group = shards.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(groups * n_shards, "shard", "_group")
+    grouped = blocks.withColumn("_group", (F.col("block") % groups).cast("int"))
+    if small(blocks) is not blocks:
+        return of_group.join(F.broadcast(grouped), "_group").drop("_group")
+    return of_group.join(grouped.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))), ["shard", "_group"]).drop("_group")
 
 
 # ---- exact

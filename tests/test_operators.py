@@ -323,6 +323,13 @@ def test_neighbours_are_merged_by_tiles(spark):
     assert made["tops"] <= 60 * 3 * (vectors.TILES + 1) and made["blocks"] == 2 * 60
 
 
+def test_shards_are_copied_by_groups_of_blocks(spark):
+    blocks, shards = spark.range(40).selectExpr("CAST(id AS INT) AS block"), spark.range(3).selectExpr("CAST(id AS INT) AS shard")
+    met = vectors._met(blocks, shards, 40, 3)
+    assert rows(met, "block", "shard") == sorted(((b, s) for b in range(40) for s in range(3)), key=repr)
+    assert met.rdd.getNumPartitions() == 12 * 3
+
+
 def stored(spark):
     root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     return [f"{root}/{f}" for f in os.listdir(root)]
