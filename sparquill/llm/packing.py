@@ -20,7 +20,8 @@ import re
 import zlib
 from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched, chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -32,18 +33,46 @@ from pyspark.sql.window import Window
 from sparquill.llm.common import KEY, materialize, raw_texts
 
 WINDOW, BUCKETS, BUCKET_ROWS = 1024, 64, 200_000
-KEEP_FIRST, KEEP_LATER, ENCODE_AT_ONCE = 250_000, 150_000, 4096
+KEEP_FIRST, KEEP_LATER, ENCODE_AT_ONCE = 500_000, 200_000, 4096
 
 #: Texts of these characters only are split into words here as the tokenizer's own rule does; others go to it whole.
 _PLAIN = "\t\n\r\x20-\x7e¡«»¿-ɏ"
 _OTHER = re.compile(f"[^{_PLAIN}]")
 _SPLIT = re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: The rule always begins a word at a space with another character right after it, so texts may be cut there.
+_CUT = re.compile(r" (?=\S)")
+_FIRST = "\0"  # marks the stretch that begins a text; all others have a space before them
+
+
+def _stretches(text: str) -> list[str]:
+    odd = "  " in text or " \n" in text or " \t" in text or " \r" in text or text[-1:] == " "
+    out = _CUT.split(text) if odd else text.split(" ")
+    out[0] = _FIRST + out[0]
+    return out
+
+
+class _Known(dict):
+    """Token ids of strings seen, up to a bound: the first ones stay, later ones leave in the order in which they came."""
+
+    def __init__(self):
+        self.later: deque[list[str]] = deque()
+
+    def learn(self, keys: list[str], values: Iterable[bytes]) -> None:
+        self.update(zip(keys, values, strict=True))
+        if len(self) > KEEP_FIRST:
+            self.later.append(keys)
+
+    def trim(self) -> None:
+        while len(self) > KEEP_FIRST + KEEP_LATER:
+            for k in self.later.popleft():
+                del self[k]
 
 
 class TokenBytes:
-    """Token ids of a text as little-endian 32-bit words; ids of words seen are remembered up to a bound.
+    """Token ids of a text as little-endian 32-bit words.
 
-    The first words stay; later ones leave in the order in which they came.
+    Ids are remembered by stretch between spaces, and by word for the stretches that are new. New words are encoded
+    many at a time as one text, whose ids are dealt out by the bytes that each of them stands for.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -51,26 +80,42 @@ class TokenBytes:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.later: deque[list[str]] = deque()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.width[list(vocabulary.values())] = [len(token) for token in vocabulary]  # a character for each byte
+        self.stretches, self.words = _Known(), _Known()
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _encode_words(self, words: tuple[str, ...]) -> list[bytes]:
+        # a line feed before a word without a space parts it from the one before
+        parts = [p for w in words for p in (("", w) if w[0] == " " else ("\n", w))]
+        raw = self._encode("".join(parts))
+        borders = np.cumsum([0, *(len(p) if p.isascii() else len(p.encode()) for p in parts)])
+        ends = np.concatenate(([0], np.cumsum(self.width[np.frombuffer(raw, "<u4")])))
+        at = np.searchsorted(ends, borders)
+        if at[-1] == len(ends) or (ends[at] != borders).any():
+            raise ValueError("a token lies across the border of two words")
+        return [raw[a:b] for a, b in zip((4 * at[1::2]).tolist(), (4 * at[2::2]).tolist(), strict=True)]
+
+    def _learn(self, stretches: list[str]) -> None:
+        parts = [_SPLIT.findall(s[1:] if s[:1] == _FIRST else f" {s}") for s in stretches]
+        new = set(filterfalse(self.words.__contains__, chain.from_iterable(parts)))
+        spaces = [w for w in new if w.isspace()]
+        self.words.learn(spaces, map(self._encode, spaces))
+        for some in batched(new.difference(spaces), ENCODE_AT_ONCE):
+            self.words.learn(some, self._encode_words(some))
+        self.stretches.learn(stretches, (b"".join(map(self.words.__getitem__, p)) for p in parts))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        words = [None if _OTHER.search(t) else _SPLIT.findall(t) for t in texts]
-        new = list(set().union(*[p for p in words if p is not None]).difference(known))
-        for at in range(0, len(new), ENCODE_AT_ONCE):
-            part = new[at : at + ENCODE_AT_ONCE]
-            known.update(zip(part, self._encode(part), strict=True))
-        if len(known) > KEEP_FIRST:
-            self.later.append(new)
-        out = [self._encode([t])[0] if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, words, strict=True)]
-        while len(known) > KEEP_FIRST + KEEP_LATER:
-            for w in self.later.popleft():
-                del known[w]
+        known = self.stretches
+        cut = [None if _OTHER.search(t) else _stretches(t) for t in texts]
+        new = set(filterfalse(known.__contains__, chain.from_iterable(p for p in cut if p is not None)))
+        self._learn(list(new))
+        out = [self._encode(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, cut, strict=True)]
+        known.trim()
+        self.words.trim()
         return out
 
 

@@ -167,3 +167,25 @@ def test_pack_null_and_repeated_ids(spark):
     for _, s in made.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert (s["offset"] == s["length"].cumsum() - s["length"]).all() and s["length"].sum() <= 1024
+
+
+def test_token_bytes_encodes_new_words_together(monkeypatch):
+    """The ids are the tokenizer's own whatever the spacing, also after words have left; new words are few texts to it."""
+    monkeypatch.setattr(packing, "KEEP_FIRST", 300)
+    monkeypatch.setattr(packing, "KEEP_LATER", 100)
+    tokens, rng, asked = packing.TokenBytes(TOKENIZER), random.Random(4), []
+    real = tokens.tokenizer
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return real.encode_batch_fast(texts, **options)
+
+    tokens.tokenizer = Counting()
+    words = [f"{rng.choice('abXÉ')}{rng.randrange(10**6)}{rng.choice(['', ',', '.', chr(10) + 'The'])}" for _ in range(1000)]
+    tokens.of([" ".join(words[at : at + 50]) for at in range(0, 1000, 50)])
+    assert len(asked) <= 5
+    signs = [" ", " ", "  ", "\n", "\t", "\r", "a", "é", "ŉ", "'s", "'", "1", ".", "×", "_", "Hello", "<|endoftext|>", "\xa0", "漢", "\x1c"]
+    texts = ["".join(rng.choices(signs[: rng.choice([6, 12, 20])], k=rng.randrange(14))) for _ in range(5000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in real.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x for at in range(0, 5000, 250) for x in tokens.of(texts[at : at + 250])] == want
