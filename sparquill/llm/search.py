@@ -6,7 +6,8 @@
    the least document length there, which bound the term's score for whatever mean length the corpus has in the end.
 2. Query rows are numbered and packed into blocks of at most ``QUERY_ROWS`` rows and about ``QUERY_BYTES`` of text (a
    longer text is a block of its own). A packed block, not the texts, is what the driver reads and broadcasts.
-   Document frequencies of its terms are summed over all shards first, so every shard scores with global statistics.
+   Document frequencies are summed over all shards first, once for all blocks, and joined to the terms of each, so
+   every shard scores with global statistics. A shard gives one row for each of its terms, however many queries come.
 3. Shards are searched in rounds, each ``GROWTH`` times as many as the one before; the k best so far give each
    query's threshold for the next round, so all rounds together return about ``GROWTH`` * k rows per query and round,
    and the number of rounds grows with the logarithm of the shards.
@@ -217,18 +218,37 @@ def _terms(blob: bytes) -> list[bytes]:
     return blob.split(b"\n") if blob else []
 
 
-def _frequencies(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = shared.value.number
-        total = np.zeros(len(number), np.int64)
-        for batch in batches:
-            for blob, df in zip(batch["terms"], batch["df"], strict=True):
-                at = np.array([number.get(t, -1) for t in _terms(blob)], np.int64)
-                total[at[at >= 0]] += np.frombuffer(df, "<i4")[at >= 0]
-        hit = np.flatnonzero(total)
-        yield pd.DataFrame({"term": hit, "df": total[hit]})
+def _term_array(blob: bytes) -> pa.Array:
+    """The terms of a blob, without a Python object for each."""
+    raw = np.frombuffer(blob, np.uint8)
+    gap = raw == ord("\n")
+    at = np.flatnonzero(gap)
+    ends = np.append(at, len(raw)) - np.arange(len(at) + 1) if len(raw) else np.empty(0, np.int64)
+    starts = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(starts), pa.py_buffer(raw[~gap])])
 
-    return run
+
+def _index_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob, df in zip(batch.column("terms"), batch.column("df"), strict=True):
+            n = pa.array(np.frombuffer(df.as_py(), "<i4").astype(np.int64))
+            yield pa.RecordBatch.from_arrays([_term_array(blob.as_py()), n], ["term", "df"])
+
+
+def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for b, blob in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
+            terms = _term_array(blob.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), b)), terms], ["block", "term"])
+
+
+def _frequencies(index: DataFrame, packed: DataFrame) -> DataFrame:
+    """(block, term, df): in how many documents of the whole index each term of a block of queries is."""
+    found = index.select("terms", "df").mapInArrow(_index_terms, "term binary, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    asked = packed.select("block", "words").mapInArrow(_query_terms, "block long, term binary").distinct()
+    with arrow_rows(index.sparkSession, 1):
+        # sorted, so that reading one block skips the pages of others
+        return materialize(found.join(asked.hint("merge"), "term").select("block", "term", "df").sortWithinPartitions("block"), "frequencies")
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -347,17 +367,13 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, query_rows: int =
             rounds.append([])
     rounds = [r for r in rounds if r]
     numbered, packed = _packed(queries, query_rows)
+    frequencies = _frequencies(index, packed)
     found = []
     for b in [r["block"] for r in packed.select("block").distinct().orderBy("block").toLocalIterator()]:
         block = _Queries(packed.where(F.col("block") == b).collect())  # at most query_rows rows and QUERY_BYTES, or one text
-        shared = spark.sparkContext.broadcast(block)
-        parts = index.select("terms", "df").mapInPandas(_frequencies(shared), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
         df = np.zeros(len(block.number))
-        with arrow_rows(spark, 1):
-            parts = materialize(parts, "frequencies")
-        hits = parts.toPandas()  # at most one row per term of this block
-        df[hits["term"].to_numpy(np.int64)] = hits["df"].to_numpy()
-        shared.unpersist()
+        hits = frequencies.where(F.col("block") == b).select("term", "df").toArrow()  # at most one row per term of this block
+        df[[block.number[t] for t in hits["term"].to_pylist()]] = hits["df"].to_numpy()
         block.weight = block.tf * np.log(1 + (n_docs - df + 0.5) / (df + 0.5))[block.term]
         block.mean = n_words / n_docs
         tops = None

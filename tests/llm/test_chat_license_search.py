@@ -201,3 +201,22 @@ def test_index_stores_block_maxima():
     for (block, first, most, least), end in zip(entries, ends, strict=True):
         docs = ints("doc")[first:end]
         assert {d // 2 for d in docs} == {block} and most == max(ints("tf")[first:end]) and least == min(size[d] for d in docs)
+
+
+def test_search_sums_frequencies_once(spark, monkeypatch):
+    """One table of document frequencies serves all query blocks, and a shard gives a row for each of its terms to it."""
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 6))) for i in range(24)]
+    index = search.build_index(spark.createDataFrame([*rows, (90, None), (91, "É é")], "doc_id long, text string"), shard_bytes=300)
+    asked = spark.createDataFrame([*rows[:12], (70, "w3 nowhere"), (71, "w3 w3"), (72, "")], "id long, text string")
+    shown, write = [], search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, label, **o: shown.append((label, write(df, label, **o))) or shown[-1][1])
+    split = search.search(index, asked, k=4, query_rows=2).orderBy("query_id", "rank").collect()
+    tables = [df for label, df in shown if label == "frequencies"]
+    assert len(tables) == 1
+    whole = {w: sum(w in t.split() for _, t in rows) for w in (f"w{n}" for n in range(17))}
+    found = [(r["block"], bytes(r["term"]).decode(), r["df"]) for r in tables[0].collect()]
+    assert len({b for b, _, _ in found}) > 5 and len({x[:2] for x in found}) == len(found)
+    assert all(whole[t] == n for _, t, n in found)
+    assert split == search.search(index, asked, k=4).orderBy("query_id", "rank").collect()
+    terms = [x for r in index.select("terms").collect() for x in search._term_array(bytes(r["terms"])).to_pylist()]
+    assert terms == [x for r in index.select("terms").collect() for x in search._terms(bytes(r["terms"]))]
