@@ -20,8 +20,8 @@ import re
 import zlib
 from array import array
 from collections import deque
-from collections.abc import Iterable, Iterator
-from itertools import batched, chain, filterfalse
+from collections.abc import Iterator
+from itertools import batched, islice, pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,45 +34,63 @@ from sparquill.llm.common import KEY, materialize, raw_texts
 
 WINDOW, BUCKETS, BUCKET_ROWS = 1024, 64, 200_000
 KEEP_FIRST, KEEP_LATER, ENCODE_AT_ONCE = 500_000, 200_000, 4096
+#: Bytes of texts, characters of a segment and words of a dictionary that are taken at a time.
+TEXTS_AT_ONCE, SEGMENT, WORDS_AT_ONCE = 4_000_000, 4_000_000, 1_000_000
 
 #: Texts of these characters only are split into words here as the tokenizer's own rule does; others go to it whole.
 _PLAIN = "\t\n\r\x20-\x7e¡«»¿-ɏ"
 _OTHER = re.compile(f"[^{_PLAIN}]")
-_SPLIT = re.compile(r" ?[^\W\d_]+| ?\d+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: The rule always begins a word at a space with another character right after it, so texts may be cut there.
 _CUT = re.compile(r" (?=\S)")
-_FIRST = "\0"  # marks the stretch that begins a text; all others have a space before them
+_END = "\0"  # after each segment; no plain text has it
+_END_KIND, _SPACE, _BLANK, _LETTER, _DIGIT, _SIGN = range(6)
 
 
-def _stretches(text: str) -> list[str]:
-    odd = "  " in text or " \n" in text or " \t" in text or " \r" in text or text[-1:] == " "
-    out = _CUT.split(text) if odd else text.split(" ")
-    out[0] = _FIRST + out[0]
-    return out
+def _kind(c: str) -> int:
+    if c in "\0 \t\n\r":
+        return _END_KIND if c == _END else _SPACE if c == " " else _BLANK
+    return _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _SIGN
 
 
-class _Known(dict):
-    """Token ids of strings seen, up to a bound: the first ones stay, later ones leave in the order in which they came."""
+_KIND = np.array([_kind(chr(c)) for c in range(ord("ɏ") + 1)], np.uint8)
 
-    def __init__(self):
-        self.later: deque[list[str]] = deque()
 
-    def learn(self, keys: list[str], values: Iterable[bytes]) -> None:
-        self.update(zip(keys, values, strict=True))
-        if len(self) > KEEP_FIRST:
-            self.later.append(keys)
+def _segments(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > SEGMENT and (cut := _CUT.search(text, at + SEGMENT)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
-    def trim(self) -> None:
-        while len(self) > KEEP_FIRST + KEEP_LATER:
-            for k in self.later.popleft():
-                del self[k]
+
+def _word_starts(codes: np.ndarray) -> np.ndarray:
+    """Where words begin in plain segments, each with an end after it, by the tokenizer's rule: runs of letters, digits or
+    signs with a space before them, 's 't 're 've 'm 'll 'd, and other white space but the last before a visible sign."""
+    kind = _KIND[codes]
+    visible = kind >= _LETTER
+    blank = (kind == _SPACE) | (kind == _BLANK)
+    begins = np.ones(len(codes), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _SPACE) & visible[1:]
+    begins[1:] |= blank[1:] & ~blank[:-1]
+    begins[:-1] |= blank[:-1] & visible[1:]
+    begins |= kind == _END_KIND
+    at = np.flatnonzero((codes == ord("'")) & begins)
+    after = codes[at + 1]
+    short = at[np.isin(after, [ord(c) for c in "stmd"])]
+    at, after = at[kind[at + 1] == _LETTER], after[kind[at + 1] == _LETTER]
+    third = codes[at + 2]
+    long = at[((third == ord("e")) & ((after == ord("r")) | (after == ord("v")))) | ((third == ord("l")) & (after == ord("l")))]
+    begins[short + 1] = begins[long + 1] = False
+    begins[short + 2] = begins[long + 3] = True
+    return np.flatnonzero(begins)
 
 
 class TokenBytes:
     """Token ids of a text as little-endian 32-bit words.
 
-    Ids are remembered by stretch between spaces, and by word for the stretches that are new. New words are encoded
-    many at a time as one text, whose ids are dealt out by the bytes that each of them stands for.
+    Words are found in the code points of many texts at a time, and Arrow numbers the distinct ones; only those are
+    looked up among the words seen before, of which the first ones stay and later ones leave in the order in which they
+    came. New words are encoded many at a time as one text, whose ids are dealt out by the bytes that each stands for.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -83,7 +101,8 @@ class TokenBytes:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.width[list(vocabulary.values())] = [len(token) for token in vocabulary]  # a character for each byte
-        self.stretches, self.words = _Known(), _Known()
+        self.known: dict[str, bytes] = {_END: b""}
+        self.later: deque[list[str]] = deque()
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -99,23 +118,49 @@ class TokenBytes:
             raise ValueError("a token lies across the border of two words")
         return [raw[a:b] for a, b in zip((4 * at[1::2]).tolist(), (4 * at[2::2]).tolist(), strict=True)]
 
-    def _learn(self, stretches: list[str]) -> None:
-        parts = [_SPLIT.findall(s[1:] if s[:1] == _FIRST else f" {s}") for s in stretches]
-        new = set(filterfalse(self.words.__contains__, chain.from_iterable(parts)))
-        spaces = [w for w in new if w.isspace()]
-        self.words.learn(spaces, map(self._encode, spaces))
-        for some in batched(new.difference(spaces), ENCODE_AT_ONCE):
-            self.words.learn(some, self._encode_words(some))
-        self.stretches.learn(stretches, (b"".join(map(self.words.__getitem__, p)) for p in parts))
+    def _learn(self, words: list[str]) -> None:
+        spaces = [w for w in words if w.isspace()]
+        self.known.update(zip(spaces, map(self._encode, spaces), strict=True))
+        for some in batched((w for w in words if not w.isspace()), ENCODE_AT_ONCE):
+            self.known.update(zip(some, self._encode_words(some), strict=True))
+        if len(self.known) > KEEP_FIRST:
+            self.later.append(words)
+
+    def _ids(self, raw: bytes, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words of UTF-16 text between neighbouring ``borders``, end to end, and how many each word has."""
+        words = pa.Array.from_buffers(pa.large_binary(), len(borders) - 1, [None, pa.py_buffer(2 * borders), pa.py_buffer(raw)]).dictionary_encode()
+        _, offsets, data = words.dictionary.buffers()
+        text, at = data.to_pybytes().decode("utf-16-le"), (np.frombuffer(offsets, np.int64)[: len(words.dictionary) + 1] // 2).tolist()
+        distinct = [text[a:b] for a, b in pairwise(at)]
+        if new := [w for w in distinct if w not in self.known]:
+            self._learn(new)
+        found = list(map(self.known.__getitem__, distinct))
+        while self.later and len(self.known) > KEEP_FIRST + KEEP_LATER:
+            for w in self.later.popleft():
+                del self.known[w]
+        which = words.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n = sizes[which]
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.frombuffer(b"".join(found), "<u4")[places], n
 
     def of(self, texts: list[str]) -> list[bytes]:
-        known = self.stretches
-        cut = [None if _OTHER.search(t) else _stretches(t) for t in texts]
-        new = set(filterfalse(known.__contains__, chain.from_iterable(p for p in cut if p is not None)))
-        self._learn(list(new))
-        out = [self._encode(t) if p is None else b"".join(map(known.__getitem__, p)) for t, p in zip(texts, cut, strict=True)]
-        known.trim()
-        self.words.trim()
+        cut = [None if _OTHER.search(t) else list(_segments(t)) for t in texts]
+        raw = "".join(s + _END for p in cut if p is not None for s in p).encode("utf-16-le")
+        codes = np.frombuffer(raw, "<u2")
+        borders = np.append(_word_starts(codes), len(codes))
+        made = [self._ids(raw, borders[at : at + WORDS_AT_ONCE + 1]) for at in range(0, len(borders) - 1, WORDS_AT_ONCE)]
+        ids = b"".join(x.tobytes() for x, _ in made)
+        upto = 4 * np.cumsum(np.concatenate([np.empty(0, np.int64), *(n for _, n in made)]))
+        ends = iter(upto[codes[borders[:-1]] == 0].tolist())
+        out, at = [], 0
+        for t, p in zip(texts, cut, strict=True):
+            if p is None:
+                out.append(self._encode(t))
+            else:
+                *_, end = islice(ends, len(p))
+                out.append(ids[at:end])
+                at = end
         return out
 
 
@@ -151,7 +196,7 @@ def _cutter(path: str, window: int):
             for at, raw in enumerate(raw_texts(batch.column("text")), 1):
                 texts.append(raw.decode("utf-8", "replace"))
                 held += len(raw)
-                if held >= 500_000 or at == len(keys):
+                if held >= TEXTS_AT_ONCE or at == len(keys):
                     yield pieces(keys[at - len(texts) : at], ids[at - len(texts) : at], texts)
                     texts, held = [], 0
 

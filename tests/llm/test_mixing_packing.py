@@ -189,3 +189,29 @@ def test_token_bytes_encodes_new_words_together(monkeypatch):
     texts = ["".join(rng.choices(signs[: rng.choice([6, 12, 20])], k=rng.randrange(14))) for _ in range(5000)]
     want = [np.array(e.ids, "<u4").tobytes() for e in real.encode_batch_fast(texts, add_special_tokens=False)]
     assert [x for at in range(0, 5000, 250) for x in tokens.of(texts[at : at + 250])] == want
+
+
+def test_distinct_words_are_looked_up_once(monkeypatch):
+    """Of many words only the distinct ones are looked up, however they are punctuated; segments and dictionaries of any size give the tokenizer's ids."""
+
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counting.asked += 1
+            return super().__getitem__(word)
+
+    tokens, rng = packing.TokenBytes(TOKENIZER), random.Random(5)
+    tokens.known = Counting(tokens.known)
+    words = ["That's", "été", "on", "12"]
+    texts = [" ".join(f"{w}{s}" for w, s in zip(rng.choices(words, k=1000), rng.choices(["", ",", ".", "!?"], k=1000), strict=True)) for _ in range(50)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokens.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert tokens.of(texts) == want
+    assert Counting.asked < 20  # of 62,500 words
+    signs = [" ", " ", "\n", "\t", "a", "s", "t", "re", "v", "e", "l", "l", "'", "'", "'s", "1", "_", ".", "é", "÷", "漢", "\0"]
+    for segment, at_once in ((1, 1), (3, 7), (10, 1000)):
+        monkeypatch.setattr(packing, "SEGMENT", segment)
+        monkeypatch.setattr(packing, "WORDS_AT_ONCE", at_once)
+        texts = ["", "'", "'s", " '", *("".join(rng.choices(signs[: rng.choice([15, 20, 22])], k=rng.randrange(30))) for _ in range(300))]
+        want = [np.array(e.ids, "<u4").tobytes() for e in tokens.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert tokens.of(texts) == want
