@@ -1,4 +1,4 @@
-"""Operator 9, exact top-k search: BM25 over an inverted index with block-max WAND pruning, by shard.
+"""Operator 9, exact top-k search: BM25 over an inverted index with stored block maxima, by shard.
 
 1. One pass over the whole texts builds an index shard from every ``SHARD_BYTES`` of text or so. Within a shard,
    documents are ordered by their most frequent word, then by length, so that the ``BLOCK`` documents of a block are
@@ -11,11 +11,17 @@
 3. Shards are searched in rounds, each ``GROWTH`` times as many as the one before; the k best so far give each
    query's threshold for the next round, so all rounds together return about ``GROWTH`` * k rows per query and round,
    and the number of rounds grows with the logarithm of the shards.
-4. In a shard, each query adds up its terms' block maxima and walks the blocks from the greatest bound down: a run
-   of blocks is scored, the threshold rises to the k-th best score met by this task so far, and the walk ends at the
-   first block whose bound is under it. These are the pivots of block-max WAND, with numpy batches for cursor moves.
+4. A block of queries is inverted too: of each term the queries that have it. In a shard, all queries of a block meet a
+   run of document blocks at once. Terms that are rare there or among the queries are added up from the two lists, exactly.
+   Terms that are frequent in both are bounded by their stored block maxima; only queries whose bound, with the greatest of
+   their sums, reaches the threshold are scored, by a product in single precision, and what comes within its rounding error
+   of the threshold is scored in double precision. Alike queries are next to each other, as alike documents are, so that
+   the product covers whole stretches. The threshold rises to the k-th best score met by this task so far.
    A task keeps only the k best of a query over all its shards. The union's top k is exact.
 
+   Queries may be whole documents, whose bounds cost as much as a third of their scores and leave 0.4 of the blocks; so
+   bounds are added up for frequent terms alone, and no step is taken query by query.
+
 Score: sum over query terms of qtf * ln(1 + (N - df + 0.5) / (df + 0.5)) * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl)),
 rounded to 6 places; ties go to the smaller id.
 
@@ -34,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,6 +51,9 @@ K1, B = 1.5, 0.75
 SHARD_BYTES, BLOCK = 8 << 20, 64
 QUERY_ROWS, QUERY_BYTES = 4000, 16 << 20
 GROWTH, FIRST_SHARDS = 16, 6
+#: Numbers of the matrix of frequent terms by queries, and the share of the queries from which on a term is one. Cells of a run of documents by queries, and
+#: of those whose lists are summed at once; the share of a run's cells from which on a product sums a term; queries apart that are multiplied together.
+QUICK, SELDOM, CELLS, CHUNK, DENSE, APART = 1 << 23, 0.01, 1 << 21, 1 << 15, 0.002, 32
 
 
 def terms_of(raw: bytes) -> list[bytes]:
@@ -199,19 +209,48 @@ class _Queries:
     """One packed block: its distinct words, and of each query the terms with their frequencies."""
 
     def __init__(self, parts: list):
-        self.number: dict[bytes, int] = {}
+        number: dict[bytes, int] = {}
         ids, sizes, terms, tf = [], [], [], []
         for p in sorted(parts, key=lambda p: np.frombuffer(p["query"], "<i8", 1)[0]):
-            local = np.array([self.number.setdefault(w, len(self.number)) for w in p["words"].split(b"\n")], np.int64)
+            local = np.array([number.setdefault(w, len(number)) for w in p["words"].split(b"\n")], np.int64)
             ids.append(np.frombuffer(p["query"], "<i8"))
             sizes.append(np.frombuffer(p["size"], "<i4").astype(np.int64))
             terms.append(local[np.frombuffer(p["term"], "<i4")])
             tf.append(np.frombuffer(p["tf"], "<i4").astype(np.float64))
         self.ids, self.term, self.tf = np.concatenate(ids), np.concatenate(terms), np.concatenate(tf)
         self.start = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-        self.weight: np.ndarray | None = None
+        self.words = pa.array(list(number), pa.binary())
+        self.idf = np.zeros(len(number))
         self.least = np.zeros(len(self.ids))
         self.mean = 1.0
+        self.order: np.ndarray | None = None
+
+    def invert(self) -> None:
+        """Of each term the queries that have it, as often as they do, and the numbers of frequent ones as a matrix; a worker does it once for all its tasks."""
+        if self.order is not None:
+            return
+        owner = np.repeat(np.arange(len(self.ids)), np.diff(self.start))
+        # alike queries next to each other: by their most frequent word
+        by_tf = np.argsort(self.tf, kind="stable")
+        top = np.empty(len(self.ids), np.int64)
+        top[owner[by_tf]] = self.term[by_tf]
+        self.order = np.argsort(top, kind="stable")
+        place = np.empty(len(self.ids), np.int64)
+        place[self.order] = np.arange(len(self.ids))
+        n = self.tf[by_term := np.argsort(self.term, kind="stable")].astype(np.int64)
+        query, term = place[owner[by_term]], self.term[by_term]
+        self.list_query = np.repeat(query, n)
+        self.list_size = np.bincount(term, n, len(self.words)).astype(np.int64)
+        self.list_first = np.cumsum(self.list_size) - self.list_size
+        rows = np.argsort(-self.list_size, kind="stable")[: QUICK // len(self.ids)]
+        rows = rows[self.list_size[rows] >= max(32, SELDOM * len(self.ids))]
+        rows = rows[~np.isin(rows, term[n >= 1 << 24])]  # numbers are whole in single precision
+        self.quick_row = np.full(len(self.words), -1)
+        self.quick_row[rows] = np.arange(len(rows))
+        self.quick = np.zeros((len(rows), len(self.ids)), np.float32)
+        held = self.quick_row[term] >= 0
+        self.quick[self.quick_row[term[held]], query[held]] = n[held]
+        self.term = self.tf = self.start = None
 
 
 def _terms(blob: bytes) -> list[bytes]:
@@ -258,88 +297,124 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, id) of each query that a task has met."""
+    """The k best (score, id) of each query that a task has met, ties to the smaller id; hits wait until there are as many as queries."""
 
     def __init__(self, least: np.ndarray, k: int):
         self.k, self.least = k, least.copy()
-        self.score: dict[int, np.ndarray] = {}
-        self.ids: dict[int, np.ndarray] = {}
-
-    def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
-        if q in self.score:
-            score, ids = np.concatenate((self.score[q], score)), np.concatenate((self.ids[q], ids))
-        if len(score) > self.k:
-            kth = np.partition(score, len(score) - self.k)[len(score) - self.k]
-            hit = np.flatnonzero(score >= kth)
-            hit = hit[np.lexsort((ids[hit], -score[hit]))][: self.k]
-            score, ids = score[hit], ids[hit]
-        self.score[q], self.ids[q] = score, ids
-        if len(score) == self.k:
-            self.least[q] = max(self.least[q], score.min())
+        self.query, self.ids, self.score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_held = 0
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((query, ids, score))
+        self.n_held += len(query)
+        if self.n_held >= len(self.least):
+            self.merge()
+
+    def merge(self) -> None:
+        query, ids, score = (np.concatenate(x) for x in zip((self.query, self.ids, self.score), *self.held, strict=True))
+        kept = np.flatnonzero((score >= self.least[query]) & (score > 0))
+        order = kept[np.lexsort((ids[kept], -score[kept], query[kept]))]
+        query = query[order]
+        first = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.empty(0, np.int64)
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        best = order[place < self.k]
+        last = order[place == self.k - 1]  # of queries that have k
+        self.query, self.ids, self.score = query[place < self.k], ids[best], score[best]
+        self.least[query[place == self.k - 1]] = score[last]
+        self.held, self.n_held = [], 0
 
 
 def _walk(shard, block: _Queries, best: _Best) -> None:
     """All queries of a block over one shard."""
+    width = len(block.ids)
     ids, dl = np.frombuffer(shard.ids, "<i8"), np.frombuffer(shard.size, "<i4")
-    doc, tf = np.frombuffer(shard.doc, "<i4").astype(np.int64), np.frombuffer(shard.tf, "<i4")
-    where, first = np.frombuffer(shard.entry_block, "<i4").astype(np.int64), np.frombuffer(shard.entry_first, "<i4").astype(np.int64)
-    high, low = np.frombuffer(shard.entry_most, "<i4").astype(np.float64), np.frombuffer(shard.entry_least, "<i4")
-    size = np.diff(np.append(first, len(doc)))
-    of_term = np.concatenate(([0], np.cumsum(np.frombuffer(shard.entry_term, "<i4").astype(np.int64))))
-    impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / block.mean)[doc])  # once for all queries of the block
-    most = high * (K1 + 1) / (high + K1 * (1 - B + B * low / block.mean))  # the stored maxima, for the corpus's mean length
-    n_blocks = int(where.max(initial=0)) + 1
-    local = np.full(len(block.number), -1, np.int64)
-    at = np.array([block.number.get(t, -1) for t in _terms(shard.terms)], np.int64)
-    local[at[at >= 0]] = np.flatnonzero(at >= 0)
-    all_terms, start, least = local[block.term], block.start.tolist(), best.least
-    chosen = np.zeros(n_blocks, bool)
-    for q in range(len(start) - 1):
-        t, w = all_terms[start[q] : start[q + 1]], block.weight[start[q] : start[q + 1]]
-        here = t >= 0
-        t, w = t[here], w[here]
-        if not len(t):
+    found = pc.index_in(_term_array(shard.terms), block.words).fill_null(-1).to_numpy(zero_copy_only=False)
+    mine = np.flatnonzero(found >= 0)
+    found = found[mine]
+    # postings and entries of the queries' terms, which are numbered among those
+    df = np.frombuffer(shard.df, "<i4").astype(np.int64)
+    spot = _ranges((np.cumsum(df) - df)[mine], df[mine])
+    if not len(spot):
+        return
+    doc, tf = np.frombuffer(shard.doc, "<i4")[spot], np.frombuffer(shard.tf, "<i4")[spot]
+    by_doc = np.argsort(doc.astype(np.uint16) if len(ids) <= 1 << 16 else doc, kind="stable")
+    term, doc, tf = np.repeat(np.arange(len(mine)), df[mine])[by_doc], doc[by_doc].astype(np.int64), tf[by_doc]
+    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / block.mean)[doc])
+    value *= block.idf[found][term]
+    n_entries = np.frombuffer(shard.entry_term, "<i4").astype(np.int64)
+    spot = _ranges((np.cumsum(n_entries) - n_entries)[mine], n_entries[mine])
+    where = np.frombuffer(shard.entry_block, "<i4")[spot]
+    by_block = np.argsort(where, kind="stable")
+    spot, where, of = spot[by_block], where[by_block], np.repeat(np.arange(len(mine)), n_entries[mine])[by_block]
+    high, low, first = (np.frombuffer(x, "<i4")[spot] for x in (shard.entry_most, shard.entry_least, shard.entry_first))
+    most = high * (K1 + 1) / (high + K1 * (1 - B + B * low / block.mean)) * block.idf[found][of]  # the stored maxima, for the corpus's mean length
+    # runs of blocks: from the least document of their first block to that of the next run's
+    head = np.flatnonzero(np.append(True, np.diff(where) != 0))
+    start = np.minimum.reduceat(np.frombuffer(shard.doc, "<i4")[first], head)
+    head = head[np.append(True, np.diff(start // max(1, CELLS // width)) != 0)]
+    start = np.minimum.reduceat(np.frombuffer(shard.doc, "<i4")[first], head)
+    cuts = [(*x, *np.searchsorted(doc, x[:2]).tolist()) for x in zip(start.tolist(), [*start[1:].tolist(), len(ids)], head.tolist(), [*head[1:].tolist(), len(where)], strict=True)]
+    list_first, list_size, quick_row = block.list_first[found], block.list_size[found], block.quick_row[found]
+    for at, end, e, e_end, a, b in cuts:
+        t, row, x, rows = term[a:b], doc[a:b] - at, value[a:b], end - at
+        # a term that is frequent here and among the queries is summed by a product
+        often = np.flatnonzero((quick_row >= 0) & (np.bincount(t, minlength=len(mine)) * list_size > DENSE * rows * width))
+        column = np.full(len(mine), -1)
+        column[often] = np.arange(len(often))
+        product = column[t]
+        rest = np.flatnonzero(product < 0)
+        hold = np.flatnonzero(product >= 0)
+        docs = np.zeros((rows, len(often)))
+        docs[row[hold], product[hold]] = x[hold]
+        quick, quick_docs = block.quick.take(quick_row[often], 0), docs.astype(np.float32)
+        # the others query by query: every document's lists, a few documents at a time
+        sums, peak = np.empty((rows, width)), np.zeros(width)
+        t, row, x = t[rest], row[rest], x[rest]
+        step = max(1, CHUNK // width)
+        cut = np.searchsorted(row, np.arange(0, rows + step, step)).tolist()
+        for i, (c, d) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            n, size = list_size[t[c:d]], min(step, rows - i * step)
+            cell = block.list_query[_ranges(list_first[t[c:d]], n)]
+            cell += np.repeat((row[c:d] - i * step) * width, n)
+            part = np.bincount(cell, np.repeat(x[c:d], n), size * width).reshape(size, width)
+            np.maximum(peak, part.max(axis=0), out=peak)
+            sums[i * step : i * step + size] = part
+        # what no document of the run can exceed: the stored maxima of its blocks, and the others' sums
+        top = np.zeros(len(often))
+        own = np.flatnonzero(column[of[e:e_end]] >= 0) + e
+        np.maximum.at(top, column[of[own]], most[own])
+        slack = 1 + (len(often) + 8) * 2.0**-22  # single precision of sums of positive numbers
+        limit = (top.astype(np.float32) @ quick) * slack**2 + peak
+        some = np.flatnonzero((limit >= best.least - 1e-5) & (limit > 0))
+        if not len(some):
             continue
-        n = of_term[t + 1] - of_term[t]
-        entry, weight = _ranges(of_term[t], n), np.repeat(w, n)
-        spot = where[entry]
-        bound = np.bincount(spot, most[entry] * weight, n_blocks) * (1 + 1e-9) + 1e-6
-        todo = np.flatnonzero((bound >= least[q]) & (bound > 1e-6))
-        todo = todo[np.argsort(-bound[todo], kind="stable")]
-        # the first run makes a threshold, or halves the work under the one there is; the next one takes what is still over it
-        step = 1 + best.k // BLOCK
-        step = step if least[q] == 0 else max(step, len(todo) // 2)
-        while len(todo):
-            some, todo = todo[:step], todo[step:]
-            chosen[:] = False
-            chosen[some] = True
-            mine = np.flatnonzero(chosen[spot])
-            e = entry[mine]
-            p = _ranges(first[e], size[e])
-            score = np.round(np.bincount(doc[p], impact[p] * np.repeat(weight[mine], size[e]), len(ids)), 6)
-            hit = np.flatnonzero((score >= least[q]) & (score > 0))
-            if len(hit):
-                best.add(q, score[hit], ids[hit])
-            todo = todo[bound[todo] >= least[q]]
-            step = max(step, -(-len(todo) // 2))
+        # alike queries are next to each other: stretches of them are multiplied
+        apart = np.diff(some) > APART
+        for q, q_end in zip(some[np.append(True, apart)].tolist(), (some[np.append(apart, True)] + 1).tolist(), strict=True):
+            least = np.maximum(best.least[q:q_end] / slack - 1e-5, 1e-7).astype(np.float32)
+            score = quick_docs @ quick[:, q:q_end]
+            score += sums[:, q:q_end]
+            hit = score >= least
+            if rows > best.k and np.count_nonzero(hit) > 2 * best.k * (q_end - q):
+                hit &= score >= np.partition(score, rows - best.k, axis=0)[rows - best.k] / slack**2 - 1e-5
+            r, c = np.divmod(np.flatnonzero(hit), q_end - q)
+            c += q
+            for i in range(0, len(r), 1 << 12):
+                ri, ci = r[i : i + (1 << 12)], c[i : i + (1 << 12)]
+                best.add(ci, ids[at + ri], np.round(sums[ri, ci] + np.einsum("ij,ji->i", docs[ri], quick[:, ci]), 6))
 
 
 def _searcher(shared, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = shared.value
-        best = _Best(block.least, k)
+        block.invert()
+        best = _Best(block.least[block.order], k)
         for batch in batches:
             for shard in batch.itertuples(index=False):
                 _walk(shard, block, best)
-        met = list(best.score)
-        n = [len(best.score[q]) for q in met]
-        yield pd.DataFrame(
-            {
-                "query": np.repeat(block.ids[met], n) if met else np.empty(0, np.int64),
-                "doc_id": np.concatenate([best.ids[q] for q in met]) if met else np.empty(0, np.int64),
-                "score": np.concatenate([best.score[q] for q in met]) if met else np.empty(0),
-            }
-        )
+        best.merge()
+        yield pd.DataFrame({"query": block.ids[block.order[best.query]], "doc_id": best.ids, "score": best.score})
 
     return run
 
@@ -371,10 +446,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, query_rows: int =
     found = []
     for b in [r["block"] for r in packed.select("block").distinct().orderBy("block").toLocalIterator()]:
         block = _Queries(packed.where(F.col("block") == b).collect())  # at most query_rows rows and QUERY_BYTES, or one text
-        df = np.zeros(len(block.number))
+        df = np.zeros(len(block.words))
         hits = frequencies.where(F.col("block") == b).select("term", "df").toArrow()  # at most one row per term of this block
-        df[[block.number[t] for t in hits["term"].to_pylist()]] = hits["df"].to_numpy()
-        block.weight = block.tf * np.log(1 + (n_docs - df + 0.5) / (df + 0.5))[block.term]
+        df[pc.index_in(hits["term"], block.words).to_numpy()] = hits["df"].to_numpy()
+        block.idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
         block.mean = n_words / n_docs
         tops = None
         for nth, some in enumerate(rounds):

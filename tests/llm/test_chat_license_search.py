@@ -6,8 +6,11 @@ import hashlib
 import math
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -220,3 +223,60 @@ def test_search_sums_frequencies_once(spark, monkeypatch):
     assert split == search.search(index, asked, k=4).orderBy("query_id", "rank").collect()
     terms = [x for r in index.select("terms").collect() for x in search._term_array(bytes(r["terms"])).to_pylist()]
     assert terms == [x for r in index.select("terms").collect() for x in search._terms(bytes(r["terms"]))]
+
+
+def _searched(monkeypatch, docs, asked, k, least=None):
+    """The k best of every query, without Spark, and how often hits were handed over."""
+    shard = search._Shard(8)
+    for i, text in docs:
+        shard.add(i, text.encode())
+    shard = shard.row()
+    number, terms, sizes, tf = {}, [], [], []
+    for text in asked:
+        counts = Counter(text.encode().lower().split())
+        terms += [number.setdefault(t, len(number)) for t in counts]
+        sizes.append(len(counts))
+        tf += counts.values()
+    part = {"query": np.arange(len(asked)), "size": np.array(sizes, "<i4"), "term": np.array(terms, "<i4"), "tf": np.array(tf, "<i4")}
+    block = search._Queries([{**{c: (x.astype("<i8") if c == "query" else x).tobytes() for c, x in part.items()}, "words": b"\n".join(number)}])
+    df = np.array([sum(t in text.encode().lower().split() for _, text in docs) for t in number])
+    block.idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+    block.mean = sum(len(text.split()) for _, text in docs) / len(docs)
+    block.least = np.zeros(len(asked)) if least is None else least
+    calls, add = [], search._Best.add
+    monkeypatch.setattr(search._Best, "add", lambda self, *a: calls.append(1) or add(self, *a))
+    (found,) = search._searcher(SimpleNamespace(value=block), k)(iter([pd.DataFrame([shard])]))
+    return sorted(found.itertuples(index=False, name=None), key=lambda r: (r[0], -r[2], r[1])), len(calls)
+
+
+def test_search_of_many_long_queries_at_once(monkeypatch):
+    """Documents as queries meet a shard in stretches, not one by one, and have the scores of a brute force, ties by id; so under a threshold."""
+    draw = random.Random(5)
+    words = [f"w{n}" for n in range(400)]
+    odds = [1 / (n + 2) for n in range(400)]
+    docs = [(i, " ".join(draw.choices(words, odds, k=draw.randint(1, 90)))) for i in range(300)]
+    docs += [(300 + i, text) for i, text in docs[:20]]
+    asked = [text for _, text in docs] + ["nowhere", "w0", "w399 w399 nowhere"]
+    counts = [Counter(text.split()) for _, text in docs]
+    mean, n = sum(sum(c.values()) for c in counts) / len(docs), len(docs)
+    df = {w: sum(w in c for c in counts) for w in words}
+    idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    best = []
+    for q, text in enumerate(asked):
+        scores = []
+        for (i, _), c in zip(docs, counts, strict=True):
+            s = sum(m * idf[w] * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, m in Counter(text.split()).items() if w in c)
+            scores.append((-round(s, 6), i))
+        best.append([(q, i, -s) for s, i in sorted(scores)[:6] if s < 0])
+    near = lambda rows: [(q, i, pytest.approx(s, abs=2e-6)) for q, i, s in rows]
+    found, calls = _searched(monkeypatch, docs, asked, 6)
+    assert found == near([r for rows in best for r in rows])
+    assert calls < len(asked) / 3
+    monkeypatch.setattr(search, "CELLS", 9000)  # more runs and smaller ones
+    monkeypatch.setattr(search, "CHUNK", 700)
+    monkeypatch.setattr(search, "SELDOM", 0.2)
+    assert _searched(monkeypatch, docs, asked, 6)[0] == found
+    least = np.zeros(len(asked))
+    for q in range(len(asked)):
+        least[q] = ([s for p, _, s in found if p == q] + [0] * 4)[3]
+    assert _searched(monkeypatch, docs, asked, 6, least)[0] == [r for r in found if r[2] >= least[r[0]]]
