@@ -1,9 +1,8 @@
 """Vector neighbours by cosine: exact by blocked products, and approximate by layered neighbour graphs.
 
 Vectors are held in packed rows: query vectors in blocks, points in shards, both of bounded size and drawn by a hash of the
-id. For products many blocks and many shards are dealt to a tile, which is one task; in graphs blocks meet shards by an
-equi-join on their numbers (blocks are broadcast only if they are small). Spark merges the ``k`` best of the tiles or
-shards. The number of jobs does not depend on the number of queries.
+id. Many blocks and many shards are dealt to a tile, which is one task, for products as for walks in graphs. Spark merges the
+``k`` best of the tiles. The number of jobs does not depend on the number of queries.
 
 Null vectors are left out on both sides; a vector of zeros is 0 from everything; ids are integers; a query is not its
 own neighbour (by id); vectors of one call have one length. Scores have 6 places, ties go to the lesser id.
@@ -11,7 +10,6 @@ own neighbour (by id); vectors of one call have one length. Scores have 6 places
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -187,26 +185,26 @@ def _multiplied(k: int, grouped: bool, center: np.ndarray | None = None, probes:
     return run
 
 
-def _tiled(blocks: DataFrame, shards: DataFrame, n_blocks: int, n_shards: int, block_rows: int, shard_rows: int, run: Callable) -> DataFrame:
-    """(query_id, grp, id, score): every block with every shard, in tiles of many blocks by many shards.
+_TOPS = "query_id long, grp string, id long, score double"
+
+
+def _tiled(blocks: DataFrame, shards: DataFrame, n_blocks: int, n_shards: int, block_rows: int, shard_rows: int, run: Callable, kind: str = _TOPS, label: str = "tops", more: list[str] | None = None) -> DataFrame:
+    """What ``run`` makes, (query_id, grp, id, score) by default: every block with every shard, in tiles of many blocks by many shards.
 
     A tile is shuffled to one task, so a row is copied once for each tile on the other side: up to ``TILES`` times, however
-    many rows there are, until tiles have ``TILE_ROWS`` rows.
+    many rows there are, until tiles have ``TILE_ROWS`` rows. ``more`` are further columns of the shards.
     """
     sides = [max(min(n, TILES), -(-n * rows // TILE_ROWS)) for n, rows in ((n_blocks, block_rows), (n_shards, shard_rows))]
     other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_o")
-    q = blocks.select(F.lit(0).alias("side"), F.lit("").alias("grp"), "n", "ids", "vectors", (F.col("block") % sides[0] * sides[1]).alias("_t"), other(sides[1]))
+    none = [F.lit(None).cast(shards.schema[c].dataType).alias(c) for c in more or []]
+    q = blocks.select(F.lit(0).alias("side"), F.lit("").alias("grp"), "n", "ids", "vectors", *none, (F.col("block") % sides[0] * sides[1]).alias("_t"), other(sides[1]))
     grp = F.col("grp") if "grp" in shards.columns else F.lit("").alias("grp")
-    p = shards.select(F.lit(1).alias("side"), grp, "n", "ids", "vectors", (F.col("shard") % sides[1]).alias("_t"), (other(sides[0])))
+    p = shards.select(F.lit(1).alias("side"), grp, "n", "ids", "vectors", *(more or []), (F.col("shard") % sides[1]).alias("_t"), (other(sides[0])))
     p = p.withColumn("_o", F.col("_o") * sides[1])
     both = q.unionByName(p).withColumn("tile", (F.col("_t") + F.col("_o")).cast("int")).drop("_t", "_o")
     dealt = both.repartition(sides[0] * sides[1], "tile").sortWithinPartitions("tile", "side", "grp")
     with arrow_rows(blocks.sparkSession, 1):
-        return written(dealt.mapInPandas(run, "query_id long, grp string, id long, score double"), "tops")
-
-
-def _asked(blocks: DataFrame, key: str = "block") -> DataFrame:
-    return blocks.select(key, F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+        return written(dealt.mapInPandas(run, kind), label)
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_id: str, vector: str, block_rows: int = BLOCK_ROWS, group: str | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -227,6 +225,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, query_id: str, point_
 #: Links a node gets on its way in, twice as many at most on the lowest layer; vectors looked at for them; nodes of a walk's list.
 LINKS, LOOKED_AT, WIDTH = 16, 64, 64
 GRAPH_ROWS = 16384
+#: Queries that walk together.
+WALKS = 512
 
 
 def _diverse(v: np.ndarray, near: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
@@ -317,60 +317,124 @@ class _Graph:
         self.layers = []
         for nodes, links in zip(r.nodes, r.links, strict=True):
             on = np.frombuffer(nodes, "<i4")
-            near = np.frombuffer(links, "<i4").reshape(len(on), -1)
-            self.layers.append(dict(zip(on.tolist(), [x[x >= 0] for x in near], strict=True)))
-        self.top = next(iter(self.layers[-1]))
-
-    def walk(self, q: np.ndarray, width: int) -> tuple[list[int], int]:
-        """Nodes near ``q`` and how many vectors were compared: greedy steps down the layers, then a best-first walk on the lowest one."""
-        v, at, compared = self.fast, self.top, 1
-        score = float(v[at] @ q)
-        for layer in self.layers[:0:-1]:
-            while True:
-                near = layer[at]
-                s = v[near] @ q
-                compared += len(near)
-                if not len(near) or s.max() <= score:
-                    break
-                at, score = int(near[s.argmax()]), float(s.max())
-        seen = np.zeros(len(v), bool)
-        seen[at] = True
-        todo, best = [(-score, at)], [(score, at)]
-        ground = self.layers[0]
-        while todo:
-            s, at = heapq.heappop(todo)
-            if len(best) >= width and -s < best[0][0]:
-                break
-            near = ground[at]
-            near = near[~seen[near]]
-            seen[near] = True
-            compared += len(near)
-            for score, node in zip((v[near] @ q).tolist(), near.tolist(), strict=True):
-                if len(best) < width:
-                    heapq.heappush(best, (score, node))
-                elif score > best[0][0]:
-                    heapq.heapreplace(best, (score, node))
-                else:
-                    continue
-                heapq.heappush(todo, (-score, node))
-        return [n for _, n in best], compared
+            place = np.zeros(r.n, np.int64)
+            place[on] = np.arange(len(on))
+            self.layers.append((place, np.frombuffer(links, "<i4").reshape(len(on), -1)))
+        self.top = int(on[0])
+
+    def _scores(self, q: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        out = np.empty(len(rows), np.float32)
+        for at in range(0, len(rows), 1 << 12):
+            part = slice(at, at + (1 << 12))
+            np.einsum("ij,ij->i", self.fast.take(nodes[part], 0), q.take(rows[part], 0), out=out[part])
+        return out
+
+    def walk(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each query the ``width`` nodes near it (-1 if there are fewer) and how many vectors were compared, all queries step by step together:
+        greedy steps down the layers, then a best-first walk on the lowest one, which ends at nodes under the worst of a full list.
+        """
+        n = len(q)
+        compared = np.ones(n, np.int64)
+        at = np.full(n, self.top)
+        score = q @ self.fast[self.top]
+        for place, links in self.layers[:0:-1]:
+            on = np.arange(n)
+            while len(on):
+                near = links[place[at[on]]]
+                i, j = np.divmod(np.flatnonzero(near >= 0), near.shape[1])
+                s = np.full(near.shape, -np.inf, np.float32)
+                s[i, j] = self._scores(q, on[i], near[i, j])
+                compared[on] += np.bincount(i, minlength=len(on))
+                best = s.argmax(axis=1)
+                s = s[np.arange(len(on)), best]
+                up = s > score[on]
+                near, on = near[up, best[up]], on[up]
+                at[on], score[on] = near, s[up]
+        # a list's entries as numbers in order: score, node, and whether its links were followed
+        place, links = self.layers[0]
+        seen = np.zeros((n, len(self.v)), bool)
+        seen[np.arange(n), at] = True
+        held = np.full((n, width), _NOBODY)
+        held[:, -1] = _entries(score, at)
+        on = np.arange(n)
+        while len(on):
+            mine = held[on]
+            fresh = (mine & 1) == 0
+            pick = width - 1 - fresh[:, ::-1].argmax(axis=1)
+            todo = fresh[np.arange(len(on)), pick]
+            on, mine, pick = on[todo], mine[todo], pick[todo]
+            rows = np.arange(len(on))
+            node = (mine[rows, pick] & 0xFFFFFFFF) >> 1
+            mine[rows, pick] |= 1
+            near = links[place[node]]
+            i, j = np.divmod(np.flatnonzero((near >= 0) & ~seen[on[:, None], near]), near.shape[1])
+            nodes, owner = near[i, j], on[i]
+            seen[owner, nodes] = True
+            compared[on] += np.bincount(i, minlength=len(on))
+            more = np.full(near.shape, _NOBODY)
+            more[i, j] = _entries(self._scores(q, owner, nodes), nodes)
+            both = np.concatenate((mine, more), axis=1)
+            both.sort(axis=1)
+            held[on] = both[:, -width:]
+        return np.where(held == _NOBODY, -1, (held & 0xFFFFFFFF) >> 1), compared
+
+
+#: No entry: less than any, and followed.
+_NOBODY = -(1 << 63) + 1
+
+
+def _entries(score: np.ndarray, node: np.ndarray) -> np.ndarray:
+    bits = score.astype(np.float32).view(np.int32)
+    return (np.where(bits < 0, bits ^ 0x7FFFFFFF, bits).astype(np.int64) << 32) | (node.astype(np.int64) << 1)
+
+
+class _Walks:
+    """A block of queries with the ``k`` best of each so far and how many vectors it was compared with; scores are in millionths."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int):
+        self.q_ids, self.v, self.k = ids, v, k
+        self.ids, self.scores, self.compared = np.zeros((len(v), 0), np.int64), np.zeros((len(v), 0), np.int64), np.zeros(len(v), np.int64)
+
+    def through(self, g: _Graph, width: int) -> None:
+        ids, scores = np.empty((len(self.v), width), np.int64), np.empty((len(self.v), width), np.int64)
+        for at in range(0, len(self.v), WALKS):
+            part = slice(at, at + WALKS)
+            nodes, compared = g.walk(self.v[part].astype(np.float32), width)
+            self.compared[part] += compared
+            ids[part] = g.ids[nodes]
+            scores[part] = np.rint(np.einsum("ijk,ik->ij", g.v[nodes], self.v[part]) * 1e6)
+            scores[part][(nodes < 0) | (ids[part] == self.q_ids[part, None])] = _Best.NONE
+        ids, scores = np.concatenate((self.ids, ids), axis=1), np.concatenate((self.scores, scores), axis=1)
+        order = np.lexsort((ids, -scores))[:, : self.k]
+        self.ids, self.scores = np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
+
+    def rows(self) -> pd.DataFrame:
+        n = (self.scores > _Best.NONE).sum(axis=1).tolist()
+        ids, scores = ([x[:m] for x, m in zip(a, n, strict=True)] for a in (self.ids, self.scores / 1e6))
+        return pd.DataFrame({"query_id": self.q_ids, "compared": self.compared, "ids": ids, "scores": scores})
 
 
 def _walker(k: int, width: int) -> Callable:
+    """Of each tile its blocks, which are held, with its shards' graphs one by one."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        built: tuple[int, _Graph] | None = None
+        held: list[_Walks] = []
+        tile = None
         for batch in batches:
             for r in batch.itertuples(index=False):
-                if built is None or built[0] != r.shard:
-                    built = (r.shard, _Graph(r))
-                g = built[1]
-                q_ids, q = np.frombuffer(r.q_ids, "<i8"), _vectors(r.q_vectors, r.q_n)
-                rows = []
-                for i, exact, fast in zip(q_ids.tolist(), q, q.astype(np.float32), strict=True):
-                    nodes, compared = g.walk(fast, max(width, k + 1))
-                    met = sorted((-round(float(g.v[n] @ exact), 6), int(g.ids[n])) for n in nodes if g.ids[n] != i)[:k]
-                    rows.append((i, compared, [x for _, x in met], [-s for s, _ in met]))
-                yield pd.DataFrame(rows, columns=["query_id", "compared", "ids", "scores"])
+                if r.tile != tile:
+                    for b in held:
+                        yield b.rows()
+                    held.clear()
+                    tile = r.tile
+                if r.side == 0:
+                    held.append(_Walks(np.frombuffer(r.ids, "<i8"), _vectors(r.vectors, r.n), k))
+                    continue
+                g = _Graph(r)
+                for b in held:
+                    b.through(g, max(width, k + 1))
+        for b in held:
+            yield b.rows()
 
     return run
 
@@ -382,10 +446,9 @@ def graph_search(index: DataFrame, queries: DataFrame, k: int, query_id: str, ve
     ``nearest``; a greater ``width`` raises it.
     """
     blocks, n_blocks = _packed(queries, query_id, vector, "block", block_rows, "blocks")
-    n_shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
-    with arrow_rows(index.sparkSession, 1):
-        walked = _met(_asked(blocks), index, n_blocks, n_shards).mapInPandas(_walker(k, width), "query_id long, compared long, ids array<long>, scores array<double>")
-        walked = written(walked, "walked")
+    last, most = index.agg(F.max("shard"), F.max("n")).first()
+    kind = "query_id long, compared long, ids array<long>, scores array<double>"
+    walked = _tiled(blocks, index, n_blocks, (last or 0) + 1, block_rows, most or 1, _walker(k, width), kind, "walked", ["nodes", "links"])
     compared = walked.groupBy("query_id").agg(F.sum("compared").alias("compared"))
     each = walked.select("query_id", F.inline(F.arrays_zip("ids", "scores"))).withColumnsRenamed({"ids": "id", "scores": "score"})
     return top_per(each, ["query_id"], k, F.desc("score"), "id").join(compared, "query_id")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import heapq
 import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,6 +363,58 @@ def test_graph_of_few_vectors(spark):
     assert vectors.graph_search(vectors.graph_index(df.limit(0), "id", "v"), df, 10, "id", "v").count() == 0
 
 
+def test_queries_walk_together(spark):
+    """Many queries at once come to the nodes, and compare as many vectors, as one by one with heaps; a query has one row for a tile of shards, not for each."""
+    draw = np.random.default_rng(3)
+    v = draw.standard_normal((900, 12))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    shard = pd.DataFrame([{"shard": 0, "n": 900, "ids": np.arange(900).astype("<i8").tobytes(), "vectors": unit.astype("<f8").tobytes()}])
+    g = vectors._Graph(next(next(vectors._graph(iter([shard]))).itertuples(index=False)))
+    near = [{n: [x for x in links[place[n]].tolist() if x >= 0] for n in range(900)} for place, links in g.layers]
+
+    def alone(q, width):
+        s = np.einsum("ij,ij->i", g.fast, np.repeat(q[None], 900, axis=0)).tolist()
+        at, compared = g.top, 1
+        for layer in near[:0:-1]:
+            while layer[at]:
+                compared += len(layer[at])
+                up = max(layer[at], key=s.__getitem__)
+                if s[up] <= s[at]:
+                    break
+                at = up
+        seen, todo, best = {at}, [(-s[at], at)], [(s[at], at)]
+        while todo:
+            at = heapq.heappop(todo)[1]
+            if len(best) >= width and s[at] < best[0][0]:
+                break
+            for n in near[0][at]:
+                if n not in seen:
+                    seen.add(n)
+                    compared += 1
+                    if len(best) < width or s[n] > best[0][0]:
+                        heapq.heappush(best, (s[n], n))
+                        heapq.heappush(todo, (-s[n], n))
+                        if len(best) > width:
+                            heapq.heappop(best)
+        return sorted(n for _, n in best), compared
+
+    asked = draw.standard_normal((70, 12)).astype(np.float32)
+    for width in (1, 16, 40):
+        nodes, compared = g.walk(asked, width)
+        assert [(sorted(n), c) for n, c in zip(nodes.tolist(), compared.tolist(), strict=True)] == [alone(q, width) for q in asked]
+
+    before = set(stored(spark))
+    v[500:600] = v[:100]  # repeated vectors
+    df = vector_rows(spark, v[:600])
+    found = vectors.graph_search(vectors.graph_index(df, "id", "v", 20), df.where("id < 40"), 5, "id", "v").collect()
+    s = cosines(v[:600])
+    hits = sum(s[r["query_id"], r["id"]] >= np.sort(np.delete(s[r["query_id"]], r["query_id"]))[-5] - 2e-6 for r in found)
+    assert len(found) == 200 and hits >= 198
+    assert all(r["compared"] >= 500 for r in found)
+    walked = [f for f in set(stored(spark)) - before if f.rsplit("/", 1)[-1].startswith("walked")]
+    assert 40 <= sum(spark.read.parquet(f).count() for f in walked) <= 40 * vectors.TILES
+
+
 def test_greedy_dedup_against_brute_force(spark):
     rng = random.Random(4)
     data = [(rng.choice("ab"), i, [rng.choice((0.0, 1.0)), rng.choice((0.0, 1.0)), rng.choice((0.5, 1.0))], rng.choice((None, 0.2, 0.9))) for i in range(40)]
